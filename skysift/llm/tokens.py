@@ -8,30 +8,48 @@ characters for which this does not hold is encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from itertools import chain
 
-import numpy as np
-
 CACHE_PIECES = 1_000_000
 #: Control, format and unusual white-space characters: such texts are encoded whole.
 UNUSUAL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\ufe0f\ufeff]|  | \n")
-BATCH_CHARS = 8_000_000
+BATCH_CHARS, ROW_PIECES = 8_000_000, 50
 
 
 class PieceEncoder:
     """encode(texts) gives each text's ids as bytes; null counts as empty."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: Whether blanks leave no token, so that pieces can be encoded in rows and told apart by their first character.
+        self.rows = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _row_ids(self, pieces: list[str]) -> list[bytes]:
+        rows = [pieces[i : i + ROW_PIECES] for i in range(0, len(pieces), ROW_PIECES)]
+        out: list[bytes] = []
+        for row, e in zip(rows, self.tokenizer.encode_batch([" ".join(row) for row in rows], add_special_tokens=False)):
+            at, cuts = 0, []
+            for p in row:
+                cuts.append(e.char_to_token(at))
+                at += len(p) + 1
+            if None in cuts:
+                out += self._ids(row)
+                continue
+            ids = array("I", e.ids).tobytes()
+            out += [ids[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids) // 4])]
+        return out
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
         if len(known) > CACHE_PIECES:
@@ -39,7 +57,7 @@ class PieceEncoder:
         missing = [p for p in pieces if p not in known]
         for i in range(0, len(missing), 50_000):
             some = missing[i : i + 50_000]
-            known.update(zip(some, self._ids([before + p for p in some])))
+            known.update(zip(some, self._row_ids(some) if self.rows else self._ids([before + p for p in some])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
