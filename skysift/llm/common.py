@@ -14,8 +14,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only, whatever the locale says about other letters."""
-    return F.translate(c, UPPER, LOWER)
+    """Lower-case A-Z only. lower() is much faster than translate(), and equal unless other capitals occur."""
+    other_capitals = c.rlike(r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]")
+    return F.when(other_capitals, F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
 
 
 def let_workers_import(spark: SparkSession) -> None:
