@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import decontaminate, packing, token_store, topk, url_filter
+from skysift.llm import decontaminate, html_extract, langid, packing, quality, token_store, topk, url_filter
 from skysift.llm.common import shared_dir
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -34,6 +34,13 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_index(spark, path)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    weight = html_extract.weights(pages)
+    out = html_extract.extract(pages.select("page_id", "url", "html"), weight).select("page_id", "url", "text")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -43,17 +50,32 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    learned = langid.sample(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), learned).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"), scale=64.0)
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.classify(docs, table(spark, sf_dir, "labels"), host="source", path="lang")
+    return out.select("doc_id", "evidence", "prior", "posterior", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_orc": op2_token_orc,
+    "op4_html_extraction": op4_html_extraction,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
     "op8_topk_search": op8_topk_search,
+    "op10_quality": op10_quality,
 }
 
 _RULES_SQL = ", ".join(f"('{r}', '{a}')" for r, a in URL_RULES)
