@@ -138,7 +138,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str, path: str, doc_id:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     w = _weight(hosts, F.lit(rate), F.lit(1))
     hosts = hosts.select("host", ((F.col("k") + w * rate) / (F.col("n") + w)).alias("host_rate"))
-    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).select(paths["host"], "path", "n", "k", "host_rate")
+    of = hosts.select(F.col("host").alias("of"), "host_rate")
+    both = paths.join(of, F.col("host").eqNullSafe(F.col("of"))).drop("of")
     w = _weight(both, F.col("host_rate"), F.countDistinct(F.struct("host")))
     paths = both.select("host", "path", ((F.col("k") + w * F.col("host_rate")) / (F.col("n") + w)).alias("path_rate"))
     return rate, hosts, paths
