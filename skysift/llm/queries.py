@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import decontaminate, html_extract, langid, packing, quality, token_store, topk, url_filter
+from skysift.llm import decontaminate, html_extract, langid, minhash, packing, quality, token_store, topk, url_filter
 from skysift.llm.common import shared_dir
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -34,6 +34,10 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_index(spark, path)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     weight = html_extract.weights(pages)
@@ -70,6 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_orc": op2_token_orc,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontamination": op6_decontamination,
@@ -121,5 +126,26 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+""",
+    "op3_minhash_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+z AS (SELECT rid, list(g ORDER BY g) AS gs, count(*) AS n FROM s GROUP BY rid),
+k AS (SELECT gs, n, min(rid) AS node FROM z GROUP BY gs, n),
+of AS (SELECT z.rid, k.node, z.n FROM z JOIN k USING (gs)),
+ks AS (SELECT node, n, unnest(gs) AS g FROM k),
+link AS (
+  SELECT x.node AS a, y.node AS b FROM ks x JOIN ks y ON x.g = y.g AND x.node < y.node AND x.n * 5 >= y.n * 4 AND y.n * 5 >= x.n * 4
+  GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT node, node FROM k UNION SELECT r.a, two.b FROM reach r JOIN two ON r.b = two.a),
+root AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+c AS (SELECT root, min(doc_id) AS component_id FROM root JOIN of USING (node) JOIN d USING (rid) GROUP BY root)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM d LEFT JOIN of USING (rid) LEFT JOIN root USING (node) LEFT JOIN c USING (root)
 """,
 }
