@@ -15,7 +15,8 @@ from itertools import chain
 
 CACHE_PIECES = 1_000_000
 #: Control, format and unusual white-space characters: such texts are encoded whole.
-UNUSUAL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\ufe0f\ufeff]|  | \n")
+UNUSUAL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\ufe0f\ufeff]")
+UNUSUAL_ASCII = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 BATCH_CHARS, ROW_PIECES = 8_000_000, 50
 
 
@@ -25,11 +26,14 @@ class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
+        from tokenizers.processors import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        #: Whether blanks leave no token, so that pieces can be encoded in rows and told apart by their first character.
-        self.rows = not self.tokenizer.encode(" ", add_special_tokens=False).ids
+        #: Whether a blank belongs to the token after it; else blanks leave no token.
+        self.blanks = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
+        if self.blanks:
+            self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # offsets then hold the blank, ids stay the same
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -37,36 +41,37 @@ class PieceEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _row_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a blank, encoded in rows and told apart by the token of their first character."""
         rows = [pieces[i : i + ROW_PIECES] for i in range(0, len(pieces), ROW_PIECES)]
         out: list[bytes] = []
-        for row, e in zip(rows, self.tokenizer.encode_batch([" ".join(row) for row in rows], add_special_tokens=False)):
-            at, cuts = 0, []
+        for row, e in zip(rows, self.tokenizer.encode_batch([" " + " ".join(row) for row in rows], add_special_tokens=False)):
+            at, cuts = 0 if self.blanks else 1, []
             for p in row:
                 cuts.append(e.char_to_token(at))
                 at += len(p) + 1
             if None in cuts:
-                out += self._ids(row)
+                out += self._ids([" " + p for p in row])
                 continue
             ids = array("I", e.ids).tobytes()
             out += [ids[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids) // 4])]
         return out
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
+    def _learn(self, known: dict[str, bytes], pieces: set[str], first: bool) -> None:
         if len(known) > CACHE_PIECES:
             known.clear()
         missing = [p for p in pieces if p not in known]
         for i in range(0, len(missing), 50_000):
             some = missing[i : i + 50_000]
-            known.update(zip(some, self._row_ids(some) if self.rows else self._ids([before + p for p in some])))
+            known.update(zip(some, self._ids(some) if first else self._row_ids(some)))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if UNUSUAL.search(t)]
+        whole = [i for i, t in enumerate(texts) if not t.isascii() and UNUSUAL.search(t) or UNUSUAL_ASCII.search(t) or "  " in t or " \n" in t]
         for i in whole:
             out[i] = self._ids([texts[i]])[0]
         cut = {i: texts[i].split(" ") for i in set(range(len(texts))).difference(whole)}
-        self._learn(self.first, {p[0] for p in cut.values()}, "")
-        self._learn(self.later, set(chain.from_iterable(p[1:] for p in cut.values())), " ")
+        self._learn(self.first, {p[0] for p in cut.values()}, True)
+        self._learn(self.later, set(chain.from_iterable(p[1:] for p in cut.values())), False)
         later = self.later.__getitem__
         for i, pieces in cut.items():
             out[i] = self.first[pieces[0]] + b"".join(map(later, pieces[1:]))
