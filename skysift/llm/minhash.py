@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -204,24 +205,100 @@ def _links(plain: DataFrame, classes: DataFrame, words: int, percent: int) -> Da
     # then every other pair whose ends aren't connected yet
     open_ = _with_root(_with_root(pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), roots, F.col("a"), "ra"), roots, F.col("b"), "rb")
     open_ = open_.filter("ra <> rb").select("a", "b")
-    members = _with_root(long, roots, F.col("m.node"), "root")
+    first_links = _verified(written(open_.distinct()), sets, percent)
+    # and members of long lists outside of their hub's component, against the whole list
+    prefixes = lists.select("m", F.transform("vs", lambda e: e.v).alias("pre"), "vs")
+    members = _with_root(prefixes.select("m", "pre", F.explode(F.filter("vs", lambda e: e.df > LONG_LIST)).alias("e")).select("m", "pre", F.col("e.v").alias("v")), roots, F.col("m.node"), "root")
     tops = _with_root(hubs, roots, F.col("h.node"), "top").select("v", "top")
-    members = written(members.join(tops, "v"))
-    several = members.filter("root <> top").select("v").distinct()
-    outer = members.filter("root <> top").select("v", F.col("m").alias("x"), F.col("root").alias("rx"))
-    inner = members.join(several, "v", "left_semi").select("v", F.col("m").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("top")).alias("in_top"))
-    met = outer.join(inner, (outer["v"] == inner["v"]) & (F.col("rx") != F.col("ry")) & (F.col("in_top") | (F.col("x.node") < F.col("y.node"))) & _likely("x", "y"))
-    met = _pairs(met.filter(_estimated("x", "y")), "x", "y").select("a", "b").join(first, ["a", "b"], "left_anti")
-    rest = written(open_.union(met).distinct())
-    if rest.isEmpty():
-        return roots
-    more = _verified(rest, _more_sets(sets, rest, lists, plain, words), percent)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-
-
-def _more_sets(sets: DataFrame, pairs: DataFrame, lists: DataFrame, plain: DataFrame, words: int) -> DataFrame:
-    """The sets of all documents in ``pairs``, adding those not computed yet."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    members = members.join(tops, "v").select("v", "m.node", "m.n", "m.sk", "pre", "root", (F.col("root") != F.col("top")).alias("outer"))
+    sizes = members.groupBy("v").agg(F.count_if("outer").alias("n_outer"), F.count(F.lit(1)).alias("n_all")).filter("n_outer > 0")
+    members = written(members.join(sizes, "v"))
+    if members.isEmpty():
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(first_links))
+    schema = "a long, b long"
+    met = written(_in_blocks(members, _meet(percent, False), schema).distinct())
+    nodes = written(met.select(F.col("a").alias("node")).union(met.select("b")).distinct())
+    sets = _more_sets(sets, nodes, lists, plain, words)
+    full = members.join(nodes, "node", "left_semi").join(sets, "node")
+    links = _in_blocks(full, _meet(percent, True), schema).distinct()
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(first_links).union(links))
+
+
+OUTER_BLOCK, INNER_BLOCK = 512, 1024
+
+
+def _in_blocks(members: DataFrame, meet, schema: str) -> DataFrame:
+    """Meet the outer members of each list with all of its members, in blocks of bounded size."""
+    outer_blocks = F.ceil(F.col("n_outer") / OUTER_BLOCK).cast("int")
+    inner_blocks = F.ceil(F.col("n_all") / INNER_BLOCK).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    rest = [x for x in members.columns if x not in ("outer", "n_outer", "n_all")]
+    outer = members.filter("outer").select(*rest, mine(outer_blocks, 1).alias("ob"), every(inner_blocks).alias("ib"))
+    inner = members.select(*rest, every(outer_blocks).alias("ob"), mine(inner_blocks, 2).alias("ib"))
+    inner = inner.select(*[F.col(x).alias(x) for x in inner.columns])
+    return outer.groupBy("v", "ob", "ib").cogroup(inner.groupBy("v", "ob", "ib")).applyInPandas(meet, schema)
+
+
+class _Rows:
+    """Ragged integer lists as codes of a shared vocabulary."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.starts = np.cumsum([0, *(len(x) for x in lists)])
+        self.values, self.codes = np.unique(np.concatenate([*lists, np.zeros(0, "int64")]).astype("int64"), return_inverse=True)
+        self.flags = np.zeros(len(self.values), bool)
+
+    def mark(self, some: np.ndarray) -> np.ndarray:
+        """For every entry of the lists, whether it is one of the given values."""
+        at = np.searchsorted(self.values, some)
+        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == some)]
+        self.flags[:] = False
+        self.flags[at] = True
+        return self.flags[self.codes]
+
+    def shared(self, some: np.ndarray) -> np.ndarray:
+        """How many values each list shares with the given ones."""
+        sums = np.cumsum(np.concatenate([[0], self.mark(some)]))
+        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+
+
+def _meet(percent: int, full: bool):
+    """For two blocks of a list: with full sets the links found, one for each node and foreign component; else pairs that name all nodes that may have links."""
+
+    def needed(n: np.ndarray) -> np.ndarray:
+        return np.where(n * 5 <= SKETCH * 4, -(-n * 4 // 5), np.where(n <= SKETCH, SKETCH * 5 // 8, OVERLAP))
+
+    def run(key: tuple, outer: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(outer) and len(inner):
+            nodes, roots, n = (inner[x].to_numpy() for x in ("node", "root", "n"))
+            prefixes, sketches = _Rows(list(inner["pre"])), _Rows(list(inner["sk"]))
+            sets = _Rows(list(inner["shingles"])) if full else None
+            need, place = needed(n), np.arange(len(prefixes.codes))
+            for x in outer.itertuples():
+                # a pair belongs to the list of the first value that both prefixes hold
+                hit = np.where(prefixes.mark(x.pre), place, len(place))
+                first = np.minimum.reduceat(np.append(hit, len(place)), prefixes.starts[:-1])
+                may = (first < prefixes.starts[1:]) & (roots != x.root) & (n * 5 >= x.n * 4) & (n * 4 <= x.n * 5)
+                may[may] = prefixes.values[prefixes.codes[first[may]]] == key[0]
+                if may.any():
+                    may &= sketches.shared(x.sk) >= np.minimum(need, needed(np.int64(x.n)))
+                if full and may.any():
+                    both = sets.shared(x.shingles)
+                    may &= both * 100 >= (n + x.n - both) * percent
+                for i in np.flatnonzero(may):
+                    if full:
+                        found.setdefault((x.node, roots[i]), (x.node, nodes[i]))
+                    else:
+                        found.setdefault((nodes[i], 0), (x.node, nodes[i]))
+                        found.setdefault((x.node, 0), (x.node, nodes[i]))
+        return pd.DataFrame(sorted(set(found.values())), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _more_sets(sets: DataFrame, nodes: DataFrame, lists: DataFrame, plain: DataFrame, words: int) -> DataFrame:
+    """The sets of all of ``nodes``, adding those not computed yet."""
     missing = written(lists.select(F.col("m.node").alias("node"), "doc_id", "print").join(nodes, "node", "left_semi").join(sets.select("node"), "node", "left_anti").withColumnRenamed("doc_id", "_id"))
     if missing.isEmpty():
         return sets
