@@ -1,7 +1,7 @@
 """Registered queries by subject, and the SQL that each must agree with."""
 
-from skysift.plans import catalog, lightcurve, sky, spectra, tables
+from skysift.plans import catalog, flows, lightcurve, sky, spectra, tables
 
-MODULES = (catalog, lightcurve, sky, spectra, tables)
+MODULES = (catalog, flows, lightcurve, sky, spectra, tables)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
