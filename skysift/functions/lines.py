@@ -36,3 +36,15 @@ LOCKED = (
     ("Ha6563", "[NII]6584"), ("Ha6563", "[NII]6548"), ("[NII]6548", "[NII]6584"), ("[OIII]4959", "[OIII]5007"), ("[SII]6716", "[SII]6731"),
     ("Ha6563", "[SII]6716"), ("Ha6563", "[SII]6731"), ("[OII]3727", "[OII]3729"),
 )
+#: Stellar absorption lines at rest (air, Angstrom): Balmer, Paschen, helium, calcium, sodium, magnesium, potassium, iron and others, band heads.
+STELLAR_AIR = (
+    3835.4, 3889.1, 3970.1, 4101.7, 4340.5, 4861.3, 6562.8, 8598.4, 8665.0, 8750.5, 8862.8, 9014.9, 9229.0, 4026.2, 4471.5, 4541.6, 4685.7, 5875.6, 6678.2,
+    3933.7, 3968.5, 8498.0, 8542.1, 8662.1, 5889.9, 5895.9, 5167.3, 5172.7, 5183.6, 5528.4, 4308.0, 7664.9, 7699.0, 4045.8, 4063.6, 4071.7, 4132.1, 4143.9, 4226.7, 4271.8,
+    4383.5, 4404.8, 4415.1, 4528.6, 4668.1, 4920.5, 4957.6, 5250.2, 5269.5, 5328.0, 5371.5, 5397.1, 5405.8, 5434.5, 5446.9, 5455.6, 6122.2, 6162.2, 6439.1, 6494.9,
+    7053.0, 7589.0, 7666.0, 8432.0,
+)
+STELLAR = tuple(vacuum_from_air(w) for w in STELLAR_AIR)
+INTERSTELLAR = tuple(vacuum_from_air(w) for w in INTERSTELLAR_AIR)
+#: Diffuse interstellar bands (air, Angstrom).
+DIFFUSE_AIR = (4428.0, 5780.5, 5797.1, 6196.0, 6203.0, 6269.8, 6283.8, 6379.3, 6613.6, 6660.7, 6993.2, 5705.1, 5849.8, 4726.8, 4963.9)
+DIFFUSE = tuple(vacuum_from_air(w) for w in DIFFUSE_AIR)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.functions.lines import EMISSION, SKY, TELLURIC
+from skysift.functions.lines import DIFFUSE, EMISSION, INTERSTELLAR, SKY, STELLAR, TELLURIC
 
 c = F.col
 #: Resolving power of each release's spectrographs.
@@ -132,35 +132,57 @@ def _near(w: Column, lines: tuple[float, ...], tolerance: float, stretch: Column
     return F.exists(table, lambda x: F.abs(w - (x if stretch is None else x * stretch)) <= tolerance)
 
 
+def _telluric(w: Column) -> Column:
+    inside = F.lit(False)
+    for low, high in TELLURIC:
+        inside = inside | w.between(low, high)
+    return inside
+
+
+def _shape_reason(widest: float) -> Column:
+    """Rejections by width and sampling that both searches share."""
+    wide = ~F.isnan("width_ratio") & (c("width_ratio") > widest)
+    return F.when(c("width_ratio") < 0.6, "cosmic_ray").when(wide, "resolved_line").when(c("n_pix") < 2, "single_pixel").when(c("fwhm") < 2, "unresolved_spike")
+
+
 def reject_reason(redshift: Column | None = None) -> Column:
-    """The first reason why a line is no candidate, else NULL."""
-    w, z = c("wavelength"), F.lit(0.0) if redshift is None else F.coalesce(redshift, F.lit(0.0))
-    bands = F.lit(False)
-    for lo, hi in TELLURIC:
-        bands = bands | w.between(lo, hi)
+    """The first reason why an emission line is no candidate, else NULL."""
+    w, stretch = c("wavelength"), 1.0 + (F.lit(0.0) if redshift is None else F.coalesce(redshift, F.lit(0.0)))
     return (
-        F.when(c("width_ratio") < 0.6, "cosmic_ray")
-        .when(~F.isnan("width_ratio") & (c("width_ratio") > 1.6), "resolved_line")
-        .when(c("n_pix") < 2, "single_pixel")
-        .when(c("fwhm") < 2, "unresolved_spike")
+        _shape_reason(1.6)
         .when(c("ivar_ratio") < 0.5, "sky_residual")
         .when(c("min_adjacent") < -0.30, "oversubtraction_residual")
         .when(c("asymmetry") > 4, "asymmetric_profile")
         .when(_near(w, SKY, 1.5), "sky_line")
-        .when(bands, "telluric")
-        .when(_near(w, EMISSION, 3.0, z + 1.0), "astrophysical_line")
+        .when(_telluric(w), "telluric")
+        .when(_near(w, EMISSION, 3.0, stretch), "astrophysical_line")
     )
 
 
-def candidates(lines: DataFrame) -> DataFrame:
+def absorption_reason(redshift: Column | None = None) -> Column:
+    """The same for an absorption line; stellar lines move with the star, interstellar ones and bands do not."""
+    w, stretch = c("wavelength"), 1.0 + (F.lit(0.0) if redshift is None else F.coalesce(redshift, F.lit(0.0)))
+    return (
+        _shape_reason(1.8)
+        .when(c("min_adjacent") < -0.30, "emission_flanked")
+        .when(c("asymmetry") > 4, "asymmetric_profile")
+        .when(_near(w, SKY, 2.0), "sky_line")
+        .when(_telluric(w), "telluric")
+        .when(_near(w, STELLAR, 3.0, stretch), "stellar_line")
+        .when(_near(w, INTERSTELLAR, 2.0), "ism_line")
+        .when(_near(w, DIFFUSE, 4.0), "diffuse_band")
+    )
+
+
+def candidates(lines: DataFrame, reason: Column | None = None) -> DataFrame:
     """Surviving lines with n_survivors of their spectrum and score."""
-    kept = lines.withColumn("reason", reject_reason()).filter("reason IS NULL").withColumn("n_survivors", F.count(F.lit(1)).over(Window.partitionBy("spec_id")))
+    kept = lines.withColumn("reason", reject_reason() if reason is None else reason).filter("reason IS NULL").withColumn("n_survivors", F.count(F.lit(1)).over(Window.partitionBy("spec_id")))
     width = F.when(F.isnan("width_ratio"), 0.0).otherwise(F.exp(F.pow((c("width_ratio") - 1.0) / 0.25, 2) * -0.5))
     return kept.drop("reason").withColumn("score", (1.0 - F.exp(-c("significance") / 10.0)) * 0.45 + width * 0.35 + F.lit(0.20) / c("n_survivors"))
 
 
-def reasons(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(F.coalesce(reject_reason(), F.lit("survives")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+def reasons(lines: DataFrame, reason: Column | None = None) -> DataFrame:
+    return lines.groupBy(F.coalesce(reject_reason() if reason is None else reason, F.lit("survives")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def injected(spectra: DataFrame, strengths: tuple[float, ...] = (8.0, 15.0, 50.0), sigma: float = 1.5, margin: int = 8) -> DataFrame:
@@ -191,3 +213,11 @@ def excess_at(pixels: DataFrame, targets: DataFrame, inner: float = 4.0, outer:
     one = near.groupBy("spec_id", "wavelength").agg(F.percentile(side, F.lit(0.5)).alias("level"), F.stddev_pop(side).alias("noise"), F.max(F.when(c("_d") <= inner, c("flux"))).alias("_top"))
     one = one.withColumn("peak", F.try_divide(c("_top") - c("level"), c("noise")))
     return one.select("spec_id", "wavelength", "level", "noise", "peak", F.coalesce(c("peak") >= 4, F.lit(False)).alias("present"))
+
+
+def with_snippets(found: DataFrame, spectra: DataFrame, reach: int = 40) -> DataFrame:
+    """Add win_wave and win_flux: the spectrum around each line."""
+    low = F.greatest(c("pix") - reach, F.lit(0)) + 1
+    size = c("pix") + reach + 2 - low
+    cut = found.join(spectra.select("spec_id", "wave", "flux"), "spec_id")
+    return cut.withColumns({"win_wave": F.slice("wave", low, size), "win_flux": F.slice("flux", low, size)}).drop("wave", "flux")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.functions.lines import EMISSION, GALAXY, INTERSTELLAR_AIR, LOCKED, SKY, vacuum_from_air
+from skysift.functions.lines import DIFFUSE, EMISSION, GALAXY, INTERSTELLAR, LOCKED, SKY, STELLAR
 
 c = F.col
 LIGHT_KMS = 299792.458
@@ -16,7 +16,7 @@ def known_lines(*lists: tuple[float, ...]) -> list[float]:
     return sorted({round(x, 2) for some in lists for x in some})
 
 
-KNOWN = known_lines(EMISSION, SKY, tuple(vacuum_from_air(w) for w in INTERSTELLAR_AIR))
+KNOWN = known_lines(EMISSION, STELLAR, INTERSTELLAR, DIFFUSE, SKY)
 
 
 def nearest_line(w: Column, lines: list[float]) -> Column:

@@ -64,6 +64,12 @@ def infrared_trend(slope: Column, sigma: Column) -> Column:
     return F.when(strong, F.format_string("%s at %.3f mag/yr", sense, F.abs(slope))).otherwise("steady")
 
 
+def candidate_flags(ruwe: Column, non_single: Column, variable: Column, slope: Column, sigma: Column) -> Column:
+    """Notes on a candidate, with what an independent survey's fade says."""
+    fades = (slope > 0) & (sigma > 2)
+    return reasons(high_ruwe=ruwe > 1.4, non_single=non_single > 0, variable=F.upper(variable).startswith("VARIABLE"), fade_confirmed=fades, fade_not_confirmed=sigma.isNotNull() & ~F.coalesce(fades, F.lit(False)))
+
+
 def band_verdicts(kinds: DataFrame, key: str = "source_id") -> DataFrame:
     """(key, kind, n_bands, bands, verdict) from (key, band, kind, qualifies): confirmed in two bands, else needs_vetting."""
     ok = F.when(c("qualifies"), c("band"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skysift.functions import lines as K
 from skysift.operators import shape as H
 from skysift.operators import spectra as S
 from skysift.plans.bindings import bound, duck
@@ -34,6 +35,11 @@ def line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.find_lines(_arrays(spark, sf_dir), 1.5, 4.0, 31).withColumn("reason", S.reject_reason()), 4)
 
 
+def absorption_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.find_lines(_arrays(spark, sf_dir), 1.5, 4.0, 31, absorption=True)
+    return rounded(S.with_snippets(found.withColumn("reason", S.absorption_reason()), _arrays(spark, sf_dir), 5).withColumn("n_win", F.size("win_flux")).drop("win_wave", "win_flux"), 4)
+
+
 def line_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _arrays(spark, sf_dir).withColumn("flux", F.transform("flux", lambda x: (x - 1.0) * 0.02 + 1.0)).withColumn("ivar", F.transform("ivar", lambda x: x * 100.0)).withColumn("wave", F.transform("wave", lambda x: (x - 4000.0) / 50.0 + 5200.0))
     return rounded(S.recovery(flat))
@@ -45,6 +51,17 @@ def line_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.excess_at(p, targets, 60.0, 600.0), 4)
 
 
+def shape_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.feature_scan(_arrays(spark, sf_dir), 2.5), 4)
+
+
+def line_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifiers over lines with shapes made from the given table."""
+    n = c("spec_id") * 7 + c("line_no") * 13
+    shaped = bound(spark, sf_dir, "lines").withColumns({"width_ratio": 0.5 + n % 13 / 10.0, "n_pix": n % 9, "fwhm": 1.5 + n % 11, "ivar_ratio": 0.45 + n % 10 / 10.0, "min_adjacent": 0.1 - n % 17 / 40.0, "asymmetry": 1.0 + n % 20 / 6.0})
+    return shaped.select("spec_id", "line_no", "significance", S.reject_reason(F.lit(0.001)).alias("emission"), S.absorption_reason(F.lit(0.001)).alias("absorption"))
+
+
 def shape_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.locus(H.normalized(_pixels(spark, sf_dir))), 7)
 
@@ -59,7 +76,7 @@ def shape_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.reliability(H.scores(H.deviations(p, H.locus(p))))
 
 
-QUERIES = {f.__name__: f for f in (spectrum_continuum, bad_pixels, line_search, line_injection, line_confirmation, shape_locus, shape_scores, shape_reliability)}
+QUERIES = {f.__name__: f for f in (spectrum_continuum, bad_pixels, line_search, absorption_search, line_reasons, line_injection, shape_scan, line_confirmation, shape_locus, shape_scores, shape_reliability)}
 
 _P = duck("spectra")
 _SHAPE = f"""
@@ -79,7 +96,20 @@ sc AS (SELECT spec_id, rms, (rms - um) / us AS global_sigma, peak, at_ AS pix, c
 sr AS (SELECT *, bounded AND interior AND width BETWEEN 2 AND 5 AS narrow FROM sc),
 sa AS (SELECT *, global_sigma >= 8 OR (peak >= 6 AND narrow) AS is_anomaly FROM sr)
 """
+
+
+def _any(lines: tuple[float, ...], tolerance: float, stretch: float = 1.0) -> str:
+    return f"len(list_filter([{', '.join(f'{w!r}e0' for w in lines)}], lambda x: abs(wavelength - x * {stretch!r}e0) <= {tolerance!r}e0)) > 0"
+
+
+_BANDS = " OR ".join(f"wavelength BETWEEN {a} AND {b}" for a, b in K.TELLURIC)
+_SHAPES = lambda widest: f"WHEN wr < 0.6e0 THEN 'cosmic_ray' WHEN wr > {widest}e0 THEN 'resolved_line' WHEN np < 2 THEN 'single_pixel' WHEN fw < 2 THEN 'unresolved_spike'"
 ORACLE_SQL = {
+    "line_reasons": f"""
+WITH l AS (SELECT *, spec_id * 7 + line_no * 13 AS n FROM {duck("lines")}),
+s AS (SELECT *, 0.5e0 + n % 13 / 10e0 AS wr, n % 9 AS np, 1.5e0 + n % 11 AS fw, 0.45e0 + n % 10 / 10e0 AS iv, 0.1e0 - n % 17 / 40e0 AS mn, 1e0 + n % 20 / 6e0 AS asy FROM l)
+SELECT spec_id, line_no, significance, CASE {_SHAPES(1.6)} WHEN iv < 0.5e0 THEN 'sky_residual' WHEN mn < -0.3e0 THEN 'oversubtraction_residual' WHEN asy > 4 THEN 'asymmetric_profile' WHEN {_any(K.SKY, 1.5)} THEN 'sky_line' WHEN {_BANDS} THEN 'telluric' WHEN {_any(K.EMISSION, 3.0, 1.001)} THEN 'astrophysical_line' END AS emission,
+  CASE {_SHAPES(1.8)} WHEN mn < -0.3e0 THEN 'emission_flanked' WHEN asy > 4 THEN 'asymmetric_profile' WHEN {_any(K.SKY, 2.0)} THEN 'sky_line' WHEN {_BANDS} THEN 'telluric' WHEN {_any(K.STELLAR, 3.0, 1.001)} THEN 'stellar_line' WHEN {_any(K.INTERSTELLAR, 2.0)} THEN 'ism_line' WHEN {_any(K.DIFFUSE, 4.0)} THEN 'diffuse_band' END AS absorption FROM s""",
     "spectrum_continuum": f"""
 WITH p AS (SELECT spec_id, pix, flux, count(*) OVER (PARTITION BY spec_id) AS n FROM {_P}),
 o AS (SELECT p.spec_id, p.pix, unnest(range(p.pix - 10, p.pix + 11)) AS q, n FROM p),
