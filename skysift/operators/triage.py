@@ -81,8 +81,10 @@ def redshift_families(df: DataFrame, kms: float = 250.0, z_min: float = -0.003,
     lines = df.groupBy("spec_id").agg(F.sort_array(F.collect_set("wavelength")).alias("ws"))
     anchors = lines.select("spec_id", "ws", F.explode("ws").alias("anchor")).select("spec_id", "ws", "anchor", F.posexplode(rest).alias("place", "line"))
     anchors = anchors.withColumn("z", c("anchor") / c("line.w") - 1.0).filter(c("z").between(z_min, z_max))
-    met = F.filter(rest, lambda r: F.exists("ws", lambda w: F.abs(w / (r["w"] * (c("z") + 1.0)) - 1.0) * LIGHT_KMS <= kms))
-    anchors = anchors.withColumn("names", F.transform(met, lambda r: r["name"]))
+    # every observed line stands for its nearest rest line only
+    gaps = lambda w: F.transform(rest, lambda r: F.struct((F.abs(w / (r["w"] * (c("z") + 1.0)) - 1.0) * LIGHT_KMS).alias("gap"), r["w"].alias("w"), r["name"].alias("name")))
+    met = F.filter(F.transform("ws", lambda w: F.array_min(gaps(w))), lambda n: n["gap"] <= kms)
+    anchors = anchors.withColumn("names", F.array_distinct(F.transform(met, lambda n: n["name"])))
     locked = F.lit(False)
     for a, b in LOCKED:
         locked = locked | (F.array_contains("names", a) & F.array_contains("names", b))

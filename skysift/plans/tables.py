@@ -135,7 +135,8 @@ t AS (SELECT *, CASE WHEN r > 1 THEN 'duplicate' WHEN abs(kms) <= 300 THEN 'know
 _FAMILY = f""",
 rs(name, rw, place) AS (VALUES {", ".join(f"('{n}', {w!r}e0, {i})" for i, (n, w) in enumerate(GALAXY))}),
 an AS (SELECT w.spec_id, w.wavelength AS anchor, place, w.wavelength / rw - 1e0 AS z FROM w, rs WHERE w.wavelength / rw - 1e0 BETWEEN -0.003e0 AND 1.2e0),
-ma AS (SELECT a.spec_id, a.anchor, a.place, any_value(a.z) AS z, list(DISTINCT name) AS names FROM an a, rs JOIN w y ON true WHERE y.spec_id = a.spec_id AND abs(y.wavelength / (rw * (a.z + 1e0)) - 1e0) * {T.LIGHT_KMS!r}e0 <= 250 GROUP BY 1, 2, 3),
+nr AS (SELECT a.spec_id, a.anchor, a.place, a.z, y.wavelength AS obs, min(struct_pack(gap := abs(y.wavelength / (rw * (a.z + 1e0)) - 1e0) * {T.LIGHT_KMS!r}e0, rw := rw, name := name)) AS near FROM an a JOIN w y ON y.spec_id = a.spec_id, rs GROUP BY 1, 2, 3, 4, 5),
+ma AS (SELECT spec_id, anchor, place, any_value(z) AS z, list(DISTINCT near.name) AS names FROM nr WHERE near.gap <= 250 GROUP BY 1, 2, 3),
 ga AS (SELECT *, len(names) AS nm, len(names) >= 3 OR {" OR ".join(f"list_has_all(names, ['{a}', '{b}'])" for a, b in LOCKED)} AS gal FROM ma),
 nn AS (SELECT spec_id, count(*) AS n_lines FROM w GROUP BY 1),
 fa AS (SELECT spec_id, n_lines, nm AS n_matched, z, gal AS is_galaxy FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY gal DESC, nm DESC, anchor, place) AS r FROM ga) JOIN nn USING (spec_id) WHERE r = 1)"""

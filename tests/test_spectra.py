@@ -32,10 +32,10 @@ def test_line_is_found_spike_and_wide_line_are_not(spark):
 
 
 def test_absorption_line_and_snippet(spark):
-    df = frame(spark, spectrum(250, -0.4))
+    df = frame(spark, spectrum(300, -0.4))
     found = spectra.find_lines(df, absorption=True).withColumn("reason", spectra.absorption_reason())
     row = spectra.with_snippets(found, df).first()
-    assert row.pix == 250 and row.reason is None and len(row.win_flux) == 81
+    assert row.pix == 300 and row.reason is None and len(row.win_flux) == 81
 
 
 def test_recovery_rises_with_strength(spark):
