@@ -28,12 +28,16 @@ def let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests) under a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="skysift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="skysift-"))
+        root = _LOCAL[0]
     return f"{root.rstrip('/')}/skysift-{uuid.uuid4().hex}"
 
 

@@ -47,14 +47,24 @@ ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html
 FEATURES = BLOCKS | VOID | {"a", "b", "strong", "i", "em", "u", "s", "span", "code", "q", "cite", "small", "sub", "sup", "font", "time", "abbr", "mark", "other"}
 
 
+#: Words that make a "header" part of the article, as in article-header; articles that aren't the page's own; hidden elements.
+OWN_WORDS = frozenset("article entry post story content".split())
+NOT_OWN = frozenset("comment comments reply ad advert related teaser".split())
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+
+
 def _aside(name: str, attributes: str, in_article: bool) -> bool:
     if name in ASIDE or name == "header" and not in_article:
         return True
-    if attributes and name not in ("html", "body", "main", "article"):
-        return any(w in ASIDE_WORDS for found in NAMED.findall(attributes) for w in re.split(r"[^a-z]+", "".join(found).lower()))
-    if name == "article" and attributes:
-        return any(w in ("comment", "comments", "reply", "ad", "advert", "related") for found in NAMED.findall(attributes) for w in re.split(r"[^a-z]+", "".join(found).lower()))
-    return False
+    if not attributes or name in ("html", "body", "main"):
+        return False
+    words = {w for found in NAMED.findall(attributes) for w in re.split(r"[^a-z]+", "".join(found).lower())}
+    if name == "article":
+        return bool(words & NOT_OWN)
+    listed = words & ASIDE_WORDS
+    if listed == {"header"} and words & OWN_WORDS:
+        listed = set()
+    return bool(listed) or HIDDEN.search(attributes) is not None
 
 
 def parts(page: str) -> list[tuple]:
