@@ -5,16 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under spark.checkpoint.dir and read it back; only where that is unset use a local folder."""
-    spark = df.sparkSession
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; only where that is unset (tests) under a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="skysift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/skysift-{uuid.uuid4().hex}.parquet"
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="skysift-"))
+        root = _LOCAL[0]
+    return f"{root.rstrip('/')}/skysift-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skysift.functions.tables import shared_folder
 from skysift.operators import catalog, indicators, lightcurve, xmatch
 from skysift.operators import verdicts as V
 from skysift.plans.bindings import bound, duck
@@ -19,11 +17,6 @@ from skysift.streaming import twins
 c = F.col
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skysift-")
-    return f"{root.rstrip('/')}/skysift-{uuid.uuid4().hex}"
-
-
 def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, sf_dir, "catalogue")
 
@@ -119,7 +112,7 @@ def target_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields are written apart, one is written again, and all are read back."""
-    d, path = _stars(spark, sf_dir).select("source_id", "label", "teff"), _folder(spark)
+    d, path = _stars(spark, sf_dir).select("source_id", "label", "teff"), shared_folder(spark)
     for field in ("A", "B"):
         sinks.write_field(d.filter(c("source_id") % 2 == int(field == "B")), path, field)
     sinks.write_field(d.filter("source_id % 2 = 1 AND teff > 6000"), path, "B")
@@ -132,26 +125,26 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = shared_folder(spark)
     q = twins.running_counts(_events(spark, sf_dir).filter("value > 40"), "event_type", f"{path}/out", f"{path}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = shared_folder(spark)
     twins.first_seen(_events(spark, sf_dir), "user_id", f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
 def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = shared_folder(spark)
     twins.candidates(_events(spark, sf_dir), lambda d: d.filter("value > 200").select("event_id", "user_id", "value"), f"{path}/out", f"{path}/state").awaitTermination()
     return rounded(spark.read.parquet(f"{path}/out"))
 
 
 def stream_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = shared_folder(spark)
     history = lambda: spark.read.parquet(f"{sf_dir}/events.parquet")
     total = lambda d: d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
     twins.touched_summaries(_events(spark, sf_dir).filter("value > 100"), history, total, "user_id", f"{path}/out", f"{path}/state").awaitTermination()
