@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ FULL_ENOUGH = 0.98
 #: Local search looks at so many underfull bins at a time and makes so many passes over them.
 SEARCH_BINS, SEARCH_PASSES = 400, 6
 
-PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long, full long"
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -123,11 +124,15 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of every document: (doc_id, copy, piece, start, length, ids_crc32); copy tells repeated rows apart."""
+    """Pieces of every document: (doc_id, copy, piece, start, length, ids_crc32, full).
+
+    copy tells repeated rows apart; full numbers the pieces of full length, below zero, and is NULL for others.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
+        full = -1 - (TaskContext.get().partitionId() << 40)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -136,9 +141,11 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: st
                     whole = ids + end
                     for p, a in enumerate(range(0, len(whole), 4 * capacity)):
                         piece = whole[a : a + 4 * capacity]
-                        rows.append((doc, copy, p, a // 4, len(piece) // 4, zlib.crc32(piece)))
-                names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32"]
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                        number = full if len(piece) == 4 * capacity else None
+                        full -= number is not None
+                        rows.append((doc, copy, p, a // 4, len(piece) // 4, zlib.crc32(piece), number))
+                names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32", "full"]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     let_workers_import(docs.sparkSession)
@@ -170,22 +177,20 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIEC
     """Place pieces (as of cut()): adds sequence_id and offset. Runs over a written table."""
     columns = [c.split()[0] for c in PIECES.split(", ")]
     rest = pieces.filter(F.col("length") < capacity)
-    full = pieces.filter(F.col("length") >= capacity).select(*columns, F.struct(F.lit(0).alias("round"), F.col("copy").alias("a"), F.col("piece").cast("long").alias("b")).alias("place"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.filter(F.col("length") >= capacity).select(*columns, F.col("full").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     n_groups = max(1, -(-rest.count() // group_pieces))
     first = _pack_groups(rest, n_groups, capacity, 1)
-    place = lambda r: F.struct(F.lit(r).alias("round"), F.col("group_id").alias("a"), F.col("bin").alias("b"))
+    # any numbers will do for sequences: round, group and bin as one integer
+    place = lambda r: (F.lit(r << 61) + F.col("group_id") * F.lit(1 << 21) + F.col("bin")).alias("sequence_id")
     if n_groups == 1:
-        packed = first.select(*columns, place(1).alias("place"), "offset")
+        packed = first.select(*columns, place(0), "offset")
     else:
         first = written(first)
         loose = first.filter(F.col("fill") < FULL_ENOUGH * capacity)
         again = max(1, -(-loose.count() // group_pieces))
         second = _pack_groups(loose, again, capacity, 2)
-        packed = first.filter(F.col("fill") >= FULL_ENOUGH * capacity).select(*columns, place(1).alias("place"), "offset").union(second.select(*columns, place(2).alias("place"), "offset"))
-    # any numbers will do for sequences: the place itself, as one integer
-    number = F.col("place.round") * F.lit(1 << 61) + F.col("place.a") * F.lit(1 << 21) + F.col("place.b")
-    full_number = F.col("place.a") * F.lit(1 << 21) + F.col("place.b")
-    return full.union(packed).withColumn("sequence_id", F.when(F.col("place.round") == 0, full_number).otherwise(number)).drop("place")
+        packed = first.filter(F.col("fill") >= FULL_ENOUGH * capacity).select(*columns, place(0), "offset").union(second.select(*columns, place(1), "offset"))
+    return full.union(packed).drop("full")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
