@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skysift.llm.common import let_workers_import
+from skysift.llm.common import let_workers_import, written
 
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS, MAX_BROADCAST = 40_000, 10_000
 BLOCK = 1024
 LANES = 60_000
 UNKNOWN = "und"
@@ -39,7 +39,9 @@ def sample(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, lang: str = "l
     # a threshold on the hash keeps somewhat more than the bound of each language, before anything is sorted
     mean = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    first = rows.withColumn("h", h).join(F.broadcast(mean), "lang").filter(F.col("h") * F.col("chars") <= 4.0 * sample_chars + 0.0)
+    mean = written(mean)
+    few = F.broadcast(mean) if mean.count() <= MAX_BROADCAST else mean  # one small row for each language
+    first = rows.withColumn("h", h).join(few, "lang").filter(F.col("h") * F.col("chars") <= 4.0 * sample_chars + 0.0)
     some = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)
     first = first.select("lang", "h", F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["lang", "text"])
     first = first.withColumn("before", F.coalesce(F.sum(F.length("text")).over(some), F.lit(0))).filter(F.col("before") < sample_chars)
