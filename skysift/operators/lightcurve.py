@@ -301,3 +301,21 @@ def periods(df: DataFrame, keys: Sequence[str], min_epochs: int = 20, tolerance:
     rows = clean(df, keys, 1).select(*keys, "mjd", "mag", "magerr")
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
     return rows.groupBy(*keys).applyInPandas(run, f"{schema}, period double, power double, fap double, amplitude double, alias boolean")
+
+
+def search(df: DataFrame, keys: Sequence[str], power: DataFrame | None = None) -> DataFrame:
+    """All three detectors, one row for each source that any of them takes: structs dips, fade and flash."""
+    parts = {"dips": dip_candidates(dip_summary(df, keys, power=power)), "fade": fades(df, keys), "flash": flash_summary(df, keys)}
+    out = None
+    for name, part in parts.items():
+        packed = part.select(*keys, F.struct(*(x for x in part.columns if x not in keys)).alias(name))
+        out = packed if out is None else out.join(packed, list(keys), "full")
+    return out
+
+
+def field_candidates(found: DataFrame, shared: DataFrame, keys: Sequence[str], least: int = 10, most_shared: float = 0.5) -> DataFrame:
+    """Add is_candidate: a dip candidate whose dips mostly fall on nights of its own. Fields of fewer than least sources aren't controlled."""
+    n = found.agg(F.count(F.lit(1)).alias("_sources"))
+    d = found.join(shared, list(keys), "left").join(F.broadcast(n), F.lit(True))
+    shared_night = (c("_sources") >= least) & (F.coalesce("shared_frac", F.lit(0.0)) >= most_shared)
+    return d.withColumn("is_candidate", F.coalesce(c("dips.is_candidate"), F.lit(False)) & ~shared_night).drop("_sources")

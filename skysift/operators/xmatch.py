@@ -148,3 +148,37 @@ def host_match(targets: DataFrame, planets: DataFrame, radius_arcsec: float = 3.
     hosts = by_id.union(by_place)
     out = targets.join(hosts, "source_id", "left")
     return out.withColumns({"n_planets": F.coalesce("n_planets", F.lit(0).cast("bigint")), "temperate": F.coalesce("temperate", F.lit(False)), "hycean": F.coalesce("hycean", F.lit(False))})
+
+
+def control_union(*catalogues: DataFrame) -> DataFrame:
+    """All control catalogues by column name; absent columns are NULL."""
+    out = catalogues[0]
+    for x in catalogues[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+def literature_table(raw: DataFrame, label: str, id_columns: tuple[str, ...]) -> DataFrame:
+    """(label, id, ra, dec), one row for each distinct positive id in any of several id columns, text or number."""
+    ids = F.array(*(F.expr(f"try_cast(`{x}` AS BIGINT)") for x in id_columns))
+    d = raw.select(F.lit(label).alias("label"), F.explode(ids).alias("id"), "ra", "dec")
+    return d.filter(c("id") > 0).distinct()
+
+
+def with_photometry(targets: DataFrame, stars: DataFrame, radius_arcsec: float = 2.0) -> DataFrame:
+    """Nearest star's photometry and the HR class from it. stars: (cand_id, ra, dec, g, bp_rp, parallax, parallax_snr)."""
+    near = nearest(targets.select("source_id", "ra", "dec"), stars, radius_arcsec, b_cols=("cand_id", "g", "bp_rp", "parallax", "parallax_snr")).drop("ra", "dec")
+    out = targets.join(near, "source_id", "left")
+    return out.withColumn("hr_class", hr_class(c("g"), c("bp_rp"), c("parallax"), c("parallax_snr")))
+
+
+def overlapping_spectra(spectra: DataFrame, radius_arcsec: float = 1.0) -> DataFrame:
+    """(spec_id, other_id, sep): other spectra of the same position from another release. spectra: (spec_id, release, ra, dec)."""
+    other = spectra.select(c("spec_id").alias("other_id"), c("release").alias("other_release"), "ra", "dec")
+    pairs = within(spectra.select("spec_id", "release", "ra", "dec"), other, radius_arcsec, b_cols=("other_id", "other_release"))
+    return pairs.filter("spec_id <> other_id AND release <> other_release").select("spec_id", "other_id", "sep")
+
+
+def luminous_companion(df: DataFrame, excess: DataFrame, key: str = "source_id") -> DataFrame:
+    """Add luminous_companion from a table (key, bp_rp_excess)."""
+    return df.join(excess.select(key, "bp_rp_excess"), key, "left").withColumn("luminous_companion", F.coalesce(c("bp_rp_excess") > 1.5, F.lit(False)))

@@ -78,7 +78,15 @@ def relative_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.relative_magnitude(flux.drop("mag"), K).select("source_id", "tiebreak", "mag"))
 
 
-QUERIES = {f.__name__: f for f in (dip_events, dip_summary, dip_periods, variability_periods, flash_summary, season_medians, fade_fits, fade_detrended, shared_epochs, fractional_rms, band_coincidence, fade_colours, flash_colours, relative_magnitudes)}
+def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors over one field, with the control of shared nights."""
+    curves = bound(spark, sf_dir, "curves")
+    found = L.field_candidates(L.search(curves, K), L.shared_epochs(_dips(spark, sf_dir), K), K)
+    c = F.col
+    return rounded(found.select("source_id", c("dips.n_dips").alias("n_dips"), c("dips.is_candidate").alias("dip_candidate"), c("fade.is_fader").alias("is_fader"), c("flash.n_flashes").alias("n_flashes"), "shared_frac", "is_candidate"))
+
+
+QUERIES = {f.__name__: f for f in (field_search, dip_events, dip_summary, dip_periods, variability_periods, flash_summary, season_medians, fade_fits, fade_detrended, shared_epochs, fractional_rms, band_coincidence, fade_colours, flash_colours, relative_magnitudes)}
 
 _CURVES, _LONG = duck("curves"), duck("long_curves")
 

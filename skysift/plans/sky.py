@@ -144,7 +144,34 @@ def encounter_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.encounter_uncertainty(near, anchor, 100), 4)
 
 
-QUERIES = {f.__name__: f for f in (sky_pairs, sky_nearest, sky_cone, counterpart_counts, known_objects, literature_match, novel_sources, blend_verdicts, hr_classes, excess_verdicts, object_context, planet_hosts, accelerations, acceleration_rank, unexplained_accelerations, orbit_masses, dark_companions, phase_space, close_encounters, regime_sweep, destinations, encounter_uncertainty)}
+def control_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _a(spark, sf_dir), _b(spark, sf_dir)
+    return rounded(M.control_union(a.filter("known_disk").select("source_id", "ra", "teff"), b.select(c("cand_id").alias("source_id"), "ra", "mag")))
+
+
+def literature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = c("cand_id")
+    raw = _b(spark, sf_dir).select(F.concat(F.lit("x"), n.cast("string")).alias("name"), F.when(n % 2 == 0, (n * 7).cast("string")).otherwise("none").alias("gaia"), (n % 5 - 2).alias("other"), "ra", "dec")
+    return rounded(M.literature_table(raw, "survey", ("gaia", "other")))
+
+
+def shortlist_photometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _b(spark, sf_dir).select("cand_id", "ra", "dec", c("mag").alias("g"), (c("cand_id") % 30 / 10.0).alias("bp_rp"), (c("cand_id") % 20 + 1.0).alias("parallax"), (c("cand_id") % 12 * 1.0).alias("parallax_snr"))
+    return M.with_photometry(_a(spark, sf_dir).filter("source_id % 7 = 0").select("source_id", "ra", "dec"), b, 6.0).select("source_id", "cand_id", "hr_class")
+
+
+def overlapping_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _a(spark, sf_dir).select(c("source_id").alias("spec_id"), (c("source_id") % 3).alias("release"), "ra", "dec")
+    b = _b(spark, sf_dir).select((c("cand_id") + 1000000).alias("spec_id"), ((c("cand_id") + c("cand_id") % 2) % 3).alias("release"), "ra", "dec")
+    return rounded(M.overlapping_spectra(a.unionByName(b), 6.0), 4)
+
+
+def luminous_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bound(spark, sf_dir, "orbits").select("source_id", (c("ruwe") / 2).alias("bp_rp_excess"))
+    return M.luminous_companion(bound(spark, sf_dir, "accelerations").select("source_id"), e).select("source_id", "luminous_companion")
+
+
+QUERIES = {f.__name__: f for f in (control_union, literature_table, shortlist_photometry, overlapping_spectra, luminous_companions, sky_pairs, sky_nearest, sky_cone, counterpart_counts, known_objects, literature_match, novel_sources, blend_verdicts, hr_classes, excess_verdicts, object_context, planet_hosts, accelerations, acceleration_rank, unexplained_accelerations, orbit_masses, dark_companions, phase_space, close_encounters, regime_sweep, destinations, encounter_uncertainty)}
 
 _A, _B = duck("catalogue"), duck("sky_b")
 
@@ -228,6 +255,19 @@ _DRAWS = f"""(SELECT source_id, draw, ra, dec, parallax + 0.05e0 * {_normal(0)}
   FROM (SELECT source_id, ra, dec, parallax, pmra, pmdec, radial_velocity FROM {_MET} m WHERE t_enc_myr < 0 AND d_min_pc <= 5 AND v_rel_kms > 0), range(100) r(draw))"""
 _R = lambda *names, d=4: ", ".join(f"round({n}, {d}) + 0e0 AS {n}" for n in names)
 ORACLE_SQL = {
+    "control_union": f"SELECT source_id, round(ra, 5) AS ra, teff, NULL::DOUBLE AS mag FROM {_A} WHERE known_disk UNION ALL SELECT cand_id, round(ra, 5), NULL, round(mag, 5) FROM {_B}",
+    "literature_table": f"""
+WITH r AS (SELECT CASE WHEN cand_id % 2 = 0 THEN cand_id * 7 END AS a, cand_id % 5 - 2 AS b, ra, dec FROM {_B})
+SELECT DISTINCT 'survey' AS label, id, round(ra, 5) AS ra, round(dec, 5) + 0e0 AS dec FROM (SELECT a AS id, ra, dec FROM r UNION ALL SELECT b, ra, dec FROM r) WHERE id > 0""",
+    "shortlist_photometry": f"""
+WITH p AS (SELECT source_id, arg_min(cand_id, struct_pack(a := sep, b := cand_id)) AS cand_id FROM {_pairs(6.0)} WHERE source_id % 7 = 0 GROUP BY 1),
+q AS (SELECT a.source_id, b.cand_id, b.cand_id % 30 / 10e0 AS col, b.mag + 5e0 * log10((b.cand_id % 20 + 1e0) / 100e0) AS mg, b.cand_id % 12 AS snr FROM {_A} a LEFT JOIN p USING (source_id) LEFT JOIN {_B} b ON b.cand_id = p.cand_id WHERE a.source_id % 7 = 0),
+d AS (SELECT *, mg - (2e0 + 4.3e0 * col - 0.55e0 * col * col + 0.16e0 * col * col * col) AS d FROM q)
+SELECT source_id, cand_id, CASE WHEN mg IS NULL OR snr < 5 THEN 'unknown' WHEN d > 4 AND col < 1.2e0 THEN 'white_dwarf' WHEN d < -1.5e0 THEN 'giant' WHEN abs(d) <= 1.5e0 THEN 'main_sequence' ELSE 'evolved_or_pms' END AS hr_class FROM d""",
+    "overlapping_spectra": f"""
+WITH u AS (SELECT source_id AS source_id, source_id % 3 AS rel, ra, dec FROM {_A} UNION ALL SELECT cand_id + 1000000, (cand_id + cand_id % 2) % 3, ra, dec FROM {_B}), o AS (SELECT source_id AS oid, rel AS orel, ra, dec FROM u)
+SELECT p.source_id AS spec_id, oid AS other_id, round(sep, 4) + 0e0 AS sep FROM {_pairs(6.0, "u", "o")} p JOIN u ON u.source_id = p.source_id WHERE oid <> p.source_id AND orel <> u.rel""",
+    "luminous_companions": f"SELECT a.source_id, coalesce(ruwe / 2e0 > 1.5e0, false) AS luminous_companion FROM {duck('accelerations')} a LEFT JOIN {duck('orbits')} o USING (source_id)",
     "sky_pairs": f"SELECT source_id, cand_id, round(sep, 4) + 0e0 AS sep FROM {_pairs(6.0)}",
     "sky_nearest": f"""WITH b AS (SELECT cand_id, ra, dec FROM {_B} UNION ALL SELECT cand_id + 100000, ra + 0.0003e0, dec FROM {_B}), a AS (SELECT * FROM {_A})
 SELECT source_id, cand_id, round(sep, 4) + 0e0 AS sep FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sep, cand_id) AS r FROM {_pairs(8.0, "a", "b")}) WHERE r = 1""",
