@@ -25,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skysift.llm.common import let_workers_import
+from skysift.llm.common import let_workers_import, written
 
 MAX_TRAIN = 20_000
+#: Tables of rates up to so many rows are broadcast (some ten MB).
+BROADCAST_SITES = 200_000
 FIGURES = ("length", "letters", "capitals", "digits", "symbols", "marks", "distinct", "commonest", "repeats", "lines", "word_length", "sentences", "runs", "bars")
 _KIND = np.zeros(256, "uint8")
 for _i in range(256):
@@ -153,7 +155,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str, path: str, doc_id: s
     rate, hosts, paths = posteriors(docs, labels, host, path, doc_id)
     hosts = hosts.select(F.col("host").alias("_h"), "host_rate")
     paths = paths.select(F.col("host").alias("_ph"), F.col("path").alias("_pp"), "path_rate")
-    # Spark broadcasts these rates while they are under its threshold and splits skewed hosts beyond it
+    # few sites are broadcast, so that no text is shuffled; with more, AQE splits the skewed hosts
+    hosts, paths = (F.broadcast(t) if t.count() <= BROADCAST_SITES else t for t in (written(hosts), written(paths)))
     out = _with_figures(docs, text, model, "evidence")
     out = out.join(hosts, F.col(host).eqNullSafe(F.col("_h")), "left").join(paths, F.col(host).eqNullSafe(F.col("_ph")) & F.col(path).eqNullSafe(F.col("_pp")), "left")
     prior = F.least(F.greatest(F.coalesce("path_rate", "host_rate", F.lit(rate)), F.lit(1e-6)), F.lit(1 - 1e-6))
