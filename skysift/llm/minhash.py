@@ -103,8 +103,8 @@ def _set_batches(words: int):
 
 
 def _high(values: Column) -> Column:
-    """The upper halves of retained values: enough to compare sketches."""
-    return F.transform(values, lambda v: F.shiftright(v, 32).cast("int"))
+    """The upper halves of retained values, in the same order: enough to compare sketches."""
+    return F.transform(values, lambda v: (F.shiftrightunsigned(v, 32) - F.lit(1 << 31)).cast("int"))
 
 
 def _needed(n: Column) -> Column:
