@@ -13,6 +13,16 @@ from skysift.llm.common import written
 from skysift.llm.queries import table, vocabulary
 
 
+#: Up to so many ids (some ten MB) are broadcast; more are joined by shuffling the documents.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id isn't in the written table ``gone``."""
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality.classify(docs, table(spark, sf_dir, "labels"), host="source", path="lang")
     return judged.filter("kept").select(docs.columns)
@@ -28,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays."""
     groups = written(minhash.near_duplicates(docs, words=5, percent=80))
     gone = groups.filter(~F.col("kept")).select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti")
+    out = without(docs, gone)
     repeated = groups.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not repeated.isEmpty():
         out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -39,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
     gone = written(found.filter(F.size("hits") > 0).select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
