@@ -32,8 +32,9 @@ def words(text: Column) -> Column:
 
 
 def _in(word: str, some: list[str]) -> str:
-    """SQL for membership in a set of words; words hold no quote or backslash."""
-    return f"{word} IN ({', '.join(repr(w) for w in some)})" if some else "false"
+    """SQL for membership in a set of words. WORD admits no quote, backslash, $ or brace, so words stand in SQL as they are."""
+    quoted = ", ".join(f"'{w}'" for w in some)
+    return f"{word} IN ({quoted})" if some else "false"
 
 
 def item_windows(benchmark: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> DataFrame:

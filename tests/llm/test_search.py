@@ -95,3 +95,20 @@ def test_decontamination_of_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.report(docs, none).first().n_hit == 0
     assert decontaminate.report(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id int, text string")).count() == 0
+
+
+def test_words_that_python_would_escape(spark):
+    import duckdb
+    import pandas as pd
+
+    from skysift.llm.queries import ORACLE_SQL
+
+    odd = ["5\u00a0km", "soft\u00adhyphen", "next\u0085line", "c1\u009f", "zero\u200bwidth", "\ufeffmark", "\U000e0001tag", "\ue000private", "\uffff"]
+    items = [(i, f"one two {w} four five six seven eight nine ten eleven") for i, w in enumerate(odd)] + [(50, "plain words only"), (51, odd[0])]
+    docs = [(i, f"here {text} there") for i, text in items] + [(60, "one two four five six seven eight nine ten eleven"), (61, "5 km")]
+    got = sorted(tuple(r) for r in decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 10).collect())
+    assert got == brute(docs, items, 10) and sum(r[5] for r in got) == len(items)
+    with duckdb.connect() as con:
+        con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+        con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+        assert got == sorted(con.execute(ORACLE_SQL["op6_decontamination"]).fetchall())
