@@ -5,9 +5,10 @@ positive, tags and words of menus, adverts and the like negative; a linear scan
 of the greatest sum, whole blocks being kept together. The weights come from labelled pages: every page whose
 author marked the article with <article> counts, for each tag and kind of word, how often it stands inside
 and outside; grouped aggregation over the whole table adds the counts up, and their log-odds are the weights.
-Pages without such a mark are then judged by these weights; on marked pages, words outside the mark count as
-words of a menu. Parts inside the region that are menus, adverts, forms, notices, comments, scripts and so on
-are left out, by their elements or the words in their class, id or role.
+All pages, marked or not, are then judged by these weights alone: an <article> is a label when the weights are
+fitted, and one more tag when a page is extracted. Parts inside the region that are menus, adverts, forms,
+notices, comments, scripts and so on are left out, by their elements or the words in their class, id or role;
+their words count as such a part's, and their tags don't count again.
 
 Defined results: null or empty html, and pages without content words, give an empty text. Unclosed elements
 end with the block that cannot hold them or with the page; an unclosed comment, script or style hides the
@@ -68,7 +69,7 @@ def _aside(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def parts(page: str) -> list[tuple]:
-    """The page as ("tag", name, inside) and ("text", raw text, kind, inside), kind being word or aside.
+    """The page as ("tag", name, inside, aside) and ("text", raw text, kind, inside), kind being word or aside.
 
     inside tells whether an <article> (or else <main>) is open.
     """
@@ -90,12 +91,12 @@ def parts(page: str) -> list[tuple]:
         at = m.end()
         name = (m[3] or "").lower()
         if m[1]:
-            out.append(("tag", "other", articles > 0))
+            out.append(("tag", "other", articles > 0, aside > 0))
         if not name:
             continue
         if m[2]:
             if name in BLOCKS or name in FEATURES:
-                out.append(("tag", name, articles > 0))
+                out.append(("tag", name, articles > 0, aside > 0))
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             # an inline end tag doesn't close blocks, nor a block that stands outside of an aside one
             if depth is not None and (name in BLOCKS or all(s[0] not in BLOCKS for s in stack[depth:])):
@@ -118,14 +119,14 @@ def parts(page: str) -> list[tuple]:
             stack.append((name, a, name == "article" and not a))
             aside += a
             articles += stack[-1][2]
-        out.append(("tag", name if name in FEATURES else "other", articles > 0))
+        out.append(("tag", name if name in FEATURES else "other", articles > 0, aside > 0))
     if at < len(page):
         out.append(("text", page[at:], "aside" if aside else "word", articles > 0))
     return out
 
 
 def blocks(page: str) -> tuple[list[tuple], bool]:
-    """("block", text, words, kind, inside) and ("tag", name, inside) in page order; whether an article is marked."""
+    """("block", text, words, kind, inside) and ("tag", name, inside, aside) in page order; whether an article is marked."""
     out: list[tuple] = []
     held: list[str] = []
     state = ("word", False)
@@ -198,22 +199,19 @@ def to_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
 
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The blocks of the best region that aren't asides, one on each line."""
-    seq, marked = blocks(page or "")
+    seq, _ = blocks(page or "")
     total, start, best, region = 0.0, 0, 0.0, (0, 0)
     for i, x in enumerate(seq):
         if x[0] == "tag":
-            score = weight.get(x[1], -0.5) if not marked or not x[2] else -0.001
+            score = 0.0 if x[3] else weight.get(x[1], -0.5)
         else:
-            aside = x[3] == "aside"
-            score = x[2] * (weight["words:aside"] if aside or marked and not x[4] else weight["words:word"])
-            if marked and x[4] and aside:
-                score = -0.001
+            score = x[2] * weight[f"words:{x[3]}"]
         if total <= 0:
             total, start = 0.0, i
         total += score
         if total > best:
             best, region = total, (start, i + 1)
-    return "\n".join(x[1] for x in seq[slice(*region)] if x[0] == "block" and x[3] == "word" and (x[4] or not marked))
+    return "\n".join(x[1] for x in seq[slice(*region)] if x[0] == "block" and x[3] == "word")
 
 
 def extract(pages: DataFrame, weight: dict[str, float], column: str = "html", text: str = "text") -> DataFrame:

@@ -37,3 +37,9 @@ def test_over_a_table(spark):
     got = {r.page_id: r.text for r in H.extract(pages, weight).collect()}
     assert got[30] == got[31] == "" and all(got[i] == WANT for i in (*range(20), 32))
     assert H.extract(pages.limit(0), H.weights(pages.limit(0))).count() == 0
+
+
+def test_main_text_outside_of_the_mark():
+    for card in ("<article><p>Read on</p></article>", '<article class="card"><a href="/x">Other story</a></article>'):
+        got = H.main_text(AROUND[0] + card + "<ul>" + '<li><a href="/b">more</a></li>' * 9 + "</ul><div>" + BODY + "</div>" + AROUND[1], WEIGHT)
+        assert got == WANT
