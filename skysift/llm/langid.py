@@ -4,8 +4,9 @@ For each language, a suffix automaton of a sample of labelled text knows all its
 into phrases, each the longest match that the automaton yields from there; the language that needs the fewest
 phrases for each character wins. Texts are lower-cased, other characters than letters become one blank.
 
-Training reads at most ``sample_chars`` characters of each language (a documented bound: the documents that
-come first by a hash of their text, cut where the bound is reached). Every worker builds the automata from
+Training reads at most ``sample_chars`` characters of each language (a documented bound: the distinct texts,
+each cut to the bound, that come first by their hash, until the bound is reached; a language with any text
+is never empty). Every worker builds the automata from
 this small broadcast sample. Automata are kept as dense tables and all languages share one array, so that numpy
 walks through many texts and languages at once; texts are walked whole, in blocks of BLOCK characters
 (a phrase ends with its block).
@@ -36,14 +37,19 @@ UNKNOWN = "und"
 def sample(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, lang: str = "lang", text: str = "text") -> list[tuple[str, str]]:
     """(lang, text) with at most sample_chars characters each, for all languages that occur."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    # a threshold on the hash keeps somewhat more than the bound of each language, before anything is sorted
-    mean = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    mean = written(mean)
-    few = F.broadcast(mean) if mean.count() <= MAX_BROADCAST else mean  # one small row for each language
-    first = rows.withColumn("h", h).join(few, "lang").filter(F.col("h") * F.col("chars") <= 4.0 * sample_chars + 0.0)
+    # classes of hashes, each twice as wide as the one before; a language reads the first that together fill its
+    # bound, counted over distinct texts (copies share a hash), and all of them if its texts are fewer
+    rows = rows.withColumn("text", F.substring("text", 1, sample_chars))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40))).withColumn("class", F.length(F.bin("h")))
+    distinct = rows.groupBy("lang", "class", "h").agg(F.min(F.length("text")).alias("chars"))
+    classes = distinct.groupBy("lang", "class").agg(F.sum("chars").alias("chars"))
+    lower = Window.partitionBy("lang").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    read = classes.withColumn("before", F.coalesce(F.sum("chars").over(lower), F.lit(0))).filter(F.col("before") < sample_chars)
+    read = written(read.groupBy("lang").agg(F.max("class").alias("last")))
+    few = F.broadcast(read) if read.count() <= MAX_BROADCAST else read  # one small row for each language
+    first = rows.join(few, "lang").filter(F.col("class") <= F.col("last"))
     some = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.select("lang", "h", F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["lang", "text"])
+    first = first.select("lang", "h", "text").dropDuplicates(["lang", "text"])
     first = first.withColumn("before", F.coalesce(F.sum(F.length("text")).over(some), F.lit(0))).filter(F.col("before") < sample_chars)
     texts: dict[str, str] = {}
     for r in first.orderBy("lang", "before", "text").collect():

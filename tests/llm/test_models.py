@@ -54,6 +54,18 @@ def test_language_of_held_out_documents(spark):
     assert langid.predict(docs.limit(0), learned).count() == 0
 
 
+def test_sample_leaves_no_language_out(spark):
+    rng = random.Random(5)
+    rows = [(f"long{k}", "".join(rng.choices("abcdefgh", k=2500)) + str(k)) for k in range(8)]  # one long text each
+    rows += [(f"three{k}", f"{i} " + "".join(rng.choices("abcdefgh", k=800))) for k in range(8) for i in range(3)]
+    rows += [("copies", "same text") for _ in range(2000)] + [("copies", f"rare {i} text") for i in range(4)]
+    rows += [("many", f"short text {i}") for i in range(3000)]
+    got = dict(langid.sample(spark.createDataFrame(rows, "lang string, text string"), 100))
+    assert set(got) == {k for k, _ in rows}
+    assert all(len(t) >= 100 for k, t in got.items() if k != "copies")
+    assert all(t in got["copies"] for t in ("same text", *(f"rare {i} text" for i in range(4))))
+
+
 def test_table_is_the_network():
     params = [p + 0.1 for p in masked_lm.initial(3)]
     table = masked_lm.score_table(params)
