@@ -30,13 +30,21 @@ def velocity(w: Column, lines: list[float]) -> Column:
     return (w - near["line"]) / near["line"] * LIGHT_KMS
 
 
+#: Width of the cells in which excluded windows are merged, in Angstrom.
+CELL = 10.0
+
+
 def excluded_bandwidth(lines: DataFrame, kms: float, low: float = 3600.0, high: float = 9800.0) -> DataFrame:
     """(excluded, fraction): length of the union of the windows around lines, clipped to the band."""
     half = c("line") * (kms / LIGHT_KMS)
-    spans = lines.select(F.greatest(c("line") - half, F.lit(low)).alias("lo"), F.least(c("line") + half, F.lit(high)).alias("hi")).filter("lo < hi")
-    order = Window.orderBy("lo", "hi")  # a line list is short by nature
+    spans = lines.select(F.greatest(c("line") - half, F.lit(low)).alias("lo"), F.least(c("line") + half, F.lit(high)).alias("hi")).filter("lo < hi").distinct()
+    # windows are cut at the edges of cells, and each cell's union is measured apart
+    cell = lambda x: F.floor(x / CELL).cast("bigint")
+    spans = spans.withColumn("_cell", F.explode(F.sequence(cell(c("lo")), cell(c("hi")))))
+    spans = spans.select("_cell", F.greatest("lo", c("_cell") * CELL).alias("lo"), F.least("hi", (c("_cell") + 1) * CELL).alias("hi")).filter("lo < hi")
+    order = Window.partitionBy("_cell").orderBy("lo", "hi")
     new = F.coalesce(c("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    isles = spans.withColumn("_new", new.cast("int")).withColumn("_isle", F.sum("_new").over(order)).groupBy("_isle").agg((F.max("hi") - F.min("lo")).alias("len"))
+    isles = spans.withColumn("_new", new.cast("int")).withColumn("_isle", F.sum("_new").over(order)).groupBy("_cell", "_isle").agg((F.max("hi") - F.min("lo")).alias("len"))
     return isles.agg(F.sum("len").alias("excluded")).select("excluded", (c("excluded") / (high - low)).alias("fraction"))
 
 

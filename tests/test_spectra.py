@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -65,3 +67,18 @@ def test_duplicates_and_recurrence(spark):
     got = {(r.spec_id, r.line_no): r.verdict for r in triage.triage(df, [6000.0]).collect()}
     assert got == {(0, 0): "recurrent", (1, 0): "recurrent", (2, 0): "recurrent", (9, 0): "survives", (9, 1): "duplicate", (8, 0): "survives"}
     assert triage.recurrent_bins(df).filter(F.col("spec_id") < 3).count() == 0
+
+
+def test_excluded_bandwidth_by_cells(spark):
+    rng = random.Random(7)
+    lines = [rng.uniform(3500, 9900) for _ in range(150)] + [3600.0, 4000.0, 4000.0, 4001.0, 9800.0, 5009.999, 5010.0]
+    df = triage.excluded_bandwidth(spark.createDataFrame([(x,) for x in lines], "line double"), 300.0)
+    total, end = 0.0, 0.0
+    for lo, hi in sorted((max(x - x * 300 / triage.LIGHT_KMS, 3600), min(x + x * 300 / triage.LIGHT_KMS, 9800)) for x in lines):
+        if lo < hi:
+            total += max(0.0, hi - max(lo, end))
+            end = max(end, hi)
+    got = df.first()
+    assert abs(got.excluded - total) < 1e-6 and abs(got.fraction - total / 6200) < 1e-9
+    # no task sorts the whole list
+    assert "windowspecdefinition(_cell" in df._jdf.queryExecution().optimizedPlan().toString() and "windowspecdefinition(lo" not in df._jdf.queryExecution().optimizedPlan().toString()
