@@ -2,8 +2,9 @@
 
 The two vocabularies used here never let a token cross the start of a blank that a visible character
 follows, so a text may be cut there and its pieces encoded apart. Pieces recur, so each worker encodes a
-piece once and remembers its bytes (at most CACHE_PIECES of them). A text that holds white space or format
-characters for which this does not hold is encoded whole.
+piece once and remembers its bytes (at most CACHE_PIECES of them, the older half being dropped when they are
+full). A text that holds white space or format characters for which this does not hold, or the string of a
+special token, is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
+#: Remembered pieces of one worker process.
 CACHE_PIECES = 1_000_000
 #: Control, format and unusual white-space characters: such texts are encoded whole.
 UNUSUAL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\ufe0f\ufeff]")
@@ -21,21 +22,28 @@ BATCH_CHARS, ROW_PIECES = 8_000_000, 50
 
 
 class PieceEncoder:
-    """encode(texts) gives each text's ids as bytes; null counts as empty."""
+    """encode(texts) gives each text's ids as bytes; null counts as empty.
 
-    def __init__(self, path: str):
+    The string of a special token in a text becomes that token, as the library does by default; with
+    ``special_as_text`` it is ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
         from tokenizers.processors import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        names = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names))) if names else None
         #: Whether a blank belongs to the token after it; else blanks leave no token.
         self.blanks = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
         if self.blanks:
             self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # offsets then hold the blank, ids stay the same
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,24 +65,45 @@ class PieceEncoder:
         return out
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], first: bool) -> None:
-        if len(known) > CACHE_PIECES:
-            known.clear()
         missing = [p for p in pieces if p not in known]
         for i in range(0, len(missing), 50_000):
             some = missing[i : i + 50_000]
             known.update(zip(some, self._ids(some) if first else self._row_ids(some)))
 
+    def _make_room(self) -> None:
+        if len(self.first) > CACHE_PIECES // 4:
+            self.first.clear()
+        if len(self.later) > CACHE_PIECES // 2:
+            self.older, self.later = self.later, {}
+
+    def _whole(self, t: str) -> bool:
+        odd = UNUSUAL_ASCII.search(t) if t.isascii() else UNUSUAL.search(t)
+        return bool(odd or "  " in t or " \n" in t or self.special and self.special.search(t))
+
     def _encode(self, texts: list[str]) -> list[bytes]:
+        self._make_room()
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not t.isascii() and UNUSUAL.search(t) or UNUSUAL_ASCII.search(t) or "  " in t or " \n" in t]
-        for i in whole:
-            out[i] = self._ids([texts[i]])[0]
-        cut = {i: texts[i].split(" ") for i in set(range(len(texts))).difference(whole)}
-        self._learn(self.first, {p[0] for p in cut.values()}, True)
-        self._learn(self.later, set(chain.from_iterable(p[1:] for p in cut.values())), False)
-        later = self.later.__getitem__
-        for i, pieces in cut.items():
-            out[i] = self.first[pieces[0]] + b"".join(map(later, pieces[1:]))
+        cut: list[tuple[int, list[str], list[bytes | None]]] = []  # texts with a piece that isn't known yet
+        later, first, missing, begins = self.later, self.first, set(), set()
+        for i, t in enumerate(texts):
+            if self._whole(t):
+                out[i] = self._ids([t])[0]
+                continue
+            pieces = t.split(" ")
+            ids = [first.get(pieces[0]), *map(later.get, pieces[1:])]
+            try:
+                out[i] = b"".join(ids)
+            except TypeError:
+                cut.append((i, pieces, ids))
+                begins.add(pieces[0])
+                missing.update(p for p, x in zip(pieces[1:], ids[1:]) if x is None)
+        for p in missing if self.older else ():
+            if p in self.older:
+                later[p] = self.older[p]
+        self._learn(first, begins, True)
+        self._learn(later, missing, False)
+        for i, pieces, ids in cut:
+            out[i] = b"".join([first[pieces[0]], *(later[p] if x is None else x for p, x in zip(pieces[1:], ids[1:]))])
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -88,11 +117,12 @@ class PieceEncoder:
         return out + self._encode(some)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """One encoder for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    key = path, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(*key)
+    return _ENCODERS[key]

@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.orc
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skysift.llm import packing, token_store
+from skysift.llm import packing, token_store, tokens
 from skysift.llm.tokens import encoder
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -18,30 +21,76 @@ TEXTS = ["", None, " a", "a ", "a  b", "a   b\n\n c", "a \n b", "\n a\n", "x\t y
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_pieces_give_the_whole_texts_ids(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(2)
     texts = TEXTS + ["".join(rng.choice("ab é\n.,'1 ") for _ in range(200)) for _ in range(200)]
-    got = encoder(path).encode(texts)
-    for text, ids in zip(texts, got):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+    for special_as_text in (False, True):
+        t.encode_special_tokens = special_as_text
+        got = encoder(path, special_as_text).encode(texts)
+        for text, ids in zip(texts, got):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_remembered_pieces_are_dropped(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 8)
+    t, some = Tokenizer.from_file(BYTE), tokens.PieceEncoder(BYTE)
+    for n in range(30):
+        text = " ".join(f"w{i}" for i in range(n, n + 6)) + " w3"
+        assert np.frombuffer(some.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(some.later) + len(some.older) < 24
 
 
 def test_orc_round_trip(spark, tmp_path):
-    rows = [(i * 7 % 50, TEXTS[i % len(TEXTS)], "extra") for i in range(60)]
+    rows = [(i * 7 % 50, TEXTS[i % len(TEXTS)], "extra", i) for i in range(60)] + [(3, "a " * n, "x", 0) for n in range(12, 2, -1)] + [(None, "no id", "x", 0), (None, None, "x", 0), (9, "long " * 60_000, "x", 0)]
     path = str(tmp_path / "store")
-    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, ids string"), path, BYTE, 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, row int").repartition(5, "doc_id")
+    token_store.write_tokens(docs, path, BYTE, 0)
     t = Tokenizer.from_file(BYTE)
-    t.encode_special_tokens = True
-    want = sorted((d, t.encode(x or "", add_special_tokens=False).ids + [0]) for d, x, _ in rows)
-    assert sorted((r.doc_id, r.ids) for r in token_store.read_tokens(spark, path).collect()) == want
-    index = sorted(token_store.token_index(spark, path).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in index] == sorted(r.doc_id for r in index)
-    at = 0
-    for r in index:
-        assert r.start == at
-        at += r.n_tokens
-    assert sorted((r.doc_id, r.ids_crc32) for r in index) == sorted((d, zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in want)
-    assert token_store.read_tokens(spark, path).filter("doc_id = 14").count() == sum(d == 14 for d, _ in want)
+    want = Counter((d, *t.encode(x or "", add_special_tokens=False).ids, 0) for d, x, _, _ in rows)
+    stored = token_store.read_tokens(spark, path).withColumn("file", F.col("_metadata.file_path")).collect()
+    assert Counter((r.doc_id, *r.ids) for r in stored) == want
+    # the files' own order: rows as they stand in each file, files by their first row
+    files = {}
+    for r in stored:
+        files.setdefault(r.file, []).append(((r.doc_id is not None, r.doc_id or 0, r.row), r.doc_id, r.ids))
+    at, whole = 0, Counter()
+    for f in sorted(files, key=lambda f: min(files[f])[0]):
+        inside = pyarrow.orc.ORCFile(f.removeprefix("file:").replace("//", "/")).read().to_pylist()
+        assert [(r["doc_id"], r["row"]) for r in inside] == [(d, k[2]) for k, d, _ in sorted(files[f])]
+        for r in inside:
+            whole[r["doc_id"], at, len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())] += 1
+            at += len(r["ids"])
+    assert Counter(tuple(r) for r in token_store.token_index(spark, path).collect()) == whole
+    starts = sorted((k[1], k[0] if k[0] is not None else -1) for k in whole)
+    assert [d for _, d in starts] == sorted(d for _, d in starts)
+
+
+def test_stripes_and_row_groups_are_skipped(spark, tmp_path):
+    path = str(tmp_path / "store")
+    docs = spark.createDataFrame([(2 * i, f"text {i} " * 20) for i in range(4000)], "doc_id long, text string").repartition(4)
+    token_store.write_tokens(docs, path, BYTE, 0, stripe_bytes=1 << 16, index_rows=1000)
+
+    def read(condition):
+        df = token_store.read_tokens(spark, path).filter(condition)
+        found = len(df.collect())
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return found, scan.metrics().apply("numOutputRows").value()
+
+    assert read("row >= 0") == (4000, 4000)
+    found, scanned = read("doc_id = 1002")  # in one file's statistics only, and there in one stripe
+    assert found == 1 and scanned <= 1500
+    found, scanned = read("doc_id = 1003")  # inside the statistics, in no Bloom filter
+    assert found == 0 and scanned == 0
+
+
+def test_hot_ids_are_dealt_over_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "RANGE_BYTES", 2000)
+    path = str(tmp_path / "store")
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(2000)], "doc_id long, text string").repartition(4)
+    token_store.write_tokens(docs, path, BYTE, 0)
+    files = token_store.read_tokens(spark, path).groupBy(F.col("_metadata.file_path")).count().collect()
+    assert len(files) > 4 and max(r["count"] for r in files) < 1000
+    starts = [(r.start, r.n_tokens) for r in token_store.token_index(spark, path).orderBy("start").collect()]
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and len(starts) == 2000
 
 
 def test_empty_store(spark, tmp_path):
