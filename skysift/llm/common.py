@@ -32,15 +32,28 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests) under a local one."""
+    """A new folder under ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process (tests) under a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="skysift-"))
         root = _LOCAL[0]
     return f"{root.rstrip('/')}/skysift-{uuid.uuid4().hex}"
 
 
+def with_row(df: DataFrame, taken: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, and the number's column: a name that no other column has.
+
+    The numbers are written once, so that all later passes see the same ones.
+    """
+    name, used = "row", {x.lower() for x in (*df.columns, *taken)}
+    while name in used:
+        name = "_" + name
+    return written(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def written(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession

@@ -3,20 +3,23 @@
 Documents over the length are cut into full pieces, which are sequences by themselves. All other pieces are
 dealt by a hash into groups of about GROUP_PIECES, each packed in one task: best-fit decreasing first, then
 local search over the bins that are not full. It moves a piece, exchanges one piece for another, or two for
-one, whenever that increases the sum of squared fills, so that fill gathers in some bins while others run
-empty and are dropped. Bins that stay underfull in their group are opened again, and their pieces are packed
+one (either way), whenever the fuller of two bins gains by it, which increases the sum of squared fills, so
+that fill gathers in some bins while others run empty and are dropped; it ends when no such step is left
+between any two bins. Bins that stay underfull in their group are opened again, and their pieces are packed
 together with those of other groups in a second round, so that small leftovers meet; the number of pieces
 per task stays bounded however large the table is.
 
 Defined results: a null text is an empty document and holds only the end id. Repeated rows are packed apart.
-An empty table gives no sequences.
+Ties between pieces of equal length go to the smaller doc_id, and an empty table gives no sequences. Other
+columns of the table, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
-import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,6 @@ from skysift.llm.tokens import encoder
 GROUP_PIECES = 20_000
 #: Bins at least so full are left alone by the second round.
 FULL_ENOUGH = 0.98
-#: Local search looks at so many underfull bins at a time and makes so many passes over them.
-SEARCH_BINS, SEARCH_PASSES = 400, 6
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long, full long"
 
@@ -60,62 +61,109 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _improve(a: list[int], b: list[int], size: list[int], capacity: int) -> bool:
-    """One step between two bins that increases the sum of their squared fills, if there is one."""
-    fill_a, fill_b = sum(size[i] for i in a), sum(size[i] for i in b)
-    if fill_a < fill_b:
-        a, b, fill_a, fill_b = b, a, fill_b, fill_a
-    room = capacity - fill_a
-    if room <= 0 or not b:
-        return False
-    # a, the fuller bin, should gain as much as fits: the squared fills then grow most
-    best, step = 0, None
-    for j in b:
-        if best < size[j] <= room:
-            best, step = size[j], ([], [j])
-    for i in a:
-        for j in b:
-            if best < size[j] - size[i] <= room:
-                best, step = size[j] - size[i], ([i], [j])
-    if best < room and len(b) > 1:
-        for i in [None, *a]:
-            out = 0 if i is None else size[i]
-            want = {}
-            for j in b:
-                for k, at in want.items():
-                    gain = size[j] + k - out
-                    if best < gain <= room:
-                        best, step = gain, ([] if i is None else [i], [at, j])
-                want.setdefault(size[j], j)
-    if not step:
-        return False
-    for i in step[0]:
-        a.remove(i)
-        b.append(i)
-    for j in step[1]:
-        b.remove(j)
-        a.append(j)
-    return True
-
-
-def local_search(bins: list[list[int]], size: list[int], capacity: int, seed: int = 1) -> list[list[int]]:
-    """Exchange or move items between underfull bins until no step helps or the passes are over."""
+class _Bins:
+    """Underfull bins with an index of what each of them could give: its items by size, and its pairs by sum.
+
+    The sizes and sums that occur are bits of an integer, so that the largest one in a range is found at once.
+    """
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.holders: tuple[dict[int, set[int]], dict[int, set[int]]] = ({}, {})
+        self.bits = [0, 0]
+
+    def _gifts(self, b: int) -> tuple[set[int], set[int]]:
+        count = Counter(self.size[i] for i in self.bins[b])
+        sizes = sorted(count)
+        pairs = {x + y for k, x in enumerate(sizes) for y in sizes[k + 1 :] if x + y <= self.capacity}
+        return set(sizes), pairs | {2 * x for x, n in count.items() if n > 1 and 2 * x <= self.capacity}
+
+    def offer(self, b: int) -> None:
+        for kind, some in enumerate(self._gifts(b)):
+            for s in some:
+                self.holders[kind].setdefault(s, set()).add(b)
+                self.bits[kind] |= 1 << s
+
+    def withdraw(self, b: int) -> None:
+        for kind, some in enumerate(self._gifts(b)):
+            for s in some:
+                self.holders[kind][s].discard(b)
+                if not self.holders[kind][s]:
+                    self.bits[kind] &= ~(1 << s)
+
+    def _largest(self, kind: int, low: int, high: int) -> int:
+        """The largest size or sum on offer in (low, high], or 0."""
+        found = self.bits[kind] & ((1 << (high + 1)) - 1)
+        top = found.bit_length() - 1
+        return top if top > low else 0
+
+    def step(self, a: int) -> int | None:
+        """Move or exchange one item for one, two for one or one for two, so that bin a gains as much as it can from a bin that is on offer. Returns that bin."""
+        room = self.capacity - self.fill[a]
+        if room <= 0:
+            return None
+        given, pairs = self._gifts(a)
+        best, plan = 0, None
+        for kind in (0, 1):
+            for out_kind, outs in ((0, {0} | given), (1, pairs if kind == 0 else ())):
+                for out in outs:
+                    got = self._largest(kind, out + best, min(out + room, self.capacity))
+                    if got:
+                        best, plan = got - out, (kind, got, out_kind, out)
+        if plan is None:
+            return None
+        kind, got, out_kind, out = plan
+        b = min(self.holders[kind][got])
+        self.withdraw(b)
+        taken, left = self._pick(b, kind, got), self._pick(a, out_kind, out) if out else []
+        self.bins[b] = [i for i in self.bins[b] if i not in taken] + left
+        self.bins[a] = [i for i in self.bins[a] if i not in left] + taken
+        self.fill[a] += best
+        self.fill[b] -= best
+        return b
+
+    def _pick(self, b: int, kind: int, total: int) -> list[int]:
+        """Items of a bin with that size or sum."""
+        if kind == 0:
+            return [next(i for i in self.bins[b] if self.size[i] == total)]
+        seen: dict[int, int] = {}
+        for i in self.bins[b]:
+            if total - self.size[i] in seen:
+                return [seen[total - self.size[i]], i]
+            seen.setdefault(self.size[i], i)
+        raise AssertionError("no such pair")
+
+
+def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[list[int]]:
+    """Move and exchange items between underfull bins until no step helps.
+
+    In each pass the fullest bin that is left takes its turn and gains from the less full ones as long as it
+    can, which always increases the sum of squared fills. Passes go on until one of them finds no step; as the
+    sum is a bounded integer that every step increases, the search ends.
+    """
     full = [b for b in bins if sum(size[i] for i in b) == capacity]
-    under = [b for b in bins if sum(size[i] for i in b) < capacity]
-    under.sort(key=lambda b: sum(size[i] for i in b))
-    rng = random.Random(seed)
-    for at in range(0, len(under), SEARCH_BINS):
-        block = under[at : at + SEARCH_BINS]
-        for _ in range(SEARCH_PASSES):
-            changed = False
-            block = [b for b in block if b]
-            rng.shuffle(block)
-            for a, b in zip(block, block[1:]):
-                while a and b and sum(size[i] for i in a) < capacity and sum(size[i] for i in b) < capacity and _improve(a, b, size, capacity):
-                    changed = True
-            if not changed:
-                break
-    return full + [b for b in under if b]
+    left = [list(b) for b in bins if b and sum(size[i] for i in b) < capacity]
+    changed = True
+    while changed:
+        changed = False
+        under = _Bins(left, size, capacity)
+        for b in range(len(left)):
+            under.offer(b)
+        turns = [(-f, b) for b, f in enumerate(under.fill)]
+        heapify(turns)
+        while turns:
+            fill, a = heappop(turns)
+            if -fill != under.fill[a] or not under.bins[a]:  # it has given something since: it stands further back
+                continue
+            under.withdraw(a)
+            while (b := under.step(a)) is not None:
+                changed = True
+                if under.bins[b]:
+                    under.offer(b)
+                    heappush(turns, (-under.fill[b], b))
+        left = [b for b in under.bins if b]
+    return full + left
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -123,10 +171,10 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
-def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Pieces of every document: (doc_id, copy, piece, start, length, ids_crc32, full).
 
-    copy tells repeated rows apart; full numbers the pieces of full length, below zero, and is NULL for others.
+    copy tells repeated rows apart (a column of row numbers, if one is named); full numbers the pieces of full length, below zero, and is NULL for others.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -149,7 +197,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: st
                 yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     let_workers_import(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("copy")).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.monotonically_increasing_id() if row is None else F.col(row).cast("long")).alias("copy")).mapInArrow(run, PIECES)
 
 
 def _pack_groups(pieces: DataFrame, n_groups: int, capacity: int, seed: int) -> DataFrame:
@@ -193,15 +241,18 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIEC
     return full.union(packed).drop("full")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Tokenize, cut and pack whole documents; one row for each piece."""
-    return pack_pieces(written(cut(docs, vocabulary, end_id, capacity, doc_id, text)), capacity)
+    return pack_pieces(written(cut(docs, vocabulary, end_id, capacity, doc_id, text, row)), capacity)
+
 
+def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int, row: str = "copy", text: str = "text") -> DataFrame:
+    """The packed sequences with their ids: (sequence_id, ids), pieces in offset order.
 
-def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """The packed sequences with their ids: (sequence_id, ids), pieces in offset order."""
+    ``row`` numbers the rows of ``docs`` and is the copy column of ``placed``: see pack_documents().
+    """
     from skysift.llm.token_store import tokenize
 
-    ids = tokenize(docs, vocabulary, end_id).join(placed.select("doc_id", "start", "length", "sequence_id", "offset"), "doc_id")
+    ids = tokenize(docs, vocabulary, end_id, row, text).select(F.col("doc_id").alias("copy"), "ids").join(placed.select("copy", "start", "length", "sequence_id", "offset"), "copy")
     piece = ids.select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids"))
     return piece.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x.ids)).alias("ids"))

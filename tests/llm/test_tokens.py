@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter
+from itertools import combinations, permutations
 
 import numpy as np
 import public_tokenizers
@@ -113,16 +114,72 @@ def test_search_empties_bins():
     # first bins as a bad start: 6+6 would waste, 6+4 and 6+4 fit
     sizes = [6, 6, 4, 4]
     assert len(packing.local_search([[0], [1], [2], [3]], sizes, 10)) == 2
+    # best fit wastes a bin on each of these, the search none
+    rng = random.Random(6)
+    sizes = []
+    for _ in range(300):
+        a = rng.randint(1100, 1600)
+        b = rng.randint(1050, 4096 - a - 1000)
+        sizes += [a, b, 4096 - a - b]
+    first = packing.best_fit(sizes, 4096)
+    assert len(packing.local_search(first, sizes, 4096)) < len(first) - 10
+
+
+def test_search_ends_where_no_step_helps():
+    rng = random.Random(5)
+    for capacity in (12, 40):
+        sizes = [rng.randint(1, capacity - 1) for _ in range(60)]
+        bins = packing.local_search([[i] for i in range(60)], sizes, capacity)
+        for a, b in permutations(bins, 2):
+            fill_a, fill_b = (sum(sizes[i] for i in x) for x in (a, b))
+            if fill_a < fill_b:
+                continue
+            some = lambda x, n: [sum(sizes[i] for i in c) for c in combinations(x, n)]
+            steps = [(got, out) for m, n in ((1, 0), (1, 1), (2, 0), (2, 1), (1, 2)) for got in some(b, m) for out in some(a, n)]
+            assert not any(0 < got - out <= capacity - fill_a for got, out in steps)
+
+
+def test_few_items_are_packed_as_well_as_can_be():
+    def least(sizes, capacity):
+        best = [len(sizes)]
+
+        def place(i, fills):
+            if len(fills) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(fills)
+                return
+            for k in range(len(fills)):
+                if fills[k] + sizes[i] <= capacity:
+                    place(i + 1, [*fills[:k], fills[k] + sizes[i], *fills[k + 1 :]])
+            place(i + 1, [*fills, sizes[i]])
+
+        place(0, [])
+        return best[0]
+
+    rng = random.Random(7)
+    lost = 0
+    for _ in range(40):
+        sizes = [rng.randint(3, 14) for _ in range(8)]
+        lost += len(packing.pack(sizes, 20)) - least(sizes, 20)
+    assert lost <= 1
 
 
 def test_packing_is_complete_and_gapless(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_PIECES", 40)
     rng = random.Random(3)
     rows = [(i, " ".join("w%d" % rng.randint(0, 9) for _ in range(rng.randint(0, 90)))) for i in range(150)] + [(7, None), (8, ""), (9, "same text"), (9, "same text")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    pieces = packing.written(packing.cut(docs, WORD, 1, 64))
-    got = packing.pack_pieces(pieces, 64, group_pieces=40).collect()
+    rows += [(None, "no id"), (None, "no id"), (10, "long " * 5000)]
+    docs = spark.createDataFrame([(*r, "clash", n) for n, r in enumerate(rows)], "doc_id long, text string, length string, n long")
+    placed = packing.written(packing.pack_pieces(packing.written(packing.cut(docs, WORD, 1, 64, row="n")), 64, group_pieces=40))
+    got = placed.collect()
     t = Tokenizer.from_file(WORD)
+    whole = [t.encode(x or "", add_special_tokens=False).ids + [1] for _, x in rows]
+    packed = {r.sequence_id: r.ids for r in packing.sequences(docs, placed, WORD, 1, "n").collect()}
+    for r in got:
+        ids = whole[r.copy][r.start : r.start + r.length]
+        assert r.doc_id == rows[r.copy][0] and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and packed[r.sequence_id][r.offset : r.offset + r.length] == ids
+    assert sorted((r.copy, r.piece) for r in got) == [(n, p) for n, ids in enumerate(whole) for p in range(-(-len(ids) // 64))]
     assert sum(r.length for r in got) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows)
     bins = {}
     for r in got:
