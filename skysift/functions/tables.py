@@ -12,9 +12,11 @@ _LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) under a local one."""
+    """A new folder under spark.checkpoint.dir; only where that is unset and Spark runs in one process (tests) under a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="skysift-"))
         root = _LOCAL[0]
