@@ -12,9 +12,14 @@ values are the most frequent), then only members outside the hub's component are
 others, as far as they aren't connected already. No list or partner is capped and no link between two
 components is lost. Links become groups by components().
 
+The most frequent values (HEAVY_VALUES of them at most, by the choice of their threshold) meet their members by
+broadcast joins, so that a value that very many documents hold isn't one task.
+
 Defined results: a document with fewer words than a shingle is its whole sequence; one without words (null,
-empty) has an empty set and is linked with nothing. Repeated rows are copies. Components are named by their
-least doc_id (nulls count last).
+empty) has an empty set and is linked with nothing. Repeated rows are copies; texts of any length are read
+whole. Components are named by their least doc_id (nulls count last); where no row of a component has an id,
+component_id is null and its first row is the one that is kept. Other columns, whatever their names, are left
+out.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from skysift.llm.components import components
 SKETCH, OVERLAP = 32, 14
 #: Longer lists are handled by hubs.
 LONG_LIST = 48
+#: At most so many values have more than an equal share of all retained values' rows; their tables are broadcast.
+HEAVY_VALUES = 50_000
 CACHE_WORDS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -75,16 +82,17 @@ def _sketch_batches(words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                sets = [shingle_set(t, words) for t in part.column(2).to_pylist()]
+                sets = [shingle_set(t, words) for t in part.column(3).to_pylist()]
                 yield pa.record_batch(
                     [
                         part.column(0),
                         part.column(1),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([s[:SKETCH].view("int64") for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["rid", "doc_id", "n", "print", "sketch"],
+                    names=["rid", "doc_id", "mark", "n", "print", "sketch"],
                 )
 
     return run
@@ -147,40 +155,67 @@ def _with_root(df: DataFrame, roots: DataFrame, node: Column, name: str) -> Data
     return df.join(r, node == F.col("_node"), "left").withColumn(name, F.coalesce("_root", node)).drop("_node", "_root")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
+def row_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id, first), one row for each row of ``docs``.
+
+    rid is the column ``row``, if one is named; first is true for one row of each component, that of the
+    least doc_id (nulls last) and rid.
+    """
     if percent < 80:
         raise ValueError("the sketches are laid out for similarities of 0.8 or more")
     let_workers_import(docs.sparkSession)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = plain.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    rows = written(rows.mapInArrow(_sketch_batches(words), "rid long, doc_id long, n long, print binary, sketch array<long>"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
+    rows = docs.select(number.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    rows = written(rows.mapInArrow(_sketch_batches(words), "rid long, doc_id long, mark long, n long, print binary, sketch array<long>"))
 
     # classes of equal sets; a class is called by its first row
-    least = F.min(F.struct("rid", "doc_id", "n", "sketch"))
-    classes = rows.filter(F.col("print").isNotNull()).groupBy("print").agg(least.alias("c"), F.min("doc_id").alias("least_id"))
-    classes = written(classes.select("print", "least_id", F.col("c.rid").alias("node"), F.col("c.doc_id").alias("doc_id"), F.col("c.n").alias("n"), F.col("c.sketch").alias("sketch")))
+    least = F.min(F.struct("rid", "doc_id", "mark", "n", "sketch"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    classes = rows.filter(F.col("print").isNotNull()).groupBy("print").agg(least.alias("c"), F.min(place).alias("place"))
+    classes = written(classes.select("print", "place", F.col("c.rid").alias("node"), F.col("c.doc_id").alias("doc_id"), F.col("c.mark").alias("mark"), F.col("c.n").alias("n"), F.col("c.sketch").alias("sketch")))
+
+    roots = written(_links(plain, classes, words, percent))  # (node, root)
+    named = _with_root(classes.select("print", "place", "node"), roots, F.col("node"), "root")
+    firsts = named.groupBy("root").agg(F.min("place").alias("place"))
+    of_print = named.select("print", "root").join(firsts, "root").select("print", F.col("place.doc_id").alias("component_id"), F.col("place.rid").alias("first_rid"))
+    out = rows.select("rid", "doc_id", F.col("n").alias("n_shingles"), "print").join(of_print, "print", "left")
+    alone = F.col("first_rid").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("rid", "doc_id", "n_shingles", component.alias("component_id"), (alone | (F.col("rid") == F.col("first_rid"))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
+    groups = row_groups(docs, words, percent, doc_id, text)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("first"))
+    return groups.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _with_counts(values: DataFrame, counts: DataFrame, heavy: int) -> DataFrame:
+    """(node, v) with df of each value; values held by more than ``heavy`` sets stay where they are."""
+    top = counts.filter(F.col("df") > heavy)
+    marked = values.join(F.broadcast(top), "v", "left")
+    return marked.filter("df IS NOT NULL").select("node", "v", "df").union(marked.filter("df IS NULL").select("node", "v").join(counts.filter(F.col("df") <= heavy), "v").select("node", "v", "df"))
 
-    links = written(_links(plain, classes, words, percent))
-    roots = links  # (node, root)
-    named = _with_root(classes.select("print", "least_id", "node"), roots, F.col("node"), "root")
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = named.select("print", "root").join(ids, "root").select("print", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "print").join(of_print, "print", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+def _with_list(rows: DataFrame, lists: DataFrame, heavy: int) -> DataFrame:
+    """Rows with v and df joined with a table of one row for each long list (v, df and others)."""
+    top, rest = lists.filter(F.col("df") > heavy).drop("df"), lists.filter(F.col("df") <= heavy).drop("df")
+    return rows.filter(F.col("df") > heavy).join(F.broadcast(top), "v").unionByName(rows.filter(F.col("df") <= heavy).join(rest, "v"))
 
 
 def _links(plain: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of all classes that are linked with others."""
     # retained values in order of their frequency among sketches; a value of one sketch leads to nobody
     values = classes.select("node", F.explode("sketch").alias("v"))
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = values.join(counts, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    lists = classes.select("node", "doc_id", "print", "n", "sketch").join(shared, "node")
+    heavy = max(LONG_LIST, (classes.agg(F.sum(F.size("sketch"))).first()[0] or 0) // HEAVY_VALUES)
+    counts = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    shared = _with_counts(values, counts, heavy).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    lists = classes.select("node", "doc_id", "mark", "print", "n", "sketch").join(shared, "node")
     length = F.size("sketch") - _needed(F.col("n")) + 1 - (F.size("sketch") - F.size("vs"))
     hub = F.aggregate("vs", F.lit(0.0), lambda s, x: s + F.log2(x.df.cast("double")))
-    lists = written(lists.filter(length > 0).select("doc_id", "print", F.struct("node", hub.alias("hub"), "n", _high(F.col("sketch")).alias("sk")).alias("m"), F.slice("vs", 1, length).alias("vs")))
+    lists = written(lists.filter(length > 0).select("doc_id", "mark", "print", F.struct("node", hub.alias("hub"), "n", _high(F.col("sketch")).alias("sk")).alias("m"), F.slice("vs", 1, length).alias("vs")))
 
     entries = lists.select("m", F.explode("vs").alias("e")).select("m", "e.df", "e.v")
     # short lists: all their pairs
@@ -189,8 +224,8 @@ def _links(plain: DataFrame, classes: DataFrame, words: int, percent: int) -> Da
     short = short.select("x", F.explode(F.filter("ms", lambda y: y.node > F.col("x.node"))).alias("y")).filter(_likely("x", "y") & _estimated("x", "y"))
     # long lists: each member with the hub
     long = entries.filter(F.col("df") > LONG_LIST)
-    hubs = written(long.groupBy("v").agg(F.max_by("m", F.struct(F.col("m.hub"), -F.col("m.node"))).alias("h")))
-    starred = long.join(hubs, "v").filter(F.col("m.node") != F.col("h.node")).filter(_likely("m", "h") & _estimated("m", "h"))
+    hubs = written(long.groupBy("v").agg(F.max_by("m", F.struct(F.col("m.hub"), -F.col("m.node"))).alias("h"), F.max("df").alias("df")))
+    starred = _with_list(long, hubs, heavy).filter(F.col("m.node") != F.col("h.node")).filter(_likely("m", "h") & _estimated("m", "h"))
     pairs = written(_pairs(short, "x", "y").withColumn("star", F.lit(False)).union(_pairs(starred, "m", "h").withColumn("star", F.lit(True))))
 
     # first one pair of each document, with its most frequent partner, and the hubs' stars
@@ -198,8 +233,7 @@ def _links(plain: DataFrame, classes: DataFrame, words: int, percent: int) -> Da
     first = ends.groupBy("u").agg(F.max_by(F.struct("a", "b"), F.struct("hb", "a", "b")).alias("p")).select("p.a", "p.b")
     first = written(first.union(pairs.filter("star").select("a", "b")).distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = lists.select(F.col("m.node").alias("node"), "doc_id", "print").join(nodes, "node", "left_semi").withColumnRenamed("doc_id", "_id")
-    sets = written(plain.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "print", "text").mapInArrow(_set_batches(words), "node long, shingles array<long>").dropDuplicates(["node"]), {"compression": "none"})
+    sets = written(_sets(lists, nodes, plain, words), {"compression": "none"})
     roots = components(_verified(first, sets, percent))
 
     # then every other pair whose ends aren't connected yet
@@ -208,11 +242,11 @@ def _links(plain: DataFrame, classes: DataFrame, words: int, percent: int) -> Da
     first_links = _verified(written(open_.distinct()), sets, percent)
     # and members of long lists outside of their hub's component, against the whole list
     prefixes = lists.select("m", F.transform("vs", lambda e: e.v).alias("pre"), "vs")
-    members = _with_root(prefixes.select("m", "pre", F.explode(F.filter("vs", lambda e: e.df > LONG_LIST)).alias("e")).select("m", "pre", F.col("e.v").alias("v")), roots, F.col("m.node"), "root")
-    tops = _with_root(hubs, roots, F.col("h.node"), "top").select("v", "top")
-    members = members.join(tops, "v").select("v", "m.node", "m.n", "m.sk", "pre", "root", (F.col("root") != F.col("top")).alias("outer"))
-    sizes = members.groupBy("v").agg(F.count_if("outer").alias("n_outer"), F.count(F.lit(1)).alias("n_all")).filter("n_outer > 0")
-    members = written(members.join(sizes, "v"))
+    members = _with_root(prefixes.select("m", "pre", F.explode(F.filter("vs", lambda e: e.df > LONG_LIST)).alias("e")).select("m", "pre", "e.v", "e.df"), roots, F.col("m.node"), "root")
+    tops = _with_root(hubs, roots, F.col("h.node"), "top").select("v", "df", "top")
+    members = _with_list(members, tops, heavy).select("v", "df", "m.node", "m.n", "m.sk", "pre", "root", (F.col("root") != F.col("top")).alias("outer"))
+    sizes = written(members.groupBy("v", "df").agg(F.count_if("outer").alias("n_outer"), F.count(F.lit(1)).alias("n_all")).filter("n_outer > 0"))
+    members = written(_with_list(members, sizes, heavy).drop("df"))
     if members.isEmpty():
         return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(first_links))
     schema = "a long, b long"
@@ -297,10 +331,19 @@ def _meet(percent: int, full: bool):
     return run
 
 
+def _sets(lists: DataFrame, nodes: DataFrame, plain: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the full sets of some classes, from the texts of their first rows.
+
+    Texts are found by id and hash, so that rows which repeat an id, or have none, don't meet one another.
+    """
+    chosen = lists.select(F.col("m.node").alias("node"), F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "print").join(nodes, "node", "left_semi")
+    texts = plain.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    return texts.select("node", "print", "text").mapInArrow(_set_batches(words), "node long, shingles array<long>").dropDuplicates(["node"])
+
+
 def _more_sets(sets: DataFrame, nodes: DataFrame, lists: DataFrame, plain: DataFrame, words: int) -> DataFrame:
     """The sets of all of ``nodes``, adding those not computed yet."""
-    missing = written(lists.select(F.col("m.node").alias("node"), "doc_id", "print").join(nodes, "node", "left_semi").join(sets.select("node"), "node", "left_anti").withColumnRenamed("doc_id", "_id"))
+    missing = written(nodes.join(sets.select("node"), "node", "left_anti"))
     if missing.isEmpty():
         return sets
-    added = plain.join(missing, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "print", "text").mapInArrow(_set_batches(words), "node long, shingles array<long>").dropDuplicates(["node"])
-    return sets.union(written(added, {"compression": "none"}))
+    return sets.union(written(_sets(lists, missing, plain, words), {"compression": "none"}))

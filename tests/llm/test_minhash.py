@@ -55,6 +55,34 @@ def test_same_as_brute_force(spark, monkeypatch, words, long_list):
     assert got == brute(rows, words)
 
 
+def test_heavy_values_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LONG_LIST", 4)
+    monkeypatch.setattr(minhash, "HEAVY_VALUES", 1000)
+    rows = corpus(7)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect())
+    assert got == brute(rows, 2)
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_many_rows_of_one_id(spark, same):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(400)]
+    rows = [(same, t + (" end" if i % 2 else "")) for i in range(25) for t in base] + [(same, None), (same, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    groups = minhash.row_groups(docs, 5, 80).collect()
+    assert len(groups) == len(rows) and sum(r.first for r in groups) == 402 and {r.component_id for r in groups} == {same}
+    assert len({r.rid for r in groups}) == len(rows)
+    found = minhash.near_duplicates(docs, 5, 80).collect()
+    assert sum(r.kept for r in found) == (402 if same is None else len(rows))
+
+
+def test_rows_without_an_id_give_way(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, text), (9, text + " end"), (4, text), (None, "quite another text of six words")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 2, 80).collect()), key=str)
+    assert got == [(0, 4, False), (0, None, True), (4, 4, True), (9, 4, False)]
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
