@@ -7,79 +7,75 @@ document positions that hold the rarest word of some window are probed. The leng
 do not fit into the document, the positional bound those that would begin before it or end after it; the
 surviving candidates are verified word by word over the window's own size.
 
-DataFrame functions only. The benchmark is the small side: its windows are broadcast in blocks of at most
-BLOCK_WINDOWS, counted first, and a larger benchmark takes several passes over the documents.
+DataFrame functions only. Two passes read the documents: one counts the words that windows hold, one probes.
+In both a Bloom filter of the wanted words lets few words of a document through, and an exact join follows. The
+windows are broadcast while their words take up to BROADCAST_BYTES, which is measured; with more, the few
+probes are shuffled by their word instead.
 
 Defined results: null or wordless texts have no words, hits or items; a wordless item has no windows.
-Repeated document rows are judged apart and keep their number; repeated items are one item.
+Repeated document rows, and rows without an id, are judged apart and keep their number; repeated items are one
+item, and an item without an id is none. Ties between words of equal count go to the smaller word. Texts of any
+length are read whole. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skysift.llm.bloom import may_contain
 from skysift.llm.common import ascii_lower, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_WINDOWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _in(word: str, some: list[str]) -> str:
-    """SQL for membership in a set of words. WORD admits no quote, backslash, $ or brace, so words stand in SQL as they are."""
-    quoted = ", ".join(f"'{w}'" for w in some)
-    return f"{word} IN ({quoted})" if some else "false"
-
-
 def item_windows(benchmark: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (win, items): each window's words and the ids of the items that hold it."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).filter((F.size("w") > 0) & F.col("item_id").isNotNull())
     n = F.least(F.size("w"), F.lit(window))
     wins = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda s: F.slice("w", s, n))).alias("win"))
     return wins.groupBy("win").agg(F.collect_set("item_id").alias("items"))
 
 
-def _block_hits(rows: DataFrame, block: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(rid, doc, n_words, s, n, items) for each verified window, and a row with null s for each probe that fails."""
-    # the window's rarest word and the first place where it stands
-    ranked = block.select("win", "items", F.posexplode("win").alias("off", "word")).join(counts, "word", "left")
+def keyed_windows(docs: DataFrame, wins: DataFrame, text: str = "text") -> DataFrame:
+    """(win, items, key, off, n): each window with its rarest word in the documents and the first place where it stands."""
+    placed = wins.select("win", "items", F.posexplode("win").alias("off", "word"))
+    vocabulary = written(placed.select("word").distinct())
+    wanted = may_contain(vocabulary, "word")
+    counts = docs.select(F.explode(words(F.col(text))).alias("word")).filter(wanted(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.join(vocabulary, "word", "left_semi"))
     key = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"), F.col("off"))).alias("key")
-    keyed = ranked.groupBy("win", "items").agg(key).select("win", "items", F.col("key.word").alias("key"), F.col("key.off").alias("off"), F.size("win").alias("n"))
-    keys = sorted(r[0] for r in keyed.select("key").distinct().collect())
+    keyed = placed.join(counts, "word", "left").groupBy("win", "items").agg(key)
+    return keyed.select("win", "items", F.col("key.word").alias("key"), F.col("key.off").alias("off"), F.size("win").alias("n"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """Per document row: rid (its row: the column ``row``, if one is named), doc_id, n_words, hits (start and length of each window), items (sorted ids)."""
+    wins = written(item_windows(benchmark, window))
+    keyed = written(keyed_windows(docs, wins, text))
+    size = keyed.agg(F.sum(F.length(F.array_join("win", " ")) * 4 + F.size("items") * 8 + F.length("key") * 4 + 64)).first()[0] or 0
+    is_key = may_contain(written(keyed.select("key").distinct()), "key")
+
+    # the words that may be keys, with their neighbourhoods; a document's first word stands for it in any case
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(number.alias("rid"), F.col(doc_id).alias("doc"), words(F.col(text)).alias("w"))
+    places = rows.select("rid", "doc", F.size("w").alias("n_words"), "w", F.posexplode_outer("w").alias("pos", "word"))
+    places = places.filter(F.col("pos").isNull() | (F.col("pos") == 0) | is_key(F.col("word")))
     reach = window - 1
-    at = F.expr(f"array_compact(transform(w, (x, i) -> IF({_in('x', keys)}, i, CAST(NULL AS INT))))")
-    probes = rows.select("rid", "doc", F.size("w").alias("n_words"), "w", at.alias("at"))
-    around = F.transform("at", lambda i: F.struct(i.alias("pos"), F.greatest(i - reach, F.lit(0)).alias("from"), F.slice(F.col("w"), F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1).alias("near")))
-    probes = probes.select("rid", "doc", "n_words", F.explode_outer(around).alias("p"))
-    probes = probes.select("rid", "doc", "n_words", "p.pos", "p.from", "p.near", F.get("p.near", F.col("p.pos") - F.col("p.from")).alias("word"))
+    first = F.greatest(F.col("pos") - reach, F.lit(0))
+    probes = places.select("rid", "doc", "n_words", "pos", "word", first.alias("from"), F.slice("w", first + 1, F.lit(2 * reach + 1)).alias("near"))
     s = F.col("pos") - F.col("off")
     fits = (s >= 0) & (s + F.col("n") <= F.col("n_words"))
     same = F.slice("near", F.when(fits, s - F.col("from")).otherwise(0) + 1, F.col("n")) == F.col("win")
-    joined = probes.join(F.broadcast(keyed), (F.col("word") == F.col("key")) & fits & same, "left")
-    return joined.select("rid", "doc", "n_words", F.when(F.col("win").isNotNull(), s).alias("s"), "n", "items")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: rid (its row), doc_id, n_words, hits (start and length of each window), items (sorted ids)."""
-    wins = written(item_windows(benchmark, window))
-    n_blocks = max(1, -(-wins.count() // BLOCK_WINDOWS))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc"), words(F.col(text)).alias("w"))
-    parts = []
-    for b in range(n_blocks):
-        block = wins.filter(F.pmod(F.xxhash64("win"), F.lit(n_blocks)) == b)
-        vocabulary = sorted(r[0] for r in block.select(F.explode("win")).distinct().collect())
-        counted = docs.select(F.explode(words(F.col(text))).alias("word")).filter(F.expr(_in("word", vocabulary)))
-        counts = written(counted.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-        parts.append(_block_hits(rows, block, counts, window))
-    hits = reduce(DataFrame.union, parts)
-    out = hits.groupBy("rid", "doc", "n_words").agg(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "n"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return out.withColumnRenamed("doc", doc_id)
+    found = probes.join(F.broadcast(keyed) if size <= BROADCAST_BYTES else keyed, (F.col("word") == F.col("key")) & fits & same, "left")
+    hits = found.select("rid", "doc", "n_words", F.when(F.col("win").isNotNull(), F.struct(s.alias("s"), "n")).alias("hit"), "items")
+    out = hits.groupBy("rid", "doc", "n_words").agg(F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return out.select("rid", F.col("doc").alias(doc_id), F.greatest("n_words", F.lit(0)).alias("n_words"), "hits", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -2,12 +2,13 @@
 
 A rule is ``host/path-prefix`` with an action. It fits a URL whose host is the rule's or one of its
 subdomains and whose path starts with the rule's path. For each URL the candidate keys are its host
-suffixes and path prefixes of the (depth, length) shapes that occur in the list. The Bloom filter is an
-array of 64-bit blocks, each key setting four bits of one block; it is tested inside the scan stage, so
-that only possible hits are exploded and joined. The join removes false positives; the longest rule wins.
+suffixes and path prefixes of the (depth, length) shapes that occur in the list. The Bloom filter, of any
+list, is tested inside the scan stage, so that only possible hits are joined. The join removes false
+positives; the longest rule wins, and of equally long ones that of the longer host.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule. Repeated
-rows stay repeated. A null or empty rule is ignored; equal rules with two actions count as ``block``.
+rows stay repeated. A null or empty rule is ignored; equal rules with two actions count as ``block``. URLs of
+any length are read whole. Columns of ``pages`` other than those asked for, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -15,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import ascii_lower
+from skysift.llm.bloom import may_contain
+from skysift.llm.common import ascii_lower, written
 
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-BITS_PER_KEY, BITS_SET = 16, 4
-#: The filter travels as a constant of the plan, so its size is bounded; a longer list is joined without it.
-MAX_BLOCKS = 1 << 16
 
 
 def url_host(url: Column) -> Column:
@@ -31,19 +30,6 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL_PARTS, 2), F.lit(""))
 
 
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
-
-
-def _mask(key: Column) -> Column:
-    h = F.xxhash64(key, F.lit(7))
-    mask = F.lit(0).cast("bigint")
-    for i in range(BITS_SET):
-        bit = F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
-    return mask
-
-
 def listed(rules: DataFrame, rule: str = "rule", action: str = "action") -> DataFrame:
     """Rules as (key, rule, action), one row per distinct rule."""
     r = rules.select(F.col(rule).alias("rule"), F.col(action).alias("action")).filter(F.length("rule") > 0)
@@ -52,26 +38,15 @@ def listed(rules: DataFrame, rule: str = "rule", action: str = "action") -> Data
     return r.select(F.concat(host, F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)")).alias("key"), "rule", "action")
 
 
-def bloom_blocks(keys: DataFrame, n_keys: int) -> list[int] | None:
-    """The filter's blocks, or None if they would be over MAX_BLOCKS."""
-    n_blocks = max(1, -(-n_keys * BITS_PER_KEY // 64))
-    if n_blocks > MAX_BLOCKS:
-        return None
-    blocks = [0] * n_blocks
-    for b, m in keys.groupBy(_block(F.col("key"), n_blocks).alias("b")).agg(F.bit_or(_mask(F.col("key"))).alias("m")).collect():
-        blocks[b] = m
-    return blocks
-
-
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """Judge each row's URL: ``keep`` columns, url, host, path, rule, verdict."""
-    table = listed(rules)
+    table = written(listed(rules))
     shapes = table.select(
         F.size(F.split(F.substring_index("key", "/", 1), r"\.")).alias("depth"),
         (F.length("key") - F.length(F.substring_index("key", "/", 1))).alias("length"),
     )
     shapes = sorted(tuple(x) for x in shapes.distinct().collect())  # bounded by host depth times URL length
-    blocks = bloom_blocks(table, table.count())
+    may_be_listed = may_contain(table, "key")
 
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(url).alias("u"))
     keys = [f"k{i}" for i in range(len(keep))]
@@ -87,11 +62,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tupl
         for depth, length in shapes
     ]
     candidates = F.array_compact(F.array(*wanted)) if wanted else F.array().cast("array<string>")
-    if blocks is not None:
-        words = F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<bigint>")
-        hit = lambda k: F.element_at(words, _block(k, len(blocks)) + 1).bitwiseAND(_mask(k)) == _mask(k)
-        candidates = F.filter(candidates, hit)
-    probes = rows.select(*keys, "u", "copies", "host", "path", F.explode_outer(candidates).alias("key"))
+    probes = rows.select(*keys, "u", "copies", "host", "path", F.posexplode_outer(candidates).alias("at", "key"))
+    # a row's first candidate stands for it in any case; the join decides
+    probes = probes.filter(F.col("at").isNull() | (F.col("at") == 0) | may_be_listed(F.col("key"))).drop("at")
     joined = probes.join(table, "key", "left")
     longest = F.max_by("found", F.struct(F.length("found.rule"), F.length(F.substring_index("found.rule", "/", 1))))
     best = (

@@ -80,8 +80,8 @@ def test_decontamination_same_as_brute_force(spark, monkeypatch):
             parts += [rng.choice(items)[1] or "", "tail , the"]
         docs.append((i, "; ".join(parts)))
     docs += [(90, None), (91, ""), (92, "..."), (5, docs[5][1]), (93, "the of x " * 4000)]
-    for block in (50_000, 3):
-        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    for size in (1 << 25, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
         d = spark.createDataFrame([(a, b, "c") for a, b in docs], "doc_id long, text string, items string")
         got = sorted(tuple(r) for r in decontaminate.report(d, spark.createDataFrame(items, "item_id int, text string"), 10).collect())
         merged = {}
@@ -97,6 +97,13 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.report(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id int, text string")).count() == 0
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "the big x of it"), (None, "nothing"), (4, "big x of"), (4, "other"), (4, "big x of")], "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, "big x of"), (None, "other")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.report(docs, items).collect()), key=str)
+    assert got == sorted([(None, 5, 3, True), (None, 1, 0, False), (4, 3, 3, True), (4, 3, 3, True), (4, 1, 0, False)], key=str)
+
+
 def test_words_that_python_would_escape(spark):
     import duckdb
     import pandas as pd

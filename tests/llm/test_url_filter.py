@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
-from skysift.llm import url_filter
+from pyspark.sql import functions as F
+
+from skysift.llm import bloom, url_filter
 from skysift.llm.queries import URL_RULES
 
 
@@ -40,8 +42,23 @@ def test_empty_tables(spark):
     assert url_filter.filter_urls(pages.limit(0), some).count() == 0
 
 
-def test_without_filter(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 0)
-    pages = spark.createDataFrame([(1, "http://a.com/en/b")], "page_id long, url string")
-    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
-    assert url_filter.filter_urls(pages, rules).first().rule == "com/en/"
+def test_filter_passes_members_and_few_others(spark):
+    keys = spark.range(20000).selectExpr("concat('k', id) AS key")
+    may = bloom.may_contain(keys, "key")
+    assert keys.filter(may(F.col("key"))).count() == 20000
+    assert spark.range(20000).selectExpr("concat('other', id) AS key").filter(may(F.col("key"))).count() < 400
+    assert keys.filter(bloom.may_contain(keys.limit(0), "key")(F.col("key"))).count() == 0
+
+
+def test_long_list(spark):
+    rules = spark.range(300_000).selectExpr("concat('host', id, '.org/p/') AS rule", "IF(id % 2 = 0, 'block', 'allow') AS action")
+    pages = spark.createDataFrame([(i, f"http://a.host{i}.org/p/{i}") for i in range(0, 600_000, 9973)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, rules, default="none").collect()}
+    assert all(got[i].verdict == ("none" if i >= 300_000 else "allow" if i % 2 else "block") for i in got) and len(got) == 61
+
+
+def test_longest_rule_and_ties(spark):
+    rules = spark.createDataFrame([("a.com/b", "allow"), ("com/bcde", "block"), ("com/bcd", "allow")], "rule string, action string")
+    pages = spark.createDataFrame([(1, "http://x.a.com/bcde"), (None, "http://x.a.com/bz"), (None, "http://com/bcdz")], "page_id long, url string")
+    got = sorted((r.url, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, default="none").collect())
+    assert got == [("http://com/bcdz", "com/bcd", "allow"), ("http://x.a.com/bcde", "com/bcde", "block"), ("http://x.a.com/bz", "a.com/b", "allow")]
