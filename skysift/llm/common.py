@@ -43,14 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/skysift-{uuid.uuid4().hex}"
 
 
-def with_row(df: DataFrame, taken: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """``df`` written with a number for each row, and the number's column: a name that no other column has.
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    used = {x.lower() for x in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def with_row(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, and the number's column, by a name that no other column has.
 
     The numbers are written once, so that all later passes see the same ones.
     """
-    name, used = "row", {x.lower() for x in (*df.columns, *taken)}
-    while name in used:
-        name = "_" + name
+    name = fresh(df, "row")
     return written(df.withColumn(name, F.monotonically_increasing_id())), name
 
 

@@ -8,12 +8,13 @@ Training reads at most ``sample_chars`` characters of each language (a documente
 each cut to the bound, that come first by their hash, until the bound is reached; a language with any text
 is never empty). Every worker builds the automata from
 this small broadcast sample. Automata are kept as dense tables and all languages share one array, so that numpy
-walks through many texts and languages at once; texts are walked whole, in blocks of BLOCK characters
-(a phrase ends with its block).
+walks through many whole texts and languages at once, one character of each at a time; when only a few long
+texts are left, each is walked by itself.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing was learned.
 Ties go to the alphabetically first language. The score is 1 - phrases(best) / phrases(second), or 1 if only
-one language was learned. Rows with null text or lang teach nothing. Repeated rows are predicted alike.
+one language was learned. Rows with null text or lang teach nothing. Repeated rows are predicted alike. Columns
+with the names of the results are replaced; pass other names to keep them.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from skysift.llm.common import let_workers_import, written
 
 SAMPLE_CHARS, MAX_BROADCAST = 40_000, 10_000
-BLOCK = 1024
-LANES = 60_000
+#: Characters of texts walked together, and texts times languages below which each is walked by itself.
+WALK_CHARS, FEW = 40_000_000, 128
 UNKNOWN = "und"
 
 
@@ -81,6 +82,7 @@ class Parser:
         self.table *= self.width  # states are kept as row offsets
         self.table += np.where(self.table < 0, self.width - 1, 0).astype("int32")  # ~x * w + (w - 1) == ~(x * w)
         self.table = self.table.ravel()
+        self.cells = memoryview(self.table)
 
     @staticmethod
     def _plain(text: str) -> str:
@@ -119,32 +121,47 @@ class Parser:
         return table
 
     def phrases(self, lanes: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each lane of symbols (none over BLOCK long) for each language."""
+        """Phrases of each text of symbols for each language."""
         order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i]))
-        sizes = np.array([len(lanes[i]) for i in order])
+        sizes = np.array([len(lanes[i]) for i in order], "int64")
         n, n_langs = len(lanes), len(self.langs)
-        grid = np.zeros((int(sizes[0]) if n else 0, n), self.symbol.dtype)
-        for k, i in enumerate(order):
-            grid[: sizes[k], k] = lanes[i]
+        starts = np.cumsum([0, *sizes])[:-1]
+        flat = np.concatenate([np.zeros(0, self.symbol.dtype), *(lanes[i] for i in order)])
         roots = np.array(self.roots, "int32")[:, None] * self.width
         state = np.repeat(roots, n, axis=1).astype("int32")
-        # one phrase is open after a lane's first symbol; each failing step opens another
-        count = np.ones((n_langs, n), "int32")
+        # one phrase is open after a text's first symbol; each failing step opens another
+        count = np.ones((n_langs, n), "int64")
         count[:, sizes == 0] = 0
-        active = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # lanes longer than t
-        for t, row in enumerate(grid):
-            m = active[t]
-            if m < state.shape[1]:
-                state = state[:, :m].copy()
-            step = self.table[state + row[:m]]
-            failed = step < 0
-            if t:
-                count[:, :m] += failed
-            state = np.where(failed, ~step, step)
+        t, m = 0, int((sizes > 0).sum())
+        state = state[:, :m].copy()
+        while m * n_langs >= FEW:
+            for t in range(t, int(sizes[m - 1])):
+                step = self.table[state + flat[starts[:m] + t]]
+                failed = step < 0
+                if t:
+                    count[:, :m] += failed
+                state = np.where(failed, ~step, step)
+            t += 1
+            m = int(np.searchsorted(-sizes, -t, side="left"))  # texts longer than t
+            state = state[:, :m].copy()
+        for i in range(m):
+            rest = flat[starts[i] + t : starts[i] + sizes[i]].tolist()
+            for k in range(n_langs):
+                count[k, i] += self._walk(rest, int(state[k, i])) - (t == 0 and self.table[state[k, i] + rest[0]] < 0)
         out = np.zeros((n, n_langs), "int64")
         out[order] = count.T
         return out
 
+    def _walk(self, symbols: list[int], state: int) -> int:
+        """How many steps from a state fail."""
+        table, failed = self.cells, 0
+        for s in symbols:
+            state = table[state + s]
+            if state < 0:
+                failed += 1
+                state = ~state
+        return failed
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         owner, lanes = [], []
@@ -152,10 +169,11 @@ class Parser:
 
         def flush() -> None:
             if lanes:
-                np.add.at(total, np.array(owner), self.phrases(lanes))
+                total[owner] = self.phrases(lanes)
                 owner.clear()
                 lanes.clear()
 
+        held = 0
         read = []
         for i, t in enumerate(texts):
             low = (t or "").lower()
@@ -171,11 +189,12 @@ class Parser:
             if not letters or not self.langs:
                 continue
             read.append(i)
-            for at in range(0, len(symbols), BLOCK):
-                owner.append(i)
-                lanes.append(symbols[at : at + BLOCK])
-                if len(lanes) * len(self.langs) >= LANES:
-                    flush()
+            owner.append(i)
+            lanes.append(symbols)
+            held += len(symbols)
+            if held >= WALK_CHARS:
+                flush()
+                held = 0
         flush()
         for i in read:
             best = int(total[i].argmin())
@@ -206,10 +225,8 @@ def predict(docs: DataFrame, texts: list[tuple[str, str]], text: str = "text", l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                langs, scores = parser.predict(part.column(at).to_pylist())
-                yield pa.record_batch([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_pred, score])
+            langs, scores = parser.predict(batch.column(at).to_pylist())
+            yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_pred, score])
 
     let_workers_import(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skysift.llm import langid, masked_lm, quality
@@ -15,29 +16,41 @@ def prose(rng, lang, n):
 
 
 def phrases(text, sample):
-    """Greedy longest matches, block by block."""
-    n = 0
-    for at in range(0, len(text), langid.BLOCK):
-        now = ""
-        for i, ch in enumerate(text[at : at + langid.BLOCK]):
-            if now + ch in sample:
-                now += ch
-                n += i == 0
-            else:
-                n += 1
-                now = ch if ch in sample else ""
+    """Greedy longest matches."""
+    n, now = 0, ""
+    for i, ch in enumerate(text):
+        if now + ch in sample:
+            now += ch
+            n += i == 0
+        else:
+            n += 1
+            now = ch if ch in sample else ""
     return n
 
 
-def test_phrases_same_as_brute_force():
+@pytest.mark.parametrize("few", [128, 0, 10])
+def test_phrases_same_as_brute_force(monkeypatch, few):
+    monkeypatch.setattr(langid, "FEW", max(few, 1))
     rng = random.Random(1)
     texts = sorted((k, prose(rng, k, 80)) for k in SYLLABLES)
     parser = langid.Parser(texts)
-    for text in [prose(rng, "xx", 30), prose(rng, "zz", 900), "Ünknown ж text 12", "a", "  b "]:
-        plain = parser._plain(text)
-        symbols = parser.symbol[np.frombuffer(plain.encode("utf-32-le"), "<u4")]
-        lanes = [symbols[i : i + langid.BLOCK] for i in range(0, len(symbols), langid.BLOCK)]
-        assert parser.phrases(lanes).sum(axis=0).tolist() == [phrases(plain, parser._plain(t)) for _, t in texts]
+    some = [prose(rng, "xx", 30), prose(rng, "zz", 900), "Ünknown ж text 12", "a", "ж", "", "  b ", prose(rng, "yy", 300), *(prose(rng, "xx", n) for n in range(1, 12))]
+    plain = [parser._plain(t) for t in some]
+    symbols = [parser.symbol[np.frombuffer(t.encode("utf-32-le"), "<u4")] for t in plain]
+    assert parser.phrases(symbols).tolist() == [[phrases(p, parser._plain(t)) for _, t in texts] for p in plain]
+
+
+def test_predictions_same_as_brute_force_on_skewed_lengths(spark):
+    rng = random.Random(9)
+    mixed = lambda n: " ".join(prose(rng, rng.choice(list(SYLLABLES)), 1) for _ in range(n))
+    rows = [(i, mixed(rng.choice([1, 2, 5, 30])) + rng.choice(["", " 12 ж"]), rng.choice(list(SYLLABLES))) for i in range(150)] + [(200, mixed(6000), "xx"), (201, prose(rng, "yy", 20000), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.sample(docs.filter(~langid.held_out(F.col("doc_id"))), 3000)
+    plain = [langid.Parser._plain(t) for _, t in learned]
+    for r in langid.predict(docs, learned).collect():
+        n = [phrases(langid.Parser._plain(r.text), p) for p in plain]
+        best = n.index(min(n))
+        assert r.lang_pred == learned[best][0] and r.score == pytest.approx(1 - n[best] / min(n[:best] + n[best + 1 :]))
 
 
 def test_language_of_held_out_documents(spark):
