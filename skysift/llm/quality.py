@@ -1,21 +1,24 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-A logistic regression over figures of the text (fitted with numpy on at most MAX_TRAIN labelled documents, a
-documented bound) gives each document's evidence as a log-likelihood ratio. Grouped aggregation counts the
-labels of every host and of every path in a host. The spread between hosts beyond binomial noise gives, by
-the method of moments, the weight of the global rate in a host's posterior; the spread between paths beyond
-their hosts gives the weight of the host's posterior in a path's. Sites with few labels so shrink to the
-global rate. A document's posterior adds its evidence to the log-odds of its path, host or the global rate.
-
-Defined results: a null or empty text has the figures of an empty text. Null hosts and paths are groups of
-their own. Without labels of both kinds the evidence is 0, and without any labels the rate is one half.
-Several labels of one document count once, as their least. Repeated rows are judged alike. Columns of ``docs``
-with the names of the results are replaced.
+A logistic regression over figures of the text and hashed counts of its words (fitted with numpy on at most
+MAX_TRAIN labelled documents, a documented bound) gives each document's evidence as a log-likelihood ratio.
+Grouped aggregation counts the labels of every host and of every path in a host. The spread between hosts
+beyond binomial noise gives, by the method of moments, the weight of the global rate in a host's posterior;
+the spread between paths beyond their hosts gives the weight of the host's posterior in a path's. Sites with
+few labels so shrink to the global rate. A document's posterior adds its evidence to the log-odds of its
+path, host or the global rate.
+
+Defined results: a null or empty text has the figures of an empty text; texts of any length are read whole.
+Null hosts and paths are groups of their own. Without labels of both kinds the evidence is 0, and without any
+labels the rate is one half. Labels without an id or a value don't count; several labels of one document count
+once, as their least. Repeated rows are judged alike. A posterior of just one half is kept. Columns of ``docs``
+with the names of the results are replaced; all others, whatever their names, stay.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skysift.llm.common import let_workers_import, written
+from skysift.llm.common import fresh, let_workers_import, written
 
 MAX_TRAIN = 20_000
 #: Tables of rates up to so many rows are broadcast (some ten MB).
 BROADCAST_SITES = 200_000
 FIGURES = ("length", "letters", "capitals", "digits", "symbols", "marks", "distinct", "commonest", "repeats", "lines", "word_length", "sentences", "runs", "bars")
+#: Words are counted in so many hash buckets; a word's bucket is remembered for up to CACHE_WORDS words.
+BUCKETS, CACHE_WORDS = 256, 500_000
+WORD_RIDGE = 30.0
 _KIND = np.zeros(256, "uint8")
 for _i in range(256):
     c = chr(_i)
@@ -66,16 +72,39 @@ def figures(text: str | None) -> list[float]:
     ]
 
 
+class _Buckets(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        b = self[word] = zlib.crc32(word.lower()) % BUCKETS
+        return b
+
+
+_BUCKETS = _Buckets()
+
+
+def features(texts: list[str | None]) -> np.ndarray:
+    """One row for each whole text: its figures, and the roots of the shares of its words in each bucket."""
+    out = np.zeros((len(texts), len(FIGURES) + BUCKETS), "float32")
+    for i, t in enumerate(texts):
+        out[i, : len(FIGURES)] = figures(t)
+        words = (t or "").encode("utf-8", "surrogatepass").split()
+        if words:
+            found = np.bincount(np.fromiter(map(_BUCKETS.__getitem__, words), "int64", len(words)), minlength=BUCKETS)
+            out[i, len(FIGURES) :] = np.sqrt(found / len(words))
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Mean, scale, weights and intercept (of the log-likelihood ratio) by Newton steps on the ridge-penalised likelihood."""
-    d = x.shape[1] if x.ndim == 2 else len(FIGURES)
+    """Mean, scale, weights and intercept (of the log-likelihood ratio) by Newton steps on the ridge-penalised likelihood; features beyond the figures are held WORD_RIDGE times as tightly."""
+    d = x.shape[1] if x.ndim == 2 else len(FIGURES) + BUCKETS
     if not len(y) or y.min() == y.max():
         return np.zeros(d), np.ones(d), np.zeros(d), 0.0
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(d + 1)
     w[-1] = prior = np.log(y.mean() / (1 - y.mean()))
-    penalty = np.diag([ridge] * d + [1e-9])
+    penalty = np.diag([ridge if i < len(FIGURES) else ridge * WORD_RIDGE for i in range(d)] + [1e-9])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
@@ -85,24 +114,24 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tu
     return mean, scale, w[:-1], float(w[-1] - prior)
 
 
-def _with_figures(docs: DataFrame, text: str, model: tuple | None, name: str) -> DataFrame:
-    """Add the figures, or with a model the evidence, as a column."""
+def _judged(docs: DataFrame, text: str, model: tuple | None, name: str) -> DataFrame:
+    """Add the features (as bytes of 32-bit floats), or with a model the evidence, as a column."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                x = np.array([figures(t) for t in part.column(at).to_pylist()])
+                x = features(part.column(at).to_pylist())
                 if model is None:
-                    column = pa.array(x.tolist(), pa.list_(pa.float64()))
+                    column = pa.array([r.tobytes() for r in x], pa.binary())
                 else:
                     mean, scale, w, b = model
                     column = pa.array(np.clip((x - mean) / scale, -20, 20) @ w + b, pa.float64())
                 yield pa.record_batch([*part.columns, column], names=[*part.schema.names, name])
 
     let_workers_import(docs.sparkSession)
-    kind = T.ArrayType(T.DoubleType()) if model is None else T.DoubleType()
+    kind = T.BinaryType() if model is None else T.DoubleType()
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
@@ -114,8 +143,8 @@ def evidence_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
         share = int(0.9 * MAX_TRAIN / n * (1 << 30))
         chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).orderBy("doc_id").limit(MAX_TRAIN)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most MAX_TRAIN rows
-    known = _with_figures(rows, "text", None, "x").select("doc_id", "label", "x").groupBy("doc_id").agg(F.min("label").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
-    return fit(np.array([r.x for r in known]), np.array([r.y for r in known], float))
+    known = _judged(rows, "text", None, "x").select("doc_id", "label", "x").groupBy("doc_id").agg(F.min("label").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
+    return fit(np.array([np.frombuffer(r.x, "float32") for r in known], float), np.array([r.y for r in known], float))
 
 
 def _weight(groups: DataFrame, centre: Column, parents: Column) -> float:
@@ -134,7 +163,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str, path: str, doc_id:
     """The global rate, (host, host_rate) and (host, path, path_rate). labels: (doc_id, label)."""
     # narrow columns only; partial aggregation keeps a hot host from meeting in one task
     site = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"))
-    paths = site.join(labels, "doc_id").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
+    paths = written(site.join(labels, "doc_id").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")))
     n, k = paths.agg(F.sum("n"), F.sum("k")).first()
     rate = (k + 1) / (n + 2) if n else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -147,20 +176,21 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str, path: str, doc_id:
     return rate, hosts, paths
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str, path: str, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """All rows and columns of ``docs`` with evidence, prior (of its site), posterior and kept."""
-    docs = docs.drop("evidence", "prior", "posterior", "kept")
-    labels = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("long").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+def classify(docs: DataFrame, labels: DataFrame, host: str, path: str, doc_id: str = "doc_id", text: str = "text", label: str = "quality", results: tuple[str, str, str, str] = ("evidence", "prior", "posterior", "kept")) -> DataFrame:
+    """All rows and columns of ``docs`` with evidence, prior (of its site), posterior and kept, by the names in ``results``."""
+    evidence, prior, posterior, kept = results
+    docs = docs.drop(*results)
+    labels = written(labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("long").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label")))
     model = evidence_model(docs, labels, doc_id, text)
     rate, hosts, paths = posteriors(docs, labels, host, path, doc_id)
-    hosts = hosts.select(F.col("host").alias("_h"), "host_rate")
-    paths = paths.select(F.col("host").alias("_ph"), F.col("path").alias("_pp"), "path_rate")
+    h, p, q, of_host, of_path = (fresh(docs, x) for x in ("of_host", "on_host", "of_path", "host_rate", "path_rate"))
+    hosts = hosts.select(F.col("host").alias(h), F.col("host_rate").alias(of_host))
+    paths = paths.select(F.col("host").alias(p), F.col("path").alias(q), F.col("path_rate").alias(of_path))
     # few sites are broadcast, so that no text is shuffled; with more, AQE splits the skewed hosts
     hosts, paths = (F.broadcast(t) if t.count() <= BROADCAST_SITES else t for t in (written(hosts), written(paths)))
-    out = _with_figures(docs, text, model, "evidence")
-    out = out.join(hosts, F.col(host).eqNullSafe(F.col("_h")), "left").join(paths, F.col(host).eqNullSafe(F.col("_ph")) & F.col(path).eqNullSafe(F.col("_pp")), "left")
-    prior = F.least(F.greatest(F.coalesce("path_rate", "host_rate", F.lit(rate)), F.lit(1e-6)), F.lit(1 - 1e-6))
-    out = out.withColumn("prior", prior).drop("_h", "_ph", "_pp", "host_rate", "path_rate")
-    odds = F.col("evidence") + F.log(F.col("prior") / (1 - F.col("prior")))
-    out = out.withColumn("posterior", 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0)))))
-    return out.withColumn("kept", F.col("posterior") >= 0.5)
+    out = _judged(docs, text, model, evidence)
+    out = out.join(hosts, F.col(host).eqNullSafe(F.col(h)), "left").join(paths, F.col(host).eqNullSafe(F.col(p)) & F.col(path).eqNullSafe(F.col(q)), "left")
+    out = out.withColumn(prior, F.least(F.greatest(F.coalesce(of_path, of_host, F.lit(rate)), F.lit(1e-6)), F.lit(1 - 1e-6))).drop(h, p, q, of_host, of_path)
+    odds = F.col(evidence) + F.log(F.col(prior) / (1 - F.col(prior)))
+    out = out.withColumn(posterior, 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0)))))
+    return out.withColumn(kept, F.col(posterior) >= 0.5)
