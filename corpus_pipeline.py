@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-Rows that repeat a doc_id count as one document from the near-duplicate stage on.
+Stages decide by row, not by doc_id: a row whose id is null or occurs again is judged by its own text, and of a
+group of near duplicates exactly one row stays.
 """
 
 from __future__ import annotations
@@ -9,47 +10,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.llm import decontaminate, langid, minhash, packing, quality
-from skysift.llm.common import written
+from skysift.llm.common import fresh, with_row, written
 from skysift.llm.queries import table, vocabulary
 
 
-#: Up to so many ids (some ten MB) are broadcast; more are joined by shuffling the documents.
-BROADCAST_IDS = 500_000
+#: Up to so many row numbers (some ten MB) are broadcast; more are joined by shuffling the documents.
+BROADCAST_ROWS = 500_000
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id isn't in the written table ``gone``."""
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+def without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """Documents whose row number isn't in the written table ``gone``."""
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, row, "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), host="source", path="lang")
-    return judged.filter("kept").select(docs.columns)
+    results = tuple(fresh(docs, x) for x in ("evidence", "prior", "posterior", "kept"))
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"), host="source", path="lang", results=results)
+    return judged.filter(F.col(results[-1])).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a recognisable language go."""
     learned = langid.sample(docs.filter(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, learned, lang_pred="_lang", score="_score").filter(F.col("_lang") != langid.UNKNOWN).select(docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    return langid.predict(docs, learned, lang_pred=lang, score=score).filter(F.col(lang) != langid.UNKNOWN).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    groups = written(minhash.near_duplicates(docs, words=5, percent=80))
-    gone = groups.filter(~F.col("kept")).select("doc_id")
-    out = without(docs, gone)
-    repeated = groups.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(docs.columns)
+    """One document of each group stays: that of the least doc_id."""
+    rows, row = with_row(docs)
+    groups = minhash.row_groups(rows, words=5, percent=80, row=row)
+    gone = written(groups.filter(~F.col("first")).select(F.col("rid").alias(row)))
+    return without(rows, gone, row).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
-    gone = written(found.filter(F.size("hits") > 0).select("doc_id"))
-    return without(docs, gone).select(docs.columns)
+    rows, row = with_row(docs)
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), window=10, row=row)
+    gone = written(found.filter(F.size("hits") > 0).select(F.col("rid").alias(row)))
+    return without(rows, gone, row).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
