@@ -1,20 +1,26 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Vectors are integers, so that scores are exact. Candidates and queries are dealt into blocks; each pair of
-blocks is one group. Inside a group every dimension has a sorted list of the candidates' components. A round
-reads all lists to some depth, from the end that a query's sign wants. What has not been read in a list lies
-beyond the last value read there, which bounds every score from above; the list's far end bounds it from
-below. A query stops when few candidates have an upper bound of at least its k-th best lower bound: nobody
-else can qualify. Their scores are then resolved exactly. Each group returns its k best for each query, and
-a window keeps the k best of all groups.
-
-Defined results: a vector that is null, empty or holds a null, a non-finite or an unrepresentably large
-component takes no part. Shorter vectors count as padded with zeros. Rows that repeat an id are one query
-(the smallest vector) and separate candidates; a query never meets rows of its own id. Ties go to smaller ids.
+Vectors are integers, so that scores are exact. Candidates and queries are dealt into blocks of bounded size;
+each pair of blocks is one group. Inside a group every dimension has a list of the candidates, sorted by their
+component. A query reads the lists from the end that its sign wants, chunk by chunk, always on the list whose
+unread rest can still change a score the most, which is a matter of the query's weight and of the list's
+values. A candidate that has been read somewhere has a lower and an upper bound: what was read of it, and for
+the lists where it wasn't, the far end or the last value read. An outsider, read nowhere, has the sum of the
+last values read as its upper bound. Reading stops when outsiders can't reach the k-th best lower bound; the
+candidates whose upper bound does, few of all, are resolved exactly. Each group returns its k best for each query, and a
+window keeps the k best of all groups.
+
+Defined results: a vector that is null or holds a null or a component that isn't finite once scaled takes no
+part. Shorter vectors, empty ones included, count as padded with zeros. A row without an id takes no part. Rows
+that repeat an id are one query (the smallest vector) and separate candidates; a query never meets rows of its
+own id. Ties go to smaller ids. Scores are ranked by their true value; one beyond the range of a long is given
+as the nearest long. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heapreplace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,74 +28,102 @@ from pyspark.sql import functions as F
 
 from skysift.llm.common import let_workers_import
 
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 2048
-#: Queries handled at a time inside a group, and the shares of the lists read by each round.
-QUERY_ROWS, DEPTHS = 256, (0.125, 0.5, 1.0)
-LARGEST = 2.0**50
+CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 512
+#: A list is read in so many chunks; bounds are compared whenever the unread rest has shrunk by this factor.
+CHUNKS, SHRUNK = 4, (7, 10)
+#: Reading goes on until at most this fraction of the candidates is left to be resolved.
+RESOLVED = 32
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def quantized(vectors: DataFrame, scale: float = 64.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): floor(scale * component) of every usable vector."""
+    """(vec_id, v): floor(scale * component) of every usable vector, as whole doubles."""
     scaled = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("x"))
-    usable = F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
-    return rows.filter(usable).select("vec_id", F.transform("x", lambda x: F.floor(x)).alias("v"))
+    usable = F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    return rows.filter(usable).select("vec_id", F.transform("x", whole).alias("v"))
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), "int64")
+def _matrix(vectors: pd.Series, width: int, kind: str) -> np.ndarray:
+    """Whole numbers as floats in which all sums are exact, or as Python's integers where none would do."""
+    out = np.zeros((len(vectors), width), kind)
     for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+        out[i, : len(v)] = [int(x) for x in v] if kind == "object" else v
     return out
 
 
-def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the k best candidates of each query, by rounds of bounds."""
-    n = len(ids)
-    lists = np.sort(x, axis=0)
-    low, high = lists[0], lists[-1]
-    out: list[tuple[int, int, int]] = []
-    todo = np.arange(len(query_ids))
-    for share in DEPTHS:
-        depth = max(1, int(n * share))
-        top, bottom = lists[n - depth], lists[depth - 1]
-        from_top, from_bottom = np.maximum(x, top), np.minimum(x, bottom)
-        least_top, least_bottom = np.where(x >= top, x, low), np.where(x <= bottom, x, high)
-        later = []
-        for at in range(0, len(todo), QUERY_ROWS):
-            some = todo[at : at + QUERY_ROWS]
-            plus, minus = np.maximum(q[some], 0), np.minimum(q[some], 0)
-            upper = plus @ from_top.T + minus @ from_bottom.T
-            lower = upper if depth == n else plus @ least_top.T + minus @ least_bottom.T
-            own = query_ids[some, None] == ids[None, :]
-            floor_ = -np.inf if lower.dtype.kind == "f" else np.iinfo("int64").min
-            lower = np.where(own, floor_, lower)
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), floor_, lower.dtype)
-            may = (upper >= kth[:, None]) & ~own
-            for row, i in enumerate(some):
-                left = np.flatnonzero(may[row])
-                if depth < n and len(left) > max(8 * k, n // 16):
-                    later.append(i)
-                    continue
-                score = x[left] @ q[i]
-                best = np.lexsort((ids[left], -score))[:k]
-                out += [(int(query_ids[i]), int(ids[left[b]]), int(score[b])) for b in best]
-        todo = np.array(later, dtype=int)
-        if not len(todo):
-            break
-    return out
+class SortedLists:
+    """The sorted lists of a block of candidates, one for each dimension."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.order = np.argsort(x, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(x, self.order.T, axis=0).T.copy()
+
+    def top_k(self, query_id: int, q: np.ndarray, k: int) -> tuple[list[tuple[int, int]], float]:
+        """(vec_id, score) of the k best candidates for a query, and the share of the lists that was read."""
+        n, width = self.x.shape
+        dims = np.flatnonzero(q != 0)
+        others = np.flatnonzero(self.ids != query_id)
+        last, far = np.zeros(width, self.x.dtype), np.zeros(width, self.x.dtype)  # contributions at the frontier and at the far end
+        for d in dims:
+            ends = (self.values[d, -1] * q[d], self.values[d, 0] * q[d])
+            last[d], far[d] = max(ends), min(ends)
+        got, seen = np.zeros(n, self.x.dtype), np.zeros((width, n), self.x.dtype)  # seen holds 0 and 1
+        chunk = -(-n // CHUNKS)
+        depth = dict.fromkeys(dims.tolist(), 0)
+        turns = [(-(last[d] - far[d]), d) for d in depth if last[d] > far[d]]
+        heapify(turns)
+        rest = limit = sum(-r for r, _ in turns)
+        may = others
+        while turns and len(others) > k:
+            d = turns[0][1]
+            at, depth[d] = depth[d], min(n, depth[d] + chunk)
+            span = slice(at, depth[d]) if q[d] < 0 else slice(n - depth[d], n - at)
+            some = self.order[d, span]
+            got[some] += self.values[d, span] * q[d]
+            seen[d, some] = 1
+            last[d] = far[d] if depth[d] == n else (self.values[d, depth[d] - 1] if q[d] < 0 else self.values[d, n - depth[d]]) * q[d]
+            rest += turns[0][0] + (last[d] - far[d])
+            heapreplace(turns, (-(last[d] - far[d]), d))
+            if turns[0][0] < 0 and rest * SHRUNK[1] > limit * SHRUNK[0]:
+                continue
+            limit = rest
+            # bounds of the candidates read so far, from the lists that didn't show them
+            bounds = np.stack([far, last, np.ones_like(far)]) @ seen
+            lower = got + far.sum() - bounds[0]
+            known = others[bounds[2, others] > 0]
+            if len(known) >= k:
+                kth = np.partition(lower[known], len(known) - k)[len(known) - k]
+                if last.sum() < kth or len(known) == len(others):  # no outsider can qualify
+                    upper = got[known] + last.sum() - bounds[1, known]
+                    may = known[upper >= kth]
+                    if len(may) <= max(4 * k, n // RESOLVED):
+                        break
+            if turns[0][0] == 0:
+                break
+        score = self.x[may] @ q
+        best = sorted(zip((-score).tolist(), self.ids[may].tolist()))[:k]
+        return [(i, int(-s)) for s, i in best], sum(depth.values()) / max(1, n * len(depth))
 
 
 def _search(k: int):
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, int, int]] = []
         if len(candidates) and len(queries):
-            width = max(candidates["v"].map(len).max(), queries["v"].map(len).max())
-            x, q = _matrix(candidates["v"], width), _matrix(queries["v"], width)
-            largest = float(np.abs(x).max()) * float(np.abs(q).max()) * width
-            kind = "float32" if largest < 2**23 else "float64" if largest < 2**52 else "int64"
-            rows = block_top_k(candidates["vec_id"].to_numpy(), x.astype(kind), queries["vec_id"].to_numpy(), q.astype(kind), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+            sizes = [max((len(v) for v in side["v"]), default=0) for side in (candidates, queries)]
+            peaks = [max((float(np.abs(v).max()) for v in side["v"] if len(v)), default=0.0) for side in (candidates, queries)]
+            width = max(1, *sizes)
+            largest = peaks[0] * peaks[1] * width
+            kind = "float32" if largest < 2**23 else "float64" if largest < 2**52 else "object"
+            lists = SortedLists(candidates["vec_id"].to_numpy(), _matrix(candidates["v"], width, kind))
+            for query_id, q in zip(queries["vec_id"].tolist(), _matrix(queries["v"], width, kind)):
+                found, _ = lists.top_k(query_id, q, k)
+                # a score beyond a long still ranks by its true value: here by its place in the group
+                rows += [(query_id, i, min(max(s, LEAST), MOST), f"{s:+d}") for i, s in found]
+        out = pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "exact"])
+        return out.astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
     return run
 
@@ -100,9 +134,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     c_blocks, q_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), each(c_blocks).alias("cb"), "vec_id", "v")
+    queries = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), each(c_blocks).alias("cb"), F.col("vec_id").alias("vec_id"), "v")  # a column of its own on this side
     candidates = vectors.select(F.pmod(F.monotonically_increasing_id(), F.lit(c_blocks)).cast("int").alias("cb"), each(q_blocks).alias("qb"), "vec_id", "v")
     let_workers_import(vectors.sparkSession)
-    best = candidates.groupBy("cb", "qb").cogroup(queries.groupBy("cb", "qb")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = candidates.groupBy("cb", "qb").cogroup(queries.groupBy("cb", "qb")).applyInPandas(_search(k), "query_id long, vec_id long, score long, exact string")
+    # beyond a long, whole numbers compare by sign, number of digits and digits
+    digits = F.substring("exact", 2, 1 << 20)
+    up = F.col("exact").startswith("+")
+    beyond = F.when(F.col("score").isin(LEAST, MOST), F.struct(F.when(up, F.length(digits)).otherwise(-F.length(digits)).alias("size"), F.when(up, digits).otherwise(F.translate(digits, "0123456789", "9876543210")).alias("digits")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(beyond), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,31 +11,41 @@ from pyspark.sql import functions as F
 from skysift.llm import decontaminate, topk
 
 
-def test_top_k_same_as_brute_force(spark):
+def test_top_k_same_as_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vectors = [(i, rng.normal(0, 0.3, 16).tolist(), 0) for i in range(300)] + [(400 + i, [0.5] * 16, 0) for i in range(30)]
-    vectors += [(500, None, 0), (520, [1.0, None] * 8, 0), (540, [math.nan] * 16, 0), (560, [math.inf] * 16, 0), (580, [], 0), (600, [1e300] * 16, 0), (601, [0.25] * 4, 0)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score int")
-    got = {}
-    for r in topk.top_k(topk.quantized(df), F.col("vec_id") % 20 == 0, 7).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    usable = {i: [math.floor(64 * x) for x in v] for i, v, _ in vectors if v and all(x is not None and math.isfinite(x) and abs(x) < 1e15 for x in v)}
-    for q in (i for i in usable if i % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q)[:7]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    assert set(got) == {i for i in usable if i % 20 == 0}
-
-
-def test_bounds_resolve_early():
+    vectors += [(500, None, 0), (520, [1.0, None] * 8, 0), (540, [math.nan] * 16, 0), (560, [math.inf] * 16, 0), (580, [], 0), (601, [0.25] * 4, 0), (602, [1e308], 0), (None, [9.0] * 16, 0)]
+    extreme = [(603, [1e15, 1.0], 0), (640, [-3e15, 2.0], 0), (620, [1e300] * 16, 0), (621, [2e300, -1e299], 0), (622, [-1e300], 0), (600, [1e-300, -1e15], 0)]
+    for rows, blocks in ((vectors, (8192, 2048)), (vectors, (60, 5)), (vectors + extreme, (60, 5))):
+        monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks[0])
+        monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[1])
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+        got = {}
+        for r in topk.top_k(topk.quantized(df), F.col("vec_id") % 20 == 0, 7).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        usable = {i: [math.floor(64 * x) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(64 * x) for x in v)}
+        for q in (i for i in usable if i % 20 == 0):
+            scores = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q)[:7]
+            assert sorted(got[q]) == [(n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(scores)]
+        assert set(got) == {i for i in usable if i % 20 == 0}
+
+
+def test_reading_stops_when_outsiders_cannot_qualify():
     rng = np.random.default_rng(2)
-    x = rng.integers(-5, 5, (2000, 4)).astype("float64")
+    x = rng.integers(-5, 5, (2000, 4))
     x[:40] += 60
-    ids, q = np.arange(2000), np.array([[3.0, 2.0, 1.0, 4.0], [-1.0, -2.0, 0.0, -3.0]])
-    got = topk.block_top_k(ids, x, np.array([-1, -2]), q, 5)
-    for k, query in enumerate((-1, -2)):
-        s = x @ q[k]
-        best = np.lexsort((ids, -s))[:5]
-        assert [(i, v) for a, i, v in got if a == query] == [(int(i), int(s[i])) for i in best]
+    lists = topk.SortedLists(np.arange(2000), x.astype(float))
+    for query, most in (([3, 2, 1, 4], 0.2), ([-1, -2, 0, -3], 1.0), ([0, 0, 0, 0], 0.0), ([1000, 1, 1, 1], 0.9)):
+        q = np.array(query, float)
+        found, share = lists.top_k(-1, q, 5)
+        s = x @ q
+        assert found == [(int(i), int(s[i])) for i in np.lexsort((np.arange(2000), -s))[:5]] and share <= most
+
+
+def test_repeated_ids_meet_no_own_rows(spark):
+    df = spark.createDataFrame([(20, [1.0]), (20, [2.0]), (3, [5.0]), (3, [5.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(topk.quantized(df), F.col("vec_id") % 20 == 0).collect())
+    assert got == [(20, 1, 3, 64 * 320), (20, 2, 3, 64 * 320)]
 
 
 def test_top_k_of_empty_and_few(spark):
