@@ -6,13 +6,16 @@ of the greatest sum, whole blocks being kept together. The weights come from lab
 author marked the article with <article> counts, for each tag and kind of word, how often it stands inside
 and outside; grouped aggregation over the whole table adds the counts up, and their log-odds are the weights.
 All pages, marked or not, are then judged by these weights alone: an <article> is a label when the weights are
-fitted, and one more tag when a page is extracted. Parts inside the region that are menus, adverts, forms,
-notices, comments, scripts and so on are left out, by their elements or the words in their class, id or role;
-their words count as such a part's, and their tags don't count again.
+fitted, and one more tag when a page is extracted. Words are of two kinds: those of menus, adverts, forms,
+notices, comments and so on, known by their elements or by names (class, id, role) made of listed words, and
+all others. The kind is a feature like a tag: its weight is learned, blocks of a kind that scores negative are
+left out of the region, and the tags inside such parts don't count again.
 
 Defined results: null or empty html, and pages without content words, give an empty text. Unclosed elements
 end with the block that cannot hold them or with the page; an unclosed comment, script or style hides the
-rest. Character references are decoded once. Repeated pages are extracted alike.
+rest, while elements with a longer name of their own (svg-icon) are elements like any other. Character
+references are decoded once. Repeated pages are extracted alike, and of equally good regions the first counts. Pages
+of any length and depth take time in proportion to their length. A column by the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 from skysift.llm.common import let_workers_import
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|title|xmp|noembed|noframes"
-TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article's text.
@@ -48,24 +51,61 @@ ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html
 FEATURES = BLOCKS | VOID | {"a", "b", "strong", "i", "em", "u", "s", "span", "code", "q", "cite", "small", "sub", "sup", "font", "time", "abbr", "mark", "other"}
 
 
-#: Words that make a "header" part of the article, as in article-header; articles that aren't the page's own; hidden elements.
-OWN_WORDS = frozenset("article entry post story content".split())
+#: Words that may stand beside those in a name without changing what it is.
+FILLER = frozenset("area bar block body bottom box center column container content div group heading holder inner item items large layer left link links list middle outer page panel placeholder region right row section side site slot small text top unit wrap wrapper".split())
+#: Articles that aren't the page's own; hidden elements.
 NOT_OWN = frozenset("comment comments reply ad advert related teaser".split())
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 
 
 def _aside(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is of a kind that isn't the article's text. A class, id or role counts if it is made of listed and filling words only."""
     if name in ASIDE or name == "header" and not in_article:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
-    words = {w for found in NAMED.findall(attributes) for w in re.split(r"[^a-z]+", "".join(found).lower())}
-    if name == "article":
-        return bool(words & NOT_OWN)
-    listed = words & ASIDE_WORDS
-    if listed == {"header"} and words & OWN_WORDS:
-        listed = set()
-    return bool(listed) or HIDDEN.search(attributes) is not None
+    names = [[w for w in re.split(r"[^a-z]+", n) if len(w) > 1] for found in NAMED.findall(attributes) for n in "".join(found).lower().split()]
+    listed = NOT_OWN if name == "article" else ASIDE_WORDS
+    if any(any(w in listed for w in n) and all(w in listed or w in FILLER for w in n) for n in names):
+        return True
+    return name != "article" and HIDDEN.search(attributes) is not None
+
+
+class _Open:
+    """The open elements, with the places of each name and of the blocks among them, so that each tag takes constant time."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # name, aside, article
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.asides = self.articles = 0
+
+    def push(self, name: str, aside: bool) -> None:
+        own = name == "article" and not aside
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, aside, own))
+        self.asides += aside
+        self.articles += own
+
+    def last(self, name: str) -> int | None:
+        places = self.places.get(name)
+        return places[-1] if places else None
+
+    def pop(self, to: int | None) -> None:
+        """Close the elements from a place on."""
+        while to is not None and len(self.stack) > to:
+            name, aside, own = self.stack.pop()
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            self.asides -= aside
+            self.articles -= own
+
+
+#: An element ends an open one beside it of these names.
+ENDS = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
 
 def parts(page: str) -> list[tuple]:
@@ -74,54 +114,36 @@ def parts(page: str) -> list[tuple]:
     inside tells whether an <article> (or else <main>) is open.
     """
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, aside, article
-    aside = articles = 0
+    now = _Open()
     at = 0
-
-    def pop(to: int) -> None:
-        nonlocal aside, articles
-        for _, a, m in stack[to:]:
-            aside -= a
-            articles -= m
-        del stack[to:]
-
     for m in TAG.finditer(page):
         if m.start() > at:
-            out.append(("text", page[at : m.start()], "aside" if aside else "word", articles > 0))
+            out.append(("text", page[at : m.start()], "aside" if now.asides else "word", now.articles > 0))
         at = m.end()
         name = (m[3] or "").lower()
         if m[1]:
-            out.append(("tag", "other", articles > 0, aside > 0))
+            out.append(("tag", "other", now.articles > 0, now.asides > 0))
         if not name:
             continue
+        top = now.blocks[-1] if now.blocks else -1  # the innermost open block
         if m[2]:
             if name in BLOCKS or name in FEATURES:
-                out.append(("tag", name, articles > 0, aside > 0))
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            # an inline end tag doesn't close blocks, nor a block that stands outside of an aside one
-            if depth is not None and (name in BLOCKS or all(s[0] not in BLOCKS for s in stack[depth:])):
-                pop(depth)
+                out.append(("tag", name, now.articles > 0, now.asides > 0))
+            place = now.last(name)
+            if name in BLOCKS or place is not None and place > top:  # an inline end tag doesn't close blocks
+                now.pop(place)
             continue
-        if name in ENDS_P:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if depth is not None and not any(s[0] in BLOCKS for s in stack[depth + 1 :]):
-                pop(depth)
-        if name in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            same = ("td", "th") if name in ("td", "th") else ("dt", "dd") if name in ("dt", "dd") else (name,)
-            if stack and stack[-1][0] in same:
-                pop(len(stack) - 1)
+        if name in ENDS_P and top >= 0 and now.stack[top][0] == "p":
+            now.pop(top)
+        if now.stack and now.stack[-1][0] in ENDS.get(name, ()):
+            now.pop(len(now.stack) - 1)
         if name in ("body", "article", "main"):
-            depth = next((i for i, s in enumerate(stack) if s[0] == "head"), None)
-            if depth is not None:
-                pop(depth)
+            now.pop(now.last("head"))
         if name not in VOID and not (m[4] or "").endswith("/"):
-            a = _aside(name, m[4] or "", articles > 0)
-            stack.append((name, a, name == "article" and not a))
-            aside += a
-            articles += stack[-1][2]
-        out.append(("tag", name if name in FEATURES else "other", articles > 0, aside > 0))
+            now.push(name, _aside(name, m[4] or "", now.articles > 0))
+        out.append(("tag", name if name in FEATURES else "other", now.articles > 0, now.asides > 0))
     if at < len(page):
-        out.append(("text", page[at:], "aside" if aside else "word", articles > 0))
+        out.append(("text", page[at:], "aside" if now.asides else "word", now.articles > 0))
     return out
 
 
@@ -197,21 +219,25 @@ def to_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
-def main_text(page: str | None, weight: dict[str, float]) -> str:
-    """The blocks of the best region that aren't asides, one on each line."""
-    seq, _ = blocks(page or "")
-    total, start, best, region = 0.0, 0, 0.0, (0, 0)
-    for i, x in enumerate(seq):
-        if x[0] == "tag":
-            score = 0.0 if x[3] else weight.get(x[1], -0.5)
-        else:
-            score = x[2] * weight[f"words:{x[3]}"]
+def region(scores: list[float]) -> tuple[int, int]:
+    """The first and shortest of the contiguous ranges with the greatest sum; empty if no sum is positive."""
+    total, start, best, found = 0.0, 0, 0.0, (0, 0)
+    for i, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
         total += score
         if total > best:
-            best, region = total, (start, i + 1)
-    return "\n".join(x[1] for x in seq[slice(*region)] if x[0] == "block" and x[3] == "word")
+            best, found = total, (start, i + 1)
+    return found
+
+
+def main_text(page: str | None, weight: dict[str, float]) -> str:
+    """The blocks of the best region whose words score positive, one on each line."""
+    seq, _ = blocks(page or "")
+    word = {kind: weight.get(f"words:{kind}", 0.0) for kind in ("word", "aside")}
+    # the tags of an aside part don't count beside its words
+    scores = [x[2] * word[x[3]] if x[0] == "block" else 0.0 if x[3] else weight.get(x[1], -0.5) for x in seq]
+    return "\n".join(x[1] for x in seq[slice(*region(scores))] if x[0] == "block" and word[x[3]] > 0)
 
 
 def extract(pages: DataFrame, weight: dict[str, float], column: str = "html", text: str = "text") -> DataFrame:

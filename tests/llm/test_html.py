@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 from skysift.llm import html_extract as H
 
 WEIGHT = H.to_weights({("words:word", True): 900, ("words:word", False): 20, ("words:aside", False): 300, ("p", True): 80, ("p", False): 2, ("a", False): 90, ("li", False): 90, ("div", False): 10, ("article", True): 10, ("nav", False): 10})
@@ -43,3 +46,34 @@ def test_main_text_outside_of_the_mark():
     for card in ("<article><p>Read on</p></article>", '<article class="card"><a href="/x">Other story</a></article>'):
         got = H.main_text(AROUND[0] + card + "<ul>" + '<li><a href="/b">more</a></li>' * 9 + "</ul><div>" + BODY + "</div>" + AROUND[1], WEIGHT)
         assert got == WANT
+
+
+def test_custom_elements_and_names_of_content():
+    page = AROUND[0] + "<article><p>First part of it</p><svg-icon></svg-icon><title-bar>x</title-bar><p>Second part of it</p>" + '<div class="social-history"><p>Third part of it</p></div><div class="social share-box"><p>Share it</p></div></article>' + AROUND[1]
+    assert H.main_text(page, WEIGHT) == "First part of it\nx\nSecond part of it\nThird part of it"
+
+
+def test_region_same_as_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        scores = [rng.choice([-3, -2, -1, -0.5, 0, 1, 2, 5]) for _ in range(rng.randint(0, 14))]
+        start, end = H.region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        assert sum(scores[start:end]) == max(best, 0) and (best > 0 or start == end)
+
+
+def test_the_weights_decide():
+    page = AROUND[0] + "<div>" + BODY + "</div><table><tr><td>cell</td></tr></table><p>Far away words</p>" + AROUND[1]
+    near = {**WEIGHT, "table": -0.1, "tr": -0.1, "td": -0.1, "div": -0.1, "p": -0.1}
+    far = {**near, "table": -200.0}
+    assert H.main_text(page, near) == WANT + "\ncell\nFar away words" and H.main_text(page, far) == WANT
+    learned = H.to_weights(H.tag_counts("<body><p>a b</p><table><tr><td>x y z</td></tr></table><article><p>c d e f</p></article></body>"))
+    assert learned["table"] < learned["p"] < 0 < learned["words:word"]
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    for some in ("<div>", "<b>", "<p><td>", "<div><b>", "<li>", "<p>x<b>", "</p>"):
+        began = time.process_time()
+        page = some * (100_000 // len(some.split("<")[1:])) + "<hr>" * 50_000 + "last words here"
+        assert H.main_text(page, {**H.to_weights({}), "words:word": 1e9}).endswith("last words here")
+        assert time.process_time() - began < 20
