@@ -1,16 +1,15 @@
 """Spectral lines in pixels: continuum, masks, matched filter, peaks, classification, injection and recovery.
 
-Statistics of pixels are window functions over the long form, partitioned by spectrum. The peak search depends
-on the order of peaks inside one spectrum only, so it runs over batches of whole spectra, one row each,
-without a shuffle.
+Everything works on the long form, one row for each pixel, pix counting from 0 without gaps. The filter is a sum
+of lagged pixels, a peak is the greatest value of its neighbourhood, and its shape comes from an equi-join of the
+few peaks with the pixels of their own spectrum, so that all of it is windows, joins and grouped aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +20,12 @@ c = F.col
 RESOLUTION = {"DESI": 3000.0, "SDSS": 2000.0, "BOSS": 2000.0}
 
 
-def continuum(pixels: DataFrame, window: int = 101) -> DataFrame:
+def continuum(pixels: DataFrame, window: int = 101, keys: Sequence[str] = ("spec_id",)) -> DataFrame:
     """Add continuum: the running median over an odd window of pixels, mirrored at both ends.
 
     The window is clipped to the spectrum's length.
     """
-    w = Window.partitionBy("spec_id")
+    w = Window.partitionBy(*keys)
     p = pixels.withColumn("_n", F.count(F.lit(1)).over(w))
     half = F.floor((F.least(F.lit(window), F.when(c("_n") % 2 == 1, c("_n")).otherwise(c("_n") - 1)) - 1) / 2).cast("int")
     p = p.withColumn("_h", half)
@@ -57,74 +56,96 @@ def to_arrays(pixels: DataFrame, *columns: str) -> DataFrame:
     return one.select("spec_id", *map(field, columns))
 
 
-def _median_filter(flux: np.ndarray, window: int) -> np.ndarray:
-    n = len(flux)
-    window = min(window, n if n % 2 else n - 1)
-    half = window // 2
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(flux, half, mode="reflect"), window), axis=1)
-
-
-def lines_of(wave: np.ndarray, flux: np.ndarray, ivar: np.ndarray, sigma: float, snr_min: float = 8.0, window: int = 101, apart: int = 3, absorption: bool = False) -> list[dict]:
-    """Peaks of the matched filter with their shapes, left to right, at least ``apart`` pixels from one another."""
-    n = len(flux)
-    if n < 5:
-        return []
-    good = (ivar > 0) & np.isfinite(ivar) & np.isfinite(flux)
-    flux = np.where(np.isfinite(flux), flux, 0.0)
-    level = _median_filter(flux, window)
-    excess = (level - flux) if absorption else (flux - level)
-    snr = np.where(good, excess * np.sqrt(np.where(good, ivar, 0.0)), 0.0)
-    half = max(1, int(np.ceil(4 * sigma)))
-    kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
-    strength = np.convolve(snr, kernel / np.sqrt((kernel**2).sum()), mode="same")
-    step = float(np.median(np.diff(wave)))
-    out, free = [], 1
-    for i in np.flatnonzero((strength[1:-1] >= snr_min) & (strength[1:-1] >= strength[:-2]) & (strength[1:-1] >= strength[2:])) + 1:
-        if i < free:
-            continue
-        lo, free = max(0, i - apart), min(n, i + apart + 1)
-        j = lo + int(strength[lo:free].argmax())
-        peak = excess[j]
-        if absorption and level[j] > 0 and peak > 0.95 * level[j]:
-            continue
-        a, b = max(0, j - half), min(n, j + half + 1)
-        seg, x = np.clip(excess[a:b], 0, None), np.arange(a, b) - j
-        width = np.nan
-        if seg.sum() > 0:
-            mean = (x * seg).sum() / seg.sum()
-            width = np.sqrt(((x - mean) ** 2 * seg).sum() / seg.sum()) / sigma
-        below = np.flatnonzero(excess < 0.5 * peak)
-        left, right = below[below < j], below[below > j]
-        fwhm = ((right[0] if len(right) else n) - (left[-1] if len(left) else -1) - 1) if peak > 0 else 0
-        near = np.delete(excess[max(0, j - 3) : j + 4], j - max(0, j - 3))
-        blue, red = np.clip(excess[max(0, j - 3) : j], 0, None).sum() + 1e-9, np.clip(excess[j + 1 : j + 4], 0, None).sum() + 1e-9
-        around = ivar[max(0, j - 150) : j + 151]
-        typical = np.median(around[np.isfinite(around) & (around >= 0)])
-        out.append({
-            "pix": j, "wavelength": wave[j], "significance": strength[j], "width_ratio": width, "amplitude": peak, "fwhm": float(fwhm), "n_pix": int((snr[a:b] > 1).sum()),
-            "ew": np.clip(excess[lo:free], 0, None).sum() * step / level[j] if level[j] else np.nan, "min_adjacent": near.min() / peak if peak > 0 else 0.0, "asymmetry": max(blue / red, red / blue) if peak > 0 else 1.0,
-            "ivar_ratio": ivar[j] / typical if typical > 0 else 1.0,
-        })
-    return out
-
-
-LINE = "pix int, wavelength double, significance double, width_ratio double, amplitude double, fwhm double, n_pix int, ew double, min_adjacent double, asymmetry double, ivar_ratio double"
-
-
-def find_lines(spectra: DataFrame, sigma: float = 1.5, snr_min: float = 8.0, window: int = 101, absorption: bool = False, forest: int = 25) -> DataFrame:
-    """(spec_id, line columns) from rows with wave, flux and ivar arrays; spectra with a forest of absorption lines are left out."""
-    columns = [x.split()[0] for x in LINE.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                found = lines_of(np.asarray(r.wave, float), np.asarray(r.flux, float), np.asarray(r.ivar, float), sigma, snr_min, window, absorption=absorption)
-                if not absorption or len(found) <= forest:
-                    rows += [(r.spec_id, *(x[k] for k in columns)) for x in found]
-            yield pd.DataFrame(rows, columns=["spec_id", *columns])
-
-    return spectra.filter((F.size("flux") >= 5) & (F.size("flux") == F.size("wave")) & (F.size("ivar") == F.size("wave"))).select("spec_id", "wave", "flux", "ivar").mapInPandas(run, f"spec_id long, {LINE}")
+def spread_sigma(pixels: DataFrame, releases: DataFrame) -> DataFrame:
+    """(spec_id, sigma): width of an unresolved line in pixels, from the resolving power of the spectrum's release.
+
+    releases: (spec_id, release). It is taken at the middle pixel, is at least 0.6, and 1 where the release or
+    the dispersion isn't known.
+    """
+    step = F.abs(c("wave") - F.lag("wave").over(Window.partitionBy("spec_id").orderBy("pix")))
+    one = pixels.select("spec_id", "pix", "wave", step.alias("_d"), F.count(F.lit(1)).over(Window.partitionBy("spec_id")).alias("_n"))
+    one = one.groupBy("spec_id").agg(F.percentile("_d", F.lit(0.5)).alias("_step"), F.max(F.when(c("pix") == F.floor(c("_n") / 2), c("wave"))).alias("_mid"))
+    power = F.lit(None).cast("double")
+    for name, value in RESOLUTION.items():
+        power = F.when(c("release").startswith(name), F.lit(value)).otherwise(power)
+    sigma = c("_mid") / power / 2.3548 / F.when(c("_step") > 0, c("_step"))
+    return one.join(releases.select("spec_id", "release"), "spec_id", "left").select("spec_id", F.coalesce(F.greatest(sigma, F.lit(0.6)), F.lit(1.0)).alias("sigma"))
+
+
+def kernel(sigma: float) -> list[float]:
+    """Gaussian weights with a sum of squares of 1, four sigma to each side."""
+    half = max(1, math.ceil(4 * sigma))
+    raw = [math.exp(-0.5 * (x / sigma) ** 2) for x in range(-half, half + 1)]
+    norm = math.sqrt(sum(x * x for x in raw))
+    return [x / norm for x in raw]
+
+
+def filtered(pixels: DataFrame, sigma: float, window: int, absorption: bool, keys: Sequence[str]) -> DataFrame:
+    """Spectra of five pixels or more with n, continuum, excess over (or under) it, pixel_snr, and strength, the matched filter's output."""
+    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("pix")
+    finite = lambda x: c(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    p = pixels.select(*keys, "pix", "wave", "ivar", F.when(finite("flux"), c("flux")).otherwise(0.0).alias("flux"), (finite("flux") & finite("ivar") & (c("ivar") > 0)).alias("good"))
+    p = continuum(p.withColumn("n", F.count(F.lit(1)).over(whole)).filter("n >= 5"), window, keys)
+    p = p.withColumn("excess", c("continuum") - c("flux") if absorption else c("flux") - c("continuum"))
+    p = p.withColumn("pixel_snr", F.when(c("good"), c("excess") * F.sqrt("ivar")).otherwise(0.0))
+    weights = kernel(sigma)
+    half = len(weights) // 2
+    strength = F.lit(0.0)
+    for x, k in zip(range(-half, half + 1), weights):
+        strength = strength + F.lag("pixel_snr", x, 0.0).over(order) * k
+    return p.withColumn("strength", strength)
+
+
+def find_lines(pixels: DataFrame, sigma: float = 1.5, snr_min: float = 8.0, window: int = 101, absorption: bool = False, forest: int = 25, apart: int = 3, keys: Sequence[str] = ("spec_id",)) -> DataFrame:
+    """(keys, line columns): peaks of the matched filter with their shapes.
+
+    A peak is an inner pixel that reaches snr_min and isn't exceeded within ``apart`` pixels, the first one of
+    equals. Troughs of nearly the whole continuum are no absorption lines, and spectra with a forest of those
+    are left out.
+    """
+    order = Window.partitionBy(*keys).orderBy("pix")
+    half = len(kernel(sigma)) // 2
+    p = filtered(pixels, sigma, window, absorption, keys)
+    around, before = F.max("strength").over(order.rowsBetween(-apart, apart)), F.max("strength").over(order.rowsBetween(-apart, -1))
+    p = p.withColumns({"_around": around, "_before": before, "_step": c("wave") - F.lag("wave").over(order)})
+    top = (c("strength") >= snr_min) & (c("strength") == c("_around")) & (c("_before").isNull() | (c("strength") > c("_before"))) & c("pix").between(1, c("n") - 2)
+    peaks = p.filter(top).select(*keys, c("pix").alias("at"), c("wave").alias("wavelength"), c("strength").alias("significance"), c("excess").alias("amplitude"), c("continuum").alias("level"), c("ivar").alias("own"), "n")
+    if absorption:
+        peaks = peaks.filter((c("level") <= 0) | (c("amplitude") <= c("level") * 0.95))
+        peaks = peaks.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(c("_many") <= forest).drop("_many")
+    x, light = c("pix") - c("at"), F.greatest("excess", F.lit(0.0))
+    inside, low = F.abs(x) <= half, c("excess") < c("amplitude") * 0.5
+    near = peaks.join(p.select(*keys, "pix", "excess", "pixel_snr", "ivar", "_step"), list(keys))
+    one = near.groupBy(*peaks.columns).agg(
+        F.sum(F.when(inside, light)).alias("s0"),
+        F.sum(F.when(inside, light * x)).alias("s1"),
+        F.sum(F.when(inside, light * x * x)).alias("s2"),
+        F.count_if(inside & (c("pixel_snr") > 1)).cast("int").alias("n_pix"),
+        F.max(F.when((x < 0) & low, c("pix"))).alias("left"),
+        F.min(F.when((x > 0) & low, c("pix"))).alias("right"),
+        F.min(F.when(F.abs(x).between(1, 3), c("excess"))).alias("least"),
+        (F.coalesce(F.sum(F.when(x.between(-3, -1), light)), F.lit(0.0)) + 1e-9).alias("blue"),
+        (F.coalesce(F.sum(F.when(x.between(1, 3), light)), F.lit(0.0)) + 1e-9).alias("red"),
+        F.sum(F.when(F.abs(x) <= apart, light)).alias("flux"),
+        F.percentile(F.when((F.abs(x) <= 150) & (c("ivar") >= 0) & ~F.isnan("ivar"), c("ivar")), F.lit(0.5)).alias("typical"),
+        F.percentile("_step", F.lit(0.5)).alias("step"),
+    )
+    up = c("amplitude") > 0
+    spread = F.greatest(c("s2") / c("s0") - F.pow(c("s1") / c("s0"), 2), F.lit(0.0))
+    return one.select(
+        *keys,
+        c("at").cast("int").alias("pix"),
+        "wavelength",
+        "significance",
+        F.when(c("s0") > 0, F.sqrt(spread) / sigma).otherwise(float("nan")).alias("width_ratio"),
+        "amplitude",
+        F.when(up, F.coalesce("right", "n") - F.coalesce("left", F.lit(-1)) - 1).otherwise(0).cast("double").alias("fwhm"),
+        "n_pix",
+        F.when(c("level") != 0, c("flux") * c("step") / c("level")).otherwise(float("nan")).alias("ew"),
+        F.when(up, c("least") / c("amplitude")).otherwise(0.0).alias("min_adjacent"),
+        F.when(up, F.greatest(c("blue") / c("red"), c("red") / c("blue"))).otherwise(1.0).alias("asymmetry"),
+        F.when(c("typical") > 0, c("own") / c("typical")).otherwise(1.0).alias("ivar_ratio"),
+    )
 
 
 def _near(w: Column, lines: tuple[float, ...], tolerance: float, stretch: Column | None = None) -> Column:
@@ -185,22 +206,23 @@ def reasons(lines: DataFrame, reason: Column | None = None) -> DataFrame:
     return lines.groupBy(F.coalesce(reject_reason() if reason is None else reason, F.lit("survives")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def injected(spectra: DataFrame, strengths: tuple[float, ...] = (8.0, 15.0, 50.0), sigma: float = 1.5, margin: int = 8) -> DataFrame:
-    """Each spectrum once for each strength, with a Gaussian line of that matched-filter S/N at a pixel chosen by its id."""
-    rows = spectra.withColumn("snr", F.explode(F.array(*map(F.lit, strengths))))
-    n = F.size("flux")
-    rows = rows.withColumn("at", F.pmod(c("spec_id") * 2654435761 + (c("snr") * 40503).cast("bigint"), F.greatest(n - 2 * margin, F.lit(1))).cast("int") + margin)
-    amplitude = c("snr") / F.sqrt(F.lit(sigma * np.sqrt(np.pi))) / F.sqrt(F.element_at("ivar", c("at") + 1))
-    line = F.transform("flux", lambda f, i: f + amplitude * F.exp(F.pow((i - c("at")) / sigma, 2) * -0.5))
-    return rows.withColumn("flux", line)
+def injected(pixels: DataFrame, strengths: tuple[float, ...] = (8.0, 15.0, 50.0), sigma: float = 1.5, margin: int = 8) -> DataFrame:
+    """Each spectrum once for each strength, with a Gaussian line of that matched-filter S/N at a pixel (column at) chosen by its id."""
+    p = pixels.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("spec_id"))).withColumn("snr", F.explode(F.array(*map(F.lit, strengths))))
+    number = F.pmod(c("spec_id"), F.lit(2147483648)) * 2654435761 + (c("snr") * 40503).cast("bigint")
+    p = p.withColumn("at", (F.pmod(number, F.greatest(c("_n") - 2 * margin, F.lit(1))) + margin).cast("int"))
+    own = F.max(F.when(c("pix") == c("at"), c("ivar"))).over(Window.partitionBy("spec_id", "snr"))
+    amplitude = c("snr") / math.sqrt(sigma * math.sqrt(math.pi)) / F.sqrt(own)
+    return p.withColumn("flux", c("flux") + amplitude * F.exp(F.pow((c("pix") - c("at")) / sigma, 2) * -0.5)).drop("_n")
 
 
-def recovery(spectra: DataFrame, strengths: tuple[float, ...] = (8.0, 15.0, 50.0), sigma: float = 1.5, within: float = 2.5) -> DataFrame:
+def recovery(pixels: DataFrame, strengths: tuple[float, ...] = (8.0, 15.0, 50.0), sigma: float = 1.5, within: float = 2.5) -> DataFrame:
     """(snr, n, recovered): share of injected lines that the search and the classifier give back."""
-    put = injected(spectra, strengths, sigma).withColumn("_id", c("spec_id") * len(strengths) + F.array_position(F.array(*map(F.lit, strengths)), c("snr")) - 1)
-    found = candidates(find_lines(put.select(c("_id").alias("spec_id"), "wave", "flux", "ivar"), sigma, 7.0)).select(c("spec_id").alias("_id"), "pix")
-    hit = put.select("_id", "snr", "at").join(found, "_id", "left").withColumn("_hit", F.coalesce(F.abs(c("pix") - c("at")) <= within, F.lit(False)))
-    return hit.groupBy("_id", "snr").agg(F.bool_or("_hit").alias("h")).groupBy("snr").agg(F.count(F.lit(1)).alias("n"), F.avg(c("h").cast("double")).alias("recovered"))
+    put = injected(pixels, strengths, sigma)
+    found = find_lines(put, sigma, 7.0, keys=("spec_id", "snr")).filter(reject_reason().isNull()).select("spec_id", "snr", c("pix").alias("_found"))
+    places = put.filter(c("pix") == c("at")).select("spec_id", "snr", "at")
+    hit = places.join(found, ["spec_id", "snr"], "left").withColumn("_hit", F.coalesce(F.abs(c("_found") - c("at")) <= within, F.lit(False)))
+    return hit.groupBy("spec_id", "snr").agg(F.bool_or("_hit").alias("h")).groupBy("snr").agg(F.count(F.lit(1)).alias("n"), F.avg(c("h").cast("double")).alias("recovered"))
 
 
 def excess_at(pixels: DataFrame, targets: DataFrame, inner: float = 4.0, outer: float = 60.0) -> DataFrame:

@@ -20,9 +20,12 @@ KNOWN = known_lines(EMISSION, STELLAR, INTERSTELLAR, DIFFUSE, SKY)
 
 
 def nearest_line(w: Column, lines: list[float]) -> Column:
-    """The nearest of some lines as struct (gap, line); ties to the lower line."""
+    """The nearest of some lines in ascending order as struct (gap, line); ties to the lower line."""
     table = F.array(*map(F.lit, lines))
-    return F.array_min(F.transform(table, lambda x: F.struct(F.abs(w - x).alias("gap"), x.alias("line"))))
+    middles = F.array(*(F.lit((a + b) / 2) for a, b in zip(lines, lines[1:])))
+    place = F.aggregate(middles, F.lit(1), lambda n, m: n + (w > m).cast("int")) if len(lines) > 1 else F.lit(1)
+    line = F.element_at(table, place)
+    return F.struct(F.abs(w - line).alias("gap"), line.alias("line"))
 
 
 def velocity(w: Column, lines: list[float]) -> Column:
@@ -48,17 +51,41 @@ def excluded_bandwidth(lines: DataFrame, kms: float, low: float = 3600.0, high:
     return isles.agg(F.sum("len").alias("excluded")).select("excluded", (c("excluded") / (high - low)).alias("fraction"))
 
 
+def running_totals(events: DataFrame, points: DataFrame, inclusive: bool, cell: float = 1.0) -> DataFrame:
+    """(pos, total): for each distinct point, the sum of n over the events (pos, n) before it, those at it included or not.
+
+    Totals of whole cells of positions come from one row for each cell; only the events of a point's own cell
+    are sorted with it.
+    """
+    place = F.floor(c("pos") / cell).cast("bigint").alias("_cell")
+    late, early = F.lit(1), F.lit(0)
+    e = events.groupBy("pos").agg(F.sum("n").alias("n")).select("pos", "n", place, (early if inclusive else late).alias("_turn"))
+    q = points.select("pos").distinct().select("pos", F.lit(0).cast("bigint").alias("n"), place, (late if inclusive else early).alias("_turn"))
+    whole = e.groupBy("_cell").agg(F.sum("n").alias("_sum"))
+    cells = q.select("_cell").distinct().join(whole, "_cell", "full").select("_cell", F.coalesce("_sum", F.lit(0)).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("n").over(Window.partitionBy("_cell").orderBy("pos", "_turn").rowsBetween(Window.unboundedPreceding, 0))
+    both = e.unionByName(q).withColumn("_in", inside).filter(c("_turn") == (late if inclusive else early))
+    return both.join(cells.select("_cell", before.alias("_before")), "_cell").select("pos", (c("_in") + c("_before")).alias("total"))
+
+
 def recurrent(df: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Add n_spectra: distinct spectra with a line within tolerance, this one included.
 
-    Lines are dealt into bins of the tolerance; neighbouring bins hold all that can be near, so no single
-    task sees the whole list.
+    The lines of a spectrum cover disjoint runs of wavelengths; a wavelength's count is the number of runs that
+    begin at most at it, less those that end before it. No pair of lines is ever formed.
     """
-    marks = df.select("spec_id", "wavelength").distinct().withColumn("_b", F.floor(c("wavelength") / tolerance).cast("bigint"))
-    near = marks.select(c("spec_id").alias("_s"), c("wavelength").alias("_w"), F.explode(F.array(c("_b") - 1, c("_b"), c("_b") + 1)).alias("_b"))
-    points = df.select("wavelength").distinct().withColumn("_b", F.floor(c("wavelength") / tolerance).cast("bigint"))
-    n = points.join(near, "_b").filter(F.abs(c("wavelength") - c("_w")) <= tolerance).groupBy("wavelength").agg(F.countDistinct("_s").alias("n_spectra"))
-    return df.join(n, "wavelength")
+    marks = df.select("spec_id", "wavelength").distinct()
+    order = Window.partitionBy("spec_id").orderBy("wavelength")
+    new = F.coalesce(c("wavelength") - F.lag("wavelength").over(order) > 2 * tolerance, F.lit(True))
+    runs = marks.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(order)).groupBy("spec_id", "_run").agg(F.min("wavelength").alias("lo"), F.max("wavelength").alias("hi"))
+    points = df.select("wavelength").distinct()
+    # both sides are moved by the tolerance downwards, which doubles represent exactly
+    one = F.lit(1).cast("bigint").alias("n")
+    begun = running_totals(runs.select((c("lo") - tolerance).alias("pos"), one), points.select(c("wavelength").alias("pos")), True)
+    ended = running_totals(runs.select(c("hi").alias("pos"), one), points.select((c("wavelength") - tolerance).alias("pos")), False)
+    n = points.withColumn("_low", c("wavelength") - tolerance).join(begun.select(c("pos").alias("wavelength"), c("total").alias("_b")), "wavelength").join(ended.select(c("pos").alias("_low"), c("total").alias("_e")), "_low")
+    return df.join(n.select("wavelength", (c("_b") - c("_e")).alias("n_spectra")), "wavelength")
 
 
 def recurrent_bins(df: DataFrame, width: float = 2.0, least: int = 3) -> DataFrame:
@@ -79,24 +106,37 @@ def triage(df: DataFrame, lines: list[float], kms: float = 300.0, tolerance: flo
     return d.withColumn("verdict", verdict).drop("_r")
 
 
+def _by_middles(w: Column, middles: list[float], leaves: list[Column]) -> Column:
+    """The leaf of the interval between the middles that holds w, by halving."""
+    if not middles:
+        return leaves[0]
+    k = len(middles) // 2
+    return F.when(w <= middles[k], _by_middles(w, middles[:k], leaves[: k + 1])).otherwise(_by_middles(w, middles[k + 1 :], leaves[k + 1 :]))
+
+
 def redshift_families(df: DataFrame, kms: float = 250.0, z_min: float = -0.003, z_max: float = 1.2) -> DataFrame:
     """(spec_id, n_lines, n_matched, z, is_galaxy): the redshift under which most distinct rest lines are met.
 
-    Every observed line may be any rest line; that is at most 13 anchors for each line of a spectrum. Anchors
-    meet the spectrum's own lines only.
+    Every observed line may be any rest line; that is at most 13 anchors for each line of a spectrum. Under an
+    anchor's redshift each line of the spectrum stands for its nearest rest line only, if that is near enough;
+    the rest lines that are met are the bits of an integer.
     """
-    rest = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(w).alias("w")) for n, w in GALAXY))
+    rest = sorted(w for _, w in GALAXY)
+    bit = {name: 1 << rest.index(w) for name, w in GALAXY}
+    # in relative distance, the middle between two lines is their harmonic mean
+    middles = [2 * a * b / (a + b) for a, b in zip(rest, rest[1:])]
     lines = df.groupBy("spec_id").agg(F.sort_array(F.collect_set("wavelength")).alias("ws"))
-    anchors = lines.select("spec_id", "ws", F.explode("ws").alias("anchor")).select("spec_id", "ws", "anchor", F.posexplode(rest).alias("place", "line"))
-    anchors = anchors.withColumn("z", c("anchor") / c("line.w") - 1.0).filter(c("z").between(z_min, z_max))
-    # every observed line stands for its nearest rest line only
-    gaps = lambda w: F.transform(rest, lambda r: F.struct((F.abs(w / (r["w"] * (c("z") + 1.0)) - 1.0) * LIGHT_KMS).alias("gap"), r["w"].alias("w"), r["name"].alias("name")))
-    met = F.filter(F.transform("ws", lambda w: F.array_min(gaps(w))), lambda n: n["gap"] <= kms)
-    anchors = anchors.withColumn("names", F.array_distinct(F.transform(met, lambda n: n["name"])))
+    places = F.array(*(F.lit(w) for _, w in GALAXY))
+    anchors = lines.select("spec_id", "ws", F.explode("ws").alias("anchor")).select("spec_id", "ws", "anchor", F.posexplode(places).alias("place", "w"))
+    anchors = anchors.withColumn("z", c("anchor") / c("w") - 1.0).filter(c("z").between(z_min, z_max))
+    shift = c("z") + 1.0
+    near = lambda w, r: F.abs(w / (F.lit(r) * shift) - 1.0) * LIGHT_KMS <= kms
+    met = lambda w: _by_middles(w / shift, middles, [F.when(near(w, r), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rest)])
+    anchors = anchors.withColumn("met", F.aggregate("ws", F.lit(0), lambda m, w: m.bitwiseOR(met(w))))
     locked = F.lit(False)
     for a, b in LOCKED:
-        locked = locked | (F.array_contains("names", a) & F.array_contains("names", b))
-    anchors = anchors.withColumns({"n_matched": F.size("names"), "is_galaxy": (F.size("names") >= 3) | locked, "n_lines": F.size("ws")})
+        locked = locked | (c("met").bitwiseAND(bit[a] | bit[b]) == (bit[a] | bit[b]))
+    anchors = anchors.withColumns({"n_matched": F.bit_count("met"), "n_lines": F.size("ws")}).withColumn("is_galaxy", (c("n_matched") >= 3) | locked)
     best = F.max_by(F.struct("n_lines", "n_matched", "z", "is_galaxy"), F.struct(c("is_galaxy").cast("int"), "n_matched", -c("anchor"), -c("place"))).alias("b")
     return anchors.groupBy("spec_id").agg(best).select("spec_id", "b.*")
 

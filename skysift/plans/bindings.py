@@ -102,7 +102,7 @@ SELECT o_orderkey AS source_id, (o_orderkey * 137.50776e0) % 360e0 AS ra, (o_ord
 """
 LINES = """
 SELECT l_orderkey AS spec_id, l_linenumber AS line_no, 3600e0 + l_extendedprice / 17e0 AS wavelength, l_quantity AS significance, CASE WHEN l_returnflag = 'R' THEN 'absorption' ELSE 'emission' END AS search_mode
-FROM lineitem WHERE l_orderkey % 5 = 0
+FROM lineitem
 """
 SPECTRA = """
 SELECT vec_id AS spec_id, pix, 4000e0 + 50e0 * pix AS wave, 1e0 + CAST(x AS DOUBLE) AS flux, 100e0 AS ivar, label FROM ({exploded}) e

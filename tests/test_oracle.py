@@ -46,4 +46,4 @@ def test_same_as_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(plans.ORACLE_SQL) <= set(plans.QUERIES)
-    assert set(plans.QUERIES) - set(plans.ORACLE_SQL) <= {"variability_periods", "field_search", "line_search", "line_injection", "absorption_search", "shape_scan"}
+    assert set(plans.QUERIES) - set(plans.ORACLE_SQL) <= {"variability_periods", "field_search"}
