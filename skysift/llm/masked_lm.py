@@ -1,93 +1,78 @@
-"""Masked pseudo-likelihood scores from a bidirectional window network over characters.
+"""Masked pseudo-likelihood scores from a bidirectional window network over bytes.
 
-Every character is predicted from the two before and the two after it: their position-wise embeddings are
-summed into a hidden tanh layer, and a softmax gives the conditional distribution. A document's score is the
-sum of the conditional log-probabilities of all its characters. The alphabet are the most frequent characters
-of the corpus; texts are lower-cased, white space is one kind of character, and the rest is "other".
+Every byte of a text is predicted from the SIDE bytes before and the SIDE after it: their position-wise
+embeddings are summed into a hidden tanh layer; a softmax over the 16 upper halves of a byte, and one over the
+16 lower halves given the upper one, give the conditional distribution over all 256 bytes. A document's score
+is the sum of the conditional log-probabilities of all its bytes. Bytes leave no character of any script out.
 
-Training uses the whole corpus: its windows of five characters are counted by grouped aggregation, which are
-all sufficient statistics of the likelihood. The window table is at most 32^5 rows however large the corpus.
-In each round, TASKS tasks train on their share of the windows with numpy from the same parameters, weighted
-by the counts; the driver averages the TASKS small parameter vectors. As a network sees only four symbols of
-32 kinds, scoring evaluates it once for each of these contexts in each worker, and then looks up every
-character of every whole text.
+Training uses the whole corpus: its distinct windows and their counts come from grouped aggregation, a table
+that grows with the corpus. In each round the windows are dealt over tasks that stream through their share with
+numpy from the same parameters, weighted by the counts; the driver averages the parameter vectors of at most
+TASKS tasks. Scoring evaluates each distinct window of a batch of texts once.
 
 Defined results: null and empty texts have no tokens, a sum of 0 and a null mean. Repeated rows count in the
-corpus as often as they occur. Over an empty corpus the network stays as it began.
+corpus as often as they occur and are scored alike. Texts of any length are read whole. Over an empty corpus the
+network stays as it began. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.common import let_workers_import, written
 
-SYMBOLS, SIDE, HIDDEN = 32, 2, 32
-#: Symbol 0 stands beyond the text's ends, 1 is any other character, 2 white space.
-PAD, OTHER, BLANK = 0, 1, 2
-TASKS, ROUNDS, EPOCHS, BATCH = 16, 4, 3, 1024
-BATCH_CHARS = 4_000_000
+SIDE, HIDDEN = 3, 32
+#: Symbols are bytes, and PAD beyond the text's ends. A window is one integer, BITS for each symbol.
+PAD, SYMBOLS, BITS = 256, 257, 9
+TASKS, TASK_WINDOWS, ROUNDS, BATCH = 64, 200_000, 3, 512
+#: Bytes of text taken together, and distinct windows that a counting task holds before it passes them on.
+BATCH_BYTES, HELD_WINDOWS = 4_000_000, 4_000_000
 Params = list[np.ndarray]
 
 
-def codes_of(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+def bytes_of(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), "uint8")
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of bounded length with the code points of their texts."""
+    """Slices of bounded length with the bytes of their texts."""
     for batch in batches:
         at, some, size = 0, [], 0
         for i, text in enumerate(batch.column(column)):
-            some.append(codes_of(text.as_py()))
+            some.append(bytes_of(text.as_py()))
             size += len(some[-1])
-            if size >= BATCH_CHARS or i + 1 == batch.num_rows:
+            if size >= BATCH_BYTES or i + 1 == batch.num_rows:
                 yield batch.slice(at, i + 1 - at), some
                 at, some, size = i + 1, [], 0
 
 
-def alphabet(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Symbol of each code point: the most frequent characters of all texts have their own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0x110000, "int64")
-        for _, texts in _text_batches(batches, 0):
-            found = np.bincount(np.concatenate(texts))
-            counts[: len(found)] += found
-        kinds = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(counts[kinds])], names=["code", "n"])
-
-    let_workers_import(docs.sparkSession)
-    counted = docs.select(F.col(text)).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    symbol = np.full(0x110000, OTHER, "uint8")
-    blanks = [i for i in range(0x3001) if chr(i).isspace()]
-    common = counted.filter(~F.col("code").isin(blanks)).orderBy(F.desc("n"), "code").limit(SYMBOLS - 3).collect()
-    symbol[[r.code for r in common]] = np.arange(3, 3 + len(common))
-    symbol[blanks] = BLANK
-    return symbol
-
-
-def windows_of(texts: list[np.ndarray], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The window codes of all characters of some texts, and where each text's begin; the centre has bits 10 to 14."""
-    lengths = np.array([len(t) for t in texts])
+def windows_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all bytes of some texts as integers, and where each text's begin."""
+    lengths = np.array([len(t) for t in texts], "int64")
     starts = np.cumsum(np.concatenate([[SIDE], lengths + SIDE]))[:-1]
-    row = np.zeros(int(lengths.sum()) + SIDE * (len(texts) + 1), "uint32")
+    row = np.full(int(lengths.sum()) + SIDE * (len(texts) + 1), PAD, "int64")
     for t, at in zip(texts, starts):
-        row[at : at + len(t)] = symbol[t]
-    codes = row[:-4] << 20 | row[1:-3] << 15 | row[2:-2] << 10 | row[3:-1] << 5 | row[4:]
-    codes = codes[(codes >> 10 & 31) != PAD]
-    return codes, np.concatenate([[0], np.cumsum(lengths)])
+        row[at : at + len(t)] = t
+    n = len(row) - 2 * SIDE
+    codes = np.zeros(n, "int64")
+    for i in range(2 * SIDE + 1):
+        codes = codes << BITS | row[i : i + n]
+    return codes[row[SIDE : SIDE + n] != PAD], np.concatenate([[0], np.cumsum(lengths)])
+
+
+def split(codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The symbols around and the centre."""
+    parts = [codes >> BITS * (2 * SIDE - i) & ((1 << BITS) - 1) for i in range(2 * SIDE + 1)]
+    return parts[:SIDE] + parts[SIDE + 1 :], parts[SIDE]
 
 
-def count_windows(docs: DataFrame, symbol: np.ndarray, text: str = "text") -> DataFrame:
-    """(code, n): windows of the whole corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(symbol)
+def count_windows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(code, n): the distinct windows of the whole corpus."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         codes, counts = (np.concatenate(x) for x in zip(*parts))
@@ -96,129 +81,139 @@ def count_windows(docs: DataFrame, symbol: np.ndarray, text: str = "text") -> Da
         first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         return codes[first], np.add.reduceat(counts, first)
 
+    def emitted(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(codes), 200_000):
+            yield pa.record_batch([pa.array(codes[at : at + 200_000]), pa.array(counts[at : at + 200_000], pa.int64())], names=["code", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for _, texts in _text_batches(batches, 0):
-            found = np.unique(windows_of(texts, shared.value)[0], return_counts=True)
+            found = np.unique(windows_of(texts)[0], return_counts=True)
             if len(found[0]):
                 parts.append(found)
-            if len(parts) >= 8:
-                parts = [merged(parts)]
+            if sum(len(p[0]) for p in parts) >= HELD_WINDOWS:
+                yield from emitted(*merged(parts))
+                parts = []
         if parts:
-            codes, counts = merged(parts)
-            for at in range(0, len(codes), 200_000):
-                yield pa.record_batch([pa.array(codes[at : at + 200_000].astype("int32")), pa.array(counts[at : at + 200_000], pa.int64())], names=["code", "n"])
+            yield from emitted(*merged(parts))
 
     let_workers_import(docs.sparkSession)
-    return docs.select(F.col(text)).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text)).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def initial(seed: int = 1) -> Params:
     rng = np.random.default_rng(seed)
-    return [rng.normal(0, 0.3, (4, SYMBOLS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, (HIDDEN, SYMBOLS)), np.zeros(SYMBOLS)]
-
-
-def split(codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The four symbols around and the centre."""
-    return [codes >> s & 31 for s in (20, 15, 5, 0)], codes >> 10 & 31
-
-
-def log_probabilities(params: Params, around: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and log-probabilities of all symbols."""
-    w, b, v, c = params
-    h = np.tanh(sum(w[i][s] for i, s in enumerate(around)) + b)
-    z = h @ v + c
-    z[:, PAD] = -1e9
-    z -= z.max(axis=1, keepdims=True)
-    return h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def train(params: Params, codes: np.ndarray, counts: np.ndarray, epochs: int, rate: float, seed: int) -> Params:
-    """Adam over the windows, each weighted by its count."""
+    shapes = ((2 * SIDE, SYMBOLS, HIDDEN), (HIDDEN,), (HIDDEN, 16), (16,), (16, HIDDEN, 16), (16, 16))
+    return [(rng.normal(0, 0.3, s) if len(s) == 3 or s == (HIDDEN, 16) else np.zeros(s)).astype("float32") for s in shapes]
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _hidden(params: Params, around: list[np.ndarray]) -> np.ndarray:
+    return np.tanh(sum(params[0][i][s] for i, s in enumerate(around)) + params[1])
+
+
+def log_probabilities(params: Params, codes: np.ndarray) -> np.ndarray:
+    """The log-probability of each window's centre, given what stands around it."""
+    _, _, vh, ch, vl, cl = params
+    out = np.empty(len(codes), params[0].dtype)
+    for at in range(0, len(codes), 65_536):
+        around, centre = split(codes[at : at + 65_536])
+        h, high, low = _hidden(params, around), centre >> 4, centre & 15
+        lp = _log_softmax(h @ vh + ch)[np.arange(len(high)), high]
+        for g in np.unique(high):
+            rows = np.flatnonzero(high == g)
+            lp[rows] += _log_softmax(h[rows] @ vl[g] + cl[g])[np.arange(len(rows)), low[rows]]
+        out[at : at + len(lp)] = lp
+    return out
+
+
+def _summed(symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each symbol."""
+    out = np.zeros((SYMBOLS, rows.shape[1]), rows.dtype)
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
+    first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+    out[symbols[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def gradients(params: Params, codes: np.ndarray, weight: np.ndarray) -> Params:
+    """Of the weighted sum of negative log-probabilities."""
+    _, _, vh, ch, vl, cl = params
+    around, centre = split(codes)
+    h, high, low = _hidden(params, around), centre >> 4, centre & 15
+    weight = weight.astype(h.dtype)[:, None]
+    dz = np.exp(_log_softmax(h @ vh + ch))
+    dz[np.arange(len(high)), high] -= 1
+    dz *= weight
+    dh = dz @ vh.T
+    dvl, dcl = np.zeros_like(vl), np.zeros_like(cl)
+    for g in np.unique(high):
+        rows = np.flatnonzero(high == g)
+        dl = np.exp(_log_softmax(h[rows] @ vl[g] + cl[g]))
+        dl[np.arange(len(rows)), low[rows]] -= 1
+        dl *= weight[rows]
+        dvl[g], dcl[g] = h[rows].T @ dl, dl.sum(axis=0)
+        dh[rows] += dl @ vl[g].T
+    dh *= 1 - h * h
+    return [np.stack([_summed(s, dh) for s in around]), dh.sum(axis=0), h.T @ dz, dz.sum(axis=0), dvl, dcl]
+
+
+def train(params: Params, windows: Iterable[tuple[np.ndarray, np.ndarray]], rate: float) -> tuple[Params, int]:
+    """Adam over batches of (windows, counts), each window weighted by its count; returns the sum of counts too."""
     params = [p.copy() for p in params]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    rng, step = np.random.default_rng(seed), 0
-    weight = counts / counts.mean()
-    for _ in range(epochs):
-        order = rng.permutation(len(codes))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            around, centre = split(codes[some])
-            k = (weight[some] / len(some))[:, None]
-            h, lp = log_probabilities(params, around)
-            dz = np.exp(lp)
-            dz[np.arange(len(some)), centre] -= 1
-            dz *= k
-            dh = (dz @ params[2].T) * (1 - h * h)
-            dw = np.zeros_like(params[0])
-            for i, sym in enumerate(around):
-                np.add.at(dw[i], sym, dh)
+    step = total = 0
+    for codes, counts in windows:
+        total += int(counts.sum())
+        for at in range(0, len(codes), BATCH):
+            some, n = codes[at : at + BATCH], counts[at : at + BATCH]
             step += 1
-            for j, g in enumerate((dw, dh.sum(axis=0), h.T @ dz, dz.sum(axis=0))):
-                m[j] = 0.9 * m[j] + 0.1 * g
-                s[j] = 0.99 * s[j] + 0.01 * g * g
-                params[j] -= rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(s[j] / (1 - 0.99**step)) + 1e-8)
-    return params
-
+            for j, g in enumerate(gradients(params, some, n / n.sum())):
+                m[j] += 0.1 * (g - m[j])
+                s[j] += 0.01 * (g * g - s[j])
+                params[j] -= rate / (1 - 0.9**step) * m[j] / (np.sqrt(s[j] / (1 - 0.99**step)) + 1e-8)
+    return params, total
 
-def _round(params: Params, r: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("code")
-        new = train(params, pdf["code"].to_numpy(), pdf["n"].to_numpy(float), EPOCHS, 0.02 / (1 + r), r)
-        return pd.DataFrame({"n": [pdf["n"].sum()], "flat": [np.concatenate([p.ravel() for p in new])]})
 
-    return run
-
-
-def fit(windows: DataFrame, rounds: int = ROUNDS, tasks: int = TASKS) -> Params:
+def fit(windows: DataFrame, rounds: int = ROUNDS, task_windows: int = TASK_WINDOWS) -> Params:
     """Parameters from a written window table."""
     params = initial()
     shapes = [p.shape for p in params]
     cuts = np.cumsum([p.size for p in params])[:-1]
-    let_workers_import(windows.sparkSession)
-    dealt = windows.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(tasks)))
+    spark = windows.sparkSession
+    let_workers_import(spark)
+    tasks = min(TASKS, max(1, -(-windows.count() // task_windows)))
+    dealt = windows.repartition(tasks, "code").sortWithinPartitions(F.xxhash64("code"))
     for r in range(rounds):
-        trained = dealt.groupBy("part").applyInPandas(_round(params, r), "n long, flat array<double>").collect()  # one row for each of the tasks
+        shared = spark.sparkContext.broadcast(params)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=0.02 / (1 + r)) -> Iterator[pa.RecordBatch]:
+            new, n = train(shared.value, ((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), rate)
+            if n:
+                yield pa.record_batch([pa.array([n], pa.int64()), pa.array([np.concatenate([p.ravel() for p in new]).tobytes()], pa.binary())], names=["n", "flat"])
+
+        trained = dealt.mapInArrow(run, "n long, flat binary").collect()  # at most one row for each of the tasks
         if not trained:
             break
-        flat = np.average([t.flat for t in trained], axis=0, weights=[t.n for t in trained])
+        flat = np.average([np.frombuffer(t.flat, "float32") for t in trained], axis=0, weights=[t.n for t in trained]).astype("float32")
         params = [x.reshape(s) for x, s in zip(np.split(flat, cuts), shapes)]
     return params
 
 
-def score_table(params: Params) -> np.ndarray:
-    """The log-probability of the centre of every possible window, by its code."""
-    out = np.empty((SYMBOLS, SYMBOLS, SYMBOLS, SYMBOLS * SYMBOLS), "float32")
-    right = [np.repeat(np.arange(SYMBOLS), SYMBOLS), np.tile(np.arange(SYMBOLS), SYMBOLS)]
-    for a in range(SYMBOLS):
-        for b in range(SYMBOLS):
-            around = [np.full(SYMBOLS * SYMBOLS, a), np.full(SYMBOLS * SYMBOLS, b), *right]
-            out[a, b] = log_probabilities(params, around)[1].T
-    return out.ravel()
-
-
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def _table(params: Params) -> np.ndarray:
-    """One table for each worker process and model."""
-    key = hash(b"".join(p.tobytes() for p in params))
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = score_table(params)
-    return _TABLES[key]
-
-
-def score(docs: DataFrame, params: Params, symbol: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, params: Params, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_probability, mean) for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast((params, symbol))
+    shared = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, symbol = shared.value
-        table = _table(params)
         for part, texts in _text_batches(batches, 1):
-            codes, starts = windows_of(texts, symbol)
-            sums = np.concatenate([[0.0], np.cumsum(table[codes], dtype="float64")])
+            codes, starts = windows_of(texts)
+            kinds, place = np.unique(codes, return_inverse=True)
+            sums = np.concatenate([[0.0], np.cumsum(log_probabilities(shared.value, kinds)[place], dtype="float64")])
             total, n = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
             with np.errstate(invalid="ignore", divide="ignore"):
                 mean = total / n
@@ -230,6 +225,4 @@ def score(docs: DataFrame, params: Params, symbol: np.ndarray, doc_id: str = "do
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the whole of ``docs`` and score each of its rows."""
-    symbol = alphabet(docs, text)
-    params = fit(written(count_windows(docs, symbol, text)))
-    return score(docs, params, symbol, doc_id, text)
+    return score(docs, fit(written(count_windows(docs, text))), doc_id, text)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -79,39 +80,119 @@ def test_sample_leaves_no_language_out(spark):
     assert all(t in got["copies"] for t in ("same text", *(f"rare {i} text" for i in range(4))))
 
 
-def test_table_is_the_network():
-    params = [p + 0.1 for p in masked_lm.initial(3)]
-    table = masked_lm.score_table(params)
-    codes = np.random.default_rng(1).integers(0, 1 << 25, 500)
-    around, centre = masked_lm.split(codes)
-    assert np.allclose(table[codes], masked_lm.log_probabilities(params, around)[1][np.arange(500), centre], rtol=1e-4)
-
-
-def test_masked_lm_scores(spark):
+def window(text, i):
+    raw = [masked_lm.PAD] * masked_lm.SIDE + list((text or "").encode()) + [masked_lm.PAD] * masked_lm.SIDE
+    return raw[i : i + 2 * masked_lm.SIDE + 1]
+
+
+def naive(params, w):
+    """The log-probability of a window's centre, by plain loops."""
+    e, b, vh, ch, vl, cl = params
+    around = w[: masked_lm.SIDE] + w[masked_lm.SIDE + 1 :]
+    h = [math.tanh(float(b[k]) + sum(float(e[i][s][k]) for i, s in enumerate(around))) for k in range(masked_lm.HIDDEN)]
+    high, low = divmod(w[masked_lm.SIDE], 16)
+
+    def softmax(v, c, at):
+        z = [float(c[j]) + sum(h[k] * float(v[k][j]) for k in range(len(h))) for j in range(16)]
+        return z[at] - math.log(sum(math.exp(x) for x in z))
+
+    return softmax(vh, ch, high) + softmax(vl[high], cl[high], low)
+
+
+def test_network_same_as_plain_loops():
+    params = [p + np.float32(0.1) for p in masked_lm.initial(3)]
+    text = "Größe, ж and more."
+    codes, starts = masked_lm.windows_of([masked_lm.bytes_of(t) for t in ("", text, "a")])
+    n = len(text.encode())
+    assert starts.tolist() == [0, 0, n, n + 1]
+    wins = [window(text, i) for i in range(n)] + [window("a", 0)]
+    got = masked_lm.log_probabilities(params, codes)
+    assert np.allclose(got, [naive(params, w) for w in wins], rtol=1e-4)
+    # the distribution over all 256 bytes sums to one
+    base = codes[4] & ~(511 << masked_lm.BITS * masked_lm.SIDE)
+    every = np.array([base | c << masked_lm.BITS * masked_lm.SIDE for c in range(256)])
+    assert abs(np.exp(masked_lm.log_probabilities(params, every).astype(float)).sum() - 1) < 1e-4
+
+
+def test_gradients_same_as_differences():
+    rng = np.random.default_rng(2)
+    params = [p.astype("float64") + 0.1 for p in masked_lm.initial(4)]
+    codes, _ = masked_lm.windows_of([masked_lm.bytes_of("some text, twice: some text")])
+    weight = rng.random(len(codes))
+    loss = lambda: -(masked_lm.log_probabilities(params, codes) * weight).sum()
+    for p, g in zip(params, masked_lm.gradients(params, codes, weight)):
+        used = np.flatnonzero(g.ravel()) if g.any() else np.arange(g.size)
+        for at in rng.choice(used, min(6, len(used)), replace=False):
+            flat = p.reshape(-1)
+            old = flat[at]
+            flat[at] = old + 1e-5
+            up = loss()
+            flat[at] = old - 1e-5
+            down = loss()
+            flat[at] = old
+            assert abs((up - down) / 2e-5 - g.ravel()[at]) < 1e-5
+
+
+def test_masked_lm_scores(spark, monkeypatch):
     rng = random.Random(3)
-    rows = [(i, prose(rng, "xx", 40)) for i in range(60)] + [(90, "qzv jwx kqp " * 10), (91, None), (92, ""), (93, "a")]
-    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, mean double")
-    symbol = masked_lm.alphabet(docs)
-    windows = {r.code: r.n for r in masked_lm.count_windows(docs, symbol).collect()}
+    greek = lambda n: " ".join("".join(rng.choice(["λο", "γο", "κα", "τη"]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows_first = "ba do ki"
+    rows = [(i, prose(rng, "xx", 40)) for i in range(60)] + [(60 + i, greek(40)) for i in range(25)] + [(90, "qzv jwx kqp " * 10), (91, None), (92, ""), (93, "a"), (94, "ΨΩξ χφΔ ΘψΞ " * 10), (95, "long " * 30_000), (0, rows_first)]
+    docs = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, mean double, n string").repartition(3)
+    monkeypatch.setattr(masked_lm, "HELD_WINDOWS", 500)
+    windows = {r.code: r.n for r in masked_lm.count_windows(docs).collect()}
     want: dict[int, int] = {}
     for _, t in rows:
-        s = [0, 0, *symbol[masked_lm.codes_of(t)].tolist(), 0, 0]
-        for i in range(2, len(s) - 2):
-            code = sum(s[i + d] << sh for d, sh in ((-2, 20), (-1, 15), (0, 10), (1, 5), (2, 0)))
+        for i in range(len((t or "").encode())):
+            code = 0
+            for x in window(t, i):
+                code = code << masked_lm.BITS | x
             want[code] = want.get(code, 0) + 1
     assert windows == want
-    params = masked_lm.fit(masked_lm.written(masked_lm.count_windows(docs, symbol)), rounds=2, tasks=2)
-    got = {r.doc_id: r for r in masked_lm.score(docs, params, symbol).collect()}
-    for d, t in rows[:5] + rows[-4:]:
-        codes, _ = masked_lm.windows_of([masked_lm.codes_of(t)], symbol)
-        around, centre = masked_lm.split(codes)
-        lp = masked_lm.log_probabilities(params, around)[1][np.arange(len(codes)), centre].sum()
-        assert got[d].n_tokens == len(t or "") and abs(got[d].log_probability - lp) < 1e-3 * max(1, abs(lp))
-    assert got[91].mean is None and got[92].log_probability == 0
-    assert got[90].mean < min(got[i].mean for i in range(60))
+    params = masked_lm.fit(masked_lm.written(masked_lm.count_windows(docs)), rounds=12, task_windows=1500)
+    got = {r.doc_id: r for r in masked_lm.score(docs, params).collect() if r.n_tokens != len(rows_first)}
+    for d, t in rows[:2] + rows[60:62] + [(93, "a")]:
+        lp = sum(naive(params, window(t, i)) for i in range(len(t.encode())))
+        assert got[d].n_tokens == len(t.encode()) and abs(got[d].log_probability - lp) < 1e-3 * abs(lp)
+    assert got[91].mean is None and got[92].log_probability == 0 and got[95].n_tokens == 150_000
+    assert got[90].mean < min(got[i].mean for i in range(1, 60)) and got[94].mean < min(got[i].mean for i in range(60, 85))
     assert masked_lm.score_documents(docs.limit(0)).count() == 0
 
 
+def test_rates_and_posteriors_same_as_plain_formulas(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "yy", 5), rng.choice(["a", "a", "b", "c", None]), rng.choice(["p", "q", None])) for i in range(400)] + [(None, "no id", "a", "p"), (7, "again", "a", "q")]
+    labels = [(i, int(rng.random() < {"a": 0.9, "b": 0.4}.get(rows[i][2], 0.7))) for i in range(0, 400, 2)] + [(4, 0), (None, 1), (6, None)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    known: dict[int, int] = {}
+    for d, y in labels:
+        if d is not None and y is not None:
+            known[d] = min(y, known.get(d, 1))
+    paths: dict[tuple, list[int]] = {}
+    hosts: dict[object, list[int]] = {}
+    for d, _, h, p in rows:
+        if d in known:
+            for table, key in ((paths, (h, p)), (hosts, h)):
+                table.setdefault(key, []).append(known[d])
+    total = [y for ys in hosts.values() for y in ys]
+    rate = (sum(total) + 1) / (len(total) + 2)
+
+    def weight(groups, centre, free):
+        n, over = sum(len(y) for y, _ in groups), len(groups) - free
+        clip = lambda p: min(max(p, 1e-3), 1 - 1e-3)
+        s = sum(len(y) * (sum(y) / len(y) - clip(centre(k))) ** 2 / (clip(centre(k)) * (1 - clip(centre(k)))) for y, k in groups)
+        return 1 / min(max((s - over) / (n - sum(len(y) ** 2 for y, _ in groups) / n - over), 1e-3), 0.5) - 1
+
+    w = weight([(y, h) for h, y in hosts.items()], lambda k: rate, 1)
+    of_host = {h: (sum(y) + w * rate) / (len(y) + w) for h, y in hosts.items()}
+    w = weight([(y, k[0]) for k, y in paths.items()], lambda k: of_host[k], len(hosts))
+    of_path = {k: (sum(y) + w * of_host[k[0]]) / (len(y) + w) for k, y in paths.items()}
+    for r in quality.classify(docs, marks, "host", "path").collect():
+        prior = of_path.get((r.host, r.path), of_host.get(r.host, rate))
+        assert abs(r.prior - prior) < 1e-9
+        assert abs(r.posterior - 1 / (1 + math.exp(-(r.evidence + math.log(prior / (1 - prior)))))) < 1e-9 and r.kept == (r.posterior >= 0.5)
+
+
 def test_quality_keeps_good_and_drops_bad(spark):
     rng = random.Random(4)
     rows, labels = [], []
