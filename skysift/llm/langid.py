@@ -31,7 +31,8 @@ from skysift.llm.common import let_workers_import, written
 
 SAMPLE_CHARS, MAX_BROADCAST = 40_000, 10_000
 #: Characters of texts walked together, and texts times languages below which each is walked by itself.
-WALK_CHARS, FEW = 40_000_000, 128
+WALK_CHARS, FEW = 16_000_000, 128
+SLICE = 3000
 UNKNOWN = "und"
 
 
@@ -225,8 +226,10 @@ def predict(docs: DataFrame, texts: list[tuple[str, str]], text: str = "text", l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for batch in batches:
-            langs, scores = parser.predict(batch.column(at).to_pylist())
-            yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_pred, score])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                langs, scores = parser.predict(part.column(at).to_pylist())
+                yield pa.record_batch([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_pred, score])
 
     let_workers_import(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])

@@ -41,7 +41,7 @@ SKETCH, OVERLAP = 32, 14
 LONG_LIST = 48
 #: At most so many values have more than an equal share of all retained values' rows; their tables are broadcast.
 HEAVY_VALUES = 50_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,8 +80,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 def _sketch_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 sets = [shingle_set(t, words) for t in part.column(3).to_pylist()]
                 yield pa.record_batch(
                     [

@@ -35,7 +35,7 @@ MAX_TRAIN = 20_000
 BROADCAST_SITES = 200_000
 FIGURES = ("length", "letters", "capitals", "digits", "symbols", "marks", "distinct", "commonest", "repeats", "lines", "word_length", "sentences", "runs", "bars")
 #: Words are counted in so many hash buckets; a word's bucket is remembered for up to CACHE_WORDS words.
-BUCKETS, CACHE_WORDS = 256, 500_000
+BUCKETS, CACHE_WORDS = 256, 100_000
 WORD_RIDGE = 30.0
 _KIND = np.zeros(256, "uint8")
 for _i in range(256):
@@ -120,8 +120,8 @@ def _judged(docs: DataFrame, text: str, model: tuple | None, name: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
                 x = features(part.column(at).to_pylist())
                 if model is None:
                     column = pa.array([r.tobytes() for r in x], pa.binary())

@@ -14,11 +14,11 @@ import re
 from array import array
 
 #: Remembered pieces of one worker process.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 800_000
 #: Control, format and unusual white-space characters: such texts are encoded whole.
 UNUSUAL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\ufe0f\ufeff]")
 UNUSUAL_ASCII = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
-BATCH_CHARS, ROW_PIECES = 8_000_000, 50
+BATCH_CHARS, ROW_PIECES = 4_000_000, 50
 
 
 class PieceEncoder:
