@@ -143,9 +143,10 @@ def test_masked_lm_scores(spark, monkeypatch):
     windows = {r.code: r.n for r in masked_lm.count_windows(docs).collect()}
     want: dict[int, int] = {}
     for _, t in rows:
-        for i in range(len((t or "").encode())):
+        raw = [masked_lm.PAD] * masked_lm.SIDE + list((t or "").encode()) + [masked_lm.PAD] * masked_lm.SIDE
+        for i in range(len(raw) - 2 * masked_lm.SIDE):
             code = 0
-            for x in window(t, i):
+            for x in raw[i : i + 2 * masked_lm.SIDE + 1]:
                 code = code << masked_lm.BITS | x
             want[code] = want.get(code, 0) + 1
     assert windows == want
