@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from skysift.llm.common import let_workers_import, written
 
-SIDE, HIDDEN = 3, 32
+SIDE, HIDDEN = 3, 16
 #: Symbols are bytes, and PAD beyond the text's ends. A window is one integer, BITS for each symbol.
 PAD, SYMBOLS, BITS = 256, 257, 9
-TASKS, TASK_WINDOWS, ROUNDS, BATCH = 64, 200_000, 3, 512
+TASKS, TASK_WINDOWS, ROUNDS, BATCH = 64, 200_000, 2, 512
 #: Bytes of text taken together, and distinct windows that a counting task holds before it passes them on.
 BATCH_BYTES, HELD_WINDOWS = 4_000_000, 4_000_000
 Params = list[np.ndarray]
