@@ -31,7 +31,7 @@ SIDE, HIDDEN = 3, 16
 PAD, SYMBOLS, BITS = 256, 257, 9
 TASKS, TASK_WINDOWS, ROUNDS, BATCH = 64, 200_000, 2, 512
 #: Bytes of text taken together, and distinct windows that a counting task holds before it passes them on.
-BATCH_BYTES, HELD_WINDOWS = 4_000_000, 4_000_000
+BATCH_BYTES, HELD_WINDOWS = 2_000_000, 2_000_000
 Params = list[np.ndarray]
 
 
