@@ -10,6 +10,7 @@ from skysift.operators import encounters as N
 from skysift.operators import xmatch as M
 from skysift.plans.bindings import bound, duck
 from skysift.plans.catalog import rounded
+from skysift.plans.sky import _RIDGE
 
 c = F.col
 
@@ -90,7 +91,7 @@ def frame_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def survey_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bound(spark, sf_dir, "curves").select("source_id", (c("mjd") + 2400000.5).alias("jd"), (c("mag") - c("tiebreak") % 3 * 8.0).alias("mag"), (c("tiebreak") % 5 / 20.0).alias("mag_err"))
     out = A.survey_epochs(e, 20)
-    return rounded(out.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.min("mjd").alias("first"), F.max("mag").alias("faintest")), 4)
+    return rounded(out.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.min("mjd").alias("first"), F.max("mag").alias("faintest")), 6)
 
 
 def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,9 @@ _EVENTS = f"""
 WITH e AS (SELECT source_id, bp_rp, source_id % 3 > 0 AS cand, source_id % 4 > 0 AS fader, source_id % 5 > 0 AS flash, CASE WHEN source_id % 6 < 4 THEN 'main_sequence' WHEN source_id % 6 = 4 THEN 'giant' END AS hr,
   source_id % 6 < 4 AND (source_id * 13 % 100) / 100e0 <= 0.4e0 AS resists, (source_id * 37 % 1009) / 100e0 AS score, (source_id * 41 % 997) / 10e0 AS sigma, (source_id * 43 % 991) / 500e0 AS amp FROM {_A})"""
 _TARGETS = f"""
-WITH t AS (SELECT source_id, 1e0 + source_id % 50 / 10e0 AS d_min_pc, phot_g_mean_mag - 5e0 * log10(10e0 + source_id % 90) + 5e0 AS abs_g, bp_rp, source_id % 7 = 0 AS host, source_id % 14 = 0 AS hycean FROM {_A})"""
+WITH t AS (SELECT source_id, 1e0 + source_id % 50 / 10e0 AS d_min_pc, phot_g_mean_mag - 5e0 * log10(10e0 + source_id % 90) + 5e0 AS abs_g, bp_rp, source_id % 7 = 0 AS host, source_id % 14 = 0 AS hycean FROM {_A}),
+d1 AS (SELECT *, abs_g - ({_RIDGE}) AS ms FROM t),
+d2 AS (SELECT *, CASE WHEN abs(ms) <= 1.5e0 AND bp_rp < 0.45e0 THEN 'hot_shortlived' WHEN abs(ms) <= 1.5e0 THEN 'main_sequence' WHEN ms < -1.5e0 THEN 'giant' WHEN ms > 3 THEN 'remnant' ELSE 'unknown' END AS lum_class, exp(-pow(bp_rp - 2.6e0, 2) / {2 * 1.1**2!r}e0) AS wish FROM d1)"""
 ORACLE_SQL = {
     "analysis_table": f"""
 WITH a AS (SELECT * FROM {_A})
@@ -133,12 +136,14 @@ n AS (SELECT m.spec_id, m.wavelength, other_id, flux, abs(wave - m.wavelength) A
 o AS (SELECT spec_id, wavelength, other_id, quantile_cont(flux, 0.5) FILTER (d > 60) AS level, stddev_pop(flux) FILTER (d > 60) AS noise, max(flux) FILTER (d <= 60) AS top FROM n GROUP BY 1, 2, 3),
 b AS (SELECT spec_id, wavelength, count(*) AS k, max((top - level) / noise) AS s FROM o GROUP BY 1, 2)
 SELECT spec_id, wavelength, coalesce(k, 0) AS n_overlap, round(s, 4) + 0e0 AS confirm_sigma, coalesce(s >= 4, false) AS cross_confirmed FROM l LEFT JOIN b USING (spec_id, wavelength)""",
+    "boosted_targets": _TARGETS + "SELECT source_id, lum_class, host AS known_planet_host, hycean AS has_hycean_candidate, round(CASE lum_class WHEN 'main_sequence' THEN wish WHEN 'hot_shortlived' THEN 0.1e0 * wish ELSE 0e0 END + CASE WHEN host THEN 0.5e0 ELSE 0e0 END + CASE WHEN hycean THEN 1e0 ELSE 0e0 END, 4) AS dest_score FROM d2",
+    "target_counts": _TARGETS + "SELECT count(*) AS n_candidates, count(*) FILTER (lum_class = 'main_sequence') AS n_main_sequence, count(*) FILTER (host) AS n_known_hosts, count(*) FILTER (hycean) AS n_hycean_hosts FROM d2",
     "frame_scatter": f"""
 WITH g AS (SELECT source_id, band, pow(10e0, -0.4e0 * mag) AS f FROM {_C} WHERE tiebreak % 4 > 0 AND tiebreak % 3 < 2)
 SELECT source_id, band, count(*) AS n, round(stddev_pop(f) / avg(f), 6) AS frac_rms FROM g GROUP BY 1, 2 HAVING count(*) >= 3""",
     "survey_curves": f"""
 WITH g AS (SELECT source_id, mjd, mag - tiebreak % 3 * 8e0 AS mag FROM {_C} WHERE tiebreak % 5 / 20e0 < 0.2e0 AND mag - tiebreak % 3 * 8e0 > 0)
-SELECT source_id, count(*) AS n, round(min(mjd), 4) AS first, round(max(mag), 4) AS faintest FROM g GROUP BY 1 HAVING count(*) >= 20""",
+SELECT source_id, count(*) AS n, round(min(mjd), 6) AS first, round(max(mag), 6) AS faintest FROM g GROUP BY 1 HAVING count(*) >= 20""",
     "tagged_lines": f"""SELECT CASE WHEN line_no % 2 = 0 THEN 'emission' ELSE 'absorption' END AS search_mode, count(*) AS n, count(*) FILTER (line_no % 2 = 0) AS n_snr, round(max(wavelength), 5) AS reddest FROM {duck("lines")} GROUP BY 1""",
     "sweep_totals": f"""SELECT count(DISTINCT source_id % 9) AS n_fields, count(*) AS n_sources, count(*) FILTER (W1mag - W2mag > 0.3e0) AS n_excess FROM {_A}""",
 }
