@@ -19,7 +19,7 @@ as the nearest long. Other columns, whatever their names, are left out.
 
 from __future__ import annotations
 
-from heapq import heapify, heapreplace
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 from skysift.llm.common import let_workers_import
 
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 512
-#: A list is read in so many chunks; bounds are compared whenever the unread rest has shrunk by this factor.
-CHUNKS, SHRUNK = 4, (7, 10)
+CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Queries of a block are evaluated together, so many at a time.
+BATCH = 256
+#: A list is read in so many chunks. Bounds are compared when the unread rest is down to 1 / FIRST, then whenever it has shrunk by SHRUNK.
+CHUNKS, FIRST, SHRUNK = 4, 4, 2
 #: Reading goes on until at most this fraction of the candidates is left to be resolved.
 RESOLVED = 32
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -54,58 +56,87 @@ def _matrix(vectors: pd.Series, width: int, kind: str) -> np.ndarray:
 
 
 class SortedLists:
-    """The sorted lists of a block of candidates, one for each dimension."""
+    """The sorted lists of a block of candidates, one for each dimension, cut into chunks."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(x, self.order.T, axis=0).T.copy()
+        n, width = x.shape
+        self.chunks = min(CHUNKS, n)
+        # whole numbers that no float sums exactly are scaled to 1 for the bounds, which then leave room for rounding
+        self.inexact = x.dtype == object
+        z = self._floats(x)
+        order = np.argsort(z, axis=0, kind="stable")
+        edges = np.arange(self.chunks + 1) * n // self.chunks
+        values = np.take_along_axis(z, order, axis=0)
+        #: the value at the frontier after so many chunks, from the low and from the high end; the last is the far end
+        self.frontier = np.stack([values[np.r_[0, edges[1:] - 1]], values[np.r_[n - 1, edges[-2::-1]]]]).transpose(0, 2, 1).copy()
+        self.shown, self.mark = (np.zeros((self.chunks, width, n), z.dtype) for _ in range(2))
+        for c in range(self.chunks):
+            rows = order[edges[c] : edges[c + 1]]
+            self.shown[c, np.arange(width), rows] = values[edges[c] : edges[c + 1]]
+            self.mark[c, np.arange(width), rows] = 1
+
+    def _floats(self, x: np.ndarray) -> np.ndarray:
+        return x if not self.inexact else (x / 2 ** int(np.abs(x).max()).bit_length()).astype("float64")
 
     def top_k(self, query_id: int, q: np.ndarray, k: int) -> tuple[list[tuple[int, int]], float]:
         """(vec_id, score) of the k best candidates for a query, and the share of the lists that was read."""
+        return next((found, share) for _, found, share in self.search(np.array([query_id]), q[None, :], k))
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[int, int]], float]]:
+        """(place, the (vec_id, score) of the k best, share of the lists read) for each of a batch of queries."""
         n, width = self.x.shape
-        dims = np.flatnonzero(q != 0)
-        others = np.flatnonzero(self.ids != query_id)
-        last, far = np.zeros(width, self.x.dtype), np.zeros(width, self.x.dtype)  # contributions at the frontier and at the far end
-        for d in dims:
-            ends = (self.values[d, -1] * q[d], self.values[d, 0] * q[d])
-            last[d], far[d] = max(ends), min(ends)
-        got, seen = np.zeros(n, self.x.dtype), np.zeros((width, n), self.x.dtype)  # seen holds 0 and 1
-        chunk = -(-n // CHUNKS)
-        depth = dict.fromkeys(dims.tolist(), 0)
-        turns = [(-(last[d] - far[d]), d) for d in depth if last[d] > far[d]]
-        heapify(turns)
-        rest = limit = sum(-r for r, _ in turns)
-        may = others
-        while turns and len(others) > k:
-            d = turns[0][1]
-            at, depth[d] = depth[d], min(n, depth[d] + chunk)
-            span = slice(at, depth[d]) if q[d] < 0 else slice(n - depth[d], n - at)
-            some = self.order[d, span]
-            got[some] += self.values[d, span] * q[d]
-            seen[d, some] = 1
-            last[d] = far[d] if depth[d] == n else (self.values[d, depth[d] - 1] if q[d] < 0 else self.values[d, n - depth[d]]) * q[d]
-            rest += turns[0][0] + (last[d] - far[d])
-            heapreplace(turns, (-(last[d] - far[d]), d))
-            if turns[0][0] < 0 and rest * SHRUNK[1] > limit * SHRUNK[0]:
-                continue
-            limit = rest
-            # bounds of the candidates read so far, from the lists that didn't show them
-            bounds = np.stack([far, last, np.ones_like(far)]) @ seen
-            lower = got + far.sum() - bounds[0]
-            known = others[bounds[2, others] > 0]
-            if len(known) >= k:
-                kth = np.partition(lower[known], len(known) - k)[len(known) - k]
-                if last.sum() < kth or len(known) == len(others):  # no outsider can qualify
-                    upper = got[known] + last.sum() - bounds[1, known]
-                    may = known[upper >= kth]
-                    if len(may) <= max(4 * k, n // RESOLVED):
-                        break
-            if turns[0][0] == 0:
-                break
+        z, dims = self._floats(q), np.arange(width)
+        slack = width * width * 2.0**-48 if self.inexact else 0
+        side = (z > 0).astype(int)
+        at = lambda depth: z[: len(depth)] * self.frontier[side[: len(depth)], dims, depth]
+        depth = np.zeros(q.shape, int)
+        last, far = at(depth), at(np.full(q.shape, self.chunks))
+        rest = (last - far).sum(axis=1)
+        goal = rest / FIRST
+        place, own = np.arange(len(q)), self.ids[None, :] == query_ids[:, None]
+        room = n - own.sum(axis=1) <= k  # too few for any to be left out
+        for i in np.flatnonzero(room | (rest == 0)):
+            yield self._resolved(i, np.flatnonzero(~own[i]), q[i], 0.0, k)
+        go = np.flatnonzero(~room & (rest > 0))
+        while len(go):
+            place, q, z, side, own, depth, last, far, goal = (v[go] for v in (place, q, z, side, own, depth, last, far, goal))
+            self._read(z, side, depth, last, far, goal)
+            # bounds of every candidate: what was read of it, and the ends of what is left where it wasn't
+            of_low, steps = np.arange(self.chunks)[None, :, None], depth[:, None, :]
+            read = np.where(side[:, None, :] == 1, of_low >= self.chunks - steps, of_low < steps)
+            over = lambda weights, table: (weights[:, None, :] * read).reshape(len(q), -1) @ table.reshape(-1, n)
+            got = over(z, self.shown)
+            lower = got + (far.sum(axis=1)[:, None] - over(far, self.mark))
+            upper = got
+            upper += last.sum(axis=1)[:, None] - over(last, self.mark)
+            lower[own] = upper[own] = -np.inf
+            kth = np.partition(lower, n - k, axis=1)[:, n - k]
+            # outsiders share one upper bound, the sum of the last values read; all of them stay while it reaches the k-th lower bound
+            may = upper >= (kth - slack)[:, None]
+            left = (last - far).sum(axis=1)
+            done = (may.sum(axis=1) <= max(4 * k, n // RESOLVED)) | ~(left > 0)
+            for i in np.flatnonzero(done):
+                yield self._resolved(place[i], np.flatnonzero(may[i]), q[i], depth[i].sum() / (self.chunks * max(1, np.count_nonzero(q[i]))), k)
+            goal, go = left / SHRUNK, np.flatnonzero(~done)
+
+    def _read(self, z: np.ndarray, side: np.ndarray, depth: np.ndarray, last: np.ndarray, far: np.ndarray, goal: np.ndarray) -> None:
+        """Read chunk by chunk, always of the list whose rest can change a score the most, until all rests together are down to ``goal``."""
+        gap = last - far
+        while True:
+            i = np.flatnonzero((gap.sum(axis=1) > goal) & (gap.max(axis=1) > 0))
+            if not len(i):
+                return
+            d = gap[i].argmax(axis=1)
+            depth[i, d] += 1
+            last[i, d] = z[i, d] * self.frontier[side[i, d], d, depth[i, d]]
+            gap[i, d] = last[i, d] - far[i, d]
+
+    def _resolved(self, place: int, may: np.ndarray, q: np.ndarray, share: float, k: int) -> tuple[int, list[tuple[int, int]], float]:
+        """The exact k best of the candidates that are left."""
         score = self.x[may] @ q
         best = sorted(zip((-score).tolist(), self.ids[may].tolist()))[:k]
-        return [(i, int(-s)) for s, i in best], sum(depth.values()) / max(1, n * len(depth))
+        return int(place), [(i, int(-s)) for s, i in best], float(share)
 
 
 def _search(k: int):
@@ -116,12 +147,13 @@ def _search(k: int):
             peaks = [max((float(np.abs(v).max()) for v in side["v"] if len(v)), default=0.0) for side in (candidates, queries)]
             width = max(1, *sizes)
             largest = peaks[0] * peaks[1] * width
-            kind = "float32" if largest < 2**23 else "float64" if largest < 2**52 else "object"
+            kind = "float32" if largest < 2**22 else "float64" if largest < 2**50 else "object"
             lists = SortedLists(candidates["vec_id"].to_numpy(), _matrix(candidates["v"], width, kind))
-            for query_id, q in zip(queries["vec_id"].tolist(), _matrix(queries["v"], width, kind)):
-                found, _ = lists.top_k(query_id, q, k)
-                # a score beyond a long still ranks by its true value: here by its place in the group
-                rows += [(query_id, i, min(max(s, LEAST), MOST), f"{s:+d}") for i, s in found]
+            query_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["v"], width, kind)
+            for at in range(0, len(q), BATCH):
+                for place, found, _ in lists.search(query_ids[at : at + BATCH], q[at : at + BATCH], k):
+                    # a score beyond a long still ranks by its true value: here by its place in the group
+                    rows += [(query_ids[at + place], i, min(max(s, LEAST), MOST), f"{s:+d}") for i, s in found]
         out = pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "exact"])
         return out.astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
