@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import decontaminate, html_extract, langid, masked_lm, minhash, packing, quality, token_store, topk, url_filter
+from skysift.llm import decontaminate, filter_audit, html_extract, langid, masked_lm, minhash, packing, quality, token_store, topk, url_filter
 from skysift.llm.common import shared_dir
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -75,6 +75,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "evidence", "prior", "posterior", "kept")
 
 
+AUDITED = {
+    "A": filter_audit.fewer_words(100),
+    "B": filter_audit.fewer_distinct(80),
+    "C": filter_audit.more_capitals(10),
+    "D": filter_audit.holds("[#$%&*|]"),
+    "E": filter_audit.EARLIER_COPY,
+}
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), AUDITED, part="lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_orc": op2_token_orc,
@@ -86,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_masked_lm": op9_masked_lm,
     "op10_quality": op10_quality,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 _RULES_SQL = ", ".join(f"('{r}', '{a}')" for r, a in URL_RULES)
@@ -152,5 +166,35 @@ root AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
 c AS (SELECT root, min(doc_id) AS component_id FROM root JOIN of USING (node) JOIN d USING (rid) GROUP BY root)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
 FROM d LEFT JOIN of USING (rid) LEFT JOIN root USING (node) LEFT JOIN c USING (root)
+""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+x AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, map {
+    'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+    'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(x.doc_id > first, false)} AS fails
+  FROM x LEFT JOIN l USING (doc_id)),
+f(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+r AS (
+  SELECT part, filter_order, step, n, good, toxic, fails[filter_order[step]] AS here,
+    len(list_filter(range(1, step), lambda i: fails[filter_order[i]])) > 0 AS before, len(list_filter(map_values(fails), lambda v: v)) AS k
+  FROM g, s),
+z AS (
+  SELECT part, filter_order, step, sum(CASE WHEN NOT before AND NOT here THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT before AND here THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN before AND here THEN n ELSE 0 END) AS redundant, sum(CASE WHEN here AND k = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT before AND here THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT before AND here THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM z
 """,
 }
