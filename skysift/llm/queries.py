@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import decontaminate, filter_audit, html_extract, langid, masked_lm, minhash, packing, quality, token_store, topk, url_filter
+from skysift.llm import decontaminate, filter_audit, html_extract, jaccard_join, langid, lexical, masked_lm, minhash, packing, quality, token_store, topk, url_filter
 from skysift.llm.common import shared_dir
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -75,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "evidence", "prior", "posterior", "kept")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 AUDITED = {
     "A": filter_audit.fewer_words(100),
     "B": filter_audit.fewer_distinct(80),
@@ -88,6 +92,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), AUDITED, part="lang")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_orc": op2_token_orc,
@@ -99,7 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_masked_lm": op9_masked_lm,
     "op10_quality": op10_quality,
+    "op11_lexical_search": op11_lexical_search,
     "op12_filter_audit": op12_filter_audit,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 _RULES_SQL = ", ".join(f"('{r}', '{a}')" for r, a in URL_RULES)
@@ -196,5 +206,42 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
 FROM z
+""",
+    "op11_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+f AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY rid, term),
+v AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY term, n_docs),
+c AS (
+  SELECT i.item_id, f.rid, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM f JOIN v USING (term) JOIN i USING (term) JOIN d USING (rid), s GROUP BY i.item_id, f.rid),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+""",
+    "op13_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+z AS (SELECT rid, list(g ORDER BY g) AS gs, count(*) AS n FROM s GROUP BY rid),
+k AS (SELECT gs, n, min(rid) AS node FROM z GROUP BY gs, n),
+of AS (SELECT z.rid, k.node, z.n FROM z JOIN k USING (gs)),
+ks AS (SELECT node, n, unnest(gs) AS g FROM k),
+link AS (
+  SELECT x.node AS a, y.node AS b FROM ks x JOIN ks y ON x.g = y.g AND x.node < y.node AND x.n * 100 >= y.n * 85 AND y.n * 100 >= x.n * 85
+  GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT node, node FROM k UNION SELECT r.a, two.b FROM reach r JOIN two ON r.b = two.a),
+root AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+c AS (SELECT root, min(doc_id) AS component_id FROM root JOIN of USING (node) JOIN d USING (rid) GROUP BY root)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM d LEFT JOIN of USING (rid) LEFT JOIN root USING (node) LEFT JOIN c USING (root)
 """,
 }
