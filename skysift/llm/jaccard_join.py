@@ -35,31 +35,36 @@ from pyspark.sql import functions as F
 
 from skysift.llm.common import let_workers_import, written
 from skysift.llm.components import components
-from skysift.llm.minhash import _set_batches, shingle_set
+from skysift.llm.shingles import shingle_sets
 
 #: The sketch has so many counters, 4 MB of classes of frequency once it is sent to the tasks; they are merged in chunks.
 COUNTERS, CHUNK = 1 << 22, 1 << 16
 #: Hash permutations that give keys, and how many least values make one.
 PERMUTATIONS, LEAST = 4, 3
 GROUP = 32
-#: A hub's set is copied once for so many partners.
-PARTNERS = 512
+#: A group meets at most so many queries at a time, and a task about so many texts.
+PARTNERS, TEXTS = 512, 2000
+SLICE = 500
 ROWS = "rid long, doc_id long, mark long, n long, print binary, weight float, keys array<long>, prefix array<long>"
 _SEEDS = np.random.default_rng(13).integers(1, 2**63, PERMUTATIONS, dtype="uint64") | np.uint64(1)
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(20)) & np.uint64(COUNTERS - 1)
+    """Counters of shingles, in the order of these."""
+    return (shingles >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype("int64")
 
 
 def _counted(words: int):
-    """Counters over all texts of a task, in chunks."""
+    """Counters over all texts of a task, in chunks; a task counts to 65535."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(COUNTERS, "int32")
+        table = np.zeros(COUNTERS, "int64")
         for batch in batches:
-            for text in batch.column(0):
-                np.add.at(table, _slots(shingle_set(text.as_py(), words)), 1)
+            for at in range(0, batch.num_rows, SLICE):
+                every = np.concatenate(shingle_sets(batch.column(0).slice(at, SLICE), words))
+                every.sort()
+                np.add.at(table, _slots(every), 1)
+        table = np.minimum(table, 65535).astype("uint16")
         for at in range(0, COUNTERS, CHUNK):
             if table[at : at + CHUNK].any():
                 yield pa.record_batch([pa.array([at], pa.int32()), pa.array([table[at : at + CHUNK].tobytes()], pa.binary())], names=["at", "counts"])
@@ -70,7 +75,7 @@ def _counted(words: int):
 def _summed(chunks: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CHUNK, "int64")
     for x in chunks["counts"]:
-        total += np.frombuffer(x, "int32")
+        total += np.frombuffer(x, "uint16")
     return pd.DataFrame({"at": [int(chunks["at"].iloc[0])], "counts": [np.minimum(total, 2**31 - 1).astype("int32").tobytes()]})
 
 
@@ -100,9 +105,9 @@ def _described(words: int, percent: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = classes.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingle_set(t, words) for t in part.column(3).to_pylist()]
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = shingle_sets(part.column(3), words)
                 weights, prefixes = [], []
                 for s in sets:
                     f = frequency[_slots(s)]
@@ -130,22 +135,69 @@ def _sizes_fit(n: Column, least: Column, most: Column, percent: int) -> Column:
     return (n * 100 >= least * percent) & (most * 100 >= n * percent)
 
 
-def _sets(nodes: DataFrame, classes: DataFrame, plain: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): full sets of some classes from the text of a row of each, written."""
-    chosen = classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "print")
-    texts = plain.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    return written(texts.select("node", "print", "text").mapInArrow(_set_batches(words), "node long, shingles array<long>").dropDuplicates(["node"]), {"compression": "none"})
+def _texts(chosen: DataFrame, classes: DataFrame, plain: DataFrame) -> DataFrame:
+    """Rows (node, ...), each with the text of a row of its class.
+
+    Texts are found by id and hash. Where several rows share both, one of them is taken.
+    """
+    places = classes.select("node", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "twins")
+    asked = chosen.join(places, "node")
+    found = lambda some: plain.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select(*chosen.columns, "text")
+    if classes.filter("twins").isEmpty():
+        return found(asked)
+    return found(asked.filter("NOT twins")).union(found(asked.filter("twins")).dropDuplicates(chosen.columns))
+
+
+def _matched(words: int, percent: int):
+    """For a bucket of groups, each query with the first member found that is similar enough."""
+
+    def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        held = {k: list(m.itertuples()) for k, m in members.groupby(["root", "part", "copy"])}
+        for group, some in queries.groupby(["root", "part", "copy"]):
+            mine = held.get(group, [])
+            sets = shingle_sets(pa.array([m.text for m in mine], pa.string()), words)
+            if not sets:
+                continue
+            sizes, nodes = np.array([len(s) for s in sets]), [m.node for m in mine]
+            union = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+            for at in range(0, len(some), SLICE):
+                part = some.iloc[at : at + SLICE]
+                for node, s in zip(part["node"], shingle_sets(pa.array(part["text"], pa.string()), words)):
+                    # a bound over all members first; groups that can't reach the threshold stay closed
+                    if _shared(s, union) * 100 < len(s) * percent:
+                        continue
+                    for i in np.flatnonzero((sizes * 100 >= len(s) * percent) & (len(s) * 100 >= sizes * percent)):
+                        both = _shared(s, sets[i])
+                        if both * 100 >= (len(s) + sizes[i] - both) * percent:
+                            links.append((node, nodes[i]))
+                            break
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; b may have very many partners."""
-    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies"))
-    left = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
-    right = copies.join(sets, copies["b"] == sets["node"]).select(F.col("b").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_copy"), F.col("shingles").alias("sb"))
-    joined = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(right, (F.col("b") == F.col("_b")) & (F.col("copy") == F.col("_copy")))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = joined.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return joined.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
+def _links(asked: DataFrame, members: DataFrame, classes: DataFrame, plain: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): for queries (node, root, part) of groups, members (root, part, node) that are similar enough, at least one of each group that has any.
+
+    The members of a group are of one root, so that one link says as much as all. A group with many queries is copied.
+    """
+    copies = written(asked.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies")))
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("root", "part", "copy"), F.lit(max(1, 2 * total // TEXTS))).cast("int").alias("bucket")
+    left = asked.join(copies, ["root", "part"]).withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int"))
+    right = members.join(copies, ["root", "part"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    sides = [_texts(written(x.select("node", "root", "part", "copy", bucket)), classes, plain) for x in (left, right)]
+    sides = [x.select(*(F.col(y).alias(y) for y in x.columns)).groupBy("bucket") for x in sides]  # columns of their own
+    return written(sides[0].cogroup(sides[1]).applyInPandas(_matched(words, percent), "a long, b long"))
 
 
 def _stars(classes: DataFrame, percent: int) -> DataFrame:
@@ -185,26 +237,22 @@ def row_groups(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str =
 
     least = F.min(F.struct("rid", "doc_id", "mark", "n", "weight", "keys"))
     classes = rows.filter(F.col("print").isNotNull()).groupBy("print").agg(least.alias("c"), F.min("doc_id").alias("least_id"))
-    classes = written(classes.select("print", "least_id", F.col("c.rid").alias("node"), *(f"c.{x}" for x in ("doc_id", "mark", "n", "weight", "keys"))))
+    classes = classes.select("print", "least_id", F.col("c.rid").alias("node"), *(f"c.{x}" for x in ("doc_id", "mark", "n", "weight", "keys")))
+    twins = rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.lit(True).alias("twins"))
+    classes = classes.join(twins, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark")
+    classes = written(classes.withColumn("twins", F.coalesce("twins", F.lit(False))))
 
+    # similar classes, by the hubs of their keys
     stars = written(_stars(classes, percent))
-    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _sets(ends(stars), classes, plain, words)
-    roots = components(_links(stars, sets, percent))
+    asked = stars.select(F.col("a").alias("node"), F.col("b").alias("root"), F.lit(0).alias("part"))
+    roots = components(_links(asked, asked.select("root", "part").distinct().withColumn("node", F.col("root")), classes, plain, words, percent))
+
+    # groups of them, and the matrix
     groups = written(_grouped(classes, roots))
     placed = written(groups.join(rows.select(F.col("rid").alias("node"), "prefix"), "node"))
     asked = written(_queries(placed, percent))
-
-    members = groups.select("root", "part", F.col("node").alias("member"), F.col("n").alias("m")).join(asked.select("root", "part").distinct(), ["root", "part"], "left_semi")
-    members = written(members)
-    more = asked.select("node").union(members.select("member")).distinct().join(sets.select("node"), "node", "left_anti")
-    sets = sets.unionByName(_sets(written(more), classes, plain, words))
-    # a group holds about GROUP sets
-    unions = members.join(sets, F.col("member") == F.col("node")).groupBy("root", "part").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("every"))
-    met = asked.join(sets, "node").join(unions, ["root", "part"])
-    opened = met.filter(F.size(F.array_intersect("shingles", "every")) * 100 >= F.size("shingles") * percent).select("node", "root", "part", F.size("shingles").alias("n"))
-    pairs = written(opened.join(members, ["root", "part"]).filter(_sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)).select(F.col("node").alias("a"), F.col("member").alias("b")))
-    found = _links(pairs, sets, percent)
+    members = groups.join(asked.select("root", "part").distinct(), ["root", "part"], "left_semi").select("root", "part", "node")
+    found = _links(asked, members, classes, plain, words, percent)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
     named = classes.join(roots, "node", "left").select("print", "least_id", F.coalesce("root", "node").alias("root"))
