@@ -81,7 +81,10 @@ def field_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locus_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = bound(spark, sf_dir, "catalogue").withColumn("w12", c("W1mag") - c("W2mag"))
-    return rounded(cluster.locus_excess(d, "bp_rp", "w12", 20).select("source_id", "z"), 4)
+    return rounded(cluster.locus_excess(d, "bp_rp", "w12").select("source_id", "z"), 4)
+
+
+FEATURES, REPLICATES = ("phot_g_mean_mag", "bp_rp", "parallax"), 500
 
 
 def _phase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +100,23 @@ def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = cluster.strata(_phase(spark, sf_dir), ["phot_g_mean_mag"], 3, 90.0)
-    return rounded(cluster.null_test(p, p.filter("source_id % 25 = 0"), encounters.POSITION, 2, 60.0, 20), 5)
+    p = cluster.strata(_phase(spark, sf_dir), FEATURES, 4, 8)
+    return rounded(cluster.null_test(p, p.filter("source_id % 25 = 0"), encounters.POSITION, 2, 60.0, REPLICATES), 5)
+
+
+def _cluster_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = _phase(spark, sf_dir).withColumn("w12", c("W1mag") - c("W2mag"))
+    return cluster.cluster_run(cluster.locus_excess(d, "bp_rp", "w12"), "z", 4.0, REPLICATES, link=20.0, features=FEATURES)
+
+
+def cluster_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustering search's tests of the infrared excess tail in three spaces."""
+    return rounded(_cluster_run(spark, sf_dir)[0], 4)
+
+
+def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of the infrared excess tail; links are longer than the default, as the given stars stand far apart."""
+    return rounded(_cluster_run(spark, sf_dir)[1], 4)
 
 
 def phase_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_triage, line_velocity, recurrent_cut, excluded_bandwidth, redshift_families, triage_counts, line_ranking, completeness_map, completeness_least_tau, forecast_headline, contamination_budget, removal_efficacy,
-        field_limits, locus_excess, standardized_phase, neighbour_distances, matched_null, phase_groups, phase_group_summary, combined_p_values,
+        field_limits, locus_excess, standardized_phase, neighbour_distances, matched_null, cluster_tests, cluster_groups, phase_groups, phase_group_summary, combined_p_values,
     )
 }
 
@@ -159,6 +177,37 @@ def _bins(column: str, n: int, source: str) -> str:
     return f"(SELECT x.*, list_sum(list_transform(edges, lambda e: CASE WHEN {column} > e THEN 1 ELSE 0 END)) AS bin FROM {source} x, (SELECT [{edges}] AS edges FROM {source}))"
 
 
+#: z of W1 - W2 over its median in bins of bp_rp, of table p.
+_EXCESS = """en AS (SELECT least(20, count(*) FILTER (isfinite(bp_rp) AND isfinite(W1mag - W2mag)) // 25) AS bins FROM p),
+ev AS (SELECT list(bp_rp ORDER BY bp_rp) AS v FROM p WHERE isfinite(bp_rp) AND isfinite(W1mag - W2mag)),
+ep AS (SELECT v, unnest(range(1, bins)) / CAST(bins AS DOUBLE) * (len(v) - 1) AS pos FROM ev, en),
+eg AS (SELECT list(DISTINCT (ceil(pos) - pos) * v[CAST(floor(pos) AS BIGINT) + 1] + (pos - floor(pos)) * v[CAST(ceil(pos) AS BIGINT) + 1] + CASE WHEN pos = floor(pos) THEN v[CAST(pos AS BIGINT) + 1] ELSE 0e0 END) AS edges FROM ep),
+eb AS (SELECT p.*, W1mag - W2mag AS w12, CASE WHEN isfinite(bp_rp) AND isfinite(W1mag - W2mag) THEN len(list_filter(edges, lambda e: bp_rp > e)) END AS bin FROM p, eg),
+em AS (SELECT bin, quantile_cont(w12, 0.5) AS m FROM eb WHERE bin IS NOT NULL GROUP BY 1), es AS (SELECT bin, 1.4826e0 * quantile_cont(abs(w12 - m), 0.5) + 1e-6 AS s FROM eb JOIN em USING (bin) GROUP BY 1),
+ex AS (SELECT eb.*, (w12 - m) / s AS z FROM eb LEFT JOIN em USING (bin) LEFT JOIN es USING (bin))"""
+_AXES = "x0, x1, x2, x3, x4"
+
+
+def _key(x: str, rep: str) -> str:
+    return f"(((({x}) % 2147483648 * 2654435761 + ({rep}) * 40503 + 977) % 4294967296 * 1103515245 + 12345) % 4294967296)"
+
+
+def _strata(table: str, anomaly: str) -> str:
+    """an: the anomalies of a table with their stratum; dr: the draws of 500 replicates."""
+    edges = ", ".join(f"[{', '.join(f'quantile_cont({x}, {i / 4!r})' for i in (1, 2, 3))}] AS e{j}" for j, x in enumerate(FEATURES))
+    place = lambda j, x: f"coalesce(len(list_filter(e{j}, lambda e: {x} > e)), 4)"
+    code = " * 5 + ".join(["(" * (len(FEATURES) - 1) + place(0, FEATURES[0]), *(place(j, x) + ")" for j, x in enumerate(FEATURES) if j)])
+    strides = ", ".join(f"{_key(f'stratum * 31 + {i + 1}', 'rep')} % pool" for i in range(cluster.STRIDES))
+    return f"""
+ed AS (SELECT {edges} FROM {table}),
+sr AS (SELECT {table}.*, ({code}) * 64 + least(greatest(CAST(floor(ra / 360e0 * 8) AS BIGINT), 0), 7) * 8 + least(greatest(CAST(floor((dec + 90) / 180e0 * 8) AS BIGINT), 0), 7) AS stratum FROM {table}, ed),
+an AS (SELECT * FROM sr WHERE {anomaly}), wa AS (SELECT stratum, count(*) AS want FROM an GROUP BY 1), po AS (SELECT stratum, count(*) AS pool FROM sr GROUP BY 1),
+nu AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_key("source_id", "0")}, source_id) - 1 AS i FROM sr),
+on1 AS (SELECT stratum, want, pool, rep, {_key("stratum * 31", "rep")} % pool AS start, [{strides}] AS strides FROM wa JOIN po USING (stratum), range({REPLICATES}) z(rep)),
+on2 AS (SELECT *, coalesce(list_filter(strides, lambda x: x > 0 AND gcd(x, pool) = 1)[1], 1) AS stride, unnest(range(want)) AS draw FROM on1),
+dr AS (SELECT on2.rep, nu.* FROM on2 JOIN nu ON nu.stratum = on2.stratum AND nu.i = CASE WHEN pool >= want THEN (start + draw * stride) % pool ELSE {_key("on2.stratum * 31 + 17 + draw * 1000003", "rep")} % pool END)"""
+
+
 _R3 = encounters.ROTATION
 _XYZ = f"""p AS (SELECT *, 1000e0 / parallax AS dist_pc, {encounters.KMS_PER_MASYR_KPC!r}e0 * pmra / parallax AS vtan_ra, {encounters.KMS_PER_MASYR_KPC!r}e0 * pmdec / parallax AS vtan_dec,
   {", ".join(f"1000e0 / parallax * ({r[0]!r}e0 * cos(radians(dec)) * cos(radians(ra)) + {r[1]!r}e0 * cos(radians(dec)) * sin(radians(ra)) + {r[2]!r}e0 * sin(radians(dec))) AS {n}" for n, r in zip(encounters.POSITION, _R3))} FROM {duck("catalogue")})"""
@@ -206,22 +255,33 @@ SELECT round(sum(len), 5) AS excluded, round(sum(len) / 6200e0, 5) AS fraction F
     + f"SELECT count(*) AS n, round(count(*) * {46000 * math.pi * (3 / 3600) ** 2!r}e0, 5) AS before, round(count(*) FILTER (NOT removed) * {46000 * math.pi * (3 / 3600) ** 2!r}e0, 5) AS after, round(count(*) / count(*) FILTER (NOT removed), 5) AS factor, round(count(*) FILTER (removed) / count(*), 5) AS removed_fraction, round(quantile_cont(mu, 0.5), 5) AS median_mu FROM r",
     "removal_efficacy": _REM
     + """SELECT i AS bin, lo AS low, count(*) AS n, round(avg(CAST(removed AS INTEGER)), 5) AS removed_fraction FROM r JOIN (VALUES (0, 0e0, 50e0), (1, 50e0, 100e0), (2, 100e0, 150e0), (3, 150e0, 200e0), (4, 200e0, 300e0)) e(i, lo, hi) ON mu >= lo AND mu < hi GROUP BY 1, 2""",
-    "locus_excess": f"""
-WITH a AS (SELECT source_id, bp_rp, W1mag - W2mag AS w12 FROM {duck("catalogue")}), b AS (SELECT * FROM {_bins("bp_rp", 20, "a")}),
-m AS (SELECT bin, quantile_cont(w12, 0.5) AS m FROM b GROUP BY 1), s AS (SELECT bin, 1.4826e0 * quantile_cont(abs(w12 - m), 0.5) + 1e-6 AS s FROM b JOIN m USING (bin) GROUP BY 1)
-SELECT source_id, round((w12 - m) / s, 4) + 0e0 AS z FROM b JOIN m USING (bin) JOIN s USING (bin)""",
+    "locus_excess": f"""WITH p AS (SELECT * FROM {duck("catalogue")}), {_EXCESS} SELECT source_id, round(z, 4) + 0e0 AS z FROM ex""",
     "standardized_phase": f"WITH {_XYZ} SELECT source_id, " + ", ".join(f"round(({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER (), 5) + 0e0 AS {x}" for x in (*encounters.POSITION, "vtan_ra", "vtan_dec")) + " FROM p",
     "neighbour_distances": f"""WITH {_XYZ}, d AS (SELECT a.source_id, sqrt({_D2}) AS d, b.source_id AS o FROM p a JOIN p b ON a.source_id <> b.source_id)
 SELECT source_id, round(d, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY d, o) AS r FROM d) WHERE r = 3""",
     "matched_null": f"""
-WITH {_XYZ}, q AS (SELECT * FROM {_bins("phot_g_mean_mag", 3, "p")}),
-t AS (SELECT *, bin * 1000000 + CAST(floor(ra / 90) AS BIGINT) * 1000 + CAST(floor((dec + 90) / 90) AS BIGINT) AS stratum FROM q),
-an AS (SELECT * FROM t WHERE source_id % 25 = 0), wa AS (SELECT stratum, count(*) AS want FROM an GROUP BY 1),
-dr AS (SELECT *, row_number() OVER (PARTITION BY rep, stratum ORDER BY (((source_id % 2147483648) * 2654435761 + rep * 40503 + 977) % 4294967296 * 1103515245 + 12345) % 4294967296, source_id) AS r FROM t JOIN wa USING (stratum), range(20) z(rep)),
-al AS (SELECT rep, source_id, X_pc, Y_pc, Z_pc FROM dr WHERE r <= want UNION ALL SELECT -1, source_id, X_pc, Y_pc, Z_pc FROM an),
-nd AS (SELECT a.rep, a.source_id, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.rep, a.source_id ORDER BY {_D2}, b.source_id) AS r FROM al a JOIN al b ON a.rep = b.rep AND a.source_id <> b.source_id),
-st AS (SELECT rep, quantile_cont(d, 0.5) AS s FROM nd WHERE r = 2 GROUP BY 1), ob AS (SELECT s AS observed FROM st WHERE rep = -1)
+WITH {_XYZ}, t AS (SELECT *, X_pc AS x0, Y_pc AS x1, Z_pc AS x2 FROM p), {_strata("t", "source_id % 25 = 0")},
+al AS (SELECT rep, x0, x1, x2, row_number() OVER () AS i FROM (SELECT rep, x0, x1, x2 FROM dr UNION ALL SELECT -1, x0, x1, x2 FROM an)),
+nd AS (SELECT a.rep, a.i, sqrt(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2)) AS d FROM al a JOIN al b ON a.rep = b.rep AND a.i <> b.i),
+nk AS (SELECT rep, list(d ORDER BY d)[2] AS d FROM nd GROUP BY rep, i),
+st AS (SELECT rep, quantile_cont(d, 0.5) AS s FROM nk GROUP BY 1), ob AS (SELECT s AS observed FROM st WHERE rep = -1)
 SELECT round(observed, 5) AS observed, count(*) AS n, round(avg(s), 5) AS null_mean, round(stddev_pop(s), 5) AS null_std, round((count(*) FILTER (s <= observed) + 1) / (count(*) + 1), 5) AS p_value, round((observed - avg(s)) / stddev_pop(s), 5) + 0e0 AS z FROM st, ob WHERE rep >= 0 GROUP BY observed""",
+    "cluster_tests": f"""
+WITH {_XYZ}, {_EXCESS}, t AS (SELECT *, {", ".join(f"({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER () AS x{i}" for i, x in enumerate((*encounters.POSITION, "vtan_ra", "vtan_dec")))} FROM ex), {_strata("t", "z >= 4")},
+al AS (SELECT *, row_number() OVER () AS i FROM (SELECT rep, {_AXES} FROM dr UNION ALL SELECT -1, {_AXES} FROM an)),
+nd AS (SELECT a.rep, a.i, {", ".join(f"sqrt(min({' + '.join(f'pow(a.x{i} - b.x{i}, 2)' for i in axes)})) AS {name}" for name, axes in (("pos", (0, 1, 2)), ("vel", (3, 4)), ("pha", (0, 1, 2, 3, 4))))} FROM al a JOIN al b ON a.rep = b.rep AND a.i <> b.i GROUP BY 1, 2),
+st AS (SELECT rep, 'position' AS space, quantile_cont(pos, 0.5) AS s FROM nd GROUP BY 1 UNION ALL SELECT rep, 'velocity', quantile_cont(vel, 0.5) FROM nd GROUP BY 1 UNION ALL SELECT rep, 'phase', quantile_cont(pha, 0.5) FROM nd GROUP BY 1),
+ob AS (SELECT space, s AS observed FROM st WHERE rep = -1),
+co AS (SELECT count(*) AS n_searched, count(*) FILTER (z >= 4) AS n_excess FROM t)
+SELECT space, n_searched, n_excess, n_excess AS n_anom, round(observed, 4) AS observed, round(avg(s), 4) AS null_mean, round(stddev_pop(s), 4) AS null_std, round((observed - avg(s)) / stddev_pop(s), 4) + 0e0 AS z,
+  round((count(*) FILTER (s <= observed) + 1) / (count(*) + 1), 4) AS p_value, (count(*) FILTER (s <= observed) + 1) / (count(*) + 1) < 0.05 AS over_clustered FROM st JOIN ob USING (space), co WHERE rep >= 0 GROUP BY space, observed, n_searched, n_excess""",
+    "cluster_groups": f"""
+WITH RECURSIVE {_XYZ}, {_EXCESS}, ta AS (SELECT *, sqrt(vtan_ra * vtan_ra + vtan_dec * vtan_dec) AS vtan FROM ex WHERE z >= 4),
+e AS (SELECT a.source_id AS a, b.source_id AS b FROM ta a JOIN ta b ON a.source_id <> b.source_id AND {_D2} <= 400),
+rr(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT rr.a, e.b FROM rr JOIN e ON rr.b = e.a),
+rt AS (SELECT a AS source_id, min(b) AS root FROM rr GROUP BY 1),
+gn AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS grp FROM (SELECT root FROM rt GROUP BY 1 HAVING count(*) >= 4))
+SELECT grp AS "group", count(*) AS n, round(avg(ra), 4) AS ra, round(avg(dec), 4) + 0e0 AS dec, round(quantile_cont(dist_pc, 0.5), 4) AS dist_pc, round(quantile_cont(vtan, 0.5), 4) AS vtan, array_to_string(list(source_id ORDER BY source_id)[1:30], ',') AS members FROM rt JOIN gn USING (root) JOIN ta USING (source_id) GROUP BY 1""",
     "phase_groups": _FOF + 'SELECT source_id, "group" FROM gm',
     "phase_group_summary": _FOF
     + """, vv AS (SELECT *, sqrt(vtan_ra * vtan_ra + vtan_dec * vtan_dec) AS vtan FROM p)
