@@ -9,8 +9,8 @@ Documents with equal shingle sets form one class first, so that exact copies cos
 2. Shingles have a global order, the rarest first, by a sketch that counts all shingles of all documents. Any order
    gives right results; this one keeps common passages out of the prefixes. The matrix has a cell for each shingle of a
    prefix and each group that holds it, kept as rows; only shingles of more than one root matter.
-3. A class is a query for the groups of other roots which hold one of its prefix's shingles and a member of the right
-   size. The group's union of shingles bounds what the query can share with any member. Groups whose bound reaches
+3. A class is a query for the groups of other roots which hold so many of its prefix's shingles, and a member of such a size,
+   that the threshold can be reached. The group's union of shingles bounds what the query can share with any member. Groups whose bound reaches
    the threshold are opened, and their members are compared exactly.
 
 Links become classes by components(). No pair at or above the threshold is lost: two such sets share a shingle of both
@@ -223,7 +223,15 @@ def _queries(placed: DataFrame, percent: int) -> DataFrame:
     cells = written(tokens.join(shared, "token"))
     matrix = cells.groupBy(F.col("token").alias("_token"), F.col("root").alias("_root"), F.col("part").alias("_part")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     met = cells.join(matrix, (F.col("token") == F.col("_token")) & (F.col("root") > F.col("_root")) & _sizes_fit(F.col("n"), F.col("least"), F.col("most"), percent))
-    return met.select("node", F.col("_root").alias("root"), F.col("_part").alias("part")).distinct()
+    met = met.groupBy("node", "n", F.col("_root").alias("root"), F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # Of two sets, the one whose prefix ends first has all shingles of its prefix that the other holds in the other's prefix.
+    # So either the query or a member lacks what it doesn't share of its prefix, and what is left must reach the threshold.
+    length = lambda n: n - F.ceil(n * percent / 100) + 1
+    n, least, most, shared = (F.col(x) for x in ("n", "least", "most", "shared"))
+    lacks = length(n) - shared
+    mine = (n - lacks) * 100 >= (least + lacks) * percent
+    theirs = (most - length(most) + shared) * 100 >= (n + F.greatest(length(least) - shared, F.lit(0))) * percent
+    return met.filter(mine | theirs).select("node", "root", "part")
 
 
 def row_groups(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
