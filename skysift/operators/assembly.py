@@ -8,20 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysift.operators.lightcurve import fades, fractional_rms
 from skysift.operators.spectra import excess_at
 from skysift.operators.xmatch import within
+from skysift.sources.scans import CONTRACT_DEFAULTS, ingest
 
 c = F.col
 
-#: What optional columns hold where a catalogue doesn't give them.
-DEFAULTS = {
-    "W1mag_unwise": float("nan"), "gaia_nn_arcsec": float("inf"), "ext_flg": 0, "cc_flags": "0000", "ph_qual": "AA", "n_wise_neighbours": 1,
-    "known_disk": False, "pmra_error": 1.0, "pmdec_error": 1.0, "e_pmra_wise": 50.0, "e_pmdec_wise": 50.0,
-}
-#: Columns that the funnel can't do without.
-REQUIRED = ("source_id", "ra", "dec", "pmra", "pmdec", "teff", "W1mag", "e_W1mag", "W2mag", "e_W2mag", "ra_wise", "dec_wise", "Jmag", "Hmag", "Ksmag")
-
-
 def joined(base: DataFrame, others: Sequence[DataFrame], key: str = "source_id") -> DataFrame:
     """A chain of left joins on the key; a column that is there already is never overwritten."""
     out = base
@@ -34,7 +27,8 @@ def joined(base: DataFrame, others: Sequence[DataFrame], key: str = "source_id")
 def analysis_table(base: DataFrame, others: Sequence[DataFrame], neighbours: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """The funnel's input: catalogues joined to the base, neighbour counts, known_disk from a table of ids, w2snr and defaults.
 
-    Raises ValueError where a required column is missing.
+    Numbers that aren't finite are NULL; an optional column that has a default holds that instead of NULL. Raises
+    ValueError where a required column is missing.
     """
     out = joined(base, others)
     if neighbours is not None:
@@ -46,11 +40,8 @@ def analysis_table(base: DataFrame, others: Sequence[DataFrame], neighbours: Dat
     out = out.withColumn("known_disk", flag).drop("_known")
     if "w2snr" not in out.columns and "e_W2mag" in out.columns:
         out = out.withColumn("w2snr", F.try_divide(F.lit(2.5 / math.log(10.0)), c("e_W2mag")))
-    out = out.withColumns({x: F.coalesce(c(x), F.lit(v)) if x in out.columns else F.lit(v) for x, v in DEFAULTS.items()})
-    missing = [x for x in REQUIRED if x not in out.columns]
-    if missing:
-        raise ValueError(f"the assembled table lacks the columns {missing}")
-    return out
+    out = ingest(out)
+    return out.withColumns({x: F.coalesce(c(x), F.lit(v)) for x, v in CONTRACT_DEFAULTS.items() if v is not None})
 
 
 def is_flagged(flag: Column) -> Column:
@@ -87,9 +78,9 @@ def ranked_flashes(rows: DataFrame) -> DataFrame:
 
 
 def blend_report(verdicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The verdicts in order (by verdict, then greatest tau), their counts, and the survivors (isolated ones)."""
+    """The verdicts in order (by verdict, then greatest tau), their counts, and the survivors (clean and isolated ones)."""
     counts = verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
-    return verdicts.orderBy("verdict", F.desc_nulls_last("tau"), "source_id"), counts, verdicts.filter("verdict = 'isolated'")
+    return verdicts.orderBy("verdict", F.desc_nulls_last("tau"), "source_id"), counts, verdicts.filter("verdict IN ('clean', 'isolated')")
 
 
 def follow_up(scored: DataFrame, n: int) -> DataFrame:
@@ -138,16 +129,28 @@ def target_counts(targets: DataFrame) -> DataFrame:
     )
 
 
+def good_frames(epochs: DataFrame) -> DataFrame:
+    """Single exposures of positive quality whose flags begin with 00."""
+    return epochs.filter((c("qual_frame") > 0) & c("cc_flags").startswith("00"))
+
+
 def frame_rms(epochs: DataFrame, least: int = 12) -> DataFrame:
-    """(source_id, band, n, frac_rms): scatter of the flux of good single exposures over its mean, from ``least`` of them on.
+    """(source_id, band, n_kept, frac_rms): fractional_rms() of good single exposures, NULL with fewer than ``least``.
+
+    epochs: (source_id, band, mag, magerr, qual_frame, cc_flags).
+    """
+    return fractional_rms(good_frames(epochs), ["source_id", "band"], least)
+
+
+def frame_fades(epochs: DataFrame, least: int = 30) -> DataFrame:
+    """(source_id, band, n_epochs, slope, slope_sigma, n_seasons): fades() of good single exposures in each band, NULL where there is nothing to fit.
 
-    epochs: (source_id, band, mag, qual_frame, cc_flags). Good frames have a positive quality and flags that begin
-    with 00.
+    epochs: (source_id, band, mjd, mag, magerr, qual_frame, cc_flags). n_epochs counts the source's good exposures in the band.
     """
-    good = epochs.filter((c("qual_frame") > 0) & c("cc_flags").startswith("00") & c("mag").isNotNull())
-    flux = F.pow(F.lit(10.0), c("mag") * -0.4)
-    one = good.groupBy("source_id", "band").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(flux).alias("_s"), F.avg(flux).alias("_m"))
-    return one.filter(c("n") >= least).select("source_id", "band", "n", F.try_divide(c("_s"), c("_m")).alias("frac_rms"))
+    good = good_frames(epochs)
+    n = good.groupBy("source_id", "band").agg(F.count(F.lit(1)).alias("n_epochs"))
+    found = fades(good, ["source_id", "band"], min_epochs=least).select("source_id", "band", "slope", "slope_sigma", "n_seasons")
+    return n.join(found, ["source_id", "band"], "left").withColumn("n_seasons", F.coalesce("n_seasons", F.lit(0)))
 
 
 def survey_epochs(epochs: DataFrame, least: int = 20) -> DataFrame:

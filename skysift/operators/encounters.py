@@ -56,7 +56,11 @@ def phase_space(df: DataFrame, floor: float = 0.5) -> DataFrame:
 def closest_approach(df: DataFrame, anchor: DataFrame) -> DataFrame:
     """Add sep_now, v_rel, t_enc (Myr) and d_min of straight paths past the one-row anchor."""
     one = anchor.select(*(c(n).alias(f"_{n}") for n in POSITION + VELOCITY)).limit(1)
-    df = df.join(F.broadcast(one), F.lit(True))
+    return approach(df.join(F.broadcast(one), F.lit(True)))
+
+
+def approach(df: DataFrame) -> DataFrame:
+    """closest_approach() of rows that hold the anchor's position and velocity as columns with _ before their names, which are dropped."""
     dr = [c(n) - c(f"_{n}") for n in POSITION]
     dv = [c(n) - c(f"_{n}") for n in VELOCITY]
     df = df.withColumns({"sep_now_pc": F.sqrt(sum((x * x for x in dr), F.lit(0.0))), "v_rel_kms": F.sqrt(sum((x * x for x in dv), F.lit(0.0)))})
@@ -106,20 +110,51 @@ def keyed_normal(key: Column, draw: Column, stream: int) -> Column:
     return F.sqrt(F.log(keyed_uniform(key, draw, stream)) * -2.0) * F.cos(keyed_uniform(key, draw, stream + 1) * (2 * math.pi))
 
 
-def encounter_uncertainty(candidates: DataFrame, anchor: DataFrame, draws: int = 200, errors: dict[str, float] | None = None) -> DataFrame:
-    """Percentiles of d_min, t_enc and v_rel over Gaussian draws of parallax, motions and radial velocity, and robust.
+#: What is drawn, each from its own column ``<name>_error``.
+DRAWN = ("parallax", "pmra", "pmdec", "radial_velocity")
+
+
+def drawn(stars: DataFrame, draws: int, stream: int = 0) -> DataFrame:
+    """Each star ``draws`` times (column draw) with Gaussian values of DRAWN around its own; an error that is NULL or not above 0 is 0.
+
+    Numbers depend on the star's id, the draw and the stream alone, so results don't depend on partitioning.
+    """
+    rows = stars.select("source_id", "ra", "dec", *DRAWN, *(f"{n}_error" for n in DRAWN)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    error = lambda n: F.when(c(f"{n}_error") < float("inf"), F.greatest(c(f"{n}_error"), F.lit(0.0)))
+    return rows.withColumns({n: c(n) + keyed_normal(c("source_id"), c("draw"), stream + 2 * i) * F.coalesce(error(n), F.lit(0.0)) for i, n in enumerate(DRAWN)})
+
+
+def encounter_uncertainty(candidates: DataFrame, anchor: DataFrame, draws: int = 3000) -> DataFrame:
+    """Percentiles of d_min, t_enc and v_rel over draws of both the star and the one-row anchor, n_valid and robust; the closest first.
+
+    The draws of the anchor are a table of ``draws`` rows, which meets the stars' draws by number. Draws without a finite
+    result don't count; a star that has none has NULLs and isn't robust.
+    """
+    one = phase_space(drawn(anchor.limit(1), draws, 2 * len(DRAWN))).select("draw", *(c(n).alias(f"_{n}") for n in POSITION + VELOCITY))
+    met = approach(phase_space(drawn(candidates, draws)).join(F.broadcast(one), "draw"))
+    met = met.withColumn("_ok", F.coalesce((c("d_min_pc") < float("inf")) & (F.abs("t_enc_myr") < float("inf")), F.lit(False)))
+    at, of = F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)), ("d_min_pc", "t_enc_myr", "v_rel_kms")
+    share = lambda test: F.avg(F.when(c("_ok"), test.cast("double")))
+    # a star has ``draws`` rows
+    sums = met.groupBy("source_id").agg(
+        F.count_if("_ok").alias("n_valid"), *(F.percentile(F.when(c("_ok"), c(n)), at).alias(f"_{n}") for n in of),
+        share(c("t_enc_myr") < 0).alias("frac_past"), share(c("d_min_pc") < 1).alias("frac_1pc"), share(c("d_min_pc") < 2).alias("frac_2pc"),
+    )
+    cols = [c(f"_{n}")[i].alias(f"{n}_{p}") for n in of for i, p in enumerate((16, 50, 84))]
+    robust = F.coalesce((c("frac_past") > 0.9) & (c("frac_2pc") > 0.5), F.lit(False))
+    return sums.select("source_id", "n_valid", *cols, "frac_past", "frac_1pc", "frac_2pc", robust.alias("robust")).orderBy(F.asc_nulls_last("d_min_pc_50"), "source_id")
+
+
+def encounter_followup(shortlist: DataFrame, errors: DataFrame, anchor: DataFrame, draws: int = 3000, keep: tuple[str, ...] = ("phot_g_mean_mag", "bp_rp", "dist_pc", "transfer_score")) -> DataFrame:
+    """encounter_uncertainty() of a shortlist whose astrometry comes with its errors from another table, beside the shortlist's ``keep`` columns.
 
-    Draws are exploded inside each candidate's row; numbers depend on the candidate's id, so results don't
-    depend on partitioning.
+    The anchor's radial velocity has an error of 0.5 km/s where its own isn't known.
     """
-    errors = errors or {"parallax": 0.05, "pmra": 0.05, "pmdec": 0.05, "radial_velocity": 1.0}
-    rows = candidates.select("source_id", "ra", "dec", *errors).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.withColumns({n: c(n) + keyed_normal(c("source_id"), c("draw"), 2 * i) * e for i, (n, e) in enumerate(errors.items())})
-    met = closest_approach(phase_space(rows), anchor)
-    at = F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))
-    one = met.groupBy("source_id").agg(*(F.percentile(c(n), at).alias(f"_{n}") for n in ("d_min_pc", "t_enc_myr", "v_rel_kms")), *(F.avg(x.cast("double")).alias(n) for n, x in (("frac_past", c("t_enc_myr") < 0), ("frac_1pc", c("d_min_pc") < 1), ("frac_2pc", c("d_min_pc") < 2))))
-    cols = [c(f"_{n}")[i].alias(f"{n}_{p}") for n in ("d_min_pc", "t_enc_myr", "v_rel_kms") for i, p in enumerate((16, 50, 84))]
-    return one.select("source_id", *cols, "frac_past", "frac_1pc", "frac_2pc", ((c("frac_past") > 0.9) & (c("frac_2pc") > 0.5)).alias("robust"))
+    rows = errors.join(shortlist.select("source_id"), "source_id", "left_semi")
+    rv = c("radial_velocity_error")
+    anchor = anchor.withColumn("radial_velocity_error", F.coalesce(F.when(F.abs(rv) < float("inf"), rv), F.lit(0.5)))
+    found = encounter_uncertainty(rows, anchor, draws)
+    return found.join(shortlist.select("source_id", *keep), "source_id").orderBy(F.asc_nulls_last("d_min_pc_50"), "source_id")
 
 
 def ridge(colour: Column) -> Column:

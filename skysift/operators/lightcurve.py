@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysift.functions.quantiles import quantiles
+from skysift.functions.tables import written
 from skysift.functions.exprs import LN10_04, clip
 
 c = F.col
@@ -190,14 +192,16 @@ def relative_magnitude(df: DataFrame, keys: Sequence[str], flux: str = "flux") -
     return df.withColumn("mag", F.log10(c(flux) / F.percentile(c(flux), F.lit(0.5)).over(Window.partitionBy(*keys))) * -2.5)
 
 
-def band_coincidence(flagged: DataFrame, source: str = "source_id", band: str = "band", days: float = 2.0) -> DataFrame:
+def band_coincidence(flagged: DataFrame, source: str = "source_id", band: str = "band", days: float = 2.0, bands: Sequence[str] = ()) -> DataFrame:
     """Share of the dips in a source's reference band (the one with most) that another band confirms within days.
 
+    Of bands with as many dips the first of ``bands`` is the reference, or the last by name.
+
     Dips are dealt into bins of that width, so the interval join is an equi-join on neighbouring bins.
     """
     dips = flagged.filter("hit").select(source, band, "mjd", "tiebreak")
     counts = dips.groupBy(source, band).agg(F.count(F.lit(1)).alias("n"))
-    ref = counts.groupBy(source).agg(F.max_by(c(band), F.struct(c("n"), c(band))).alias("ref_band"), F.max("n").alias("n_ref"))
+    ref = counts.groupBy(source).agg(F.max_by(c(band), F.struct(c("n"), -F.array_position(F.array(*map(F.lit, bands)), c(band)) if bands else F.lit(0), c(band))).alias("ref_band"), F.max("n").alias("n_ref"))
     d = dips.join(ref, source).withColumn("bin", F.floor(c("mjd") / days))
     own = d.filter(c(band) == c("ref_band")).select(source, "ref_band", "n_ref", "mjd", "tiebreak", F.explode(F.array(c("bin") - 1, c("bin"), c("bin") + 1)).alias("bin"))
     other = d.filter(c(band) != c("ref_band")).select(source, "bin", c("mjd").alias("mjd2"))
@@ -210,7 +214,7 @@ def fade_colours(band_fades: DataFrame, source: str = "source_id", bands: tuple[
     a, b = bands
     p = band_fades.groupBy(source).pivot("band", list(bands)).agg(F.first("slope").alias("slope"), F.first("slope_sigma").alias("sigma"))
     up = (c(f"{a}_slope") > 0) & (c(f"{b}_slope") > 0) & (c(f"{a}_sigma") > 2) & (c(f"{b}_sigma") > 2)
-    ratio = F.greatest(f"{a}_slope", f"{b}_slope") / F.least(f"{a}_slope", f"{b}_slope")
+    ratio = F.greatest(f"{a}_slope", f"{b}_slope") / F.greatest(F.least(f"{a}_slope", f"{b}_slope"), F.lit(1e-4))
     return p.select(source, c(f"{a}_slope"), c(f"{b}_slope"), F.when(c(f"{a}_slope").isNotNull() & c(f"{b}_slope").isNotNull(), up & (ratio < 3)).alias("achromatic"))
 
 
@@ -221,29 +225,37 @@ def flash_colours(df: DataFrame, source: str = "source_id", bands: tuple[str, st
     one = df.groupBy(source, "band").agg(F.min("mag").alias("_min"), med.alias("_med"), F.min_by("mjd", F.struct("mag", "mjd")).alias("at"))
     one = one.withColumn("amp", F.pow(F.lit(10.0), (c("_med") - c("_min")) * 0.4) - 1.0)
     p = one.groupBy(source).pivot("band", list(bands)).agg(F.first("at").alias("at"), F.first("amp").alias("amp"))
-    ratio = F.greatest(f"{a}_amp", f"{b}_amp") / F.least(f"{a}_amp", f"{b}_amp")
+    ratio = F.greatest(f"{a}_amp", f"{b}_amp") / F.greatest(F.least(f"{a}_amp", f"{b}_amp"), F.lit(1e-4))
     ok = (F.abs(c(f"{a}_at") - c(f"{b}_at")) <= days) & (c(f"{a}_amp") >= 0.25) & (c(f"{b}_amp") >= 0.25) & (ratio < 2)
     return p.select(source, f"{a}_amp", f"{b}_amp", F.coalesce(ok, F.lit(False)).alias("achromatic"))
 
 
-def lomb_scargle(t: np.ndarray, y: np.ndarray, weight: np.ndarray, freq: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Floating-mean power (1 is a perfect sinusoid) and amplitude at each frequency."""
-    w = weight / weight.sum()
-    y0 = y - (w * y).sum()
-    yy = (w * y0 * y0).sum()
-    power, amplitude = np.zeros(len(freq)), np.zeros(len(freq))
+def trig_sums(t: np.ndarray, y: np.ndarray, weight: np.ndarray, freq: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """Sums over epochs that a periodogram is made of, six rows: w cos, w sin, w y cos, w y sin, w cos cos, w cos sin. Sums of parts add up."""
+    out = np.zeros((6, len(freq)))
     for at in range(0, len(freq), chunk):
-        phase = 2 * np.pi * freq[at : at + chunk, None] * (t - t.min())
+        phase = 2 * np.pi * freq[at : at + chunk, None] * t
         cos, sin = np.cos(phase), np.sin(phase)
-        mc, ms = cos @ w, sin @ w
-        yc, ys = cos @ (w * y0), sin @ (w * y0)
-        cc, ss, cs = cos**2 @ w - mc**2, sin**2 @ w - ms**2, (cos * sin) @ w - mc * ms
-        d = cc * ss - cs**2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a, b = (yc * ss - ys * cs) / d, (ys * cc - yc * cs) / d
-            power[at : at + chunk] = np.where(d > 1e-12, (a * yc + b * ys) / yy, 0.0)
-            amplitude[at : at + chunk] = np.where(d > 1e-12, np.hypot(a, b), 0.0)
-    return power, amplitude
+        wc = cos * weight
+        out[:, at : at + chunk] = wc.sum(axis=1), sin @ weight, wc @ y, sin @ (weight * y), (wc * cos).sum(axis=1), (wc * sin).sum(axis=1)
+    return out
+
+
+def sinusoid(sums: np.ndarray, w: float, wy: float, wyy: float) -> tuple[np.ndarray, np.ndarray]:
+    """Floating-mean power (1 is a perfect sinusoid) and amplitude at each frequency, from trig_sums() and the sums of w, w y and w y y."""
+    mean, yy = wy / w, wyy / w - (wy / w) ** 2
+    mc, ms, yc, ys, c2, cs = sums / w
+    yc, ys, cc, ss, cs = yc - mean * mc, ys - mean * ms, c2 - mc**2, 1 - c2 - ms**2, cs - mc * ms
+    d = cc * ss - cs**2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = (yc * ss - ys * cs) / d, (ys * cc - yc * cs) / d
+        return np.where(d > 1e-12, (a * yc + b * ys) / yy, 0.0), np.where(d > 1e-12, np.hypot(a, b), 0.0)
+
+
+def lomb_scargle(t: np.ndarray, y: np.ndarray, weight: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Floating-mean power and amplitude at each frequency."""
+    y = y - (weight * y).sum() / weight.sum()
+    return sinusoid(trig_sums(t - t.min(), y, weight, freq), weight.sum(), (weight * y).sum(), (weight * y * y).sum())
 
 
 def grid(span: float, slowest: float, fastest: float = 0.1, per_peak: int = 5) -> np.ndarray:
@@ -253,20 +265,106 @@ def grid(span: float, slowest: float, fastest: float = 0.1, per_peak: int = 5) -
 
 def false_alarm(power: float, n: int, fastest: float, t: np.ndarray, weight: np.ndarray) -> float:
     """Upper bound on the chance that noise alone peaks so high up to a frequency (extreme-value theory of the periodogram)."""
-    from math import exp, lgamma, log, pi, sqrt
+    w = weight / weight.sum()
+    return noise_peak(power, n, fastest, (w * t * t).sum() - (w * t).sum() ** 2)
+
+
+def noise_peak(power: float, n: int, fastest: float, spread: float) -> float:
+    """false_alarm() from the weighted variance of the times."""
+    from math import exp, lgamma, pi, sqrt
 
     nh, nk = n - 1, n - 3
+    if power >= 1:
+        return 0.0
     single = (1 - power) ** (0.5 * nk)
-    w = weight / weight.sum()
-    width = fastest * sqrt(4 * pi * ((w * t * t).sum() - (w * t).sum() ** 2))
     gamma = sqrt(2 / nh) * exp(lgamma(nh / 2) - lgamma((nh - 1) / 2))
-    tau = gamma * width * (1 - power) ** (0.5 * (nk - 1)) * sqrt(0.5 * nh * power)
-    return float(1 - (1 - single) * exp(-tau)) if power < 1 and log(2) else 0.0
+    tau = gamma * fastest * sqrt(4 * pi * spread) * (1 - power) ** (0.5 * (nk - 1)) * sqrt(0.5 * nh * power)
+    return float(1 - (1 - single) * exp(-tau))
+
+
+#: A source of up to so many epochs is one group. The periodogram of one with more is built up from sums over parts of its epochs.
+WHOLE = 20_000
+#: Frequencies whose sums travel together, and into how many parts the merging of a source's sums is dealt at first.
+BLOCK, PARTS = 512, 32
+#: A task holds the sums of so many large sources at a time.
+HELD = 16
+
+
+def _large(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of sources that are one group, and those of sources with more epochs (None if there are none)."""
+    big = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(c("_n") > WHOLE).select(*keys))
+    if big.isEmpty():
+        return df, None
+    return df.join(big, list(keys), "left_anti"), df.join(big, list(keys), "left_semi")
+
+
+def _level(df: DataFrame, keys: Sequence[str], column: str, at: float, name: str) -> DataFrame:
+    """Rows with a quantile of their source's values, found by distributed selection."""
+    level = written(quantiles(df, keys, column, [at]).select(*keys, c("q")[0].alias(name)))
+    return df.join(level, list(keys), "left")
+
+
+def _clean_large(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """clean() of sources with very many epochs."""
+    finite = lambda x: c(x).isNotNull() & ~F.isnan(x) & (F.abs(c(x)) < 1e300)
+    df = written(df.filter(finite("mjd") & finite("mag")).withColumn("_good", F.when(finite("magerr") & (c("magerr") > 0), c("magerr"))))
+    return _level(df, keys, "_good", 0.5, "_e").withColumn("magerr", F.coalesce("_good", "_e", F.lit(0.02))).drop("_good", "_e")
+
+
+def _peaks(rows: DataFrame, keys: Sequence[str], slowest: float, peak, found: str) -> DataFrame:
+    """For sources with very many epochs, the best of ``peak(freq, power, amplitude, n, spread, fastest)`` over blocks of frequencies.
+
+    rows: (keys, mjd, y, w). Each task adds up the sums of the epochs that it has; these are merged by block of frequencies.
+    ``peak`` returns a frame with the columns ``found``, of which each source's row of the largest ``rank`` is taken.
+    """
+    names, types = list(keys), dict(rows.dtypes)
+    sums = {"n": F.count(F.lit(1)), "t0": F.min("mjd"), "span": F.max("mjd") - F.min("mjd"), "sw": F.sum("w"), "swy": F.sum(c("w") * c("y")), "swyy": F.sum(c("w") * c("y") * c("y")), "swt": F.sum(c("w") * c("mjd")), "swtt": F.sum(c("w") * c("mjd") * c("mjd"))}
+    one = written(rows.groupBy(*names).agg(*(x.alias(k) for k, x in sums.items())))
+    schema = ", ".join(f"{k} {types[k]}" for k in names)
+    cells = ", ".join(f"s{i} array<double>" for i in range(6))
+
+    def partial(batches):
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId() % PARTS, {}
+
+        def out():
+            for key, total in held.items():
+                blocks = range(0, total.shape[1], BLOCK)
+                yield pd.DataFrame([(*key, part, at // BLOCK, *total[:, at : at + BLOCK]) for at in blocks], columns=[*names, "part", "block", *(f"s{i}" for i in range(6))])
+            held.clear()
+
+        for batch in batches:
+            for key, some in batch.groupby(names, sort=False):
+                freq = grid(some["span"].iloc[0], slowest)
+                mean = some["swy"].iloc[0] / some["sw"].iloc[0]
+                got = trig_sums((some["mjd"] - some["t0"]).to_numpy(), some["y"].to_numpy() - mean, some["w"].to_numpy(), freq)
+                held[key] = held[key] + got if key in held else got
+                if len(held) > HELD:
+                    yield from out()
+        yield from out()
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.head(1).assign(**{f"s{i}": [np.sum(np.stack(pdf[f"s{i}"]), axis=0)] for i in range(6)})
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, total = pdf.iloc[0], merged(pdf)
+        freq = grid(r["span"], slowest)
+        here = freq[r["block"] * BLOCK : (r["block"] + 1) * BLOCK]
+        mean = r["swy"] / r["sw"]
+        power, amplitude = sinusoid(np.stack([total[f"s{i}"].iloc[0] for i in range(6)]), r["sw"], 0.0, r["swyy"] - r["sw"] * mean * mean)
+        rows = peak(here, power, amplitude, int(r["n"]), r["swtt"] / r["sw"] - (r["swt"] / r["sw"]) ** 2, freq[-1])
+        return pd.concat([pd.concat([pdf[names].head(1)] * len(rows), ignore_index=True), rows], axis=1)
+
+    fine = one.filter((c("span") > 0) & (c("sw") > 0))
+    parts = rows.join(fine.select(*names, "t0", "span", "sw", "swy"), names).mapInPandas(partial, f"{schema}, part int, block int, {cells}")
+    once = parts.groupBy(*names, "part", "block").applyInPandas(merged, f"{schema}, part int, block int, {cells}")
+    blocks = once.join(fine, names).groupBy(*names, "block").applyInPandas(best, f"{schema}, {found}, rank double, freq double, kind string")
+    return written(blocks)
 
 
 def dip_periods(df: DataFrame, keys: Sequence[str], min_epochs: int = 30) -> DataFrame:
     """(keys, best_period, period_power) of the dips; power 0 where there is nothing to fit."""
-    flagged = flag_dips(clean(df, keys, min_epochs), keys).select(*keys, "mjd", F.greatest("depth", F.lit(0.0)).alias("y"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mjd", "y"])
@@ -279,7 +377,29 @@ def dip_periods(df: DataFrame, keys: Sequence[str], min_epochs: int = 30) -> Dat
         return pdf[list(keys)].head(1).assign(best_period=best, period_power=power)
 
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return flagged.groupBy(*keys).applyInPandas(run, f"{schema}, best_period double, period_power double")
+    depth = F.greatest("depth", F.lit(0.0)).alias("y")
+    small, large = _large(df, keys)
+    flagged = flag_dips(clean(small, keys, min_epochs), keys).select(*keys, "mjd", depth)
+    out = flagged.groupBy(*keys).applyInPandas(run, f"{schema}, best_period double, period_power double")
+    if large is None:
+        return out
+
+    def peak(freq, power, amplitude, n, spread, fastest):
+        i = power.argmax()
+        return pd.DataFrame({"power": [power[i]], "rank": [power[i]], "freq": [freq[i]], "kind": [""]})
+
+    rows = _level(_clean_large(large, keys), keys, "mag", 0.2, "base")
+    rows = written(rows.select(*keys, "mjd", F.greatest(1.0 - F.pow(F.lit(10.0), (c("mag") - c("base")) * -0.4), F.lit(0.0)).alias("y"), F.lit(1.0).alias("w")))
+    fit = rows.groupBy(*keys).agg((F.max("y") > 0).alias("_any"), (F.max("mjd") - F.min("mjd") >= 4).alias("_long"))
+    found = _peaks(rows.join(fit.filter("_any AND _long").select(*keys), list(keys), "left_semi"), keys, 200.0, peak, "power double")
+    top = found.groupBy(*keys).agg(F.max_by(F.struct("freq", "power"), F.struct("rank", -c("freq"))).alias("b"))
+    wide = fit.select(*keys).join(top, list(keys), "left")
+    return out.union(wide.select(*keys, (1.0 / c("b.freq")).alias("best_period"), F.coalesce("b.power", F.lit(0.0)).alias("period_power")))
+
+
+def _days_apart(freq: np.ndarray) -> np.ndarray:
+    """Distance of frequencies from the nearest whole number of cycles in a solar or sidereal day."""
+    return np.minimum(np.abs(freq - np.maximum(1, np.rint(freq))), np.abs(freq - np.maximum(1, np.rint(freq / 1.0027379)) * 1.0027379))
 
 
 def periods(df: DataFrame, keys: Sequence[str], min_epochs: int = 20, tolerance: float = 0.02) -> DataFrame:
@@ -293,14 +413,40 @@ def periods(df: DataFrame, keys: Sequence[str], min_epochs: int = 20, tolerance:
             return out
         freq, weight = grid(np.ptp(t), 100.0), 1.0 / e**2
         p, amp = lomb_scargle(t, m, weight, freq)
-        days = np.minimum(np.abs(freq - np.maximum(1, np.rint(freq))), np.abs(freq - np.maximum(1, np.rint(freq / 1.0027379)) * 1.0027379))
-        masked = np.where(days < tolerance, -1.0, p)
-        i = masked.argmax()
+        days = _days_apart(freq)
+        i = np.where(days < tolerance, -1.0, p).argmax()
         return out.assign(period=1.0 / freq[i], power=p[i], fap=false_alarm(p[i], len(t), freq.max(), t - t.min(), weight), amplitude=amp[i], alias=bool(days[p.argmax()] < tolerance))
 
-    rows = clean(df, keys, 1).select(*keys, "mjd", "mag", "magerr")
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, period double, power double, fap double, amplitude double, alias boolean")
+    small, large = _large(df, keys)
+    rows = clean(small, keys, 1).select(*keys, "mjd", "mag", "magerr")
+    out = rows.groupBy(*keys).applyInPandas(run, f"{schema}, period double, power double, fap double, amplitude double, alias boolean")
+    if large is None:
+        return out
+
+    def peak(freq, power, amplitude, n, spread, fastest):
+        masked = np.where(_days_apart(freq) < tolerance, -1.0, power)
+        at = [masked.argmax(), power.argmax()]
+        fap = [noise_peak(power[i], n, fastest, spread) for i in at]
+        return pd.DataFrame({"power": power[at], "fap": fap, "amplitude": amplitude[at], "rank": [masked[at[0]], power[at[1]]], "freq": freq[at], "kind": ["own", "any"]})
+
+    rows = written(_clean_large(large, keys).select(*keys, "mjd", c("mag").alias("y"), F.pow("magerr", F.lit(-2.0)).alias("w")))
+    fit = rows.groupBy(*keys).agg((F.max("y") > F.min("y")).alias("_any"), (F.max("mjd") - F.min("mjd") >= 0.2).alias("_long"))
+    found = _peaks(rows.join(fit.filter("_any AND _long").select(*keys), list(keys), "left_semi"), keys, 100.0, peak, "power double, fap double, amplitude double")
+    top = lambda kind: found.filter(c("kind") == kind).groupBy(*keys).agg(F.max_by(F.struct("freq", "power", "fap", "amplitude"), F.struct("rank", -c("freq"))).alias(kind))
+    wide = fit.select(*keys).join(top("own"), list(keys), "left").join(top("any"), list(keys), "left")
+    f = c("any.freq")
+    near = lambda day: F.abs(f - F.greatest(F.rint(f / day), F.lit(1.0)) * day) < tolerance
+    wide = wide.select(*keys, (1.0 / c("own.freq")).alias("period"), "own.power", "own.fap", "own.amplitude", F.coalesce(near(1.0) | near(1.0027379), F.lit(False)).alias("alias"))
+    return out.union(wide)
+
+
+def variability_table(curves: DataFrame, shortlist: DataFrame, key: str = "source_id") -> DataFrame:
+    """(key, n_epochs, frac_rms, period, power, fap, amplitude, alias) of the listed sources that have epochs."""
+    epochs = written(curves.join(shortlist.select(key).distinct(), key, "left_semi"))
+    n = epochs.groupBy(key).agg(F.count_if(F.abs("mag") < float("inf")).alias("n_epochs"))
+    rms = fractional_rms(epochs, [key]).select(key, "frac_rms")
+    return n.join(rms, key, "left").join(periods(epochs, [key]), key, "left").withColumn("alias", F.coalesce("alias", F.lit(False)))
 
 
 def search(df: DataFrame, keys: Sequence[str], power: DataFrame | None = None) -> DataFrame:

@@ -195,11 +195,18 @@ def absorption_reason(redshift: Column | None = None) -> Column:
     )
 
 
+def line_score(significance: Column, width_ratio: Column, n_survivors: Column) -> Column:
+    """How much a line looks like a laser's, 0 to 1: strong, as wide as the instrument's profile (an unknown width counts as such), alone."""
+    width = F.coalesce(F.when(F.abs(width_ratio) < float("inf"), width_ratio), F.lit(1.0))
+    fit = F.exp(F.pow((width - 1.0) / 0.25, 2) * -0.5)
+    strong = 1.0 - F.exp(-F.greatest(significance, F.lit(0.0)) / 10.0)
+    return F.least(F.greatest(strong * 0.45 + fit * 0.35 + F.lit(0.20) / F.greatest(n_survivors, F.lit(1)), F.lit(0.0)), F.lit(1.0))
+
+
 def candidates(lines: DataFrame, reason: Column | None = None) -> DataFrame:
     """Surviving lines with n_survivors of their spectrum and score."""
     kept = lines.withColumn("reason", reject_reason() if reason is None else reason).filter("reason IS NULL").withColumn("n_survivors", F.count(F.lit(1)).over(Window.partitionBy("spec_id")))
-    width = F.when(F.isnan("width_ratio"), 0.0).otherwise(F.exp(F.pow((c("width_ratio") - 1.0) / 0.25, 2) * -0.5))
-    return kept.drop("reason").withColumn("score", (1.0 - F.exp(-c("significance") / 10.0)) * 0.45 + width * 0.35 + F.lit(0.20) / c("n_survivors"))
+    return kept.drop("reason").withColumn("score", line_score(c("significance"), c("width_ratio"), c("n_survivors")))
 
 
 def reasons(lines: DataFrame, reason: Column | None = None) -> DataFrame:

@@ -154,5 +154,5 @@ def verdict_counts(triaged: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, n: int) -> DataFrame:
     """The n best by score, lowered for spectra with many lines."""
     many = F.count(F.lit(1)).over(Window.partitionBy("spec_id"))
-    d = df.withColumn("rank_score", (1.0 - F.exp(-c("significance") / 10.0)) / ((many - 1) * 0.15 + 1.0))
+    d = df.withColumn("rank_score", c("score") / ((many - 1) * 0.15 + 1.0))
     return d.orderBy(F.desc("rank_score"), "spec_id", "wavelength", "line_no").limit(n)

@@ -99,7 +99,9 @@ def blend_verdicts(candidates: DataFrame, stars: DataFrame, beam_arcsec: float =
     own = F.pow(F.lit(10.0), red_magnitude(c("g"), c("bp_rp")) * -0.4)
     out = out.withColumns({"n_in_beam": F.coalesce("n_in_beam", F.lit(0).cast("bigint")), "flux_ratio": F.coalesce(F.try_divide(c("_flux"), own), F.lit(0.0)), "comoving": F.coalesce("comoving", F.lit(False))})
     verdict = F.when(c("n_in_beam") == 0, "isolated").when(c("flux_ratio") < ratio_max, "clean").when(c("comoving"), "comoving_blend").otherwise("background_blend")
-    return out.withColumn("verdict", F.when(c("t_dust_k") > hot_dust_k, "stellar_companion").otherwise(verdict)).drop("_flux")
+    # dust so hot would vaporise: a would-be survivor is an unresolved cool star
+    too_hot = F.coalesce((c("t_dust_k") > hot_dust_k) & (c("t_dust_k") < float("inf")), F.lit(False)) & (c("n_in_beam").isin(0) | (c("flux_ratio") < ratio_max))
+    return out.withColumn("verdict", F.when(too_hot, "stellar_companion").otherwise(verdict)).drop("_flux")
 
 
 def hr_class(g: Column, bp_rp: Column, parallax: Column, parallax_snr: Column) -> Column:
@@ -112,15 +114,19 @@ def hr_class(g: Column, bp_rp: Column, parallax: Column, parallax_snr: Column) -
     return F.when(~known, "unknown").when((d > 4) & (bp_rp < 1.2), "white_dwarf").when(d < -1.5, "giant").when(F.abs(d) <= 1.5, "main_sequence").otherwise("evolved_or_pms")
 
 
-#: Parts of object types that explain a variation.
-MUNDANE = ("pulsat", "eclips", "variable", "binary", "rotat", "mira", "cepheid", "lyr", "scuti", "yso", "t tau", "cataclysm", "nova", "flare", "qso", "agn", "galaxy", "em*", "sb*")
+#: Parts of object types that explain a dimming: young stars, accreting and eclipsing binaries, evolved giants.
+MUNDANE = ("YSO", "Or*", "TT*", "Ae*", "out", "CV*", "No*", "DN*", "EB*", "Al*", "bL*", "WU*", "EClB", "Mi*", "LP*", "sr*", "RG*", "AGB", "C*")
+#: Colours beyond which there is an infrared excess.
+W1_W2_EXCESS, K_W2_EXCESS = 0.15, 0.60
 
 
 def excess_verdict(w1: Column, w2: Column, k: Column, kind: Column) -> Column:
-    """dusty, known_variable, no_ir_data or clean."""
-    named = F.exists(F.array(*map(F.lit, MUNDANE)), lambda t: F.contains(F.lower(kind), t))
-    red = F.coalesce((w1 - w2 > 0.15) | (k - w2 > 0.60), F.lit(False))
-    return F.when(red, "dusty").when(F.coalesce(named, F.lit(False)), "known_variable").when(w1.isNull() | w2.isNull(), "no_ir_data").otherwise("clean")
+    """ir_excess_dusty, known_variable, no_ir_data (neither colour is known) or clean."""
+    known = lambda x: F.when(F.abs(x) < float("inf"), x)
+    a, b = known(w1) - known(w2), known(k) - known(w2)
+    named = F.exists(F.array(*(F.lit(t.lower()) for t in MUNDANE)), lambda t: F.contains(F.lower(kind), t))
+    red = F.coalesce(a > W1_W2_EXCESS, F.lit(False)) | F.coalesce(b > K_W2_EXCESS, F.lit(False))
+    return F.when(red, "ir_excess_dusty").when(F.coalesce(named, F.lit(False)), "known_variable").when(a.isNull() & b.isNull(), "no_ir_data").otherwise("clean")
 
 
 def context(df: DataFrame, objects: DataFrame, radius_arcsec: float = 5.0) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.operators import assembly as A
+from skysift.operators import catalog
 from skysift.operators import encounters as N
 from skysift.operators import xmatch as M
 from skysift.plans.bindings import bound, duck
-from skysift.plans.catalog import rounded
+from skysift.plans.catalog import VETTED, rounded
+from skysift.plans.lightcurve import _fit, _seasons
 from skysift.plans.sky import _RIDGE
 
 c = F.col
@@ -33,6 +35,16 @@ def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(*names))
 
 
+def assembled_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that pass each step of the funnel over an assembled table without unWISE magnitudes."""
+    a = _cat(spark, sf_dir)
+    base = a.select("source_id", "ra", "dec", "pmra", "pmdec", "teff", "pmra_error", "pmdec_error", "parallax_over_error", "ruwe", "astrometric_excess_noise", "logg" if "logg" in a.columns else F.lit(4.0).alias("logg"), "pwd", "is_qso", "label")
+    near = a.select("source_id", "Jmag", "Hmag", "Ksmag", "e_Jmag", "e_Hmag", "e_Ksmag", "Gmag", "BPmag", "RPmag", "e_Gmag", "e_BPmag", "e_RPmag")
+    wide = a.select("source_id", "W1mag", "e_W1mag", "W2mag", "e_W2mag", "ra_wise", "dec_wise", "pmra_wise", "pmdec_wise", "e_pmra_wise", "e_pmdec_wise", "cc_flags", "ph_qual", "ext_flg", "gaia_nn_arcsec")
+    out = A.analysis_table(base, [near, wide], a.select("source_id", "n_wise_neighbours"), a.filter("known_disk").select("source_id"))
+    return catalog.funnel(out).select("source_id", "clean")
+
+
 def flagged_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bound(spark, sf_dir, "sky_b")
     n = c("cand_id") % 7
@@ -83,9 +95,16 @@ def target_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.target_counts(boosted_targets(spark, sf_dir))
 
 
+def _frames(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return bound(spark, sf_dir, name).withColumns({"qual_frame": c("tiebreak") % 4, "cc_flags": F.when(c("tiebreak") % 3 == 0, "00h0").when(c("tiebreak") % 3 == 1, "0000").otherwise("D000")})
+
+
 def frame_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = bound(spark, sf_dir, "curves").withColumns({"qual_frame": c("tiebreak") % 4, "cc_flags": F.when(c("tiebreak") % 3 == 0, "00h0").when(c("tiebreak") % 3 == 1, "0000").otherwise("D000")})
-    return rounded(A.frame_rms(e, 3), 6)
+    return rounded(A.frame_rms(_frames(spark, sf_dir, "long_curves")), 6)
+
+
+def frame_fades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.frame_fades(_frames(spark, sf_dir, "long_curves"), 30), 4)
 
 
 def survey_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +124,11 @@ def sweep_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.sweep_totals(fields)
 
 
-QUERIES = {f.__name__: f for f in (analysis_table, flagged_controls, dip_ranking, fader_ranking, flash_ranking, cross_confirmation, boosted_targets, target_counts, frame_scatter, survey_curves, tagged_lines, sweep_totals)}
+QUERIES = {f.__name__: f for f in (analysis_table, flagged_controls, dip_ranking, fader_ranking, flash_ranking, cross_confirmation, boosted_targets, target_counts, assembled_funnel, frame_scatter, frame_fades, survey_curves, tagged_lines, sweep_totals)}
 
 _A = duck("catalogue")
 _C = duck("curves")
+_G = f"(SELECT * FROM {duck('long_curves')} WHERE tiebreak % 4 > 0 AND tiebreak % 3 < 2)"
 _EVENTS = f"""
 WITH e AS (SELECT source_id, bp_rp, source_id % 3 > 0 AS cand, source_id % 4 > 0 AS fader, source_id % 5 > 0 AS flash, CASE WHEN source_id % 6 < 4 THEN 'main_sequence' WHEN source_id % 6 = 4 THEN 'giant' END AS hr,
   source_id % 6 < 4 AND (source_id * 13 % 100) / 100e0 <= 0.4e0 AS resists, (source_id * 37 % 1009) / 100e0 AS score, (source_id * 41 % 997) / 10e0 AS sigma, (source_id * 43 % 991) / 500e0 AS amp FROM {_A})"""
@@ -139,11 +159,19 @@ SELECT spec_id, wavelength, coalesce(k, 0) AS n_overlap, round(s, 4) + 0e0 AS co
     "boosted_targets": _TARGETS + "SELECT source_id, lum_class, host AS known_planet_host, hycean AS has_hycean_candidate, round(CASE lum_class WHEN 'main_sequence' THEN wish WHEN 'hot_shortlived' THEN 0.1e0 * wish ELSE 0e0 END + CASE WHEN host THEN 0.5e0 ELSE 0e0 END + CASE WHEN hycean THEN 1e0 ELSE 0e0 END, 4) AS dest_score FROM d2",
     "target_counts": _TARGETS + "SELECT count(*) AS n_candidates, count(*) FILTER (lum_class = 'main_sequence') AS n_main_sequence, count(*) FILTER (host) AS n_known_hosts, count(*) FILTER (hycean) AS n_hycean_hosts FROM d2",
     "frame_scatter": f"""
-WITH g AS (SELECT source_id, band, pow(10e0, -0.4e0 * mag) AS f FROM {_C} WHERE tiebreak % 4 > 0 AND tiebreak % 3 < 2)
-SELECT source_id, band, count(*) AS n, round(stddev_pop(f) / avg(f), 6) AS frac_rms FROM g GROUP BY 1, 2 HAVING count(*) >= 3""",
+WITH e0 AS (SELECT * FROM {_G}),
+m AS (SELECT source_id, band, count(*) AS n, quantile_cont(mag, 0.5) AS med, stddev_pop(mag) AS std FROM e0 GROUP BY 1, 2),
+d AS (SELECT source_id, band, 1.4826e0 * quantile_cont(abs(mag - med), 0.5) AS mad FROM e0 JOIN m USING (source_id, band) GROUP BY 1, 2),
+k AS (SELECT *, n >= 12 AND abs(mag - med) <= 4e0 * CASE WHEN mad > 0 THEN mad ELSE std END AS ok FROM e0 JOIN m USING (source_id, band) JOIN d USING (source_id, band)),
+s AS (SELECT source_id, band, count(*) FILTER (ok) AS n_kept, stddev_samp(mag) FILTER (ok) AS s, quantile_cont(magerr, 0.5) FILTER (ok) AS e FROM k GROUP BY 1, 2)
+SELECT source_id, band, n_kept, CASE WHEN n_kept >= 12 THEN round(0.4e0 * ln(10e0) * sqrt(greatest(s * s - e * e, 0e0)), 6) END AS frac_rms FROM s""",
+    "frame_fades": _seasons(_G, "source_id, band").replace("nn >= 40", "nn >= 30") + _fit("se", "source_id, band") + f""",
+co AS (SELECT source_id, band, count(*) AS n_epochs FROM {_G} GROUP BY 1, 2)
+SELECT source_id, band, n_epochs, round(slope, 4) + 0e0 AS slope, round(slope_sigma, 4) + 0e0 AS slope_sigma, coalesce(n_seasons, 0) AS n_seasons FROM co LEFT JOIN ft USING (source_id, band)""",
     "survey_curves": f"""
 WITH g AS (SELECT source_id, mjd, mag - tiebreak % 3 * 8e0 AS mag FROM {_C} WHERE tiebreak % 5 / 20e0 < 0.2e0 AND mag - tiebreak % 3 * 8e0 > 0)
 SELECT source_id, count(*) AS n, round(min(mjd), 6) AS first, round(max(mag), 6) AS faintest FROM g GROUP BY 1 HAVING count(*) >= 20""",
     "tagged_lines": f"""SELECT CASE WHEN line_no % 2 = 0 THEN 'emission' ELSE 'absorption' END AS search_mode, count(*) AS n, count(*) FILTER (line_no % 2 = 0) AS n_snr, round(max(wavelength), 5) AS reddest FROM {duck("lines")} GROUP BY 1""",
     "sweep_totals": f"""SELECT count(DISTINCT source_id % 9) AS n_fields, count(*) AS n_sources, count(*) FILTER (W1mag - W2mag > 0.3e0) AS n_excess FROM {_A}""",
 }
+ORACLE_SQL["assembled_funnel"] = VETTED.replace(_A, f"(SELECT * REPLACE (NULL::DOUBLE AS W1mag_unwise, coalesce(e_pmra_wise, 50e0) AS e_pmra_wise, coalesce(gaia_nn_arcsec, 'inf'::DOUBLE) AS gaia_nn_arcsec) FROM {_A})") + "SELECT source_id, clean FROM c9"

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions.exprs import LN10_04
+from skysift.operators import catalog, indicators
 from skysift.operators import lightcurve as L
 from skysift.plans.bindings import bound, duck
-from skysift.plans.catalog import rounded
+from skysift.plans.catalog import AXES, rounded
 
 K = ["source_id"]
 KB = ["source_id", "band"]
@@ -86,7 +87,14 @@ def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("source_id", c("dips.n_dips").alias("n_dips"), c("dips.is_candidate").alias("dip_candidate"), c("fade.is_fader").alias("is_fader"), c("flash.n_flashes").alias("n_flashes"), "shared_frac", "is_candidate"))
 
 
-QUERIES = {f.__name__: f for f in (field_search, dip_events, dip_summary, dip_periods, variability_periods, flash_summary, season_medians, fade_fits, fade_detrended, shared_epochs, fractional_rms, band_coincidence, fade_colours, flash_colours, relative_magnitudes)}
+def shortlist_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scatter and period of the objects that an axis flags or that have an excess, as far as they have light curves."""
+    scored = indicators.combine(indicators.evaluate(catalog.dust(catalog.analyze(bound(spark, sf_dir, "catalogue")))))
+    chosen = scored.filter("n_axes >= 1 OR has_excess").select("source_id")
+    return rounded(L.variability_table(bound(spark, sf_dir, "curves"), chosen), 4)
+
+
+QUERIES = {f.__name__: f for f in (field_search, dip_events, dip_summary, dip_periods, variability_periods, shortlist_variability, flash_summary, season_medians, fade_fits, fade_detrended, shared_epochs, fractional_rms, band_coincidence, fade_colours, flash_colours, relative_magnitudes)}
 
 _CURVES, _LONG = duck("curves"), duck("long_curves")
 
@@ -221,3 +229,29 @@ SELECT source_id, round(gm, 5) + 0e0 AS g_amp, round(rm, 5) + 0e0 AS r_amp, coal
 WITH f AS (SELECT source_id, tiebreak, mag - 11e0 AS flux FROM {_CURVES} WHERE tiebreak % 10 <> 0 AND mag > 11), m AS (SELECT source_id, quantile_cont(flux, 0.5) AS med FROM f GROUP BY 1)
 SELECT source_id, tiebreak, round(-2.5e0 * log10(flux / med), 5) + 0e0 AS mag FROM f JOIN m USING (source_id)""",
 }
+_PERIODS = f"""
+WITH e0 AS (SELECT source_id, mjd, mag AS y, 1e0 / (magerr * magerr) AS w FROM {_CURVES}),
+a0 AS (SELECT source_id, count(*) AS n, min(mjd) AS t0, max(mjd) - min(mjd) AS span, sum(w) AS sw, sum(w * y) / sum(w) AS my, stddev_pop(y) AS sd FROM e0 GROUP BY 1),
+vt AS (SELECT source_id, sum(w * pow(mjd - t0, 2)) / any_value(sw) - pow(sum(w * (mjd - t0)) / any_value(sw), 2) AS spread, sum(w * pow(y - my, 2)) / any_value(sw) AS yy FROM e0 JOIN a0 USING (source_id) GROUP BY 1),
+gr AS (SELECT *, 1e0 / least(span / 2, 100e0) AS f0, 1e0 / span / 5e0 AS df FROM a0 WHERE span >= 0.2e0 AND n >= 20 AND sd > 0),
+fr AS (SELECT source_id, n, t0, my, sw, i, f0 + df * i AS f FROM (SELECT *, unnest(range(1 + CAST(round_even((10e0 - f0) / df, 0) AS BIGINT))) AS i FROM gr)),
+su AS (SELECT source_id, f, sum(w * cos(2e0 * pi() * f * (mjd - t0))) / any_value(sw) AS mc, sum(w * sin(2e0 * pi() * f * (mjd - t0))) / any_value(sw) AS ms, sum(w * (y - my) * cos(2e0 * pi() * f * (mjd - t0))) / any_value(sw) AS yc, sum(w * (y - my) * sin(2e0 * pi() * f * (mjd - t0))) / any_value(sw) AS ys,
+  sum(w * pow(cos(2e0 * pi() * f * (mjd - t0)), 2)) / any_value(sw) AS c2, sum(w * cos(2e0 * pi() * f * (mjd - t0)) * sin(2e0 * pi() * f * (mjd - t0))) / any_value(sw) AS cs2 FROM fr JOIN e0 USING (source_id) GROUP BY 1, 2),
+dd AS (SELECT *, c2 - mc * mc AS cc, 1e0 - c2 - ms * ms AS ss, cs2 - mc * ms AS cs FROM su),
+pw AS (SELECT source_id, f, least(abs(f - greatest(1, round_even(f, 0))), abs(f - greatest(1, round_even(f / 1.0027379e0, 0)) * 1.0027379e0)) < 0.02e0 AS day, cc * ss - cs * cs AS d,
+  CASE WHEN cc * ss - cs * cs > 1e-12 THEN (yc * (yc * ss - ys * cs) + ys * (ys * cc - yc * cs)) / (cc * ss - cs * cs) / yy ELSE 0e0 END AS power, sqrt(pow(yc * ss - ys * cs, 2) + pow(ys * cc - yc * cs, 2)) AS ab FROM dd JOIN vt USING (source_id)),
+pk AS (SELECT source_id, arg_max(struct_pack(f := f, power := power, amp := CASE WHEN d > 1e-12 THEN ab / d ELSE 0e0 END), CASE WHEN day THEN -1e0 ELSE power END) AS b, arg_max(day, power) AS alias, max(f) AS fmax FROM pw GROUP BY 1),
+fa AS (SELECT source_id, b, alias, n - 1 AS nh, n - 3 AS nk, fmax * sqrt(4e0 * pi() * spread) AS width FROM pk JOIN a0 USING (source_id) JOIN vt USING (source_id)),
+ls AS (SELECT a0.source_id, 1e0 / b.f AS period, b.power AS power, CASE WHEN b.power >= 1 THEN 0e0 ELSE 1e0 - (1e0 - pow(1e0 - b.power, 0.5e0 * nk)) * exp(-sqrt(2e0 / nh) * exp(lgamma(nh / 2e0) - lgamma((nh - 1) / 2e0)) * width * pow(1e0 - b.power, 0.5e0 * (nk - 1)) * sqrt(0.5e0 * nh * b.power)) END AS fap, b.amp AS amplitude, coalesce(alias, false) AS alias FROM a0 LEFT JOIN fa USING (source_id))"""
+_LS = "round(period, 4) AS period, round(power, 4) AS power, round(fap, 4) + 0e0 AS fap, round(amplitude, 4) AS amplitude, alias"
+ORACLE_SQL["variability_periods"] = _PERIODS + f" SELECT source_id, {_LS} FROM ls"
+ORACLE_SQL["shortlist_variability"] = (
+    AXES
+    + _PERIODS.replace("\nWITH e0 AS", ", e0 AS", 1)
+    + f""",
+rm AS (SELECT source_id, count(*) AS n, quantile_cont(y, 0.5) AS med, stddev_pop(y) AS std FROM e0 GROUP BY 1),
+rd AS (SELECT source_id, 1.4826e0 * quantile_cont(abs(y - med), 0.5) AS mad FROM e0 JOIN rm USING (source_id) GROUP BY 1),
+rk AS (SELECT *, n >= 8 AND abs(y - med) <= 4e0 * CASE WHEN mad > 0 THEN mad ELSE std END AS ok FROM e0 JOIN rm USING (source_id) JOIN rd USING (source_id)),
+rs AS (SELECT source_id, any_value(n) AS n_epochs, count(*) FILTER (ok) AS kept, stddev_samp(y) FILTER (ok) AS s, quantile_cont(1e0 / sqrt(w), 0.5) FILTER (ok) AS e FROM rk GROUP BY 1)
+SELECT source_id, n_epochs, CASE WHEN kept >= 8 THEN round({LN10_04!r} * sqrt(greatest(s * s - e * e, 0e0)), 4) END AS frac_rms, {_LS} FROM rs JOIN ls USING (source_id) WHERE source_id IN (SELECT source_id FROM i3 WHERE n_axes >= 1 OR has_excess)"""
+)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions.exprs import KMS_PER_MASYR_KPC
+from skysift.operators import assembly as A
 from skysift.operators import encounters as N
 from skysift.operators import orbits as O
 from skysift.operators import xmatch as M
@@ -66,18 +67,29 @@ def novel_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blend_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _a(spark, sf_dir).select("source_id", "ra", "dec", c("phot_g_mean_mag").alias("g"), "bp_rp", "pmra", "pmdec")
     b = _b(spark, sf_dir).select((c("cand_id") + 1000000).alias("source_id"), "ra", "dec", (c("mag") + 2.0).alias("g"), (c("cand_id") % 5 * 1.0).alias("bp_rp"), (c("cand_id") * 7 * 31 % 401 - 200.0).alias("pmra"), (c("cand_id") * 11 % 401 - 200.0).alias("pmdec"))
-    chosen = a.filter("source_id % 7 = 0").withColumn("t_dust_k", (c("source_id") % 40) * 50.0)
+    chosen = a.withColumn("t_dust_k", (c("source_id") % 40) * 50.0)
     return rounded(M.blend_verdicts(chosen, a.unionByName(b), 6.5).select("source_id", "n_in_beam", "nearest", "flux_ratio", "comoving", "verdict"), 4)
 
 
+def blend_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivors of the blend follow-up, by the report's verdicts."""
+    v = blend_verdicts(spark, sf_dir).withColumn("tau", c("source_id") % 9 / 10.0)
+    return A.blend_report(v)[2].select("source_id", "verdict")
+
+
+def blend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.blend_report(blend_verdicts(spark, sf_dir).withColumn("tau", c("source_id") % 9 / 10.0))[1]
+
+
 def hr_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = M.hr_class(c("phot_g_mean_mag") - c("source_id") % 12, c("bp_rp"), c("parallax"), c("parallax_over_error") - 4)
     return _a(spark, sf_dir).select("source_id", kind.alias("hr_class"))
 
 
 def excess_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(c("source_id") % 6 == 0, "Eclipsing binary").when(c("source_id") % 6 == 1, "QSO").otherwise("Star")
-    return _a(spark, sf_dir).select("source_id", M.excess_verdict(c("W1mag"), F.when(c("source_id") % 10 != 3, c("W2mag")), c("Ksmag"), kind).alias("verdict"))
+    kind = F.when(c("source_id") % 6 == 0, "EB*Algol").when(c("source_id") % 6 == 1, "Mira Mi*").otherwise("Star")
+    w1, w2 = F.when(c("source_id") % 14 != 5, c("W1mag")), F.when(c("source_id") % 10 == 3, float("nan")).otherwise(c("W2mag"))
+    return _a(spark, sf_dir).select("source_id", M.excess_verdict(w1, w2, c("Ksmag"), kind).alias("verdict"))
 
 
 def object_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +149,34 @@ def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("source_id", "cross_yr_0", "abs_g", "ms_residual", "lum_class", "dest_score"), 4)
 
 
+#: Errors of the stars' astrometry, as the given tables have none: some differ by star, some are unknown.
+ERRORS = {
+    "parallax": "0.02e0 + (source_id % 5) / 50e0", "pmra": "0.03e0 + (source_id % 7) / 100e0", "pmdec": "CASE WHEN source_id % 11 = 0 THEN NULL ELSE 0.05e0 END",
+    "radial_velocity": "CASE WHEN source_id % 13 = 0 THEN -1e0 ELSE 0.5e0 + (source_id % 3) END",
+}
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, "stars").withColumns({f"{n}_error": F.expr(e) for n, e in ERRORS.items()})
+
+
+def _recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.transfer(_met(spark, sf_dir).filter("t_enc_myr < 0 AND d_min_pc <= 5 AND v_rel_kms > 0"))
+
+
 def encounter_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stars = N.phase_space(bound(spark, sf_dir, "stars"))
+    stars = _measured(spark, sf_dir)
     anchor = stars.filter("radial_velocity IS NOT NULL").orderBy("source_id").limit(1)
-    near = _met(spark, sf_dir).filter("t_enc_myr < 0 AND d_min_pc <= 5 AND v_rel_kms > 0")
-    return rounded(N.encounter_uncertainty(near, anchor, 100), 4)
+    near = stars.join(_recipients(spark, sf_dir).select("source_id"), "source_id", "left_semi")
+    return rounded(N.encounter_uncertainty(near, anchor, 3000), 4)
+
+
+def encounter_followup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortlist of recipients with the photometry and score of the search; the anchor's velocity error is unknown."""
+    stars = _measured(spark, sf_dir)
+    anchor = stars.filter("radial_velocity IS NOT NULL").orderBy("source_id").limit(1).withColumn("radial_velocity_error", F.lit(None).cast("double"))
+    out = N.encounter_followup(_recipients(spark, sf_dir).filter("transfer_score > 0"), stars, anchor, 3000)
+    return rounded(out.select("source_id", "n_valid", "d_min_pc_50", "frac_2pc", "robust", "phot_g_mean_mag", "bp_rp", "dist_pc", "transfer_score"), 4)
 
 
 def control_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +192,7 @@ def literature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shortlist_photometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _b(spark, sf_dir).select("cand_id", "ra", "dec", c("mag").alias("g"), (c("cand_id") % 30 / 10.0).alias("bp_rp"), (c("cand_id") % 20 + 1.0).alias("parallax"), (c("cand_id") % 12 * 1.0).alias("parallax_snr"))
-    return M.with_photometry(_a(spark, sf_dir).filter("source_id % 7 = 0").select("source_id", "ra", "dec"), b, 6.0).select("source_id", "cand_id", "hr_class")
+    return M.with_photometry(_a(spark, sf_dir).select("source_id", "ra", "dec"), b, 6.0).select("source_id", "cand_id", "hr_class")
 
 
 def overlapping_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +206,7 @@ def luminous_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.luminous_companion(bound(spark, sf_dir, "accelerations").select("source_id"), e).select("source_id", "luminous_companion")
 
 
-QUERIES = {f.__name__: f for f in (control_union, literature_table, shortlist_photometry, overlapping_spectra, luminous_companions, sky_pairs, sky_nearest, sky_cone, counterpart_counts, known_objects, literature_match, novel_sources, blend_verdicts, hr_classes, excess_verdicts, object_context, planet_hosts, accelerations, acceleration_rank, unexplained_accelerations, orbit_masses, dark_companions, phase_space, close_encounters, regime_sweep, destinations, encounter_uncertainty)}
+QUERIES = {f.__name__: f for f in (control_union, literature_table, shortlist_photometry, overlapping_spectra, luminous_companions, sky_pairs, sky_nearest, sky_cone, counterpart_counts, known_objects, literature_match, novel_sources, blend_verdicts, blend_survivors, blend_counts, hr_classes, excess_verdicts, object_context, planet_hosts, accelerations, acceleration_rank, unexplained_accelerations, orbit_masses, dark_companions, phase_space, close_encounters, regime_sweep, destinations, encounter_uncertainty, encounter_followup)}
 
 _A, _B = duck("catalogue"), duck("sky_b")
 
@@ -251,8 +286,33 @@ def _normal(stream: int) -> str:
     return f"(sqrt(-2e0 * ln({_uniform(stream)})) * cos(2e0 * pi() * {_uniform(stream + 1)}))"
 
 
-_DRAWS = f"""(SELECT source_id, draw, ra, dec, parallax + 0.05e0 * {_normal(0)} AS parallax, pmra + 0.05e0 * {_normal(2)} AS pmra, pmdec + 0.05e0 * {_normal(4)} AS pmdec, radial_velocity + {_normal(6)} AS radial_velocity
-  FROM (SELECT source_id, ra, dec, parallax, pmra, pmdec, radial_velocity FROM {_MET} m WHERE t_enc_myr < 0 AND d_min_pc <= 5 AND v_rel_kms > 0), range(100) r(draw))"""
+def _drawn(rows: str, stream: int, n: int) -> str:
+    value = lambda x, i: f"{x} + greatest(coalesce({x}_error, 0e0), 0e0) * {_normal(stream + 2 * i)} AS {x}"
+    return f"(SELECT source_id, draw, ra, dec, {', '.join(value(x, i) for i, x in enumerate(N.DRAWN))} FROM {rows} e, range({n}) r(draw))"
+
+
+_ERRORS = f"(SELECT *, {', '.join(f'{e} AS {n}_error' for n, e in ERRORS.items())} FROM {_STARS})"
+
+
+def _uncertain(stars: str, anchor: str, n: int) -> str:
+    """Table m: a row for each draw of a star and of the anchor."""
+    place = ", ".join(f"{x} AS {x}_0" for x in N.POSITION + N.VELOCITY)
+    dr, dv = [f"({x} - {x}_0)" for x in N.POSITION], [f"({x} - {x}_0)" for x in N.VELOCITY]
+    k, dot = f"{N.PC_PER_MYR!r}e0", " + ".join(f"{a} * {b}" for a, b in zip(dr, dv))
+    ends = " + ".join(f"pow({a} + {b} * {k} * t_enc_myr, 2)" for a, b in zip(dr, dv))
+    return f"""
+ad AS (SELECT draw, {place} FROM {_space(_drawn(anchor, 8, n))} x),
+sd AS (SELECT * FROM {_space(_drawn(stars, 0, n))} x JOIN ad USING (draw)),
+s1 AS (SELECT *, sqrt({" + ".join(f"{x} * {x}" for x in dv)}) AS v_rel_kms FROM sd),
+s2 AS (SELECT *, CASE WHEN v_rel_kms > 0 THEN -({dot}) * {k} / pow(v_rel_kms * {k}, 2) END AS t_enc_myr FROM s1),
+m AS (SELECT *, sqrt({ends}) AS d_min_pc FROM s2),
+u AS (SELECT source_id, count(d_min_pc) AS n_valid, {", ".join(f"quantile_cont({x}, {p / 100}) AS {x}_{p}" for x in ("d_min_pc", "t_enc_myr", "v_rel_kms") for p in (16, 50, 84))},
+  {", ".join(f"avg(CAST({x} AS INTEGER)) AS {y}" for y, x in (("frac_past", "t_enc_myr < 0"), ("frac_1pc", "d_min_pc < 1"), ("frac_2pc", "d_min_pc < 2")))} FROM m WHERE d_min_pc IS NOT NULL GROUP BY 1)"""
+
+
+_NEAR = f"(SELECT * FROM {_MET} m WHERE t_enc_myr < 0 AND d_min_pc <= 5 AND v_rel_kms > 0)"
+_FIRST = f"(SELECT * FROM {_ERRORS} WHERE radial_velocity IS NOT NULL ORDER BY source_id LIMIT 1)"
+_ROBUST = "frac_past > 0.9e0 AND frac_2pc > 0.5e0 AS robust"
 _R = lambda *names, d=4: ", ".join(f"round({n}, {d}) + 0e0 AS {n}" for n in names)
 ORACLE_SQL = {
     "control_union": f"SELECT source_id, round(ra, 5) AS ra, teff, NULL::DOUBLE AS mag FROM {_A} WHERE known_disk UNION ALL SELECT cand_id, round(ra, 5), NULL, round(mag, 5) FROM {_B}",
@@ -260,8 +320,8 @@ ORACLE_SQL = {
 WITH r AS (SELECT CASE WHEN cand_id % 2 = 0 THEN cand_id * 7 END AS a, cand_id % 5 - 2 AS b, ra, dec FROM {_B})
 SELECT DISTINCT 'survey' AS label, id, round(ra, 5) AS ra, round(dec, 5) + 0e0 AS dec FROM (SELECT a AS id, ra, dec FROM r UNION ALL SELECT b, ra, dec FROM r) WHERE id > 0""",
     "shortlist_photometry": f"""
-WITH p AS (SELECT source_id, arg_min(cand_id, struct_pack(a := sep, b := cand_id)) AS cand_id FROM {_pairs(6.0)} WHERE source_id % 7 = 0 GROUP BY 1),
-q AS (SELECT a.source_id, b.cand_id, b.cand_id % 30 / 10e0 AS col, b.mag + 5e0 * log10((b.cand_id % 20 + 1e0) / 100e0) AS mg, b.cand_id % 12 AS snr FROM {_A} a LEFT JOIN p USING (source_id) LEFT JOIN {_B} b ON b.cand_id = p.cand_id WHERE a.source_id % 7 = 0),
+WITH p AS (SELECT source_id, arg_min(cand_id, struct_pack(a := sep, b := cand_id)) AS cand_id FROM {_pairs(6.0)} GROUP BY 1),
+q AS (SELECT a.source_id, b.cand_id, b.cand_id % 30 / 10e0 AS col, b.mag + 5e0 * log10((b.cand_id % 20 + 1e0) / 100e0) AS mg, b.cand_id % 12 AS snr FROM {_A} a LEFT JOIN p USING (source_id) LEFT JOIN {_B} b ON b.cand_id = p.cand_id),
 d AS (SELECT *, mg - (2e0 + 4.3e0 * col - 0.55e0 * col * col + 0.16e0 * col * col * col) AS d FROM q)
 SELECT source_id, cand_id, CASE WHEN mg IS NULL OR snr < 5 THEN 'unknown' WHEN d > 4 AND col < 1.2e0 THEN 'white_dwarf' WHEN d < -1.5e0 THEN 'giant' WHEN abs(d) <= 1.5e0 THEN 'main_sequence' ELSE 'evolved_or_pms' END AS hr_class FROM d""",
     "overlapping_spectra": f"""
@@ -279,18 +339,18 @@ SELECT source_id, cand_id, round(sep, 4) + 0e0 AS sep FROM (SELECT *, row_number
     "blend_verdicts": f"""
 WITH s AS (SELECT source_id, ra, dec, phot_g_mean_mag AS g, bp_rp, pmra, pmdec FROM {_A} UNION ALL SELECT cand_id + 1000000, ra, dec, mag + 2, cand_id % 5, cand_id * 7 * 31 % 401 - 200e0, cand_id * 11 % 401 - 200e0 FROM {_B}),
 q AS (SELECT *, g - least(greatest(0.2e0 + 1.1e0 * least(greatest(bp_rp, 0e0), 4e0), 0e0), 5e0) AS red FROM s),
-k AS (SELECT *, (source_id % 40) * 50e0 AS t_dust_k FROM q WHERE source_id < 1000000 AND source_id % 7 = 0),
+k AS (SELECT *, (source_id % 40) * 50e0 AS t_dust_k FROM q WHERE source_id < 1000000),
 n AS (SELECT k.source_id, count(*) AS n, min({_sep("k.ra", "k.dec", "q.ra", "q.dec")}) AS nearest, sum(pow(10e0, -0.4e0 * (q.red - k.red))) AS ratio, bool_or(sqrt(pow(q.pmra - k.pmra, 2) + pow(q.pmdec - k.pmdec, 2)) <= 0.5e0 * sqrt(k.pmra * k.pmra + k.pmdec * k.pmdec)) AS mv
   FROM k JOIN q ON q.source_id <> k.source_id AND abs(k.dec - q.dec) < 0.01e0 AND {_sep("k.ra", "k.dec", "q.ra", "q.dec")} <= 6.5e0 GROUP BY 1)
 SELECT k.source_id, coalesce(n, 0) AS n_in_beam, round(nearest, 4) AS nearest, coalesce(round(ratio, 4), 0e0) AS flux_ratio, coalesce(mv, false) AS comoving,
-  CASE WHEN t_dust_k > 1800 THEN 'stellar_companion' WHEN coalesce(n, 0) = 0 THEN 'isolated' WHEN ratio < 0.1e0 THEN 'clean' WHEN mv THEN 'comoving_blend' ELSE 'background_blend' END AS verdict FROM k LEFT JOIN n USING (source_id)""",
+  CASE WHEN t_dust_k > 1800 AND (coalesce(n, 0) = 0 OR ratio < 0.1e0) THEN 'stellar_companion' WHEN coalesce(n, 0) = 0 THEN 'isolated' WHEN ratio < 0.1e0 THEN 'clean' WHEN mv THEN 'comoving_blend' ELSE 'background_blend' END AS verdict FROM k LEFT JOIN n USING (source_id)""",
     "hr_classes": f"""
 WITH h AS (SELECT source_id, bp_rp, parallax_over_error - 4 AS snr, phot_g_mean_mag - source_id % 12 + 5e0 * log10(parallax / 100e0) AS mg, least(greatest(bp_rp, -0.2e0), 4e0) AS x FROM {_A}),
 d AS (SELECT *, mg - (2e0 + 4.3e0 * x - 0.55e0 * x * x + 0.16e0 * x * x * x) AS d FROM h)
 SELECT source_id, CASE WHEN mg IS NULL OR bp_rp IS NULL OR snr < 5 THEN 'unknown' WHEN d > 4 AND bp_rp < 1.2e0 THEN 'white_dwarf' WHEN d < -1.5e0 THEN 'giant' WHEN abs(d) <= 1.5e0 THEN 'main_sequence' ELSE 'evolved_or_pms' END AS hr_class FROM d""",
     "excess_verdicts": f"""
-WITH v AS (SELECT source_id, W1mag, CASE WHEN source_id % 10 <> 3 THEN W2mag END AS w2, Ksmag FROM {_A})
-SELECT source_id, CASE WHEN coalesce(W1mag - w2 > 0.15e0 OR Ksmag - w2 > 0.6e0, false) THEN 'dusty' WHEN source_id % 6 < 2 THEN 'known_variable' WHEN w2 IS NULL THEN 'no_ir_data' ELSE 'clean' END AS verdict FROM v""",
+WITH v AS (SELECT source_id, CASE WHEN source_id % 14 <> 5 THEN W1mag END AS w1, CASE WHEN source_id % 10 <> 3 THEN W2mag END AS w2, Ksmag AS k FROM {_A})
+SELECT source_id, CASE WHEN coalesce(w1 - w2 > 0.15e0, false) OR coalesce(k - w2 > 0.6e0, false) THEN 'ir_excess_dusty' WHEN source_id % 6 < 2 THEN 'known_variable' WHEN w1 - w2 IS NULL AND k - w2 IS NULL THEN 'no_ir_data' ELSE 'clean' END AS verdict FROM v""",
     "object_context": f"""SELECT a.source_id, coalesce(n, 0) AS n_context, kind AS nearest_kind FROM {_A} a
 LEFT JOIN (SELECT source_id, count(*) AS n, arg_min(kind, struct_pack(a := sep, b := cand_id)) AS kind FROM {_pairs(5.0)} GROUP BY 1) p USING (source_id)""",
     "planet_hosts": f"""
@@ -319,8 +379,13 @@ d1 AS (SELECT *, abs_g - ({_RIDGE}) AS ms_residual FROM d0),
 d2 AS (SELECT *, CASE WHEN abs(ms_residual) <= 1.5e0 AND bp_rp < 0.45e0 THEN 'hot_shortlived' WHEN abs(ms_residual) <= 1.5e0 THEN 'main_sequence' WHEN ms_residual < -1.5e0 THEN 'giant' WHEN ms_residual > 3 THEN 'remnant' ELSE 'unknown' END AS lum_class, exp(-pow(bp_rp - 2.6e0, 2) / {2 * 1.1**2!r}e0) AS wish FROM d1)
 SELECT source_id, round({N.LY_PER_PC!r}e0 * d_min_pc / 0.001e0, 4) AS cross_yr_0, {_R('abs_g', 'ms_residual')}, lum_class, round(CASE lum_class WHEN 'main_sequence' THEN wish WHEN 'hot_shortlived' THEN 0.1e0 * wish ELSE 0e0 END, 4) AS dest_score FROM d2""",
     "encounter_uncertainty": f"""
-WITH m AS (SELECT * FROM {_approach(_space(_DRAWS))})
-SELECT source_id, {", ".join(f"round(quantile_cont({n}, {p / 100}), 4) + 0e0 AS {n}_{p}" for n in ("d_min_pc", "t_enc_myr", "v_rel_kms") for p in (16, 50, 84))},
-  {", ".join(f"round(avg(CAST({x} AS INTEGER)), 4) AS {n}" for n, x in (("frac_past", "t_enc_myr < 0"), ("frac_1pc", "d_min_pc < 1"), ("frac_2pc", "d_min_pc < 2")))},
-  avg(CAST(t_enc_myr < 0 AS INTEGER)) > 0.9e0 AND avg(CAST(d_min_pc < 2 AS INTEGER)) > 0.5e0 AS robust FROM m GROUP BY 1""",
+WITH c AS (SELECT * FROM {_ERRORS} WHERE source_id IN (SELECT source_id FROM {_NEAR})), {_uncertain("c", _FIRST, 3000)}
+SELECT source_id, n_valid, {_R(*(f"{x}_{p}" for x in ("d_min_pc", "t_enc_myr", "v_rel_kms") for p in (16, 50, 84)))}, {_R("frac_past", "frac_1pc", "frac_2pc")}, {_ROBUST} FROM u""",
+    "encounter_followup": f"""
+WITH l AS (SELECT source_id, phot_g_mean_mag, bp_rp, dist, 1e0 / (greatest(d_min_pc, 0.01e0) * pow(greatest(v_rel_kms, 0.1e0), 2)) AS transfer_score FROM {_NEAR} WHERE t_enc_myr >= -10),
+c AS (SELECT * FROM {_ERRORS} WHERE source_id IN (SELECT source_id FROM l)), {_uncertain("c", f"(SELECT * EXCLUDE (radial_velocity_error), 0.5e0 AS radial_velocity_error FROM {_FIRST})", 3000)}
+SELECT source_id, n_valid, {_R("d_min_pc_50", "frac_2pc")}, {_ROBUST}, {_R("phot_g_mean_mag", "bp_rp")}, round(dist, 4) AS dist_pc, {_R("transfer_score")} FROM u JOIN l USING (source_id)""",
 }
+_V = ORACLE_SQL["blend_verdicts"]
+ORACLE_SQL["blend_survivors"] = f"SELECT source_id, verdict FROM ({_V}) WHERE verdict IN ('clean', 'isolated')"
+ORACLE_SQL["blend_counts"] = f"SELECT verdict, count(*) AS n FROM ({_V}) GROUP BY 1"

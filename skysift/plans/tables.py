@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skysift.functions.exprs import LN10_04
 from skysift.functions.lines import GALAXY, LOCKED
-from skysift.operators import catalog, cluster, encounters, limits
+from skysift.operators import catalog, cluster, encounters, limits, spectra
 from skysift.operators import triage as T
 from skysift.plans.bindings import bound, duck, sql_mag, sql_model
 from skysift.plans.catalog import VETTED, rounded
@@ -36,7 +36,7 @@ def recurrent_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excluded_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).filter("spec_id % 500 = 0").select(c("wavelength").alias("line"))
+    lines = _lines(spark, sf_dir).select(c("wavelength").alias("line"))
     return rounded(T.excluded_bandwidth(lines, 300.0))
 
 
@@ -50,7 +50,10 @@ def triage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.ranked(_lines(spark, sf_dir), 40).select("spec_id", "line_no", "rank_score"), 6)
+    """The 40 best lines: a ranked report."""
+    d = bound(spark, sf_dir, "lines").withColumn("width_ratio", F.when(c("line_no") % 7 < 6, c("line_no") % 7 / 5.0 + 0.4))
+    d = d.withColumn("score", spectra.line_score(c("significance"), c("width_ratio"), F.count(F.lit(1)).over(Window.partitionBy("spec_id"))))
+    return rounded(T.ranked(d, 40).select("spec_id", "line_no", "rank_score"), 6)
 
 
 def completeness_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,14 +243,17 @@ ORACLE_SQL = {
     "line_velocity": _TRIAGE + "SELECT spec_id, line_no, round(line, 3) AS line, round(kms, 3) + 0e0 AS kms FROM d",
     "recurrent_cut": f"""WITH l AS (SELECT *, CAST(round_even(wavelength / 2e0, 0) AS BIGINT) AS b FROM {_L}) SELECT spec_id, line_no FROM l WHERE b NOT IN (SELECT b FROM l GROUP BY b HAVING count(DISTINCT spec_id) >= 3)""",
     "excluded_bandwidth": f"""
-WITH s AS (SELECT greatest(wavelength * (1e0 - {300 / T.LIGHT_KMS!r}), 3600e0) AS lo, least(wavelength * (1e0 + {300 / T.LIGHT_KMS!r}), 9800e0) AS hi FROM {_L} WHERE spec_id % 500 = 0),
+WITH s AS (SELECT greatest(wavelength * (1e0 - {300 / T.LIGHT_KMS!r}), 3600e0) AS lo, least(wavelength * (1e0 + {300 / T.LIGHT_KMS!r}), 9800e0) AS hi FROM {_L}),
 o AS (SELECT *, CASE WHEN lo <= max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM s WHERE lo < hi),
 i AS (SELECT *, sum(n) OVER (ORDER BY lo, hi) AS isle FROM o),
 z AS (SELECT max(hi) - min(lo) AS len FROM i GROUP BY isle)
 SELECT round(sum(len), 5) AS excluded, round(sum(len) / 6200e0, 5) AS fraction FROM z""",
     "redshift_families": _TRIAGE + _FAMILY + "SELECT spec_id, n_lines, n_matched, round(z, 6) + 0e0 AS z, is_galaxy FROM fa",
     "triage_counts": _TRIAGE + _FAMILY + "SELECT search_mode, CASE WHEN verdict = 'survives' AND coalesce(is_galaxy, false) THEN 'galaxy' ELSE verdict END AS verdict, count(*) AS n FROM t LEFT JOIN fa USING (spec_id) GROUP BY 1, 2",
-    "line_ranking": f"""SELECT spec_id, line_no, round(s, 6) AS rank_score FROM (SELECT *, (1e0 - exp(-significance / 10e0)) / (1e0 + 0.15e0 * (count(*) OVER (PARTITION BY spec_id) - 1)) AS s FROM {_L}) ORDER BY s DESC, spec_id, wavelength, line_no LIMIT 40""",
+    "line_ranking": f"""
+WITH l AS (SELECT *, count(*) OVER (PARTITION BY spec_id) AS k, coalesce(CASE WHEN line_no % 7 < 6 THEN line_no % 7 / 5e0 + 0.4e0 END, 1e0) AS w FROM {_L}),
+r AS (SELECT *, (0.45e0 * (1e0 - exp(-significance / 10e0)) + 0.35e0 * exp(-pow(w - 1e0, 2) / (2e0 * 0.25e0 * 0.25e0)) + 0.2e0 / k) / (1e0 + 0.15e0 * (k - 1)) AS s FROM l)
+SELECT spec_id, line_no, round(s, 6) AS rank_score FROM r ORDER BY s DESC, spec_id, wavelength, line_no LIMIT 40""",
     "completeness_map": _CELLS + f"SELECT t_dust, tau, n, round(recovered, 6) AS recovered, round(recovered * 10000e0, 6) AS n_eff, CASE WHEN recovered > 0 THEN round({_LIMIT!r}e0 / (recovered * 10000e0), 6) END AS \"limit\" FROM cells",
     "completeness_least_tau": _CELLS + "SELECT t_dust, min(CASE WHEN recovered >= 0.5e0 THEN tau END) AS tau_min FROM cells GROUP BY 1",
     "forecast_headline": _CELLS + f"SELECT t_dust, tau, n, round(recovered, 6) AS recovered, round(recovered * 10000e0, 6) AS n_eff, round({_LIMIT!r}e0 / (recovered * 10000e0), 6) AS \"limit\" FROM cells WHERE recovered > 0 ORDER BY recovered DESC, t_dust, tau LIMIT 1",

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 c = F.col
+#: What optional columns hold where a catalogue doesn't give them; a magnitude that it doesn't give is unknown.
 CONTRACT_DEFAULTS = {"W1mag_unwise": None, "gaia_nn_arcsec": math.inf, "ext_flg": 0, "cc_flags": "0000", "ph_qual": "AA", "n_wise_neighbours": 1, "known_disk": False, "pmra_error": 1.0, "pmdec_error": 1.0, "e_pmra_wise": 50.0, "e_pmdec_wise": 50.0}
+#: Columns that the funnel can't do without.
 REQUIRED = ("source_id", "ra", "dec", "pmra", "pmdec", "teff", "W1mag", "e_W1mag", "W2mag", "e_W2mag", "ra_wise", "dec_wise", "Jmag", "Hmag", "Ksmag")
 
 
