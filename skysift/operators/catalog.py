@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skysift.functions.quantiles import quantiles
 from skysift.functions import exprs as X
 from skysift.params import DEFAULT, Params
 
@@ -141,11 +142,11 @@ def funnel_counts(df: DataFrame, stages: tuple = FUNNEL) -> DataFrame:
 def diagnostics(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Quantiles of the co-movement figures and failures of each of its tests."""
     d = df.select(wise_offset(p).alias("offset"), pm_sigma().alias("pm"))
-    q = lambda x, at: F.percentile(c(x), F.lit(at))
-    return d.agg(
-        q("offset", 0.5).alias("offset_median"), q("offset", 0.9).alias("offset_p90"), q("pm", 0.5).alias("pm_median"), q("pm", 0.9).alias("pm_p90"),
-        F.count_if(c("offset") > p.offset_max).alias("fail_offset"), F.count_if(c("pm") > p.pm_sigma_max).alias("fail_pm"),
-    )
+    failed = d.agg(F.count_if(c("offset") > p.offset_max).alias("fail_offset"), F.count_if(c("pm") > p.pm_sigma_max).alias("fail_pm"))
+    for name in ("offset", "pm"):
+        q = quantiles(d, [], name, [0.5, 0.9]).select(c("q")[0].alias(f"{name}_median"), c("q")[1].alias(f"{name}_p90"))
+        failed = failed.join(F.broadcast(q), F.lit(True))
+    return failed.select("offset_median", "offset_p90", "pm_median", "pm_p90", "fail_offset", "fail_pm")
 
 
 def in_locus(p: Params) -> Column:
@@ -154,8 +155,8 @@ def in_locus(p: Params) -> Column:
 
 def calibrate_locus(control: DataFrame, q: float = 0.95) -> DataFrame:
     """Central-q quantiles of temperature and tau of a control table."""
-    at = F.array(F.lit((1 - q) / 2), F.lit((1 + q) / 2))
-    one = control.agg(F.percentile(c("t_dust_k"), at).alias("t"), F.percentile(c("tau"), at).alias("u"))
+    at = [(1 - q) / 2, (1 + q) / 2]
+    one = quantiles(control, [], "t_dust_k", at, "t").join(F.broadcast(quantiles(control, [], "tau", at, "u")), F.lit(True))
     return one.select(c("t")[0].alias("t_dust_min"), c("t")[1].alias("t_dust_max"), c("u")[0].alias("tau_min"), c("u")[1].alias("tau_max"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions.exprs import KMS_PER_MASYR_KPC, clip
+from skysift.functions.quantiles import quantiles
 
 c = F.col
 #: Rotation from equatorial to Galactic axes.
@@ -91,11 +92,14 @@ def regime_sweep(df: DataFrame, reservoirs: tuple[float, ...] = (0.05, 0.1, 0.2,
     """Summary of past encounters for each reservoir radius; the radii are exploded inside each row."""
     rows = df.filter("t_enc_myr < 0").withColumn("reservoir", F.explode(F.array(*map(F.lit, reservoirs))))
     r = regime(rows, c("reservoir"), donor_mass)
-    return r.groupBy("reservoir").agg(
-        F.count(F.lit(1)).alias("n_past"), F.min("v_rel_kms").alias("v_rel_min"), F.percentile(c("v_rel_kms"), F.lit(0.5)).alias("v_rel_median"), F.min("d_min_pc").alias("d_min_min"),
+    # the median is the same for every reservoir
+    median = quantiles(df.filter("t_enc_myr < 0"), [], "v_rel_kms", [0.5]).select(c("q")[0].alias("v_rel_median"))
+    one = r.groupBy("reservoir").agg(
+        F.count(F.lit(1)).alias("n_past"), F.min("v_rel_kms").alias("v_rel_min"), F.min("d_min_pc").alias("d_min_min"),
         F.count_if("within_reservoir").alias("n_within"), F.count_if("capturable").alias("n_capturable"), F.count_if("transfers").alias("n_transfers"),
         F.min_by(c("v_rel_kms") / c("v_esc_kms"), F.struct("d_min_pc", "source_id")).alias("speed_excess"), F.max("focusing").alias("max_focusing"),
     )
+    return one.join(F.broadcast(median), F.lit(True)).select("reservoir", "n_past", "v_rel_min", "v_rel_median", "d_min_min", "n_within", "n_capturable", "n_transfers", "speed_excess", "max_focusing")
 
 
 def keyed_uniform(key: Column, draw: Column, stream: int) -> Column:

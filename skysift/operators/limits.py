@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skysift.functions.quantiles import quantiles
 from skysift.functions import exprs as X
 from skysift.operators import catalog
 from skysift.params import DEFAULT, Params
@@ -93,7 +94,8 @@ def removal(df: DataFrame, years: float = 10.0, tolerance: float = 1.0) -> DataF
 def budget(removed: DataFrame, density_deg2: float, radius_arcsec: float) -> DataFrame:
     """Expected chance blends before and after the removal tests."""
     rate = density_deg2 * math.pi * (radius_arcsec / 3600.0) ** 2
-    one = removed.agg(F.count(F.lit(1)).alias("n"), F.count_if("removed").alias("n_removed"), F.percentile(c("mu"), F.lit(0.5)).alias("median_mu"))
+    one = removed.agg(F.count(F.lit(1)).alias("n"), F.count_if("removed").alias("n_removed"))
+    one = one.join(F.broadcast(quantiles(removed, [], "mu", [0.5]).select(c("q")[0].alias("median_mu"))), F.lit(True))
     return one.select("n", (c("n") * rate).alias("before"), ((c("n") - c("n_removed")) * rate).alias("after"), F.try_divide(c("n"), c("n") - c("n_removed")).cast("double").alias("factor"), (c("n_removed") / c("n")).alias("removed_fraction"), "median_mu")
 
 

@@ -1,8 +1,9 @@
 """Spectral lines in pixels: continuum, masks, matched filter, peaks, classification, injection and recovery.
 
 Everything works on the long form, one row for each pixel, pix counting from 0 without gaps. The filter is a sum
-of lagged pixels, a peak is the greatest value of its neighbourhood, and its shape comes from an equi-join of the
-few peaks with the pixels of their own spectrum, so that all of it is windows, joins and grouped aggregates.
+of lagged pixels, whose weights follow each spectrum's own line width; peaks are taken from the left by a fold over the
+few local maxima of a spectrum; and their shapes come from an equi-join of the peaks with the pixels of their own
+spectrum, so that all of it is windows, joins and grouped aggregates.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysift.functions.tables import written
 from skysift.functions.lines import DIFFUSE, EMISSION, INTERSTELLAR, SKY, STELLAR, TELLURIC
 
 c = F.col
@@ -41,10 +43,11 @@ def continuum(pixels: DataFrame, window: int = 101, keys: Sequence[str] = ("spec
     return m.withColumn("_s", own).withColumn("continuum", F.element_at("_s", F.floor(F.size("_s") / 2).cast("int") + 1)).drop("_n", "_h", "_at", "_near", "_s")
 
 
-def bad_pixels(pixels: DataFrame, reach: int = 2) -> DataFrame:
+def bad_pixels(pixels: DataFrame, reach: int = 2, keys: Sequence[str] = ("spec_id",)) -> DataFrame:
     """Add bad: unusable flux or inverse variance, or a survey mask, within reach pixels."""
-    w = Window.partitionBy("spec_id").orderBy("pix").rowsBetween(-reach, reach)
-    bad = c("flux").isNull() | F.isnan("flux") | (c("flux") == 0) | c("ivar").isNull() | (c("ivar") <= 0) | (F.coalesce(c("mask"), F.lit(0)) != 0)
+    w = Window.partitionBy(*keys).orderBy("pix").rowsBetween(-reach, reach)
+    mask = c("mask") if "mask" in pixels.columns else F.lit(0)
+    bad = c("flux").isNull() | F.isnan("flux") | (c("flux") == 0) | c("ivar").isNull() | (c("ivar") <= 0) | (F.coalesce(mask, F.lit(0)) != 0)
     return pixels.withColumn("bad", F.max(bad.cast("int")).over(w) == 1)
 
 
@@ -69,7 +72,7 @@ def spread_sigma(pixels: DataFrame, releases: DataFrame) -> DataFrame:
     for name, value in RESOLUTION.items():
         power = F.when(c("release").startswith(name), F.lit(value)).otherwise(power)
     sigma = c("_mid") / power / 2.3548 / F.when(c("_step") > 0, c("_step"))
-    return one.join(releases.select("spec_id", "release"), "spec_id", "left").select("spec_id", F.coalesce(F.greatest(sigma, F.lit(0.6)), F.lit(1.0)).alias("sigma"))
+    return one.join(releases.select("spec_id", "release"), "spec_id", "left").select("spec_id", F.when(sigma.isNotNull(), F.greatest(sigma, F.lit(0.6))).otherwise(1.0).alias("sigma"))
 
 
 def kernel(sigma: float) -> list[float]:
@@ -80,43 +83,85 @@ def kernel(sigma: float) -> list[float]:
     return [x / norm for x in raw]
 
 
-def filtered(pixels: DataFrame, sigma: float, window: int, absorption: bool, keys: Sequence[str]) -> DataFrame:
-    """Spectra of five pixels or more with n, continuum, excess over (or under) it, pixel_snr, and strength, the matched filter's output."""
+def _own_width(p: DataFrame, sigma: float | DataFrame) -> tuple[DataFrame, int]:
+    """Rows with _sigma, _reach (four sigma) and _norm (root of the sum of squared weights), and the widest reach.
+
+    sigma is one width, or a table (spec_id, sigma), where spectra that it doesn't hold have a width of 1.
+    """
+    if not isinstance(sigma, DataFrame):
+        reach = max(1, math.ceil(4 * sigma))
+        norm = math.sqrt(sum(math.exp(-((x / sigma) ** 2)) for x in range(-reach, reach + 1)))
+        return p.withColumns({"_sigma": F.lit(float(sigma)), "_reach": F.lit(reach), "_norm": F.lit(norm)}), reach
+    own = sigma.select("spec_id", c("sigma").alias("_sigma"))
+    widest = own.agg(F.max("_sigma")).first()[0]
+    out = p.join(own, "spec_id", "left").withColumn("_sigma", F.coalesce("_sigma", F.lit(1.0)))
+    out = out.withColumn("_reach", F.greatest(F.lit(1), F.ceil(c("_sigma") * 4).cast("int")))
+    square = lambda total, x: total + F.exp(-F.pow(x / c("_sigma"), 2))
+    norm = F.sqrt(F.aggregate(F.sequence(-c("_reach"), c("_reach")), F.lit(0.0), square))
+    return out.withColumn("_norm", norm), max(4, math.ceil(4 * (widest or 1.0)))
+
+
+def filtered(pixels: DataFrame, sigma: float | DataFrame, window: int, absorption: bool, keys: Sequence[str]) -> DataFrame:
+    """Spectra of five pixels or more with n, continuum, excess over (or under) it, pixel_snr, and strength, the matched filter's output.
+
+    sigma is the lines' width in pixels: one for all, or a table (spec_id, sigma).
+    """
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("pix")
     finite = lambda x: c(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     p = pixels.select(*keys, "pix", "wave", "ivar", F.when(finite("flux"), c("flux")).otherwise(0.0).alias("flux"), (finite("flux") & finite("ivar") & (c("ivar") > 0)).alias("good"))
     p = continuum(p.withColumn("n", F.count(F.lit(1)).over(whole)).filter("n >= 5"), window, keys)
     p = p.withColumn("excess", c("continuum") - c("flux") if absorption else c("flux") - c("continuum"))
     p = p.withColumn("pixel_snr", F.when(c("good"), c("excess") * F.sqrt("ivar")).otherwise(0.0))
-    weights = kernel(sigma)
-    half = len(weights) // 2
+    p, widest = _own_width(p, sigma)
     strength = F.lit(0.0)
-    for x, k in zip(range(-half, half + 1), weights):
-        strength = strength + F.lag("pixel_snr", x, 0.0).over(order) * k
+    for x in range(-widest, widest + 1):
+        term = F.lag("pixel_snr", x, 0.0).over(order) * (F.exp(F.pow(x / c("_sigma"), 2) * -0.5) / c("_norm"))
+        strength = strength + F.when(c("_reach") >= abs(x), term).otherwise(0.0)
     return p.withColumn("strength", strength)
 
 
-def find_lines(pixels: DataFrame, sigma: float = 1.5, snr_min: float = 8.0, window: int = 101, absorption: bool = False, forest: int = 25, apart: int = 3, keys: Sequence[str] = ("spec_id",)) -> DataFrame:
-    """(keys, line columns): peaks of the matched filter with their shapes.
+def peaks(p: DataFrame, snr_min: float, apart: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, from_pix, at): the peaks of a filtered spectrum, taken from the left.
+
+    A peak begins at an inner pixel that reaches snr_min and isn't exceeded by its two neighbours; it is refined to the
+    greatest value within ``apart`` pixels (the first of equals), and the next peak begins beyond those. A fold over
+    a spectrum's local maxima, in order, keeps the ones that are begun.
+    """
+    order = Window.partitionBy(*keys).orderBy("pix")
+    best = F.max_by("pix", F.struct("strength", -c("pix"))).over(order.rowsBetween(-apart, apart))
+    top = (c("strength") >= snr_min) & (c("strength") >= F.lag("strength").over(order)) & (c("strength") >= F.lead("strength").over(order)) & c("pix").between(1, c("n") - 2)
+    maxima = p.select(*keys, "pix", best.alias("at"), top.alias("_top")).filter("_top")
+    listed = maxima.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(c("pix").cast("int").alias("pix"), c("at").cast("int").alias("at")))).alias("_m"))
+    none = F.array().cast("array<struct<pix:int,at:int>>")
+    step = lambda s, x: F.when(x.pix >= s.after, F.struct((x.pix + (apart + 1)).alias("after"), F.concat(s.got, F.array(x)).alias("got"))).otherwise(s)
+    kept = F.aggregate("_m", F.struct(F.lit(1).alias("after"), none.alias("got")), step, lambda s: s.got)
+    return listed.select(*keys, F.explode(kept).alias("_k")).select(*keys, c("_k.pix").alias("from_pix"), "_k.at")
+
+
+def search(pixels: DataFrame, widths: DataFrame, snr_min: float = 8.0, window: int = 101, absorption: bool = False) -> DataFrame:
+    """find_lines() with the width of each spectrum's own lines (spec_id, sigma) and pixels near bad ones left out."""
+    good = bad_pixels(pixels).withColumn("ivar", F.when(c("bad"), 0.0).otherwise(c("ivar")))
+    return find_lines(good, widths, snr_min, window, absorption)
+
+
+def find_lines(pixels: DataFrame, sigma: float | DataFrame = 1.5, snr_min: float = 8.0, window: int = 101, absorption: bool = False, forest: int = 25, apart: int = 3, keys: Sequence[str] = ("spec_id",)) -> DataFrame:
+    """(keys, line columns): peaks() of the matched filter with their shapes.
 
-    A peak is an inner pixel that reaches snr_min and isn't exceeded within ``apart`` pixels, the first one of
-    equals. Troughs of nearly the whole continuum are no absorption lines, and spectra with a forest of those
+    Troughs of nearly the whole continuum, or without one, are no absorption lines, and spectra with a forest of those
     are left out.
     """
     order = Window.partitionBy(*keys).orderBy("pix")
-    half = len(kernel(sigma)) // 2
-    p = filtered(pixels, sigma, window, absorption, keys)
-    around, before = F.max("strength").over(order.rowsBetween(-apart, apart)), F.max("strength").over(order.rowsBetween(-apart, -1))
-    p = p.withColumns({"_around": around, "_before": before, "_step": c("wave") - F.lag("wave").over(order)})
-    top = (c("strength") >= snr_min) & (c("strength") == c("_around")) & (c("_before").isNull() | (c("strength") > c("_before"))) & c("pix").between(1, c("n") - 2)
-    peaks = p.filter(top).select(*keys, c("pix").alias("at"), c("wave").alias("wavelength"), c("strength").alias("significance"), c("excess").alias("amplitude"), c("continuum").alias("level"), c("ivar").alias("own"), "n")
+    p = filtered(pixels, sigma, window, absorption, keys).withColumn("_step", c("wave") - F.lag("wave").over(order))
+    p = written(p.select(*keys, "pix", "wave", "ivar", "n", "continuum", "excess", "pixel_snr", "strength", "_step", "_sigma", "_reach"))
+    found = peaks(p, snr_min, apart, keys).withColumnRenamed("at", "pix").join(p, [*keys, "pix"])
+    peak = found.select(*keys, "from_pix", c("pix").alias("at"), c("wave").alias("wavelength"), c("strength").alias("significance"), c("excess").alias("amplitude"), c("continuum").alias("level"), c("ivar").alias("own"), "n", "_sigma", "_reach")
     if absorption:
-        peaks = peaks.filter((c("level") <= 0) | (c("amplitude") <= c("level") * 0.95))
-        peaks = peaks.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(c("_many") <= forest).drop("_many")
+        peak = peak.filter((c("level") > 0) & (c("amplitude") < c("level") * 0.95))
+        peak = peak.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(c("_many") <= forest).drop("_many")
     x, light = c("pix") - c("at"), F.greatest("excess", F.lit(0.0))
-    inside, low = F.abs(x) <= half, c("excess") < c("amplitude") * 0.5
-    near = peaks.join(p.select(*keys, "pix", "excess", "pixel_snr", "ivar", "_step"), list(keys))
-    one = near.groupBy(*peaks.columns).agg(
+    inside, low = F.abs(x) <= F.greatest("_reach", F.lit(2)), c("excess") < c("amplitude") * 0.5
+    near = peak.join(p.select(*keys, "pix", "excess", "pixel_snr", "ivar", "_step"), list(keys))
+    one = near.groupBy(*peak.columns).agg(
         F.sum(F.when(inside, light)).alias("s0"),
         F.sum(F.when(inside, light * x)).alias("s1"),
         F.sum(F.when(inside, light * x * x)).alias("s2"),
@@ -126,7 +171,7 @@ def find_lines(pixels: DataFrame, sigma: float = 1.5, snr_min: float = 8.0, wind
         F.min(F.when(F.abs(x).between(1, 3), c("excess"))).alias("least"),
         (F.coalesce(F.sum(F.when(x.between(-3, -1), light)), F.lit(0.0)) + 1e-9).alias("blue"),
         (F.coalesce(F.sum(F.when(x.between(1, 3), light)), F.lit(0.0)) + 1e-9).alias("red"),
-        F.sum(F.when(F.abs(x) <= apart, light)).alias("flux"),
+        F.sum(F.when(F.abs(c("pix") - c("from_pix")) <= apart, light)).alias("flux"),
         F.percentile(F.when((F.abs(x) <= 150) & (c("ivar") >= 0) & ~F.isnan("ivar"), c("ivar")), F.lit(0.5)).alias("typical"),
         F.percentile("_step", F.lit(0.5)).alias("step"),
     )
@@ -137,7 +182,7 @@ def find_lines(pixels: DataFrame, sigma: float = 1.5, snr_min: float = 8.0, wind
         c("at").cast("int").alias("pix"),
         "wavelength",
         "significance",
-        F.when(c("s0") > 0, F.sqrt(spread) / sigma).otherwise(float("nan")).alias("width_ratio"),
+        F.when(c("s0") > 0, F.sqrt(spread) / c("_sigma")).otherwise(float("nan")).alias("width_ratio"),
         "amplitude",
         F.when(up, F.coalesce("right", "n") - F.coalesce("left", F.lit(-1)) - 1).otherwise(0).cast("double").alias("fwhm"),
         "n_pix",

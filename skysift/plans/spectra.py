@@ -31,8 +31,17 @@ def bad_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bad_pixels(p).groupBy("spec_id").agg(F.count_if("bad").alias("n_bad"))
 
 
+def _surveyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Spectra of one angstrom a pixel with a mask, and the widths of their releases' lines."""
+    p = _pixels(spark, sf_dir).withColumn("wave", c("wave") / 50.0 + 4000.0).withColumn("mask", F.when((c("spec_id") * 7 + c("pix")) % 97 == 0, 1).otherwise(0))
+    n = c("spec_id") % 4
+    releases = p.filter("pix = 0").select("spec_id", F.when(n == 0, "DESI-DR1").when(n == 1, "SDSS-DR16").when(n == 2, "BOSS-DR16").otherwise("other").alias("release"))
+    return p, S.spread_sigma(p, releases)
+
+
 def line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.find_lines(_pixels(spark, sf_dir), 1.5, 4.0, 31).withColumn("reason", S.reject_reason()), 4)
+    """The search with each spectrum's own line width and bad pixels left out."""
+    return rounded(S.search(*_surveyed(spark, sf_dir), 4.0, 31).withColumn("reason", S.reject_reason()), 4)
 
 
 def absorption_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,34 +129,41 @@ _EMISSION_CASE = f"CASE {_SHAPES(1.6)} WHEN iv < 0.5e0 THEN 'sky_residual' WHEN
 _ABSORPTION_CASE = f"CASE {_SHAPES(1.8)} WHEN mn < -0.3e0 THEN 'emission_flanked' WHEN asy > 4 THEN 'asymmetric_profile' WHEN {_any(K.SKY, 2.0)} THEN 'sky_line' WHEN {_BANDS} THEN 'telluric' WHEN {_any(K.STELLAR, 3.0)} THEN 'stellar_line' WHEN {_any(K.INTERSTELLAR, 2.0)} THEN 'ism_line' WHEN {_any(K.DIFFUSE, 4.0)} THEN 'diffuse_band' END"
 
 
-def _search(source: str, snr_min: float, window: int, keys: str = "spec_id", absorption: bool = False) -> str:
-    """CTEs that end in ln: the lines of all spectra of 64 pixels in a source with keys, pix, wave, flux, ivar."""
-    half, sigma = min(window, 63) // 2, 1.5
-    weights = S.kernel(sigma)
-    reach = len(weights) // 2
-    total = " + ".join(f"{w!r}e0 * lag(sn, {x}, 0e0) OVER w" if "e" not in repr(w) else f"{w!r} * lag(sn, {x}, 0e0) OVER w" for x, w in zip(range(-reach, reach + 1), weights))
+def _search(source: str, snr_min: float, window: int, keys: str = "spec_id", absorption: bool = False, own: bool = False) -> str:
+    """CTEs that end in ln: the lines of all spectra of 64 pixels in a source with keys, pix, wave, flux, ivar (and sg, their width). Needs WITH RECURSIVE."""
+    half = min(window, 63) // 2
+    sg, widest = ("sg", 5) if own else ("1.5e0", 6)
+    reach = f"greatest(1, CAST(ceil(4e0 * {sg}) AS BIGINT))"
+    total = " + ".join(f"CASE WHEN {reach} >= {abs(x)} THEN lag(sn, {x}, 0e0) OVER w * exp(-0.5e0 * pow({x} / {sg}, 2)) / nm ELSE 0e0 END" for x in range(-widest, widest + 1))
     same = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
     mine = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
-    trough = "AND (lv <= 0 OR ex <= 0.95e0 * lv)" if absorption else ""
+    trough = "WHERE lv > 0 AND ex < 0.95e0 * lv" if absorption else ""
     forest = "QUALIFY count(*) OVER (PARTITION BY " + keys + ") <= 25" if absorption else ""
     return f"""
-p0 AS (SELECT {keys}, pix, wave, flux, ivar, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
+p0 AS (SELECT {keys}, pix, wave, flux, ivar{", sg" if own else ""}, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
 o0 AS (SELECT {keys}, pix, n, unnest(range(pix - {half}, pix + {half + 1})) AS q FROM p0),
 r0 AS (SELECT {keys}, pix, CASE WHEN q < 0 THEN -q WHEN q > n - 1 THEN 2 * (n - 1) - q ELSE q END AS q FROM o0),
 k0 AS (SELECT {mine}, a.pix, quantile_cont(b.flux, 0.5) AS lv FROM r0 a JOIN p0 b ON {same} AND b.pix = a.q GROUP BY ALL),
 e0 AS (SELECT p0.*, lv, {"lv - flux" if absorption else "flux - lv"} AS ex FROM p0 JOIN k0 USING ({keys}, pix)),
-n0 AS (SELECT *, ex * sqrt(ivar) AS sn FROM e0),
+n0 AS (SELECT *, ex * sqrt(ivar) AS sn, sqrt(list_sum(list_transform(range(-{reach}, {reach} + 1), lambda x: exp(-pow(x / {sg}, 2))))) AS nm FROM e0),
 s0 AS (SELECT *, {total} AS st, wave - lag(wave) OVER w AS dw FROM n0 WINDOW w AS (PARTITION BY {keys} ORDER BY pix)),
-m0 AS (SELECT *, max(st) OVER (PARTITION BY {keys} ORDER BY pix ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mx, max(st) OVER (PARTITION BY {keys} ORDER BY pix ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS bf FROM s0),
-k1 AS (SELECT {keys}, pix AS j, wave AS wavelength, st AS significance, ex AS amp, lv, ivar AS own, n FROM m0 WHERE st >= {snr_min} AND st = mx AND (bf IS NULL OR st > bf) AND pix BETWEEN 1 AND n - 2 {trough} {forest}),
-g0 AS (SELECT {mine}, j, wavelength, significance, amp, a.lv, own, a.n, b.pix - j AS x, b.pix, greatest(b.ex, 0e0) AS li, b.ex, b.sn, b.ivar, b.dw FROM k1 a JOIN m0 b ON {same}),
-h0 AS (SELECT {keys}, j, wavelength, significance, amp, lv, own, n, sum(li) FILTER (abs(x) <= {reach}) AS a0, sum(li * x) FILTER (abs(x) <= {reach}) AS a1, sum(li * x * x) FILTER (abs(x) <= {reach}) AS a2,
-  count(*) FILTER (abs(x) <= {reach} AND sn > 1) AS np, max(pix) FILTER (x < 0 AND ex < 0.5e0 * amp) AS l, min(pix) FILTER (x > 0 AND ex < 0.5e0 * amp) AS r, min(ex) FILTER (abs(x) BETWEEN 1 AND 3) AS le,
-  coalesce(sum(li) FILTER (x BETWEEN -3 AND -1), 0e0) + 1e-9 AS bl, coalesce(sum(li) FILTER (x BETWEEN 1 AND 3), 0e0) + 1e-9 AS rd, sum(li) FILTER (abs(x) <= 3) AS fl, quantile_cont(ivar, 0.5) FILTER (abs(x) <= 150) AS ty, quantile_cont(dw, 0.5) AS step FROM g0 GROUP BY ALL),
-ln AS (SELECT *, CASE WHEN a0 > 0 THEN sqrt(greatest(a2 / a0 - pow(a1 / a0, 2), 0e0)) / {sigma}e0 ELSE 'NaN'::DOUBLE END AS wr, CAST(CASE WHEN amp > 0 THEN coalesce(r, n) - coalesce(l, -1) - 1 ELSE 0 END AS DOUBLE) AS fw, CASE WHEN lv <> 0 THEN fl * step / lv ELSE 'NaN'::DOUBLE END AS ew,
+m0 AS (SELECT *, arg_max(pix, struct_pack(a := st, b := -pix)) OVER (PARTITION BY {keys} ORDER BY pix ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS j, lag(st) OVER w AS ls, lead(st) OVER w AS rs FROM s0 WINDOW w AS (PARTITION BY {keys} ORDER BY pix)),
+c0 AS (SELECT {keys}, pix, j, min(pix) OVER (PARTITION BY {keys} ORDER BY pix RANGE BETWEEN 4 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx, row_number() OVER (PARTITION BY {keys} ORDER BY pix) AS o FROM m0 WHERE st >= {snr_min} AND st >= ls AND st >= rs AND pix BETWEEN 1 AND n - 2),
+t0 AS (SELECT {keys}, pix, j, nx FROM c0 WHERE o = 1 UNION ALL SELECT {mine.replace("a.", "b.")}, b.pix, b.j, b.nx FROM t0 a JOIN c0 b ON {same} AND b.pix = a.nx),
+k2 AS (SELECT {mine}, a.pix AS i, b.pix AS j, wave AS wavelength, st AS significance, ex AS amp, lv, ivar AS own, n{", sg" if own else ""} FROM t0 a JOIN m0 b ON {same} AND b.pix = a.j),
+k1 AS (SELECT * FROM (SELECT *, amp AS ex FROM k2) {trough} {forest}),
+g0 AS (SELECT {mine}, a.i, a.j, wavelength, significance, amp, a.lv, own, a.n, {"a.sg" if own else "1.5e0 AS sg"}, b.pix - a.j AS x, b.pix, greatest(b.ex, 0e0) AS li, b.ex, b.sn, b.ivar, b.dw FROM k1 a JOIN m0 b ON {same}),
+h0 AS (SELECT {keys}, i, j, wavelength, significance, amp, lv, own, n, sg, sum(li) FILTER (abs(x) <= ceil(4e0 * sg)) AS a0, sum(li * x) FILTER (abs(x) <= ceil(4e0 * sg)) AS a1, sum(li * x * x) FILTER (abs(x) <= ceil(4e0 * sg)) AS a2,
+  count(*) FILTER (abs(x) <= ceil(4e0 * sg) AND sn > 1) AS np, max(pix) FILTER (x < 0 AND ex < 0.5e0 * amp) AS l, min(pix) FILTER (x > 0 AND ex < 0.5e0 * amp) AS r, min(ex) FILTER (abs(x) BETWEEN 1 AND 3) AS le,
+  coalesce(sum(li) FILTER (x BETWEEN -3 AND -1), 0e0) + 1e-9 AS bl, coalesce(sum(li) FILTER (x BETWEEN 1 AND 3), 0e0) + 1e-9 AS rd, sum(li) FILTER (abs(pix - i) <= 3) AS fl, quantile_cont(ivar, 0.5) FILTER (abs(x) <= 150) AS ty, quantile_cont(dw, 0.5) AS step FROM g0 GROUP BY ALL),
+ln AS (SELECT *, CASE WHEN a0 > 0 THEN sqrt(greatest(a2 / a0 - pow(a1 / a0, 2), 0e0)) / sg ELSE 'NaN'::DOUBLE END AS wr, CAST(CASE WHEN amp > 0 THEN coalesce(r, n) - coalesce(l, -1) - 1 ELSE 0 END AS DOUBLE) AS fw, CASE WHEN lv <> 0 THEN fl * step / lv ELSE 'NaN'::DOUBLE END AS ew,
   CASE WHEN amp > 0 THEN le / amp ELSE 0e0 END AS mn, CASE WHEN amp > 0 THEN greatest(bl / rd, rd / bl) ELSE 1e0 END AS asy, CASE WHEN ty > 0 THEN own / ty ELSE 1e0 END AS iv FROM h0)"""
 
 
+_MASKED = f"""
+sw AS (SELECT spec_id, pix, wave / 50e0 + 4000e0 AS wave, flux, ivar, (spec_id * 7 + pix) % 97 = 0 OR flux = 0 AS bad, spec_id % 4 AS rel FROM {_P}),
+sv AS (SELECT spec_id, pix, wave, flux, CASE WHEN bool_or(bad) OVER (PARTITION BY spec_id ORDER BY pix ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) THEN 0e0 ELSE ivar END AS ivar,
+  CASE WHEN rel = 3 THEN 1e0 ELSE greatest(0.6e0, 4112e0 / CASE WHEN rel = 0 THEN 3000e0 ELSE 2000e0 END / 2.3548e0) END AS sg FROM sw)"""
 _LINE = "spec_id, CAST(j AS INTEGER) AS pix, round(wavelength, 4) AS wavelength, round(significance, 4) AS significance, round(wr, 4) AS width_ratio, round(amp, 4) + 0e0 AS amplitude, fw AS fwhm, CAST(np AS INTEGER) AS n_pix, round(ew, 4) + 0e0 AS ew, round(mn, 4) + 0e0 AS min_adjacent, round(asy, 4) AS asymmetry, round(iv, 4) AS ivar_ratio"
 _STEPS = "".join(f", q{k + 1} AS (SELECT *, x * p{k} - (n * n - {k * k}) * {k * k / (4.0 * k * k - 1)!r}e0 / (n * n) * p{k - 1} AS p{k + 1} FROM q{k})" for k in range(1, 6))
 _SCAN = f"""
@@ -161,13 +177,13 @@ a AS (SELECT spec_id, pix AS j, z AS sigma FROM z WHERE n >= 19 AND pix BETWEEN
 d AS (SELECT spec_id, j, sigma, max(pix) FILTER (pix < j AND z <= sigma / 2e0) AS l, min(pix) FILTER (pix > j AND z <= sigma / 2e0) AS r FROM a JOIN z USING (spec_id) GROUP BY 1, 2, 3)
 SELECT spec_id, CAST(j AS INTEGER) AS pix, round(sigma, 4) AS sigma, CAST(r - l - 1 AS INTEGER) AS width FROM d WHERE r - l - 1 BETWEEN 2 AND 5 QUALIFY row_number() OVER (PARTITION BY spec_id ORDER BY j) = 1"""
 _PUT = f"""
-WITH w0 AS (SELECT spec_id, pix, (wave - 4000e0) / 50e0 + 5200e0 AS wave, (flux - 1e0) * 0.02e0 + 1e0 AS flux, ivar * 100e0 AS ivar, count(*) OVER (PARTITION BY spec_id) AS nn, unnest([8e0, 15e0, 50e0]) AS snr FROM {_P}),
+WITH RECURSIVE w0 AS (SELECT spec_id, pix, (wave - 4000e0) / 50e0 + 5200e0 AS wave, (flux - 1e0) * 0.02e0 + 1e0 AS flux, ivar * 100e0 AS ivar, count(*) OVER (PARTITION BY spec_id) AS nn, unnest([8e0, 15e0, 50e0]) AS snr FROM {_P}),
 w1 AS (SELECT *, ((spec_id % 2147483648) * 2654435761 + CAST(snr * 40503 AS BIGINT)) % greatest(nn - 16, 1) + 8 AS place FROM w0),
 w2 AS (SELECT *, max(ivar) FILTER (pix = place) OVER (PARTITION BY spec_id, snr) AS own_ FROM w1),
 w3 AS (SELECT spec_id, snr, place, pix, wave, ivar, flux + snr / sqrt(1.5e0 * sqrt(pi())) / sqrt(own_) * exp(-0.5e0 * pow((pix - place) / 1.5e0, 2)) AS flux FROM w2)"""
 ORACLE_SQL = {
-    "line_search": f"WITH {_search(_P, 4.0, 31)} SELECT {_LINE}, {_EMISSION_CASE} AS reason FROM ln",
-    "absorption_search": f"WITH {_search(_P, 4.0, 31, absorption=True)} SELECT {_LINE}, {_ABSORPTION_CASE} AS reason, CAST(least(j + 5, n - 1) - greatest(j - 5, 0) + 1 AS INTEGER) AS n_win FROM ln",
+    "line_search": f"WITH RECURSIVE {_MASKED}, {_search('sv', 4.0, 31, own=True)} SELECT {_LINE}, {_EMISSION_CASE} AS reason FROM ln",
+    "absorption_search": f"WITH RECURSIVE {_search(_P, 4.0, 31, absorption=True)} SELECT {_LINE}, {_ABSORPTION_CASE} AS reason, CAST(least(j + 5, n - 1) - greatest(j - 5, 0) + 1 AS INTEGER) AS n_win FROM ln",
     "line_injection": f"""{_PUT}, {_search("w3", 7.0, 101, "spec_id, snr")},
 ok AS (SELECT spec_id, snr, j FROM ln WHERE {_EMISSION_CASE} IS NULL),
 ht AS (SELECT t.spec_id, t.snr, coalesce(bool_or(abs(ok.j - place) <= 2.5e0), false) AS h FROM (SELECT DISTINCT spec_id, snr, place FROM w3) t LEFT JOIN ok ON ok.spec_id = t.spec_id AND ok.snr = t.snr GROUP BY 1, 2)
@@ -175,7 +191,7 @@ SELECT snr, count(*) AS n, round(avg(CAST(h AS DOUBLE)), 5) AS recovered FROM ht
     "shape_scan": _SCAN,
     "spread_widths": f"""WITH s AS (SELECT spec_id, pix, wave / 50e0 + 4000e0 AS wave, count(*) OVER (PARTITION BY spec_id) AS n FROM {_P}), d AS (SELECT *, abs(wave - lag(wave) OVER (PARTITION BY spec_id ORDER BY pix)) AS dw FROM s),
 o AS (SELECT spec_id, quantile_cont(dw, 0.5) AS step, max(wave) FILTER (pix = n // 2) AS mid, CASE spec_id % 4 WHEN 0 THEN 3000e0 WHEN 1 THEN 2000e0 WHEN 2 THEN 2000e0 END AS r FROM d GROUP BY 1)
-SELECT spec_id, round(coalesce(CASE WHEN r IS NOT NULL AND step > 0 THEN greatest(mid / r / 2.3548e0 / step, 0.6e0) END, CASE WHEN r IS NULL OR NOT step > 0 THEN 0.6e0 END), 5) AS sigma FROM o""",
+SELECT spec_id, round(CASE WHEN r IS NOT NULL AND step > 0 THEN greatest(mid / r / 2.3548e0 / step, 0.6e0) ELSE 1e0 END, 5) AS sigma FROM o""",
     "colour_bin_counts": f"""WITH s AS (SELECT source_id, bp_rp + source_id % 7 / 100e0 AS colour FROM {duck("catalogue")}), k AS (SELECT greatest(1, least(24, count(colour) // 40)) AS b FROM s),
 v AS (SELECT list(colour ORDER BY colour) AS cs FROM s WHERE colour IS NOT NULL), h AS (SELECT cs, (len(cs) - 1) * i / CAST(b AS DOUBLE) AS hh FROM v, (SELECT b, unnest(range(1, b)) AS i FROM k)),
 e AS (SELECT list_distinct(list(cs[CAST(floor(hh) AS INTEGER) + 1] + (hh - floor(hh)) * (cs[CAST(ceil(hh) AS INTEGER) + 1] - cs[CAST(floor(hh) AS INTEGER) + 1]))) AS ed FROM h)
