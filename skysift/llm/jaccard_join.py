@@ -243,9 +243,9 @@ def _cells(placed: DataFrame, classes: DataFrame, plain: DataFrame, frequency, w
     exploded = lambda df: df.select("node", "n", "root", "part", F.explode("prefix").alias("token"))
     listed = lambda df: df.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     known = written(listed(exploded(placed)).select("token"))
-    late = np.zeros(0, "uint64")
+    late, now, over = np.zeros(0, "uint64"), placed, None
     for _ in range(ROUNDS):
-        cells = written(exploded(placed).join(known, "token"))
+        cells = written(exploded(now).join(known, "token"))
         lists = written(listed(cells))
         seen = spark.createDataFrame(pd.DataFrame({"token": late.view("int64")}), "token long")
         long = lists.filter(F.col("k") > LONG).join(F.broadcast(seen), "token", "left_anti").orderBy(F.desc("k"), "token").select("token").limit(max(0, LATE - len(late)))
@@ -257,9 +257,14 @@ def _cells(placed: DataFrame, classes: DataFrame, plain: DataFrame, frequency, w
         moved = spark.createDataFrame(pd.DataFrame({"token": found}), "token long")
         nodes = written(cells.join(F.broadcast(moved), "token", "left_semi").select("node").distinct())
         new = _texts(nodes, classes, plain).mapInArrow(_prefixes(words, percent, frequency, spark.sparkContext.broadcast(late)), "node long, prefix array<long>")
-        new = written(placed.drop("prefix").join(new, "node"))
-        placed = written(placed.join(nodes, "node", "left_anti").unionByName(new))
-        known = written(lists.select("token").union(new.select(F.explode("prefix").alias("token"))).distinct())
+        old = now.join(nodes, "node", "left_semi").withColumnRenamed("prefix", "old")
+        new = written(old.join(new, "node"))
+        # besides the shared ones, only the shingles that have come into prefixes may now be shared
+        added = new.select(F.explode(F.array_except("prefix", "old")).alias("token"))
+        known = written(lists.select("token").union(added).distinct())
+        kept = new.select(*placed.columns)
+        over = written(kept if over is None else over.join(nodes, "node", "left_anti").unionByName(kept))
+        now = placed.join(over.select("node"), "node", "left_anti").unionByName(over)
     return written(cells)
 
 
