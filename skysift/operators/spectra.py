@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from skysift.functions.tables import written
 from skysift.functions.lines import DIFFUSE, EMISSION, INTERSTELLAR, SKY, STELLAR, TELLURIC
+from skysift.operators.limits import occurrence_limit
+from skysift.operators.triage import recurrent_bins
 
 c = F.col
 #: Resolving power of each release's spectrographs.
@@ -258,6 +260,34 @@ def reasons(lines: DataFrame, reason: Column | None = None) -> DataFrame:
     return lines.groupBy(F.coalesce(reject_reason() if reason is None else reason, F.lit("survives")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def classified(pixels: DataFrame, widths: DataFrame, snr_min: float = 8.0, window: int = 101, absorption: bool = False) -> DataFrame:
+    """search() with reason (NULL for survivors) and n_lines, the lines of the spectrum; what a run keeps of a part of its spectra."""
+    lines = search(pixels, widths, snr_min, window, absorption).withColumn("reason", absorption_reason() if absorption else reject_reason())
+    return lines.withColumn("n_lines", F.count(F.lit(1)).over(Window.partitionBy("spec_id")))
+
+
+def run_candidates(lines: DataFrame, width: float = 2.0, least: int = 3) -> DataFrame:
+    """The candidates of classified() lines: survivors with their score, less those whose wavelength recurs in many spectra, with hunt_rank, best first."""
+    kept = recurrent_bins(candidates(lines, c("reason")), width, least)
+    return kept.withColumn("hunt_rank", c("score") / ((c("n_lines") - 1) * 0.15 + 1.0)).orderBy(F.desc("hunt_rank"), "spec_id", "pix")
+
+
+def run_totals(lines: DataFrame, width: float = 2.0, least: int = 3) -> DataFrame:
+    """(reason, n): how many of classified() lines each rejection took, the recurrence cut (recurrent_artifact) and the candidates (survives) included."""
+    left = run_candidates(lines, width, least).agg(F.count(F.lit(1)).alias("_left"))
+    counts = reasons(lines, c("reason"))
+    split = F.when(c("reason") == "survives", F.array(F.struct(F.lit("survives").alias("reason"), c("_left").alias("n")), F.struct(F.lit("recurrent_artifact").alias("reason"), (c("n") - c("_left")).alias("n"))))
+    rows = F.coalesce(split, F.array(F.struct("reason", "n")))
+    return counts.join(F.broadcast(left), F.lit(True)).select(F.explode(rows).alias("r")).select("r.*").filter("n > 0")
+
+
+def run_summary(lines: DataFrame, n_searched: DataFrame, width: float = 2.0, least: int = 3) -> DataFrame:
+    """(n_searched, n_candidates, point, upper_limit): the run's occurrence limit. ``n_searched`` is a row with that number."""
+    k = run_candidates(lines, width, least).agg(F.count(F.lit(1)).alias("n_candidates"))
+    one = n_searched.join(F.broadcast(k), F.lit(True)).withColumn("_n", F.greatest("n_searched", F.lit(1)))
+    return occurrence_limit(one, "n_candidates", "_n").select("n_searched", "n_candidates", "point", "upper_limit")
+
+
 def injected(pixels: DataFrame, strengths: tuple[float, ...] = (8.0, 15.0, 50.0), sigma: float = 1.5, margin: int = 8) -> DataFrame:
     """Each spectrum once for each strength, with a Gaussian line of that matched-filter S/N at a pixel (column at) chosen by its id."""
     p = pixels.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("spec_id"))).withColumn("snr", F.explode(F.array(*map(F.lit, strengths))))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions import lines as K
+from skysift.functions.tables import shared_folder
 from skysift.operators import shape as H
 from skysift.operators import spectra as S
 from skysift.plans.bindings import bound, duck
 from skysift.plans.catalog import rounded
+from skysift.plans.tables import limit_sql
+from skysift.streaming import twins
 
 c = F.col
 
@@ -31,19 +34,58 @@ def bad_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bad_pixels(p).groupBy("spec_id").agg(F.count_if("bad").alias("n_bad"))
 
 
-def _surveyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _with_widths(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spectra of one angstrom a pixel with a mask, and the widths of their releases' lines."""
-    p = _pixels(spark, sf_dir).withColumn("wave", c("wave") / 50.0 + 4000.0).withColumn("mask", F.when((c("spec_id") * 7 + c("pix")) % 97 == 0, 1).otherwise(0))
+    p = pixels.withColumn("wave", c("wave") / 50.0 + 4000.0).withColumn("mask", F.when((c("spec_id") * 7 + c("pix")) % 97 == 0, 1).otherwise(0))
     n = c("spec_id") % 4
     releases = p.filter("pix = 0").select("spec_id", F.when(n == 0, "DESI-DR1").when(n == 1, "SDSS-DR16").when(n == 2, "BOSS-DR16").otherwise("other").alias("release"))
     return p, S.spread_sigma(p, releases)
 
 
+def _surveyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _with_widths(_pixels(spark, sf_dir))
+
+
 def line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search with each spectrum's own line width and bad pixels left out."""
     return rounded(S.search(*_surveyed(spark, sf_dir), 4.0, 31).withColumn("reason", S.reject_reason()), 4)
 
 
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.classified(*_surveyed(spark, sf_dir), 2.5, 31)
+
+
+RUN = ("spec_id", "pix", "wavelength", "score", "n_survivors", "n_lines", "hunt_rank")
+
+
+def spectra_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of a whole run: search, rejections, recurrence cut, rank."""
+    return rounded(S.run_candidates(_classified(spark, sf_dir), 0.5, 3).select(*RUN), 4)
+
+
+def spectra_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.run_totals(_classified(spark, sf_dir), 0.5, 3)
+
+
+def spectra_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, widths = _surveyed(spark, sf_dir)
+    searched = p.select("spec_id").distinct().agg(F.count(F.lit(1)).alias("n_searched"))
+    return rounded(S.run_summary(S.classified(p, widths, 2.5, 31), searched, 0.5, 3), 6)
+
+
+def stream_line_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same candidates from a stream of spectra."""
+    path = shared_folder(spark)
+    rows = twins.stream(spark, f"{sf_dir}/embeddings.parque[t]", spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema)
+
+    def search(batch: DataFrame) -> DataFrame:
+        pixels = batch.select(c("vec_id").alias("spec_id"), F.posexplode("embedding").alias("pix", "x")).select("spec_id", "pix", (c("pix") * 50.0 + 4000.0).alias("wave"), (c("x").cast("double") + 1.0).alias("flux"), F.lit(100.0).alias("ivar"))
+        return S.classified(*_with_widths(pixels), 2.5, 31)
+
+    twins.line_run(rows, search, f"{path}/out", f"{path}/state").awaitTermination()
+    return rounded(S.run_candidates(twins.read_lines(spark, f"{path}/out")[0], 0.5, 3).select(*RUN), 4)
+
+
 def absorption_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.find_lines(_pixels(spark, sf_dir), 1.5, 4.0, 31, absorption=True)
     return rounded(S.with_snippets(found.withColumn("reason", S.absorption_reason()), _arrays(spark, sf_dir), 5).withColumn("n_win", F.size("win_flux")).drop("win_wave", "win_flux"), 4)
@@ -97,7 +139,7 @@ def shape_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.reliability(H.scores(H.deviations(p, H.locus(p))))
 
 
-QUERIES = {f.__name__: f for f in (spectrum_continuum, bad_pixels, line_search, absorption_search, line_reasons, line_injection, spread_widths, colour_bin_counts, shape_scan, line_confirmation, shape_locus, shape_scores, shape_reliability)}
+QUERIES = {f.__name__: f for f in (spectrum_continuum, bad_pixels, line_search, spectra_run, spectra_totals, spectra_summary, stream_line_run, absorption_search, line_reasons, line_injection, spread_widths, colour_bin_counts, shape_scan, line_confirmation, shape_locus, shape_scores, shape_reliability)}
 
 _P = duck("spectra")
 _SHAPE = f"""
@@ -217,3 +259,13 @@ SELECT spec_id, wavelength, round(level, 4) + 0e0 AS level, round(noise, 4) AS n
     "shape_scores": _SHAPE + "SELECT spec_id, round(rms, 4) AS rms, round(global_sigma, 4) + 0e0 AS global_sigma, round(peak, 4) AS peak, pix, width, interior, bounded, narrow, is_anomaly FROM sa",
     "shape_reliability": _SHAPE + "SELECT count(*) AS n, count(*) FILTER (is_anomaly) AS n_anomalies, count(*) >= 1500 AND count(*) FILTER (is_anomaly) / count(*) <= 0.15e0 AS reliable FROM sa",
 }
+_RUN = f"""
+WITH RECURSIVE {_MASKED}, {_search("sv", 2.5, 31, own=True)},
+cl AS (SELECT *, {_EMISSION_CASE} AS reason, count(*) OVER (PARTITION BY spec_id) AS n_lines FROM ln),
+ca AS (SELECT *, count(*) OVER (PARTITION BY spec_id) AS n_survivors, CAST(round_even(wavelength / 0.5e0, 0) AS BIGINT) AS bin FROM cl WHERE reason IS NULL),
+sc AS (SELECT *, least(greatest(0.45e0 * (1e0 - exp(-greatest(significance, 0e0) / 10e0)) + 0.35e0 * exp(-pow((CASE WHEN isfinite(wr) THEN wr ELSE 1e0 END - 1e0) / 0.25e0, 2) / 2e0) + 0.2e0 / n_survivors, 0e0), 1e0) AS score FROM ca),
+rc AS (SELECT * FROM sc WHERE bin NOT IN (SELECT bin FROM sc GROUP BY bin HAVING count(DISTINCT spec_id) >= 3))"""
+ORACLE_SQL["spectra_run"] = ORACLE_SQL["stream_line_run"] = _RUN + " SELECT spec_id, CAST(j AS INTEGER) AS pix, round(wavelength, 4) AS wavelength, round(score, 4) AS score, n_survivors, n_lines, round(score / (1e0 + 0.15e0 * (n_lines - 1)), 4) AS hunt_rank FROM rc"
+ORACLE_SQL["spectra_totals"] = _RUN + " SELECT reason, count(*) AS n FROM cl WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'survives', count(*) FROM rc HAVING count(*) > 0 UNION ALL SELECT 'recurrent_artifact', (SELECT count(*) FROM sc) - (SELECT count(*) FROM rc) WHERE (SELECT count(*) FROM sc) > (SELECT count(*) FROM rc)"
+_ONE = "su AS (SELECT (SELECT count(DISTINCT spec_id) FROM sw) AS n, (SELECT count(*) FROM rc) AS k)"
+ORACLE_SQL["spectra_summary"] = _RUN + f", {_ONE}, " + limit_sql("su") + "SELECT n AS n_searched, k AS n_candidates, point, upper_limit FROM lim"

@@ -52,3 +52,24 @@ def latest(spark: SparkSession, out: str, key: str) -> DataFrame:
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
     rest = [x for x in rows.columns if x not in (key, "version", "batch")]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("_r")).select(key, "_r.*")
+
+
+def line_run(spectra: DataFrame, search: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """The line search over spectra as they come: the classified lines of each batch of whole spectra, and how many were searched.
+
+    Each batch is written under its number, so that one which is run again replaces itself. What depends on all spectra, the
+    recurrence cut and the totals, is taken from read_lines() over all batches so far, and so equals that of one run over all.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/searched/batch={number}")
+        search(batch).write.mode("overwrite").parquet(f"{out}/lines/batch={number}")
+
+    return spectra.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
+
+
+def read_lines(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """The classified lines of all batches, and the row (n_searched)."""
+    lines = spark.read.option("basePath", f"{out}/lines").parquet(f"{out}/lines/batch=*").drop("batch")
+    searched = spark.read.option("basePath", f"{out}/searched").parquet(f"{out}/searched/batch=*").agg(F.sum("n").alias("n_searched"))
+    return lines, searched

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skysift.operators import cluster, encounters, indicators, lightcurve, limits, xmatch
 from skysift.operators.lightcurve import false_alarm, grid, lomb_scargle
@@ -104,10 +105,10 @@ def test_limit_values(spark):
 def test_small_errors_reproduce_the_pass(spark):
     rows = [(1, 10.0, 5.0, 100.0, 0.0, 0.0, -10.0), (2, 12.0, 6.0, 80.0, 50.0, -20.0, 30.0)]
     df = encounters.phase_space(spark.createDataFrame(rows, "source_id long, ra double, dec double, parallax double, pmra double, pmdec double, radial_velocity double"))
-    anchor = df.filter("source_id = 1")
-    exact = encounters.closest_approach(df.filter("source_id = 2"), anchor).first()
-    tiny = encounters.encounter_uncertainty(df.filter("source_id = 2"), anchor, 40, dict.fromkeys(("parallax", "pmra", "pmdec", "radial_velocity"), 1e-9)).first()
-    wide = encounters.encounter_uncertainty(df.filter("source_id = 2"), anchor, 40, dict.fromkeys(("parallax", "pmra", "pmdec", "radial_velocity"), 1.0)).first()
+    exact = encounters.closest_approach(df.filter("source_id = 2"), df.filter("source_id = 1")).first()
+    with_errors = lambda e: df.withColumns({f"{x}_error": F.lit(e) for x in encounters.DRAWN})
+    passed = lambda e: encounters.encounter_uncertainty(with_errors(e).filter("source_id = 2"), with_errors(e).filter("source_id = 1"), 40).first()
+    tiny, wide = passed(1e-9), passed(1.0)
     assert tiny.d_min_pc_50 == pytest.approx(exact.d_min_pc, rel=1e-6)
     assert wide.d_min_pc_84 - wide.d_min_pc_16 > tiny.d_min_pc_84 - tiny.d_min_pc_16
 
