@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.functions.quantiles import quantiles
-from skysift.functions.tables import written
 from skysift.functions.exprs import LN10_04, clip
+from skysift.functions.quantiles import quantiles
+from skysift.functions.tables import let_workers_import, written
 
 c = F.col
 MAD = 1.4826
@@ -292,6 +292,7 @@ HELD = 16
 
 def _large(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """The rows of sources that are one group, and those of sources with more epochs (None if there are none)."""
+    let_workers_import(df.sparkSession)
     big = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(c("_n") > WHOLE).select(*keys))
     if big.isEmpty():
         return df, None
