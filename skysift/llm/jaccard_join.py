@@ -6,9 +6,8 @@ Documents with equal shingle sets form one class first, so that exact copies cos
    that key's hub, the one whose shingles are the most frequent, and exact Jaccard on the full sets confirms. Classes
    linked in this way have one root; a group is up to about GROUP classes of one root, and a class that is linked with
    none is a group of its own. A root's groups needn't be compared with each other.
-2. Shingles have a global order, the rarest first, by a sketch that counts all shingles of all documents, and those that
-   still meet in long lists last. Any order gives right results; this one keeps common passages out of the prefixes.
-   Where a long list is found, only the classes in it get new prefixes. The matrix has a cell for each shingle of a
+2. Shingles have a global order, the rarest first, by a sketch that counts all shingles of all documents. Any order
+   gives right results; this one keeps common passages out of the prefixes. The matrix has a cell for each shingle of a
    prefix and each group that holds it, kept as rows; only shingles of more than one root matter.
 3. A class is a query for the groups of other roots which hold so many of its prefix's shingles, and a member of such a size,
    that the threshold can be reached. The group's union of shingles bounds what the query can share with any member. Groups whose bound reaches
@@ -43,8 +42,8 @@ COUNTERS, CHUNK = 1 << 22, 1 << 16
 #: Hash permutations that give keys, and how many least values make one.
 PERMUTATIONS, LEAST = 4, 3
 GROUP = 32
-#: Lists of more groups are long; their shingles, at most so many, the longest lists first, go last in the order, in so many rounds at most.
-LONG, LATE, ROUNDS = 24, 1 << 20, 6
+#: Sizes are met in bands of so much on a logarithmic scale.
+BAND = 0.04
 #: A group meets at most so many queries at a time, and a task about so many texts.
 PARTNERS, TEXTS = 512, 2000
 SLICE = 500
@@ -96,25 +95,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def _prefix(s: np.ndarray, frequency: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the global order."""
-    order = frequency[_slots(s)]
-    if len(late) and len(s):
-        order = order + np.uint8(128) * (late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s)
-    return s[np.argsort(order, kind="stable")[: prefix_length(len(s), percent)]].view("int64")
-
-
-def _prefixes(words: int, percent: int, classes, late):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = [_prefix(s, classes.value, late.value, percent) for s in shingle_sets(part.column(1), words)]
-                yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "prefix"])
-
-    return run
-
-
 def _described(words: int, percent: int, classes):
     """Per text: the size and digest of its set, keys of its group, how frequent its shingles are, and its prefix."""
 
@@ -125,15 +105,16 @@ def _described(words: int, percent: int, classes):
         return [xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - 2**63 for i, x in enumerate(least)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency, late = classes.value, np.zeros(0, "uint64")
+        frequency = classes.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = shingle_sets(part.column(3), words)
                 weights, prefixes = [], []
                 for s in sets:
-                    weights.append(frequency[_slots(s)].mean() if len(s) else 0.0)
-                    prefixes.append(_prefix(s, frequency, late, percent))
+                    f = frequency[_slots(s)]
+                    weights.append(f.mean() if len(s) else 0.0)
+                    prefixes.append(s[np.argsort(f, kind="stable")[: prefix_length(len(s), percent)]].view("int64"))
                 yield pa.record_batch(
                     [
                         part.column(0),
@@ -237,50 +218,34 @@ def _grouped(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return out.select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("part", F.lit(0)).alias("part"))
 
 
-def _cells(placed: DataFrame, classes: DataFrame, plain: DataFrame, frequency, words: int, percent: int) -> DataFrame:
-    """(token, node, n, root, part), written: the shingles of prefixes that more than one root holds, after long lists have been broken up."""
-    spark = placed.sparkSession
-    exploded = lambda df: df.select("node", "n", "root", "part", F.explode("prefix").alias("token"))
-    listed = lambda df: df.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    known = written(listed(exploded(placed)).select("token"))
-    late, now, over = np.zeros(0, "uint64"), placed, None
-    for _ in range(ROUNDS):
-        cells = written(exploded(now).join(known, "token"))
-        lists = written(listed(cells))
-        seen = spark.createDataFrame(pd.DataFrame({"token": late.view("int64")}), "token long")
-        long = lists.filter(F.col("k") > LONG).join(F.broadcast(seen), "token", "left_anti").orderBy(F.desc("k"), "token").select("token").limit(max(0, LATE - len(late)))
-        found = long.toPandas()["token"].to_numpy("int64")  # bounded by LATE
-        cells = cells.join(lists.select("token"), "token", "left_semi")
-        if not len(found):
-            break
-        late = np.sort(np.append(late, found.view("uint64")))
-        moved = spark.createDataFrame(pd.DataFrame({"token": found}), "token long")
-        nodes = written(cells.join(F.broadcast(moved), "token", "left_semi").select("node").distinct())
-        new = _texts(nodes, classes, plain).mapInArrow(_prefixes(words, percent, frequency, spark.sparkContext.broadcast(late)), "node long, prefix array<long>")
-        old = now.join(nodes, "node", "left_semi").withColumnRenamed("prefix", "old")
-        new = written(old.join(new, "node"))
-        # besides the shared ones, only the shingles that have come into prefixes may now be shared
-        added = new.select(F.explode(F.array_except("prefix", "old")).alias("token"))
-        known = written(lists.select("token").union(added).distinct())
-        kept = new.select(*placed.columns)
-        over = written(kept if over is None else over.join(nodes, "node", "left_anti").unionByName(kept))
-        now = placed.join(over.select("node"), "node", "left_anti").unionByName(over)
-    return written(cells)
-
-
-def _queries(cells: DataFrame, percent: int) -> DataFrame:
+def _queries(placed: DataFrame, percent: int) -> DataFrame:
     """(node, root, part): classes, and the groups of smaller roots which hold enough shingles of their prefix and a member of the right size."""
-    matrix = cells.groupBy(F.col("token").alias("_token"), F.col("root").alias("_root"), F.col("part").alias("_part")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = cells.join(matrix, (F.col("token") == F.col("_token")) & (F.col("root") > F.col("_root")) & _sizes_fit(F.col("n"), F.col("least"), F.col("most"), percent))
-    met = met.groupBy("node", "n", F.col("_root").alias("root"), F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    tokens = placed.select("node", "n", "root", "part", F.posexplode("prefix").alias("before", "token"))
+    shared = written(tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token"))
+    # Where a shingle is the first that two sets share, the shingles before it are lacking in the other set: this limits the
+    # other's size. Sizes are met by bands, so that long lists of sets too much alike in size for that never meet.
+    n, before = F.col("n"), F.col("before")
+    reach = (n * 100 - before * (100 + percent)) / percent
+    band = lambda x: F.floor(F.log(x) / BAND)
+    cells = written(tokens.join(shared, "token").withColumn("reach", F.least(reach, n * 100 / percent) * (1 + 1e-9)).withColumn("from", n * percent / 100 * (1 - 1e-9)).filter(F.col("reach") >= F.col("from")))
+    matrix = cells.groupBy(F.col("token").alias("_token"), F.col("root").alias("_root"), F.col("part").alias("_part"), band(n).alias("_band")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("_reach"))
+    asking = cells.select("token", "node", "n", "root", "reach", F.explode(F.sequence(band(F.col("from")), band(F.col("reach")))).alias("band"))
+    fits = (n <= F.col("_reach")) & (F.col("least") <= F.col("reach")) & _sizes_fit(n, F.col("least"), F.col("most"), percent)
+    met = asking.join(matrix, (F.col("token") == F.col("_token")) & (F.col("band") == F.col("_band")) & (F.col("root") > F.col("_root")) & fits)
+    met = written(met.select("node", F.col("_root").alias("root"), F.col("_part").alias("part")).distinct())
+
     # Of two sets, the one whose prefix ends first has all shingles of its prefix that the other holds in the other's prefix.
     # So either the query or a member lacks what it doesn't share of its prefix, and what is left must reach the threshold.
-    length = lambda n: n - F.ceil(n * percent / 100) + 1
-    n, least, most, shared = (F.col(x) for x in ("n", "least", "most", "shared"))
+    held = placed.join(met.select("root", "part").distinct(), ["root", "part"], "left_semi")
+    held = held.groupBy("root", "part").agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("held"), F.min("n").alias("least"), F.max("n").alias("most"))
+    both = met.join(placed.select("node", "n", "prefix"), "node").join(held, ["root", "part"])
+    both = both.select("node", "root", "part", "n", "least", "most", F.size(F.array_intersect("prefix", "held")).alias("shared"))
+    length = lambda x: x - F.ceil(x * percent / 100) + 1
+    least, most, shared = (F.col(x) for x in ("least", "most", "shared"))
     lacks = length(n) - shared
     mine = (n - lacks) * 100 >= (least + lacks) * percent
     theirs = (most - length(most) + shared) * 100 >= (n + F.greatest(length(least) - shared, F.lit(0))) * percent
-    return met.filter(mine | theirs).select("node", "root", "part")
+    return both.filter(mine | theirs).select("node", "root", "part")
 
 
 def row_groups(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,7 +272,7 @@ def row_groups(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str =
     # groups of them, and the matrix
     groups = written(_grouped(classes, roots))
     placed = written(groups.join(rows.select(F.col("rid").alias("node"), "prefix"), "node"))
-    asked = written(_queries(_cells(placed, classes, plain, frequency, words, percent), percent))
+    asked = written(_queries(placed, percent))
     members = groups.join(asked.select("root", "part").distinct(), ["root", "part"], "left_semi").select("root", "part", "node")
     found = _links(asked, members, classes, plain, words, percent)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
