@@ -139,7 +139,28 @@ def shape_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.reliability(H.scores(H.deviations(p, H.locus(p))))
 
 
-QUERIES = {f.__name__: f for f in (spectrum_continuum, bad_pixels, line_search, spectra_run, spectra_totals, spectra_summary, stream_line_run, absorption_search, line_reasons, line_injection, spread_widths, colour_bin_counts, shape_scan, line_confirmation, shape_locus, shape_scores, shape_reliability)}
+def _shape_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Spectra whose colours follow their labels, some unknown; every eleventh has a bump and every thirteenth is steeper."""
+    k = c("spec_id")
+    bump = F.when((k % 11 == 0) & c("pix").between(30, 32), 3.0).otherwise(0.0)
+    p = _pixels(spark, sf_dir).withColumn("flux", c("flux") + bump + F.when(k % 13 == 0, c("pix") / 40.0).otherwise(0.0))
+    meta = p.filter("pix = 0").select(
+        "spec_id", F.when(k % 29 > 0, c("label") + (k * 37 % 101) / 100.0).alias("colour"), (k % 5 / 4.0 - 0.4).alias("quasar"), (k % 7 / 6.0 - 0.4).alias("galaxy"),
+        (8.0 + k % 6).alias("abs_g"), F.when(k % 3 == 0, "VARIABLE").otherwise("NOT_AVAILABLE").alias("variable"), (k % 4 == 0).cast("int").alias("non_single"),
+    )
+    return H.shape_run(p, meta, 4.0, confident=400, most=0.5)
+
+
+def shape_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anomalies of a whole run, with class and rank."""
+    return rounded(_shape_run(spark, sf_dir)[0], 4)
+
+
+def shape_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_shape_run(spark, sf_dir)[1], 6)
+
+
+QUERIES = {f.__name__: f for f in (shape_run, shape_summary, spectrum_continuum, bad_pixels, line_search, spectra_run, spectra_totals, spectra_summary, stream_line_run, absorption_search, line_reasons, line_injection, spread_widths, colour_bin_counts, shape_scan, line_confirmation, shape_locus, shape_scores, shape_reliability)}
 
 _P = duck("spectra")
 _SHAPE = f"""
@@ -152,12 +173,12 @@ gd AS (SELECT pix, any_value(gmed) AS gmed, 1.4826e0 * quantile_cont(abs(flux -
 lo AS (SELECT label AS bin, pix, CASE WHEN n < 3 THEN gmed ELSE med END AS med, CASE WHEN n < 3 THEN gs WHEN sc > 0 THEN sc ELSE ty END AS scale FROM d LEFT JOIN t USING (label) JOIN gd USING (pix)),
 z AS (SELECT spec_id, s0.pix, (flux - med) / scale AS z FROM s0 JOIN lo ON lo.bin = s0.label AND lo.pix = s0.pix),
 k AS (SELECT spec_id, count(*) AS n, sqrt(avg(z * z)) AS rms, max(abs(z)) AS peak, arg_max(pix, struct_pack(a := abs(z), b := -pix)) AS at_ FROM z GROUP BY 1),
-w AS (SELECT spec_id, max(pix) FILTER (abs(z) < peak / 2e0 AND pix < at_) AS l, min(pix) FILTER (abs(z) < peak / 2e0 AND pix > at_) AS h FROM z JOIN k USING (spec_id) GROUP BY 1),
+w AS (SELECT spec_id, max(pix) FILTER (abs(z) <= peak / 2e0 AND pix < at_) AS l, min(pix) FILTER (abs(z) <= peak / 2e0 AND pix > at_) AS h FROM z JOIN k USING (spec_id) GROUP BY 1),
 q AS (SELECT rms FROM k WHERE rms <= (SELECT quantile_cont(rms, 0.9) FROM k)),
 u AS (SELECT quantile_cont(rms, 0.5) AS um FROM q), v AS (SELECT any_value(um) AS um, 1.4826e0 * quantile_cont(abs(rms - um), 0.5) AS us FROM q, u),
 sc AS (SELECT spec_id, rms, (rms - um) / us AS global_sigma, peak, at_ AS pix, coalesce(h, n) - coalesce(l, -1) - 1 AS width, at_ >= 8 AND at_ < n - 8 AS interior, l IS NOT NULL AND h IS NOT NULL AS bounded FROM k JOIN w USING (spec_id), v),
 sr AS (SELECT *, bounded AND interior AND width BETWEEN 2 AND 5 AS narrow FROM sc),
-sa AS (SELECT *, global_sigma >= 8 OR (peak >= 6 AND narrow) AS is_anomaly FROM sr)
+sa AS (SELECT *, global_sigma >= 8 OR peak >= 6 AS is_anomaly FROM sr)
 """
 
 
@@ -269,3 +290,21 @@ ORACLE_SQL["spectra_run"] = ORACLE_SQL["stream_line_run"] = _RUN + " SELECT spec
 ORACLE_SQL["spectra_totals"] = _RUN + " SELECT reason, count(*) AS n FROM cl WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'survives', count(*) FROM rc HAVING count(*) > 0 UNION ALL SELECT 'recurrent_artifact', (SELECT count(*) FROM sc) - (SELECT count(*) FROM rc) WHERE (SELECT count(*) FROM sc) > (SELECT count(*) FROM rc)"
 _ONE = "su AS (SELECT (SELECT count(DISTINCT spec_id) FROM sw) AS n, (SELECT count(*) FROM rc) AS k)"
 ORACLE_SQL["spectra_summary"] = _RUN + f", {_ONE}, " + limit_sql("su") + "SELECT n AS n_searched, k AS n_candidates, point, upper_limit FROM lim"
+_XP = f"""
+b0 AS (SELECT spec_id, pix, flux + CASE WHEN spec_id % 11 = 0 AND pix BETWEEN 30 AND 32 THEN 3e0 ELSE 0e0 END + CASE WHEN spec_id % 13 = 0 THEN pix / 40e0 ELSE 0e0 END AS f, label FROM {_P}),
+b1 AS (SELECT spec_id, pix, f / sum(abs(f)) OVER (PARTITION BY spec_id) AS flux, CASE WHEN spec_id % 29 > 0 THEN label + (spec_id * 37 % 101) / 100e0 END AS colour FROM b0),
+cs AS (SELECT spec_id, any_value(colour) AS colour FROM b1 GROUP BY 1), nb AS (SELECT greatest(1, least(24, count(colour) // 40)) AS bins, list(colour ORDER BY colour) FILTER (colour IS NOT NULL) AS v FROM cs),
+ed AS (SELECT list(DISTINCT (ceil(pos) - pos) * v[CAST(floor(pos) AS BIGINT) + 1] + (pos - floor(pos)) * v[CAST(ceil(pos) AS BIGINT) + 1] + CASE WHEN pos = floor(pos) THEN v[CAST(pos AS BIGINT) + 1] ELSE 0e0 END) AS inner_ FROM (SELECT v, unnest(range(1, bins)) / CAST(bins AS DOUBLE) * (len(v) - 1) AS pos FROM nb)),
+bn AS (SELECT b1.*, CASE WHEN colour IS NOT NULL THEN len(list_filter(inner_, lambda e: colour >= e)) END AS bin FROM b1, ed),
+md AS (SELECT bin, pix, quantile_cont(flux, 0.5) AS med, count(*) AS n FROM bn WHERE bin IS NOT NULL GROUP BY 1, 2), ms AS (SELECT bin, pix, any_value(med) AS med, any_value(n) AS n, 1.4826e0 * quantile_cont(abs(flux - med), 0.5) AS sc FROM bn JOIN md USING (bin, pix) GROUP BY 1, 2),
+mt AS (SELECT bin, quantile_cont(sc, 0.5) AS ty FROM ms WHERE sc > 0 GROUP BY 1),
+zz AS (SELECT spec_id, pix, (flux - med) / CASE WHEN sc > 0 THEN sc ELSE coalesce(ty, 1e-6) END AS z FROM bn JOIN ms USING (bin, pix) LEFT JOIN mt USING (bin)),
+zk AS (SELECT spec_id, count(*) AS n, sqrt(avg(z * z)) AS rms, max(abs(z)) AS peak, arg_max(pix, struct_pack(a := abs(z), b := -pix)) AS at_ FROM zz GROUP BY 1),
+zw AS (SELECT spec_id, max(pix) FILTER (abs(z) <= peak / 2e0 AND pix < at_) AS l, min(pix) FILTER (abs(z) <= peak / 2e0 AND pix > at_) AS h FROM zz JOIN zk USING (spec_id) GROUP BY 1),
+zq AS (SELECT rms FROM zk WHERE rms <= (SELECT quantile_cont(rms, 0.9) FROM zk)), zu AS (SELECT quantile_cont(rms, 0.5) AS um FROM zq), zv AS (SELECT any_value(um) AS um, greatest(1.4826e0 * quantile_cont(abs(rms - um), 0.5), 1e-9) AS us FROM zq, zu),
+an AS (SELECT k.*, (rms - um) / us AS gs, coalesce(h, n) - coalesce(l, -1) - 1 AS width, l IS NOT NULL AND h IS NOT NULL AND at_ >= 8 AND at_ < n - 8 AND coalesce(h, n) - coalesce(l, -1) - 1 BETWEEN 2 AND 5 AS narrow, colour FROM zk k JOIN zw USING (spec_id) JOIN cs USING (spec_id), zv WHERE (rms - um) / us >= 8 OR peak >= 4),
+ac AS (SELECT *, CASE WHEN spec_id % 5 / 4e0 - 0.4e0 > 0.5e0 THEN 'quasar' WHEN spec_id % 7 / 6e0 - 0.4e0 > 0.5e0 THEN 'galaxy' WHEN 8 + spec_id % 6 > 10 AND colour < 1.5e0 THEN 'white_dwarf' WHEN spec_id % 3 = 0 THEN 'known_variable' WHEN spec_id % 4 = 0 THEN 'non_single_star' ELSE 'clean' END AS class FROM an)"""
+ORACLE_SQL["shape_run"] = f"""WITH {_XP}, rk AS (SELECT spec_id, CAST(row_number() OVER (ORDER BY narrow DESC, greatest(gs, peak) DESC, spec_id) AS INTEGER) AS rank FROM ac WHERE class = 'clean')
+SELECT spec_id, class, rank, round(gs, 4) AS global_sigma, round(peak, 4) AS peak, at_ AS pix, width, narrow FROM ac LEFT JOIN rk USING (spec_id)"""
+ORACLE_SQL["shape_summary"] = f"""WITH RECURSIVE {_XP}, su AS (SELECT (SELECT count(*) FROM cs) AS n, count(*) FILTER (class = 'clean') AS k, count(*) AS n_anomalies, count(*) FILTER (class = 'clean' AND narrow AND peak >= 4) AS n_narrow_clean FROM ac), {limit_sql("su")}
+SELECT n AS n_searched, n_anomalies, k AS n_clean, n_narrow_clean, n >= 400 AND n_anomalies / n <= 0.5e0 AS reliable, point, upper_limit FROM lim"""
