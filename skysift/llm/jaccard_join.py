@@ -82,12 +82,13 @@ def _summed(chunks: pd.DataFrame) -> pd.DataFrame:
 
 
 def frequency_classes(docs: DataFrame, words: int, text: str = "text") -> np.ndarray:
-    """For each counter of the sketch 0, or by how many powers of two its count exceeds four times the mean."""
+    """For each counter of the sketch 0, or by how many powers of two its count exceeds the mean by more than four deviations that chance gives."""
     parts = docs.select(F.col(text)).mapInArrow(_counted(words), "at int, counts binary").groupBy("at").applyInPandas(_summed, "at int, counts binary")
     table = np.zeros(COUNTERS, "int64")
     for r in parts.collect():  # COUNTERS numbers, whatever the corpus
         table[r["at"] : r["at"] + CHUNK] = np.frombuffer(r["counts"], "int32")
-    return np.maximum(np.log2(np.maximum(table, 1) / max(4 * table.mean(), 8)) + 1, 0).astype("uint8")
+    mean = table.mean()
+    return np.maximum(np.log2(np.maximum(table - mean, 1) / (4 * np.sqrt(mean) + 4)) + 1, 0).astype("uint8")
 
 
 def prefix_length(n: int, percent: int) -> int:
