@@ -6,9 +6,10 @@ embeddings are summed into a hidden tanh layer; a softmax over the 16 upper halv
 is the sum of the conditional log-probabilities of all its bytes. Bytes leave no character of any script out.
 
 Training uses the whole corpus: its distinct windows and their counts come from grouped aggregation, a table
-that grows with the corpus. In each round the windows are dealt over tasks that stream through their share with
-numpy from the same parameters, weighted by the counts; the driver averages the parameter vectors of at most
-TASKS tasks. Scoring evaluates each distinct window of a batch of texts once.
+that grows with the corpus. It is written once, in a mixed order; in each round as many tasks as it fills stream
+through their shares with numpy from the same parameters, weighted by the counts. Their parameter vectors are summed
+by tasks, FAN_IN at a time, until at most FAN_IN sums are left for the driver. Scoring evaluates each distinct window
+of a batch of texts once.
 
 Defined results: null and empty texts have no tokens, a sum of 0 and a null mean. Repeated rows count in the
 corpus as often as they occur and are scored alike. Texts of any length are read whole. Over an empty corpus the
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from skysift.llm.common import let_workers_import, written
 
-SIDE, HIDDEN = 3, 16
+SIDE, HIDDEN = 3, 32
 #: Symbols are bytes, and PAD beyond the text's ends. A window is one integer, BITS for each symbol.
 PAD, SYMBOLS, BITS = 256, 257, 9
-TASKS, TASK_WINDOWS, ROUNDS, BATCH = 64, 200_000, 2, 512
+TASK_WINDOWS, ROUNDS, BATCH, FAN_IN = 200_000, 3, 512, 64
 #: Bytes of text taken together, and distinct windows that a counting task holds before it passes them on.
 BATCH_BYTES, HELD_WINDOWS = 2_000_000, 2_000_000
 Params = list[np.ndarray]
@@ -121,90 +122,140 @@ def log_probabilities(params: Params, codes: np.ndarray) -> np.ndarray:
     _, _, vh, ch, vl, cl = params
     out = np.empty(len(codes), params[0].dtype)
     for at in range(0, len(codes), 65_536):
-        around, centre = split(codes[at : at + 65_536])
+        some = codes[at : at + 65_536]
+        order = np.argsort((some >> BITS * SIDE + 4 & 15).astype("int8"), kind="stable")
+        around, centre = split(some[order])
         h, high, low = _hidden(params, around), centre >> 4, centre & 15
         lp = _log_softmax(h @ vh + ch)[np.arange(len(high)), high]
-        for g in np.unique(high):
-            rows = np.flatnonzero(high == g)
-            lp[rows] += _log_softmax(h[rows] @ vl[g] + cl[g])[np.arange(len(rows)), low[rows]]
-        out[at : at + len(lp)] = lp
+        ends = np.searchsorted(high, np.arange(17)).tolist()
+        for g, (i, j) in enumerate(zip(ends, ends[1:])):
+            if i < j:
+                lp[i:j] += _log_softmax(h[i:j] @ vl[g] + cl[g])[np.arange(j - i), low[i:j]]
+        out[at + order] = lp
     return out
 
 
-def _summed(symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The sum of the rows of each symbol."""
-    out = np.zeros((SYMBOLS, rows.shape[1]), rows.dtype)
-    order = np.argsort(symbols, kind="stable")
-    symbols = symbols[order]
-    first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
-    out[symbols[first]] = np.add.reduceat(rows[order], first, axis=0)
+def _summed(kinds: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each of n kinds; kinds may list several kinds for a row, one after another round of rows."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    order = np.argsort(kinds, kind="stable")
+    kinds = kinds[order]
+    first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+    out[kinds[first]] = np.add.reduceat(rows[order % len(rows)], first, axis=0)
     return out
 
 
 def gradients(params: Params, codes: np.ndarray, weight: np.ndarray) -> Params:
-    """Of the weighted sum of negative log-probabilities."""
-    _, _, vh, ch, vl, cl = params
+    """Of the weighted sum of negative log-probabilities. Windows are put in order of their centres' upper halves."""
+    e, _, vh, ch, vl, cl = params
+    codes = codes[order := np.argsort(codes >> BITS * SIDE + 4 & 15, kind="stable")]
     around, centre = split(codes)
     h, high, low = _hidden(params, around), centre >> 4, centre & 15
-    weight = weight.astype(h.dtype)[:, None]
+    weight = weight[order].astype(h.dtype)[:, None]
+    at = np.arange(len(high))
     dz = np.exp(_log_softmax(h @ vh + ch))
-    dz[np.arange(len(high)), high] -= 1
+    dz[at, high] -= 1
     dz *= weight
     dh = dz @ vh.T
+    ends = np.searchsorted(high, np.arange(17)).tolist()
+    met = [(g, slice(i, j)) for g, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+    dl = cl[high]
+    for g, rows in met:
+        dl[rows] += h[rows] @ vl[g]
+    dl = np.exp(_log_softmax(dl))
+    dl[at, low] -= 1
+    dl *= weight
     dvl, dcl = np.zeros_like(vl), np.zeros_like(cl)
-    for g in np.unique(high):
-        rows = np.flatnonzero(high == g)
-        dl = np.exp(_log_softmax(h[rows] @ vl[g] + cl[g]))
-        dl[np.arange(len(rows)), low[rows]] -= 1
-        dl *= weight[rows]
-        dvl[g], dcl[g] = h[rows].T @ dl, dl.sum(axis=0)
-        dh[rows] += dl @ vl[g].T
+    dcl[[g for g, _ in met]] = np.add.reduceat(dl, [rows.start for _, rows in met], axis=0)
+    for g, rows in met:
+        dvl[g] = h[rows].T @ dl[rows]
+        dh[rows] += dl[rows] @ vl[g].T
     dh *= 1 - h * h
-    return [np.stack([_summed(s, dh) for s in around]), dh.sum(axis=0), h.T @ dz, dz.sum(axis=0), dvl, dcl]
+    kinds = np.concatenate([i * SYMBOLS + s for i, s in enumerate(around)])
+    return [_summed(kinds, dh, len(around) * SYMBOLS).reshape(e.shape), dh.sum(axis=0), h.T @ dz, dz.sum(axis=0), dvl, dcl]
+
+
+def _flat(params: Params) -> np.ndarray:
+    return np.concatenate([p.ravel() for p in params])
+
+
+def _shaped(flat: np.ndarray, like: Params) -> Params:
+    """Views of one vector in the shapes of some parameters."""
+    return [x.reshape(p.shape) for x, p in zip(np.split(flat, np.cumsum([p.size for p in like])[:-1]), like)]
 
 
 def train(params: Params, windows: Iterable[tuple[np.ndarray, np.ndarray]], rate: float) -> tuple[Params, int]:
     """Adam over batches of (windows, counts), each window weighted by its count; returns the sum of counts too."""
-    params = [p.copy() for p in params]
-    m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    flat = _flat(params)
+    params = _shaped(flat, params)
+    m, s, g, x = (np.zeros_like(flat) for _ in range(4))
     step = total = 0
     for codes, counts in windows:
         total += int(counts.sum())
         for at in range(0, len(codes), BATCH):
             some, n = codes[at : at + BATCH], counts[at : at + BATCH]
             step += 1
-            for j, g in enumerate(gradients(params, some, n / n.sum())):
-                m[j] += 0.1 * (g - m[j])
-                s[j] += 0.01 * (g * g - s[j])
-                params[j] -= rate / (1 - 0.9**step) * m[j] / (np.sqrt(s[j] / (1 - 0.99**step)) + 1e-8)
+            np.concatenate([d.ravel() for d in gradients(params, some, n / n.sum())], out=g)
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=x)
+            g *= g
+            s *= 0.99
+            s += np.multiply(g, 0.01, out=x)
+            np.sqrt(np.divide(s, 1 - 0.99**step, out=x), out=x)
+            x += 1e-8
+            np.divide(m, x, out=x)
+            x *= rate / (1 - 0.9**step)
+            flat -= x
     return params, total
 
 
+def _added(vectors: DataFrame) -> DataFrame:
+    """One row (n, sums) for each task: the vectors in its partition, each times its n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, None
+        for batch in batches:
+            for k, some in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row = np.frombuffer(some.as_buffer(), "float64")
+                n, sums = n + k, row.copy() if sums is None else sums + row
+        if n:
+            yield pa.record_batch([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
+
+    return vectors.mapInArrow(run, "n long, sums binary")
+
+
 def fit(windows: DataFrame, rounds: int = ROUNDS, task_windows: int = TASK_WINDOWS) -> Params:
-    """Parameters from a written window table."""
+    """Parameters from a written window table, whose rows should stand in an order that mixes them (``mixed``)."""
     params = initial()
-    shapes = [p.shape for p in params]
-    cuts = np.cumsum([p.size for p in params])[:-1]
     spark = windows.sparkSession
     let_workers_import(spark)
-    tasks = min(TASKS, max(1, -(-windows.count() // task_windows)))
-    dealt = windows.repartition(tasks, "code").sortWithinPartitions(F.xxhash64("code"))
+    tasks = max(1, -(-windows.count() // task_windows))
+    dealt = windows.coalesce(tasks)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=0.02 / (1 + r)) -> Iterator[pa.RecordBatch]:
             new, n = train(shared.value, ((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), rate)
             if n:
-                yield pa.record_batch([pa.array([n], pa.int64()), pa.array([np.concatenate([p.ravel() for p in new]).tobytes()], pa.binary())], names=["n", "flat"])
-
-        trained = dealt.mapInArrow(run, "n long, flat binary").collect()  # at most one row for each of the tasks
-        if not trained:
+                yield pa.record_batch([pa.array([n], pa.int64()), pa.array([(_flat(new).astype("float64") * n).tobytes()], pa.binary())], names=["n", "sums"])
+
+        trained, left = dealt.mapInArrow(run, "n long, sums binary"), tasks
+        while left > FAN_IN:
+            left = -(-left // FAN_IN)
+            trained = _added(trained.repartition(left))
+        rows = trained.collect()  # at most FAN_IN rows
+        if not rows:
             break
-        flat = np.average([np.frombuffer(t.flat, "float32") for t in trained], axis=0, weights=[t.n for t in trained]).astype("float32")
-        params = [x.reshape(s) for x, s in zip(np.split(flat, cuts), shapes)]
+        flat = sum(np.frombuffer(t.sums, "float64") for t in rows) / sum(t.n for t in rows)
+        params = _shaped(flat.astype("float32"), params)
     return params
 
 
+def mixed(windows: DataFrame) -> DataFrame:
+    """Each partition's windows in the order of a hash."""
+    return windows.sortWithinPartitions(F.xxhash64("code"))
+
+
 def score(docs: DataFrame, params: Params, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_probability, mean) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(params)
@@ -225,4 +276,4 @@ def score(docs: DataFrame, params: Params, doc_id: str = "doc_id", text: str = "
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the whole of ``docs`` and score each of its rows."""
-    return score(docs, fit(written(count_windows(docs, text))), doc_id, text)
+    return score(docs, fit(written(mixed(count_windows(docs, text)))), doc_id, text)

@@ -114,6 +114,15 @@ def test_network_same_as_plain_loops():
     assert abs(np.exp(masked_lm.log_probabilities(params, every).astype(float)).sum() - 1) < 1e-4
 
 
+def test_parameters_same_whatever_the_fan_in(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(random.Random(i), "yy", 40)) for i in range(30)], "doc_id long, text string")
+    windows = masked_lm.count_windows(docs).repartition(9, "code").sortWithinPartitions("code").cache()
+    flat = masked_lm._flat(masked_lm.fit(windows, rounds=2, task_windows=60))
+    monkeypatch.setattr(masked_lm, "FAN_IN", 2)
+    assert np.allclose(masked_lm._flat(masked_lm.fit(windows, rounds=2, task_windows=60)), flat, atol=1e-5)
+    windows.unpersist()
+
+
 def test_gradients_same_as_differences():
     rng = np.random.default_rng(2)
     params = [p.astype("float64") + 0.1 for p in masked_lm.initial(4)]
