@@ -19,6 +19,8 @@ NAMES = (
     "line_triage", "excluded_bandwidth", "redshift_families", "completeness_map", "field_limits", "locus_excess", "combined_p_values",
     "object_classes", "trend_verdicts", "vet_verdicts", "vet_run", "frame_fades", "frame_scatter", "assembled_funnel", "blend_counts", "variability_periods", "shortlist_variability", "encounter_followup", "matched_null",
     "cluster_tests", "line_search", "absorption_search", "spectra_run", "spectra_totals", "shape_run", "encounter_summary", "companion_candidates", "science_candidates",
+    "field_targets", "cone_stars", "anchor_shell", "orbit_solutions", "acceleration_solutions", "spectrum_sources", "spectrum_ids", "near_infrared", "quality_columns", "nearby_planets", "field_candidates", "nearest_sources",
+    "enriched_shortlist", "confirm_shortlist", "follow_up_input", "clean_scores",
 )
 
 
