@@ -25,7 +25,7 @@ def vocabulary(name: str) -> str:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "url")
 
 
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
