@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysift.functions import quantiles as Q
-from skysift.operators import cluster, encounters, lightcurve, spectra
+from skysift.operators import cluster, encounters, lightcurve, replicates, spectra
 
 c = F.col
 
@@ -51,6 +51,39 @@ def test_neighbours_with_a_crowded_place(spark, n_axes, k):
         assert got[i] == (None if d is None else pytest.approx(d, abs=1e-12))
 
 
+@pytest.mark.parametrize(("n_axes", "k"), [(1, 1), (3, 2), (5, 1)])
+def test_neighbours_in_replicates(spark, monkeypatch, n_axes, k):
+    monkeypatch.setattr(replicates, "BOX", 40)
+    rng = np.random.default_rng(n_axes)
+    x = np.concatenate([rng.normal(0, 10, (300, n_axes)), rng.normal(3, 0.01, (100, n_axes)), np.full((30, n_axes), 5.0), np.full((1, n_axes), 1e6)])
+    member = rng.random((len(x), 9)) < [0.3, 0.05, 0.5, 0.01, 0.2, 0.1, 0.2, 0.02, 0.4]
+    names = [f"x{i}" for i in range(n_axes)]
+    rows = [(*map(float, p), np.packbits(m).tobytes()) for p, m in zip(x, member)]
+    rows.append((float("nan"), *([0.0] * (n_axes - 1)), b"\xff\xff"))
+    df = spark.createDataFrame(rows, ", ".join(f"{a} double" for a in names) + ", bits binary").repartition(3)
+    want = []
+    for r in range(9):
+        mine = x[member[:, r]]
+        for i, p in enumerate(mine):
+            d = np.sort(np.delete(np.sqrt(((mine - p) ** 2).sum(axis=1)), i))
+            want += [(r, d[k - 1])] if len(d) >= k else []
+    got = sorted((r.rep, r.distance) for r in replicates.kth_in_replicates(df, names, k, 8).collect())
+    assert [a for a, _ in got] == [a for a, _ in sorted(want)]
+    assert np.allclose([b for _, b in got], [b for _, b in sorted(want)], rtol=1e-12, atol=1e-12)
+
+
+def test_replicates_hold_the_matched_draws(spark):
+    parent = spark.range(600).select(c("id").alias("source_id"), F.when(c("id") < 3, 1).otherwise(c("id") % 4 + 2).cast("long").alias("stratum"), (c("id") * 1.0).alias("x"))
+    anomalies = spark.createDataFrame([(1,)] * 8 + [(2,)] * 30 + [(3,)] * 149 + [(4,)], "stratum long")
+    want = Counter((r.rep, r.x) for r in cluster.matched_draws(parent, anomalies, 20).collect())
+    sizes = anomalies.groupBy("stratum").agg(F.count(F.lit(1)).alias("_want"))
+    rows, pools = cluster.numbered(parent.join(sizes.select("stratum"), "stratum", "left_semi"))
+    got = Counter()
+    for r in replicates.with_replicates(rows.join(sizes, "stratum").join(pools, "stratum"), ["x"], 20, cluster.STRIDES).collect():
+        got.update((int(i), r.x) for i in np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))))
+    assert got == want
+
+
 def test_draws_follow_the_strata(spark):
     parent = spark.range(5000).select(c("id").alias("source_id"), F.when(c("id") < 5, 1).when(c("id") < 100, 2).otherwise(3).cast("long").alias("stratum"))
     anomalies = spark.createDataFrame([(1,)] * 8 + [(2,)] * 60 + [(3,)] * 40 + [(4,)], "stratum long")
