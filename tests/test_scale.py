@@ -177,3 +177,41 @@ def test_anchor_and_own_errors_are_drawn(spark):
     assert spread(moved[2]) > 0 and moved[2].n_valid == 200
     exact = encounters.closest_approach(encounters.phase_space(stars.filter("source_id = 2")), encounters.phase_space(anchor(none))).first()
     assert fixed[2].d_min_pc_50 == pytest.approx(exact.d_min_pc) and fixed[2].t_enc_myr_50 == pytest.approx(exact.t_enc_myr)
+
+
+def test_dust_by_bisection_is_the_nearest_of_the_grid(spark):
+    from skysift.functions.exprs import BANDS, BOLTZMANN, LIGHT, PLANCK
+    from skysift.operators import catalog
+
+    step = (catalog.DUST_HIGH - catalog.DUST_LOW) / (catalog.DUST_GRID - 1)
+    grid = [i * step + catalog.DUST_LOW for i in range(catalog.DUST_GRID)]
+    planck = lambda t, b: 2 * PLANCK * (LIGHT / (BANDS[b][0] * 1e-6)) ** 3 / LIGHT**2 / math.expm1(PLANCK * (LIGHT / (BANDS[b][0] * 1e-6)) / BOLTZMANN / t)
+    ratios = [planck(t, "W1") / planck(t, "W2") for t in grid]
+    wanted = [1e-12, ratios[0], ratios[7] * 1.0001, (ratios[100] + ratios[101]) / 2 * 0.9999, ratios[300] * 0.9999, ratios[-1], 5.0, 1e30, 1e308]
+    rows = [(i, r, 1.0) for i, r in enumerate(wanted)] + [(97, 1e308, 1e-10), (98, -1.0, 1.0), (99, None, 1.0)]
+    df = spark.createDataFrame(rows, "source_id long, W1_excess_jy double, W2_excess_jy double").withColumns({"sed_scale": F.lit(1.0), "teff": F.lit(5000.0)})
+    made = catalog.dust(df)
+    got = {r.source_id: r.t_dust_k for r in made.collect()}
+    for i, w in enumerate(wanted):
+        assert got[i] == pytest.approx(min((abs(r - w), t) for r, t in zip(ratios, grid))[1], abs=1e-9)
+    assert (got[97], got[98], got[99]) == (catalog.DUST_LOW, None, None)
+    # a row asks a few temperatures, not the whole grid
+    assert "sequence(0, 599" not in made._jdf.queryExecution().optimizedPlan().toString() and ", 598, 599" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("n_axes", [1, 2, 3])
+def test_friends_in_a_crowd_are_linked_without_pairs(spark, monkeypatch, n_axes):
+    rng = np.random.default_rng(5 + n_axes)
+    x = np.concatenate([rng.uniform(-30 if n_axes == 3 else -200, 30 if n_axes == 3 else 200, (150, n_axes)), rng.normal(0, 0.5, (150, n_axes))])
+    df = spark.createDataFrame([(i % 295, *map(float, p)) for i, p in enumerate(x)] + [(9999, *([float("nan")] * n_axes))], "source_id long, " + ", ".join(f"x{i} double" for i in range(n_axes)))
+    root = list(range(295))
+    find = lambda i: i if root[i] == i else find(root[i])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i, j in zip(*np.nonzero(d <= 4.0)):
+        a, b = sorted((find(i % 295), find(j % 295)))
+        root[b] = a
+    sizes = Counter(find(i) for i in range(295))
+    number = {r: n for n, r in enumerate(sorted(r for r, n in sizes.items() if n >= 3))}
+    monkeypatch.delattr(cluster, "close_pairs")
+    got = {r.source_id: r.group for r in cluster.friends_of_friends(df, [f"x{i}" for i in range(n_axes)], 4.0, 3).collect()}
+    assert got == {i: number[find(i)] for i in range(295) if find(i) in number}
