@@ -54,14 +54,34 @@ def excess(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return df.withColumn("has_excess", X.true_or_false(chosen))
 
 
+def _first_index(holds: Callable[[Column], Column], known: Column) -> Column:
+    """The first index of the dust grid from which a condition holds, by bisection; DUST_GRID if it never does, NULL where known is NULL."""
+    start = F.struct(F.lit(0).alias("lo"), F.lit(DUST_GRID).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s.lo + s.hi) / 2).cast("int")
+        ok = holds(mid)
+        return F.when(s.lo >= s.hi, s).otherwise(F.struct(F.when(ok, s.lo).otherwise(mid + 1).alias("lo"), F.when(ok, mid).otherwise(s.hi).alias("hi")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(DUST_GRID.bit_length())), start, step, lambda s: s.lo)
+    return F.when(known.isNotNull(), found)
+
+
 def dust(df: DataFrame) -> DataFrame:
     """Add t_dust_k and tau, from the ratio of the two excess fluxes; NULL unless both are positive."""
     f1, f2 = c("W1_excess_jy"), c("W2_excess_jy")
     step = (DUST_HIGH - DUST_LOW) / (DUST_GRID - 1)
-    tried = F.transform(F.sequence(F.lit(0), F.lit(DUST_GRID - 1)), lambda i: i * step + DUST_LOW)
-    gap = lambda t: F.abs(X.planck(t, "W1") / X.planck(t, "W2") - f1 / f2)
-    best = F.array_min(F.transform(tried, lambda t: F.struct(gap(t).alias("gap"), t.alias("t"))))["t"]
-    df = X.held(df, {"t_dust_k": F.when((f1 > 0) & (f2 > 0), best)})
+    t_of = lambda i: i * step + DUST_LOW
+    ratio = lambda i: X.planck(t_of(i), "W1") / X.planck(t_of(i), "W2")
+    df = X.held(df, {"_want": F.when((f1 > 0) & (f2 > 0), f1 / f2)})
+    gap = lambda i: F.abs(ratio(i) - c("_want"))
+    # the ratio grows with the temperature: the nearest one stands at either side of the place where it passes
+    df = X.held(df, {"_past": _first_index(lambda i: ratio(i) > c("_want"), c("_want"))})
+    below, above = F.greatest(c("_past") - 1, F.lit(0)), F.least(c("_past"), F.lit(DUST_GRID - 1))
+    df = X.held(df, {"_gap": F.least(gap(below), gap(above))})
+    # equal gaps: the coldest
+    best = t_of(_first_index(lambda i: (i >= c("_past")) | (gap(i) <= c("_gap")), c("_want")))
+    df = X.held(df, {"t_dust_k": F.when(F.isnan("_want") | (c("_want") == float("inf")), F.lit(DUST_LOW)).when(c("_want").isNotNull(), best)}).drop("_want", "_past", "_gap")
     omega = f1 / X.model_jy(c("t_dust_k"), "W1")
     return X.held(df, {"tau": F.when(c("sed_scale") > 0, F.try_divide(omega * F.pow("t_dust_k", 4), c("sed_scale") * F.pow("teff", 4)))})
 
