@@ -31,7 +31,8 @@ def within(a: DataFrame, b: DataFrame, radius_arcsec: float, a_keys: tuple[str,
     right = right.withColumn("_cell", F.explode(cells.cast("array<bigint>")))
     left = left.withColumn("_cell", c("_cell").cast("bigint"))
     sep = separation_arcsec(c("ra"), c("dec"), c("_ra"), c("_dec"))
-    pairs = left.join(right, ["_zone", "_cell"]).withColumn("sep", sep).filter(c("sep") <= radius_arcsec)
+    # Spark judges the copied side by the size of its file, and would send millions of rows through the driver
+    pairs = left.join(right.hint("merge"), ["_zone", "_cell"]).withColumn("sep", sep).filter(c("sep") <= radius_arcsec)
     return pairs.drop("_zone", "_cell", "_ra", "_dec")
 
 

@@ -215,3 +215,12 @@ def test_friends_in_a_crowd_are_linked_without_pairs(spark, monkeypatch, n_axes)
     monkeypatch.delattr(cluster, "close_pairs")
     got = {r.source_id: r.group for r in cluster.friends_of_friends(df, [f"x{i}" for i in range(n_axes)], 4.0, 3).collect()}
     assert got == {i: number[find(i)] for i in range(295) if find(i) in number}
+
+
+def test_copied_side_of_a_match_is_not_broadcast(spark):
+    from skysift.operators import xmatch
+
+    df = spark.createDataFrame([(i, i % 2, i // 2 * 0.1, 1.0) for i in range(40)], "spec_id long, release long, ra double, dec double")
+    out = xmatch.overlapping_spectra(df, 1.0)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.spec_id, r.other_id) for r in out.collect()) == sorted((i, i ^ 1) for i in range(40))
