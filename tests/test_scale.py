@@ -224,3 +224,46 @@ def test_copied_side_of_a_match_is_not_broadcast(spark):
     out = xmatch.overlapping_spectra(df, 1.0)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.spec_id, r.other_id) for r in out.collect()) == sorted((i, i ^ 1) for i in range(40))
+
+
+def moved_bytes(spark, run):
+    """What the stages of ``run`` write to the shuffle and spill."""
+    sc = spark.sparkContext
+    store, lists = sc._jsc.sc().statusStore(), sc._jvm.java.util
+    stages = lambda: store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), lists.ArrayList())
+    total = lambda: {s.stageId(): s.shuffleWriteBytes() + s.memoryBytesSpilled() + s.diskBytesSpilled() for s in (x.apply(i) for x in [stages()] for i in range(x.size()))}
+    before = total()
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for i, n in total().items() if i not in before)
+
+
+STAR = "source_id long, ra double, dec double, parallax double, pmra double, pmdec double, radial_velocity double, parallax_error double, pmra_error double, pmdec_error double, radial_velocity_error double"
+
+
+def test_draws_are_not_shuffled(spark):
+    stars = spark.createDataFrame([(i, i % 360 * 1.0, 6.0, 80.0, 50.0, -20.0, 30.0, 1.0, 1.0, 1.0, 1.0) for i in range(300)], STAR)
+    anchor = spark.createDataFrame([(999, 10.0, 5.0, 100.0, 0.0, 0.0, -10.0, 1.0, 1.0, 1.0, 1.0)], STAR)
+    got = []
+    moved = moved_bytes(spark, lambda: got.extend(encounters.encounter_uncertainty(stars, anchor, 1000).collect()))
+    assert len(got) == 300 and all(r.n_valid == 1000 for r in got)
+    # a star is a row of some hundred bytes, a draw that is moved has eight at least for each of three figures
+    assert moved < 300 * 1000
+
+
+def test_draws_of_an_id_are_one_star_whatever_the_batches(spark):
+    star = lambda i, x: (i, 12.0, 6.0, x, 50.0, -20.0, 30.0, 1.0, 1.0, 1.0, 1.0)
+    anchor = spark.createDataFrame([star(-5, 90.0)], STAR)
+    rows = [star(i % 40, 80.0 + i // 40) for i in range(100)] + [(77, 1.0, None, 80.0, 0.0, 0.0, 5.0, 1.0, 1.0, 1.0, 1.0), star(None, 80.0)]
+    run = lambda df: {r.source_id: r for r in encounters.encounter_uncertainty(df, anchor, 50).collect()}
+    whole = run(spark.createDataFrame(rows, STAR))
+    alone = run(spark.createDataFrame([star(35, 80.0), star(135, 80.0)], STAR))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert run(spark.createDataFrame(rows, STAR)) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(whole) == [*range(40), 77] and whole[77].n_valid == 0 and whole[77].d_min_pc_50 is None
+    assert [whole[i].n_valid for i in (0, 19, 20, 39)] == [150, 150, 100, 100]
+    two = run(spark.createDataFrame([star(35, 80.0), star(35, 81.0)], STAR))
+    assert two[35] == whole[35] and alone[35].n_valid == 50
