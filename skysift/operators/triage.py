@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysift.functions.batches import whole_keys
 from skysift.functions.lines import DIFFUSE, EMISSION, GALAXY, INTERSTELLAR, LOCKED, SKY, STELLAR
+from skysift.functions.tables import let_workers_import
 
 c = F.col
 LIGHT_KMS = 299792.458
@@ -106,12 +112,43 @@ def triage(df: DataFrame, lines: list[float], kms: float = 300.0, tolerance: flo
     return d.withColumn("verdict", verdict).drop("_r")
 
 
-def _by_middles(w: Column, middles: list[float], leaves: list[Column]) -> Column:
-    """The leaf of the interval between the middles that holds w, by halving."""
-    if not middles:
-        return leaves[0]
-    k = len(middles) // 2
-    return F.when(w <= middles[k], _by_middles(w, middles[:k], leaves[: k + 1])).otherwise(_by_middles(w, middles[k + 1 :], leaves[k + 1 :]))
+#: Pairs of an anchor and a line of its spectrum that a task looks at together.
+PAIRS = 1_000_000
+
+
+def _families(w: np.ndarray, edges: np.ndarray, kms: float, z_min: float, z_max: float) -> tuple[np.ndarray, ...]:
+    """(spectrum, n_matched, z, is_galaxy) of the spectra with an anchor; ``edges`` are where the ascending distinct lines of a spectrum begin, and the end."""
+    rest = np.array(sorted(x for _, x in GALAXY))
+    bit = {name: 1 << int(np.searchsorted(rest, x)) for name, x in GALAXY}
+    # in relative distance, the middle between two lines is their harmonic mean
+    middles = np.array([2 * a * b / (a + b) for a, b in zip(rest, rest[1:])])
+    sizes = np.diff(edges)
+    redshift = w[:, None] / np.array([x for _, x in GALAXY]) - 1.0
+    # in the order that settles ties: by anchor, then by place in the list
+    line, place = np.nonzero((redshift >= z_min) & (redshift <= z_max))
+    z, owner = redshift[line, place], np.repeat(np.arange(len(sizes)), sizes)[line]
+    met, ends, at = np.zeros(len(z), dtype=np.int64), np.cumsum(sizes[owner]), 0
+    while at < len(z):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        n = sizes[owner[at:upto]]
+        first = np.cumsum(n) - n
+        observed = w[np.repeat(edges[owner[at:upto]] - first, n) + np.arange(n.sum())]
+        shift = np.repeat(z[at:upto] + 1.0, n)
+        nearest = np.searchsorted(middles, observed / shift, side="left")
+        near = np.abs(observed / (rest[nearest] * shift) - 1.0) * LIGHT_KMS <= kms
+        met[at:upto] = np.bitwise_or.reduceat(np.where(near, np.left_shift(1, nearest), 0), first)
+        at = upto
+    matched = np.bitwise_count(met).astype(np.int64)
+    galaxy = matched >= 3
+    for a, b in LOCKED:
+        galaxy |= (met & (bit[a] | bit[b])) == (bit[a] | bit[b])
+    if not len(z):
+        return owner, matched, z, galaxy
+    begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    score = galaxy * (len(rest) + 1) + matched
+    top = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, begins), np.diff(np.append(begins, len(z)))))
+    best = top[np.append(True, owner[top][1:] != owner[top][:-1])]
+    return owner[best], matched[best], z[best], galaxy[best]
 
 
 def redshift_families(df: DataFrame, kms: float = 250.0, z_min: float = -0.003, z_max: float = 1.2) -> DataFrame:
@@ -119,26 +156,25 @@ def redshift_families(df: DataFrame, kms: float = 250.0, z_min: float = -0.003,
 
     Every observed line may be any rest line; that is at most 13 anchors for each line of a spectrum. Under an
     anchor's redshift each line of the spectrum stands for its nearest rest line only, if that is near enough;
-    the rest lines that are met are the bits of an integer.
+    the rest lines that are met are the bits of an integer. Anchors aren't rows: a spectrum's lines are sorted to it once, and
+    its anchors are compared where they are.
     """
-    rest = sorted(w for _, w in GALAXY)
-    bit = {name: 1 << rest.index(w) for name, w in GALAXY}
-    # in relative distance, the middle between two lines is their harmonic mean
-    middles = [2 * a * b / (a + b) for a, b in zip(rest, rest[1:])]
-    lines = df.groupBy("spec_id").agg(F.sort_array(F.collect_set("wavelength")).alias("ws"))
-    places = F.array(*(F.lit(w) for _, w in GALAXY))
-    anchors = lines.select("spec_id", "ws", F.explode("ws").alias("anchor")).select("spec_id", "ws", "anchor", F.posexplode(places).alias("place", "w"))
-    anchors = anchors.withColumn("z", c("anchor") / c("w") - 1.0).filter(c("z").between(z_min, z_max))
-    shift = c("z") + 1.0
-    near = lambda w, r: F.abs(w / (F.lit(r) * shift) - 1.0) * LIGHT_KMS <= kms
-    met = lambda w: _by_middles(w / shift, middles, [F.when(near(w, r), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rest)])
-    anchors = anchors.withColumn("met", F.aggregate("ws", F.lit(0), lambda m, w: m.bitwiseOR(met(w))))
-    locked = F.lit(False)
-    for a, b in LOCKED:
-        locked = locked | (c("met").bitwiseAND(bit[a] | bit[b]) == (bit[a] | bit[b]))
-    anchors = anchors.withColumns({"n_matched": F.bit_count("met"), "n_lines": F.size("ws")}).withColumn("is_galaxy", (c("n_matched") >= 3) | locked)
-    best = F.max_by(F.struct("n_lines", "n_matched", "z", "is_galaxy"), F.struct(c("is_galaxy").cast("int"), "n_matched", -c("anchor"), -c("place"))).alias("b")
-    return anchors.groupBy("spec_id").agg(best).select("spec_id", "b.*")
+    let_workers_import(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in whole_keys(batches, "spec_id"):
+            w = table.column("wavelength").to_numpy()
+            new = np.append(True, (w[1:] != w[:-1]) & ~(np.isnan(w[1:]) & np.isnan(w[:-1])))
+            new[edges[:-1]] = True
+            places = np.append(0, np.cumsum(new))[edges]
+            owner, matched, z, galaxy = _families(w[new], places, kms, z_min, z_max)
+            ids = table.column("spec_id").combine_chunks().take(pa.array(edges[owner]))
+            columns = [ids, pa.array(np.diff(places)[owner].astype(np.int32)), pa.array(matched.astype(np.int32)), pa.array(z), pa.array(galaxy)]
+            yield pa.record_batch(columns, names=["spec_id", "n_lines", "n_matched", "z", "is_galaxy"])
+
+    lines = df.select("spec_id", c("wavelength").cast("double").alias("wavelength")).filter(c("wavelength").isNotNull())
+    dealt = lines.repartition("spec_id").sortWithinPartitions("spec_id", "wavelength")
+    return dealt.mapInArrow(run, f"spec_id {dict(df.dtypes)['spec_id']}, n_lines int, n_matched int, z double, is_galaxy boolean")
 
 
 def with_families(triaged: DataFrame, families: DataFrame) -> DataFrame:

@@ -267,3 +267,36 @@ def test_draws_of_an_id_are_one_star_whatever_the_batches(spark):
     assert [whole[i].n_valid for i in (0, 19, 20, 39)] == [150, 150, 100, 100]
     two = run(spark.createDataFrame([star(35, 80.0), star(35, 81.0)], STAR))
     assert two[35] == whole[35] and alone[35].n_valid == 50
+
+
+def test_families_without_rows_of_anchors(spark, monkeypatch):
+    from skysift.functions.lines import GALAXY, LOCKED
+    from skysift.operators import triage
+
+    rng = random.Random(11)
+    rows = [(s, w) for s in range(30) for w in [rng.uniform(3600, 9800) for _ in range(rng.choice([1, 4, 9]))]]
+    rows += [(s, x * (1.05 + s / 100)) for s in range(30, 40) for _, x in rng.sample(GALAXY, 4)] * 2 + [(3, float("nan")), (4, None), (None, 5000.0), (None, 5100.0), (99, 10.0)]
+    rest = sorted(x for _, x in GALAXY)
+    want = {}
+    for s in {s for s, _ in rows}:
+        ws = sorted({w for t, w in rows if t == s and w is not None and w == w})
+        n = len(ws) + any(t == s and w is not None and w != w for t, w in rows)
+        for a in ws:
+            for place, (_, x) in enumerate(GALAXY):
+                z = a / x - 1.0
+                if -0.003 <= z <= 1.2:
+                    met = {name for w in ws for name, r in GALAXY if r == min(rest, key=lambda y: abs(w / (y * (z + 1.0)) - 1.0)) and abs(w / (r * (z + 1.0)) - 1.0) * triage.LIGHT_KMS <= 250}
+                    galaxy = len(met) >= 3 or any(p in met and q in met for p, q in LOCKED)
+                    new = ((galaxy, len(met), -a, -place), (n, len(met), z, galaxy))
+                    want[s] = max(want.get(s, new), new)
+    want = {s: v for s, (_, v) in want.items()}
+    df = spark.createDataFrame(rows, "spec_id long, wavelength double")
+    out = triage.redshift_families(df)
+    assert {r.spec_id: tuple(r)[1:] for r in out.collect()} == want
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(triage, "PAIRS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert {r.spec_id: tuple(r)[1:] for r in triage.redshift_families(df).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
