@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions.batches import whole_keys
 from skysift.functions.lines import DIFFUSE, EMISSION, GALAXY, INTERSTELLAR, LOCKED, SKY, STELLAR
-from skysift.functions.tables import let_workers_import
+from skysift.functions.tables import let_workers_import, written
 
 c = F.col
 LIGHT_KMS = 299792.458
@@ -26,11 +28,23 @@ KNOWN = known_lines(EMISSION, STELLAR, INTERSTELLAR, DIFFUSE, SKY)
 
 
 def nearest_line(w: Column, lines: list[float]) -> Column:
-    """The nearest of some lines in ascending order as struct (gap, line); ties to the lower line."""
-    table = F.array(*map(F.lit, lines))
-    middles = F.array(*(F.lit((a + b) / 2) for a, b in zip(lines, lines[1:])))
-    place = F.aggregate(middles, F.lit(1), lambda n, m: n + (w > m).cast("int")) if len(lines) > 1 else F.lit(1)
-    line = F.element_at(table, place)
+    """The nearest of some lines in ascending order as struct (gap, line); ties to the lower line.
+
+    A table of cells tells how many middles between lines lie before a cell; only a cell's own middles are compared.
+    """
+    middles = [(a + b) / 2 for a, b in zip(lines, lines[1:])] or [lines[0]]
+    low, high = math.floor(middles[0]), math.ceil(middles[-1]) + 1
+    before = [bisect_left(middles, low + i) for i in range(high - low + 1)]
+    most = max(b - a for a, b in zip(before, before[1:]))
+    # wavelengths beyond the middles count as its ends, NaN as the upper one
+    cell = F.least(F.greatest(w, F.lit(float(low))), F.lit(float(high)))
+    first = F.element_at(F.array(*map(F.lit, before)), F.floor(cell - low).cast("int") + 1)
+    place = first + 1
+    ends = F.array(*map(F.lit, [*middles, *[float("nan")] * (most + 1)]))
+    for j in range(most):
+        place = place + (w > F.element_at(ends, first + (j + 1))).cast("int")
+    line = F.element_at(F.array(*map(F.lit, lines)), F.least(place, F.lit(len(lines))))
+    line = F.when(w.isNotNull(), line)
     return F.struct(F.abs(w - line).alias("gap"), line.alias("line"))
 
 
@@ -79,18 +93,19 @@ def recurrent(df: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Add n_spectra: distinct spectra with a line within tolerance, this one included.
 
     The lines of a spectrum cover disjoint runs of wavelengths; a wavelength's count is the number of runs that
-    begin at most at it, less those that end before it. No pair of lines is ever formed.
+    begin at most at it, less those that end before it. No pair of lines is ever formed, and runs are no groups: a row
+    for each distinct wavelength, written once, holds how many begin and end there.
     """
-    marks = df.select("spec_id", "wavelength").distinct()
     order = Window.partitionBy("spec_id").orderBy("wavelength")
-    new = F.coalesce(c("wavelength") - F.lag("wavelength").over(order) > 2 * tolerance, F.lit(True))
-    runs = marks.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(order)).groupBy("spec_id", "_run").agg(F.min("wavelength").alias("lo"), F.max("wavelength").alias("hi"))
-    points = df.select("wavelength").distinct()
+    apart = lambda gap: F.coalesce(gap > 2 * tolerance, F.lit(True)).cast("long")
+    lines = df.select("spec_id", "wavelength").filter(c("wavelength").isNotNull())
+    marks = lines.select("wavelength", apart(c("wavelength") - F.lag("wavelength").over(order)).alias("_new"), apart(F.lead("wavelength").over(order) - c("wavelength")).alias("_old"))
+    points = written(marks.groupBy("wavelength").agg(F.sum("_new").alias("_new"), F.sum("_old").alias("_old")))
     # both sides are moved by the tolerance downwards, which doubles represent exactly
-    one = F.lit(1).cast("bigint").alias("n")
-    begun = running_totals(runs.select((c("lo") - tolerance).alias("pos"), one), points.select(c("wavelength").alias("pos")), True)
-    ended = running_totals(runs.select(c("hi").alias("pos"), one), points.select((c("wavelength") - tolerance).alias("pos")), False)
-    n = points.withColumn("_low", c("wavelength") - tolerance).join(begun.select(c("pos").alias("wavelength"), c("total").alias("_b")), "wavelength").join(ended.select(c("pos").alias("_low"), c("total").alias("_e")), "_low")
+    high, low = c("wavelength").alias("pos"), (c("wavelength") - tolerance).alias("pos")
+    begun = running_totals(points.filter("_new > 0").select(low, c("_new").alias("n")), points.select(high), True)
+    ended = running_totals(points.filter("_old > 0").select(high, c("_old").alias("n")), points.select(low), False)
+    n = points.select("wavelength", low.alias("_low")).join(begun.select(c("pos").alias("wavelength"), c("total").alias("_b")), "wavelength").join(ended.select(c("pos").alias("_low"), c("total").alias("_e")), "_low")
     return df.join(n.select("wavelength", (c("_b") - c("_e")).alias("n_spectra")), "wavelength")
 
 

@@ -300,3 +300,30 @@ def test_families_without_rows_of_anchors(spark, monkeypatch):
         assert {r.spec_id: tuple(r)[1:] for r in triage.redshift_families(df).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_runs_of_lines_are_counted_once_and_without_groups(spark):
+    from skysift.operators import triage
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), rng.choice([5000.0, 5003.0, 5006.0, 5009.5]) + rng.randrange(9) * 1.5) for _ in range(120)]
+    df = spark.createDataFrame(rows + [(0, None)], "spec_id long, wavelength double")
+    out = triage.recurrent(df, 3.0)
+    got = Counter(map(tuple, out.select("spec_id", "wavelength", "n_spectra").collect()))
+    assert got == Counter((s, w, len({t for t, x in rows if abs(x - w) <= 3.0})) for s, w in rows)
+    # spectra are sorted once, to be written; what is left knows wavelengths only
+    assert "_run" not in out._jdf.queryExecution().optimizedPlan().toString() and "PARTITION BY spec_id" not in out._jdf.queryExecution().optimizedPlan().toString() and "windowspecdefinition(spec_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_line_compares_a_cells_own_middles(spark):
+    from skysift.operators import triage
+
+    lines, middles = triage.KNOWN, [(a + b) / 2 for a, b in zip(triage.KNOWN, triage.KNOWN[1:])]
+    asked = [y for m in middles for y in (m, m - 1e-9, m + 1e-9)] + [-5.0, 0.0, 1e300, float("inf"), float("-inf")]
+    for some in (lines, [6000.0], [5000.0, 5000.01, 6000.0]):
+        out = spark.createDataFrame([(x,) for x in asked], "w double").select("w", triage.nearest_line(c("w"), some)["line"].alias("line"))
+        mids = [(a + b) / 2 for a, b in zip(some, some[1:])]
+        assert all(r.line == some[sum(r.w > m for m in mids)] for r in out.collect())
+        assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+    odd = spark.createDataFrame([(float("nan"),), (None,)], "w double").select(triage.nearest_line(c("w"), lines)["line"].alias("line"))
+    assert [r.line for r in odd.collect()] == [lines[-1], None]
