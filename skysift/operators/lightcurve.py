@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,14 +232,22 @@ def flash_colours(df: DataFrame, source: str = "source_id", bands: tuple[str, st
 
 
 def trig_sums(t: np.ndarray, y: np.ndarray, weight: np.ndarray, freq: np.ndarray, chunk: int = 512) -> np.ndarray:
-    """Sums over epochs that a periodogram is made of, six rows: w cos, w sin, w y cos, w y sin, w cos cos, w cos sin. Sums of parts add up."""
-    out = np.zeros((6, len(freq)))
-    for at in range(0, len(freq), chunk):
-        phase = 2 * np.pi * freq[at : at + chunk, None] * t
-        cos, sin = np.cos(phase), np.sin(phase)
-        wc = cos * weight
-        out[:, at : at + chunk] = wc.sum(axis=1), sin @ weight, wc @ y, sin @ (weight * y), (wc * cos).sum(axis=1), (wc * sin).sum(axis=1)
-    return out
+    """Sums over epochs that a periodogram is made of, six rows: w cos, w sin, w y cos, w y sin, w cos cos, w cos sin. Sums of parts add up.
+
+    ``freq`` are evenly spaced. A phase is that of its chunk's first frequency plus that of its place in the chunk, so that sines are
+    taken for one chunk and for the chunks' beginnings, and products of matrices give the rest.
+    """
+    step = (freq[-1] - freq[0]) / max(len(freq) - 1, 1)
+    inside, begins = step * np.arange(min(chunk, len(freq))), freq[::chunk]
+    wave, double = (np.zeros((len(inside), k * len(begins)), dtype=complex) for k in (2, 1))
+    for at in range(0, len(t), chunk):
+        s, w, wy = (x[at : at + chunk] for x in (t, weight, weight * y))
+        turn = np.exp(2j * np.pi * s[:, None] * begins)
+        place = np.exp(2j * np.pi * inside[:, None] * s)
+        wave += place @ np.concatenate([turn * w[:, None], turn * wy[:, None]], axis=1)
+        double += (place * place) @ (turn * turn * w[:, None])
+    one, two, twice = (x.T.reshape(-1)[: len(freq)] for x in (wave[:, : len(begins)], wave[:, len(begins) :], double))
+    return np.stack([one.real, one.imag, two.real, two.imag, (weight.sum() + twice.real) / 2, twice.imag / 2])
 
 
 def sinusoid(sums: np.ndarray, w: float, wy: float, wyy: float) -> tuple[np.ndarray, np.ndarray]:
@@ -406,22 +415,24 @@ def _days_apart(freq: np.ndarray) -> np.ndarray:
 def periods(df: DataFrame, keys: Sequence[str], min_epochs: int = 20, tolerance: float = 0.02) -> DataFrame:
     """(keys, period, power, fap, amplitude, alias) with peaks at multiples of the day masked; NULL with few epochs."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mjd", "mag"])
-        t, m, e = (pdf[x].to_numpy(float) for x in ("mjd", "mag", "magerr"))
-        out = pdf[list(keys)].head(1).assign(period=None, power=None, fap=None, amplitude=None, alias=False)
-        if len(t) < min_epochs or np.ptp(t) < 0.2 or m.std() == 0:
-            return out
-        freq, weight = grid(np.ptp(t), 100.0), 1.0 / e**2
-        p, amp = lomb_scargle(t, m, weight, freq)
-        days = _days_apart(freq)
-        i = np.where(days < tolerance, -1.0, p).argmax()
-        return out.assign(period=1.0 / freq[i], power=p[i], fap=false_alarm(p[i], len(t), freq.max(), t - t.min(), weight), amplitude=amp[i], alias=bool(days[p.argmax()] < tolerance))
+    def run(table: pa.Table) -> pa.Table:
+        t, m, e = (table.column(x).to_numpy().astype(float) for x in ("mjd", "mag", "magerr"))
+        order = np.lexsort((m, t))
+        t, m, e = t[order], m[order], e[order]
+        found, alias = [None] * 4, False
+        if len(t) >= min_epochs and np.ptp(t) >= 0.2 and m.std() != 0:
+            freq, weight = grid(np.ptp(t), 100.0), 1.0 / e**2
+            p, amp = lomb_scargle(t, m, weight, freq)
+            days = _days_apart(freq)
+            i = np.where(days < tolerance, -1.0, p).argmax()
+            found, alias = [1.0 / freq[i], p[i], false_alarm(p[i], len(t), freq.max(), t - t.min(), weight), amp[i]], bool(days[p.argmax()] < tolerance)
+        columns = [*table.select(list(keys)).slice(0, 1).columns, *(pa.array([x], pa.float64()) for x in found), pa.array([alias])]
+        return pa.Table.from_arrays(columns, names=[*keys, "period", "power", "fap", "amplitude", "alias"])
 
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
     small, large = _large(df, keys)
     rows = clean(small, keys, 1).select(*keys, "mjd", "mag", "magerr")
-    out = rows.groupBy(*keys).applyInPandas(run, f"{schema}, period double, power double, fap double, amplitude double, alias boolean")
+    out = rows.groupBy(*keys).applyInArrow(run, f"{schema}, period double, power double, fap double, amplitude double, alias boolean")
     if large is None:
         return out
 
