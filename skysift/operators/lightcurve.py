@@ -21,6 +21,8 @@ from skysift.functions.tables import let_workers_import, written
 
 c = F.col
 MAD = 1.4826
+#: Rows of a task that sorts epochs by source.
+TASK_ROWS = 1 << 20
 
 
 def median(x: Column) -> Column:
@@ -120,10 +122,16 @@ def flash_summary(df: DataFrame, keys: Sequence[str], min_epochs: int = 30, max_
     return out.withColumn("score", F.when(c("n_flashes").between(1, max_events), clip(score, 0.0, 1.0)).otherwise(0.0))
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt out by keys to as many tasks as their number asks for, so that what a task sorts stays the same at any size."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks, *keys)
+
+
 def seasons(df: DataFrame, keys: Sequence[str], min_epochs: int = 40, min_seasons: int = 3, days: float = 180.0) -> DataFrame:
     """(keys, season, t, m, weight): medians of each source's seasons with at least three epochs."""
     w = Window.partitionBy(*keys)
-    df = df.filter(c("mjd").isNotNull() & c("mag").isNotNull())
+    df = dealt(df.filter(c("mjd").isNotNull() & c("mag").isNotNull()).select(*keys, "mjd", "mag"), keys)
     df = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_t0": F.min("mjd").over(w)}).filter(c("_n") >= min_epochs)
     df = df.withColumn("season", F.floor((c("mjd") - c("_t0")) / days))
     df = df.withColumn("_m", F.percentile(c("mag"), F.lit(0.5)).over(Window.partitionBy(*keys, "season")))

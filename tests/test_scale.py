@@ -348,3 +348,16 @@ def test_sums_of_a_periodogram_take_few_sines(monkeypatch):
     assert np.abs(got - want).max() < 1e-9 * n
     assert sum(taken) < phase.size / 10
     assert np.abs(lightcurve.trig_sums(t[:5], y[:5], w[:5], freq[:1])[:, 0] - [cos[0, :5] @ w[:5], sin[0, :5] @ w[:5], cos[0, :5] @ (w * y)[:5], sin[0, :5] @ (w * y)[:5], cos[0, :5] ** 2 @ w[:5], (cos * sin)[0, :5] @ w[:5]]).max() < 1e-9
+
+
+def test_epochs_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    rows = [(k, 100.0 * i / 7, 12.0 + (k * 31 + i * 17) % 23 / 100.0) for k in range(40) for i in range(60)]
+    df = spark.createDataFrame(rows, "source_id long, mjd double, mag double")
+    want = {r.source_id: r for r in lightcurve.fades(df, ["source_id"]).collect()}
+    monkeypatch.setattr(lightcurve, "TASK_ROWS", 100)
+    held = lightcurve.seasons(df, ["source_id"])
+    sizes = held.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("source_id").alias("n")).collect()
+    assert len(sizes) > 8 and max(r.n for r in sizes) < 10
+    got = {r.source_id: r for r in lightcurve.fades(df, ["source_id"]).collect()}
+    assert want.keys() == got.keys() and len(want) == 40
+    assert all(abs(got[k].slope - want[k].slope) < 1e-9 and got[k].n_seasons == want[k].n_seasons for k in want)
