@@ -361,3 +361,29 @@ def test_epochs_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
     got = {r.source_id: r for r in lightcurve.fades(df, ["source_id"]).collect()}
     assert want.keys() == got.keys() and len(want) == 40
     assert all(abs(got[k].slope - want[k].slope) < 1e-9 and got[k].n_seasons == want[k].n_seasons for k in want)
+
+
+@pytest.mark.parametrize("window", [1, 5, 21, 101])
+def test_running_medians_are_those_of_single_windows(spark, monkeypatch, window):
+    monkeypatch.setattr(spectra, "WINDOW_VALUES", 200)  # a few spectra at once
+    rng = random.Random(window)
+    odd = {3: None, 4: float("nan"), 5: float("inf")}
+    groups = {(k, s): [odd.get(k, 0.0) if k in odd and i == 2 else rng.randint(0, 9) / 4 for i in range(n)] for k, n in enumerate([1, 2, 5, 64, 64, 64, 64, 65, 130, 7]) for s in (8.0, 15.0)}
+    gap = 9  # its pixels count from 1
+    rows = [(k, s, i + (k == gap), f, "x") for (k, s), fluxes in groups.items() for i, f in enumerate(fluxes)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "spec_id long, snr double, pix int, flux double, other string")
+    out = spectra.continuum(df, window, ("spec_id", "snr"))
+    assert out.columns == [*df.columns, "continuum"] and [t for _, t in out.dtypes[:-1]] == [t for _, t in df.dtypes]
+    got = {(r.spec_id, r.snr, r.pix): r for r in out.collect()}
+    assert len(got) == len(rows)
+    order = lambda f: (0, 0.0) if f is None else (2, 0.0) if f != f else (1, f)
+    for (k, s), fluxes in groups.items():
+        n = len(fluxes)
+        h = (min(window, n if n % 2 else n - 1) - 1) // 2
+        seen = [(i + (k == gap), f) for i, f in enumerate(fluxes)]
+        both = seen + [(-i, f) for i, f in seen if 1 <= i <= h] + [(2 * (n - 1) - i, f) for i, f in seen if n - 1 - h <= i <= n - 2]
+        for i, f in seen:
+            near = sorted((y for q, y in both if abs(q - i) <= h), key=order)
+            r = got[k, s, i]
+            assert order(r.continuum) == order(near[len(near) // 2]) and order(r.flux) == order(f) and r.other == "x"
