@@ -182,10 +182,10 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, doc_id: st
         enc = encoder(vocabulary)
         full = -1 - (TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 rows: list[tuple] = []
-                for doc, copy, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                for doc, copy, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(part.column(1))):
                     whole = ids + end
                     for p, a in enumerate(range(0, len(whole), 4 * capacity)):
                         piece = whole[a : a + 4 * capacity]

@@ -28,21 +28,23 @@ from skysift.llm.tokens import encoder
 SCHEMA = "doc_id long, row long, ids array<int>"
 #: Bytes of text in a task.
 RANGE_BYTES = 128 << 20
+#: Rows that are encoded together.
+ROWS = 2000
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, row, ids): the ids of each whole text, with the end id appended; row is 0 unless a column is named."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [x + end for x in enc.encode(part.column(2).to_pylist())]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                yield pa.record_batch([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "row", "ids"])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                at, ids = enc.encode_column(part.column(2))
+                values = pa.array(np.insert(ids, at[1:], end_id).view("<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(at + np.arange(len(at)), pa.int32()), values)
+                coded = pa.record_batch([part.column(0), part.column(1), lists], names=["doc_id", "row", "ids"])
+                yield from (coded.slice(i, 1000) for i in range(0, part.num_rows, 1000))
 
     let_workers_import(docs.sparkSession)
     number = F.lit(0) if row is None else F.col(row)

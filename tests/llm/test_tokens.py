@@ -7,6 +7,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,27 @@ def test_pieces_give_the_whole_texts_ids(path):
             assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_with_signs_reach_the_library_once(monkeypatch):
+    some, asked = tokens.PieceEncoder(BYTE), []
+    row_ids = some._row_ids
+    monkeypatch.setattr(some, "_row_ids", lambda pieces: asked.extend(pieces) or row_ids(pieces))
+    text = "The alpha alpha, (alpha) alpha.\nBeta, alpha? alpha.\nGamma"
+    assert np.frombuffer(some.encode([text])[0], "<u4").tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == ["(alpha)", "alpha"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_runs_and_batches_give_the_whole_texts_ids(path, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 60)
+    t, rng = Tokenizer.from_file(path), random.Random(8)
+    texts = ["".join(rng.choice(["ab", "É", "ÿß", "Σ", "ñ", "1", ".", ",", "?!", "'s", "\n", "\n\n", " ", " ", " ", "(", "|", "\u0301"]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts += [None, "", "end.\n", "a.\n b", "a.\n.", "a\nB.,", "e.\u0301 x", "A <|endoftext|> b.", None]
+    at, ids = tokens.PieceEncoder(path).encode_column(pa.array(["cut off", *texts], pa.string()).slice(1))
+    assert len(at) == len(texts) + 1 and at[-1] == len(ids)
+    for text, a, b in zip(texts, at, at[1:]):
+        assert ids[a:b].tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
 def test_remembered_pieces_are_dropped(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 8)
     t, some = Tokenizer.from_file(BYTE), tokens.PieceEncoder(BYTE)
