@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Remembered pieces of one worker process.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 #: Control, format and unusual white-space characters, and blanks before white space (for Arrow's regular expressions): such texts are encoded whole.
 UNUSUAL = (
     r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{300}-\x{36f}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{fe00}-\x{fe0f}\x{feff}]"
@@ -147,6 +147,7 @@ class PieceEncoder:
         batch = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // BATCH_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(texts)]
         parts = [self._encode(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        pa.default_memory_pool().release_unused()  # what a batch took would stay with the worker else
         if len(parts) == 1:
             return parts[0]
         counts = np.concatenate([np.diff(at) for at, _ in parts])
