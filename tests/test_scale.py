@@ -417,3 +417,45 @@ def test_all_clean_anomalies_are_ranked(spark):
     rows = shape.shape_run(pixels, meta, most=0.9)[0].filter("class = 'clean'").collect()
     best = sorted(rows, key=lambda r: (-r.narrow, -max(r.global_sigma, r.peak), r.spec_id))
     assert len(rows) >= 1200 and [r.rank for r in best] == list(range(1, len(rows) + 1))
+
+
+def test_medians_of_replicates_without_all_distances(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (3900, 3)), rng.standard_cauchy((100, 3))])
+    parent = spark.createDataFrame([(i, 0, *map(float, p)) for i, p in enumerate(x)], "source_id long, stratum long, x double, y double, z double")
+    anomalies, seen = parent.filter("source_id % 4 = 0"), []
+
+    def written(df, plain=replicates.written):
+        out = plain(df)
+        if "distance" in out.columns:
+            seen.append(out.count())
+        return out
+
+    plain = cluster.null_tests(parent, anomalies, {"a": ("x", "y", "z")}, 2, 1.0, 60).first()
+    monkeypatch.setattr(replicates, "DIRECT", 1000, raising=False)
+    for module in (replicates, cluster, Q):
+        monkeypatch.setattr(module, "written", written)
+    got = cluster.null_tests(parent, anomalies, {"a": ("x", "y", "z")}, 2, 1.0, 60).first()
+    assert got[:2] == plain[:2] and got[2:] == pytest.approx(plain[2:], rel=1e-9)
+    assert sum(seen) < 61 * 1000 / 2
+    d = np.sort(np.sqrt(((x[::4][:, None] - x[::4]) ** 2).sum(axis=2)), axis=1)[:, 2]
+    assert plain.observed == pytest.approx(np.median(d), rel=1e-12)
+
+
+def test_medians_that_lie_elsewhere_are_found(spark, monkeypatch):
+    monkeypatch.setattr(replicates, "DIRECT", 100)
+    monkeypatch.setattr(replicates, "BOX", 100)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (500, 2)), rng.normal(50, 30, (200, 2)), np.full((50, 2), 7.0)])
+    member = rng.random((len(x), 31)) < 0.2
+    member[:, 20:24] = (np.arange(len(x)) >= 500)[:, None] & (rng.random((len(x), 4)) < 0.5)
+    member[:, 25] = np.arange(len(x)) >= 700
+    member[:, 26:28] = [[i == 9, False] for i in range(len(x))]
+    rows = [(*map(float, p), np.packbits(m).tobytes()) for p, m in zip(x, member)]
+    got = {r.rep: r.s for r in replicates.medians(spark.createDataFrame(rows, "x double, y double, bits binary"), ["x", "y"], 2, 30).collect()}
+    want = {}
+    for r in range(31):
+        mine = x[member[:, r]]
+        if len(mine) > 2:
+            want[r] = np.median(np.sort(np.sqrt(((mine[:, None] - mine) ** 2).sum(axis=2)), axis=1)[:, 2])
+    assert set(got) == set(want) and all(got[r] == pytest.approx(want[r], rel=1e-12, abs=1e-12) for r in want)
